@@ -37,6 +37,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast only if it is counted to hold few (narrow) rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 SLICES = 16
 
 

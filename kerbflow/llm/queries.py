@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kerbflow.llm import ngram_join
+from kerbflow.llm import decontaminate, html_text, licences, line_dedup, mixing, ngram_join, quality, token_files, topk, toxicity
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -14,10 +15,94 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.scaled(_table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(rows, rows.where("vec_id % 50 = 0"))
+
+
+def tokenizer_path() -> str:
+    """The installed vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    model = toxicity.fit_toxicity(docs.join(labels, "doc_id"))
+    out = toxicity.toxic_passages(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def quality_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, quality_ratings(spark, sf_dir))
+    out = quality.score_quality(docs, model)
+    return out.select("doc_id", "expected_grade", "tail", (F.col("tail") >= quality.KEEP).alias("keep"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.char_length("text").alias("n_chars_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "item_windows")
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(_table(spark, sf_dir, "pages"))
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS size,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, [3, 1, 2][((row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
+r AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM w),
+l AS (SELECT *, (total - coalesce(sum(2 * source_size) OVER (ORDER BY ratio, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(weight) OVER (ORDER BY ratio, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM r),
+f AS (SELECT level AS fill FROM l WHERE level <= ratio ORDER BY ratio, source NULLS FIRST LIMIT 1),
+t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT fill FROM f) * weight, 2.0::DOUBLE * source_size)) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+e AS (SELECT *, round(target)::BIGINT - whole * source_size AS extra FROM p),
+o AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, e.extra,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+    FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, extra - ahead)))::BIGINT AS taken FROM o
+"""
+
+OP3_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS parts FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, max(list_sum(list_transform(range(1, len(v.parts) + 1), lambda i: q.parts[i] * v.parts[i])))::BIGINT AS score
+    FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.parts) = len(v.parts) WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP7_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
 s AS (
@@ -31,5 +116,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
-QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
-ORACLE = {"op7_ngram_jaccard_join": OP7_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_source_mixing, op2_licence_scan, op3_exact_top_k, op4_token_files, op5_toxic_passages,
+    op6_quality, op7_ngram_jaccard_join, op8_line_dedup, op9_decontamination, op10_main_text,
+)}
+ORACLE = {"op1_source_mixing": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op7_ngram_jaccard_join": OP7_SQL}
