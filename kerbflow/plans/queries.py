@@ -1,6 +1,685 @@
-"""Registered queries over the driver tables."""
+"""Registered queries: each operator over geometry projected out of the driver tables.
+
+Every query has SQL for the same projection and operator next to it, except those whose
+algorithm is ordered; tests hold these against plain re-derivations.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kerbflow.functions import geometry as G
+from kerbflow.operators import curves, entities, graph, quantities, raster, spatial, stats
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+FLAGSHIP = "feature_summary"
+
+#: Words of the driver's part names that stand for features.
+PART_WORDS = (("widget", ("widget",)), ("bolt", ("bolt",)), ("gear", ("gear", "cog")), ("plate", ("plate",)))
+PART_PATTERNS = (("widget", r"(?i)\bwidget\b"), ("bolt", r"(?i)\bbolt\b"), ("part", r"(?i)\bpart\b"), ("number", r"\d{2,5}"))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# -- projections ------------------------------------------------------------------------
+
+PT = "pt AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS x, (event_id % 97)::DOUBLE AS y FROM events)"
+DR = """dr AS (SELECT p_partkey AS drawing_id, (p_partkey % 7)::INT AS page, p_size::DOUBLE AS x0, p_retailprice / 50 AS y0, p_size + 3.0::DOUBLE + p_partkey % 11 AS x1,
+  p_retailprice / 50 + 2 + p_partkey % 5 AS y1, [(p_partkey % 5) / 4.0::DOUBLE, (p_partkey % 3) / 2.0::DOUBLE, (p_partkey % 2)::DOUBLE] AS fill,
+  CASE WHEN p_partkey % 4 > 0 THEN [(p_partkey % 2)::DOUBLE, (p_partkey % 5) / 4.0::DOUBLE, (p_partkey % 3) / 2.0::DOUBLE] END AS stroke, p_name AS name, p_type AS kind FROM part)"""
+PX = "px AS (SELECT vec_id AS page, ((p - 1) // 8)::INT AS y, ((p - 1) % 8)::INT AS x, embedding[p]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM embeddings))"
+MASK = "mask AS (SELECT page, y, x FROM px WHERE v > 0)"
+HIT = "hit AS (SELECT o_orderkey AS hit_id, (o_orderkey % 7)::INT AS page, (o_custkey % 50)::DOUBLE AS x, CASE WHEN o_orderkey % 10 = 0 THEN -1.0 ELSE (o_orderkey % 40) END::DOUBLE AS y, o_orderpriority AS text FROM orders WHERE o_orderkey % 5 < 2)"
+WS = "ws AS (SELECT path_id, i, 1 + abs(y) AS len, CASE WHEN (i * 7 + path_id) % 6 = 0 THEN NULL ELSE abs(x) END AS w FROM pt)"
+EDGE = "ed AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 100000000 AS b FROM lineitem WHERE l_suppkey % 4 = 0)"
+
+
+def pt(spark, sf):
+    e = table(spark, sf, "events")
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return e.select(F.col("user_id").alias("path_id"), i.alias("i"), F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
+
+
+def dr(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    y0, x0 = F.col("p_retailprice") / 50, F.col("p_size").cast("double")
+    fill = F.array((k % 5) / F.lit(4.0), (k % 3) / F.lit(2.0), (k % 2).cast("double"))
+    stroke = F.when(k % 4 > 0, F.array((k % 2).cast("double"), (k % 5) / F.lit(4.0), (k % 3) / F.lit(2.0)))
+    return p.select(k.alias("drawing_id"), (k % 7).cast("int").alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 3 + k % 11).alias("x1"), (y0 + 2 + k % 5).alias("y1"), fill.alias("fill"), stroke.alias("stroke"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
+
+
+def px(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v")).where("p < 64")
+    return e.select(F.col("vec_id").alias("page"), F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), F.col("v").cast("double").alias("v"))
+
+
+def mask(spark, sf):
+    return px(spark, sf).where("v > 0").select("page", "y", "x")
+
+
+def hit(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    y = F.when(k % 10 == 0, -1.0).otherwise((k % 40).cast("double"))
+    return o.where(k % 5 < 2).select(k.alias("hit_id"), (k % 7).cast("int").alias("page"), (F.col("o_custkey") % 50).cast("double").alias("x"), y.alias("y"), F.col("o_orderpriority").alias("text"))
+
+
+def ws(spark, sf):
+    w = F.when((F.col("i") * 7 + F.col("path_id")) % 6 != 0, F.abs("x"))
+    return pt(spark, sf).select("path_id", "i", (1 + F.abs("y")).alias("len"), w.alias("w"))
+
+
+def edges(spark, sf):
+    line = table(spark, sf, "lineitem").where("l_suppkey % 4 = 0")
+    return line.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b")).distinct()
+
+
+# -- entities ---------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey AS drawing_id, CASE WHEN lower(p_name) LIKE '%widget%' THEN 'widget' WHEN lower(p_name) LIKE '%bolt%' THEN 'bolt'
+  WHEN lower(p_name) LIKE '%gear%' OR lower(p_name) LIKE '%cog%' THEN 'gear' WHEN lower(p_name) LIKE '%plate%' THEN 'plate' END AS feature_type FROM part""")
+def feature_classify(spark, sf):
+    return dr(spark, sf).select("drawing_id", G.feature_type(F.col("name"), PART_WORDS).alias("feature_type"))
+
+
+@query(r"""WITH p(keyword, pattern) AS (VALUES ('widget', '(?i)\bwidget\b'), ('bolt', '(?i)\bbolt\b'), ('part', '(?i)\bpart\b'), ('number', '\d{2,5}'))
+SELECT p_partkey AS drawing_id, keyword FROM part, p WHERE regexp_matches(p_name, pattern)""")
+def keyword_hits(spark, sf):
+    return entities.keyword_hits(dr(spark, sf), PART_PATTERNS, "name").select("drawing_id", "keyword")
+
+
+@query(r"""SELECT doc_id, (count(*) FILTER (WHERE regexp_matches(lower(l), 'licen[sc]e|version')))::BIGINT AS hits, count(*) AS lines
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
+def line_fallback_hits(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    found = entities.fallback_hits(lines, (("l", "(?i)licen[sc]e"), ("v", "(?i)version")), "line").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines")).join(found, "doc_id", "left").select("doc_id", F.coalesce("hits", F.lit(0)).alias("hits"), "lines")
+
+
+LINK = f"""{HIT}, {DR}, cand AS (SELECT hit_id, drawing_id, sqrt(((x0 + x1) / 2 - x) * ((x0 + x1) / 2 - x) + ((y0 + y1) / 2 - y) * ((y0 + y1) / 2 - y)) AS distance FROM hit JOIN dr USING (page) WHERE x >= 0 AND y >= 0),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY hit_id ORDER BY distance, drawing_id) = 1),
+link AS (SELECT hit.hit_id, hit.page, best.drawing_id AS linked_drawing_id, best.distance, coalesce(round(1 / (1 + best.distance / 100), 4), 0.0::DOUBLE) AS score,
+  CASE WHEN best.hit_id IS NULL THEN 'unlinked' ELSE 'linked' END AS link_status, hit.text AS feature_type, coalesce(dr.x1 - dr.x0, 0) AS length
+  FROM hit LEFT JOIN best USING (hit_id) LEFT JOIN dr ON dr.drawing_id = best.drawing_id)"""
+
+
+def links(spark, sf):
+    d = dr(spark, sf)
+    out = entities.nearest_drawing(hit(spark, sf), d).withColumnRenamed("text", "feature_type")
+    size = d.select(F.col("drawing_id").alias("linked_drawing_id"), (F.col("x1") - F.col("x0")).alias("length"))
+    return out.join(size, "linked_drawing_id", "left").withColumn("length", F.coalesce("length", F.lit(0.0)))
+
+
+@query(f"WITH {LINK} SELECT hit_id, linked_drawing_id, round(distance, 4) AS distance, score, link_status FROM link")
+def nearest_link(spark, sf):
+    return rounded(links(spark, sf).select("hit_id", "linked_drawing_id", "distance", "score", "link_status"))
+
+
+@query(f"""WITH {LINK} SELECT feature_type, count(*) AS hit_count, count(*) FILTER (WHERE link_status = 'linked') AS linked_count,
+  round(coalesce(avg(score) FILTER (WHERE link_status = 'linked'), 0), 4) AS avg_score, round(coalesce(sum(length) FILTER (WHERE link_status = 'linked'), 0), 4) AS total_length FROM link GROUP BY feature_type""")
+def feature_summary(spark, sf):
+    return entities.feature_summary(links(spark, sf))
+
+
+@query(f"WITH {LINK} SELECT hit_id, feature_type, score FROM link WHERE link_status = 'unlinked' OR score < 0.8")
+def review_queue(spark, sf):
+    return entities.review_queue(links(spark, sf), 0.8).select("hit_id", "feature_type", "score")
+
+
+@query(f"WITH {LINK} SELECT page, count(*) AS hits, count(*) FILTER (WHERE link_status = 'linked') AS linked, count(DISTINCT linked_drawing_id) AS drawings FROM link GROUP BY page")
+def page_counts(spark, sf):
+    return links(spark, sf).groupBy("page").agg(F.count("*").alias("hits"), F.count_if(F.col("link_status") == "linked").alias("linked"), F.count_distinct("linked_drawing_id").alias("drawings"))
+
+
+@query(f"""WITH {DR}, lab AS (SELECT drawing_id AS label_id, page, x0 + 60 AS x0, y0, y1 FROM dr WHERE drawing_id % 10 = 3), sw AS (SELECT drawing_id AS swatch_id, page, x0 AS sx0, x1, y0 AS sy0, y1 AS sy1 FROM dr WHERE x1 - x0 >= 8 AND y1 - y0 >= 2),
+c AS (SELECT label_id, swatch_id, (lab.x0 - sw.x1) + 0.5::DOUBLE * abs((sy0 + sy1) / 2 - (lab.y0 + lab.y1) / 2) AS score FROM lab JOIN sw USING (page) WHERE lab.x0 - sw.x1 BETWEEN 0 AND 140
+  AND least(lab.y1, sy1) > greatest(lab.y0, sy0) AND (least(lab.y1, sy1) - greatest(lab.y0, sy0)) / least(lab.y1 - lab.y0, sy1 - sy0) >= 0.4),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY score, swatch_id) = 1)
+SELECT lab.label_id, lab.page, b.swatch_id, round(b.score, 4) AS match_score, CASE WHEN b.label_id IS NULL THEN 'no_swatch_found' ELSE 'ok' END AS status FROM lab LEFT JOIN b USING (label_id)""")
+def legend_swatch_match(spark, sf):
+    d = dr(spark, sf)
+    labels = d.where("drawing_id % 10 = 3").select(F.col("drawing_id").alias("label_id"), "page", (F.col("x0") + 60).alias("x0"), "y0", "y1")
+    return rounded(entities.match_swatches(labels, d.where("x1 - x0 >= 8 and y1 - y0 >= 2").select(F.col("drawing_id").alias("swatch_id"), "page", "x0", "x1", "y0", "y1")))
+
+
+@query(f"WITH {DR} SELECT drawing_id, page FROM dr QUALIFY row_number() OVER (PARTITION BY round(x0, 0), round(y0, 0), round(x1, 0), round(y1, 0), fill ORDER BY drawing_id) = 1")
+def dedupe_rects(spark, sf):
+    return entities.dedupe_rects(dr(spark, sf), 0).select("drawing_id", "page")
+
+
+@query(f"""WITH {DR}, c AS (SELECT drawing_id AS color_id, fill AS color FROM dr WHERE drawing_id <= 8),
+h AS (SELECT color_id, coalesce(sqrt((fill[1]-color[1])^2+(fill[2]-color[2])^2+(fill[3]-color[3])^2) <= 0.3, false) AS f, coalesce(sqrt((stroke[1]-color[1])^2+(stroke[2]-color[2])^2+(stroke[3]-color[3])^2) <= 0.3, false) AS s FROM dr, c)
+SELECT color_id, count(*) FILTER (WHERE f) AS fill_hits, count(*) FILTER (WHERE s) AS stroke_hits, count(*) FILTER (WHERE f OR s) AS matched FROM h GROUP BY color_id""")
+def color_hits(spark, sf):
+    d = dr(spark, sf)
+    return entities.color_hits(d.where("drawing_id <= 8").select(F.col("drawing_id").alias("color_id"), F.col("fill").alias("color")), d, 0.3)
+
+
+@query(f"""WITH {DR} SELECT drawing_id, '#' || upper(printf('%02x%02x%02x', round_even(fill[1]*255, 0)::INT, round_even(fill[2]*255, 0)::INT, round_even(fill[3]*255, 0)::INT)) AS fill_hex FROM dr""")
+def color_hex(spark, sf):
+    return dr(spark, sf).select("drawing_id", G.hex_color(F.col("fill")).alias("fill_hex"))
+
+
+@query(f"WITH {DR} SELECT drawing_id FROM dr WHERE abs(x1-x0)*abs(y1-y0) >= 20 AND least(abs(x1-x0), abs(y1-y0)) >= 3 AND greatest(abs(x1-x0), abs(y1-y0)) >= 6")
+def geometry_gate(spark, sf):
+    return entities.geometry_gate(dr(spark, sf), 20, 3, 6).select("drawing_id")
+
+
+OVERLAY = """ov AS (SELECT drawing_id, page, CASE WHEN fill[2] > fill[1] AND fill[2] > fill[3] THEN 'green' WHEN fill[3] > fill[1] AND fill[3] > fill[2] THEN 'blue' WHEN fill[1] < 0.3 AND fill[2] < 0.3 AND fill[3] < 0.3 THEN 'dark' END AS overlay
+  FROM dr WHERE least(x1-x0, y1-y0) <= 4)"""
+
+
+@query(f"WITH {DR}, {OVERLAY} SELECT drawing_id, overlay FROM ov WHERE overlay IS NOT NULL")
+def overlay_candidates(spark, sf):
+    return entities.overlay_candidates(dr(spark, sf), 4).select("drawing_id", "overlay")
+
+
+@query(f"WITH {DR}, {OVERLAY} SELECT drawing_id FROM dr WHERE drawing_id > (SELECT min(drawing_id) FROM ov WHERE overlay IS NOT NULL)")
+def draw_order_filter(spark, sf):
+    d = dr(spark, sf)
+    return entities.drawn_after(d, entities.overlay_candidates(d, 4)).select("drawing_id")
+
+
+@query(f"WITH {DR}, k AS (SELECT DISTINCT coalesce(stroke, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS c, drawing_id % 3 AS m FROM dr WHERE page = 1 AND x0 < 6) SELECT drawing_id FROM dr WHERE EXISTS (SELECT 1 FROM k WHERE k.c = coalesce(dr.stroke, [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AND k.m = dr.drawing_id % 3)")
+def signature_semijoin(spark, sf):
+    d = dr(spark, sf).withColumn("color", F.coalesce("stroke", F.array(*[F.lit(0.0)] * 3))).withColumn("style", F.col("drawing_id") % 3)
+    return entities.style_semi_join(d, d.where("page = 1 and x0 < 6"), ["color", "style"]).select("drawing_id")
+
+
+@query(f"""WITH {DR}, t AS (SELECT page, (drawing_id % 6) * 5 AS value, x0 * 3 + drawing_id % 6 * 28 AS x FROM dr WHERE drawing_id < 60),
+a AS (SELECT page, min(x) FILTER (WHERE value = 0) AS x_0, min(x) FILTER (WHERE value = 25) AS x_25, min({{'v': value, 'x': x}}) AS lo, max({{'v': value, 'x': x}}) AS hi FROM t GROUP BY page),
+m AS (SELECT page, (CASE WHEN x_0 IS NOT NULL AND x_25 IS NOT NULL THEN 25 ELSE hi.v - lo.v END)::DOUBLE AS delta_m, abs(CASE WHEN x_0 IS NOT NULL AND x_25 IS NOT NULL THEN x_25 - x_0 ELSE hi.x - lo.x END) AS delta_pt FROM a)
+SELECT page, delta_m, round(delta_pt, 4) AS delta_pt, round(delta_m / delta_pt, 4) AS m_per_pt, round(delta_m / delta_pt / (220 / 72.0::DOUBLE), 4) AS m_per_px FROM m WHERE delta_m > 0 AND delta_pt > 0""")
+def calibration(spark, sf):
+    k = F.col("drawing_id")
+    ticks = dr(spark, sf).where(k < 60).select("page", ((k % 6) * 5).alias("value"), (F.col("x0") * 3 + k % 6 * 28).alias("x"))
+    return rounded(entities.calibration(ticks, 220))
+
+
+@query(r"""SELECT p_partkey AS drawing_id, try_cast(nullif(regexp_extract('Scale 1 : ' || p_size || '00 @A3', '\b1\s*:\s*(\d+)\b', 1), '') AS INT) AS ratio FROM part""")
+def scale_parse(spark, sf):
+    text = F.concat(F.lit("Scale 1 : "), F.col("p_size").cast("string"), F.lit("00 @A3"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("drawing_id"), G.scale_ratio(text).alias("ratio"))
+
+
+@query(r"SELECT p_partkey AS drawing_id, upper(trim(regexp_replace(p_name || '   ' || p_type, '\s+', ' ', 'g'))) AS label FROM part")
+def label_normalise(spark, sf):
+    return dr(spark, sf).select("drawing_id", G.normal_label(F.concat_ws("   ", "name", "kind")).alias("label"))
+
+
+@query(f"""WITH {DR}, s AS (SELECT drawing_id, page, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS b_y FROM dr), p AS (SELECT drawing_id AS point_id, page, x0 + 5 AS x, y0 + 3 AS y FROM dr WHERE drawing_id % 20 = 0),
+d AS (SELECT point_id, s.drawing_id AS item_id, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(b_y-ay)) / ((bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay)))) AS t, x, y, ax, ay, bx, b_y FROM s JOIN p USING (page)),
+e AS (SELECT point_id, item_id, sqrt((ax+t*(bx-ax)-x)^2 + (ay+t*(b_y-ay)-y)^2) AS distance FROM d)
+SELECT point_id, item_id, round(distance, 4) AS distance FROM e WHERE distance <= 2""")
+def segment_distance(spark, sf):
+    d = dr(spark, sf)
+    seg = d.select(F.col("drawing_id").alias("item_id"), "page", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
+    points = d.where("drawing_id % 20 = 0").select(F.col("drawing_id").alias("point_id"), "page", (F.col("x0") + 5).alias("x"), (F.col("y0") + 3).alias("y"))
+    return rounded(spatial.items_near(seg, points, 2.0))
+
+
+@query(f"""WITH {DR} SELECT drawing_id, k, round((1-t)^3*x0 + 3*(1-t)^2*t*x1 + 3*(1-t)*t^2*x0 + t^3*x1, 8) AS x, round((1-t)^3*y0 + 3*(1-t)^2*t*y0 + 3*(1-t)*t^2*y1 + t^3*y1, 8) AS y
+FROM (SELECT *, k / 8.0::DOUBLE AS t FROM (SELECT *, unnest(range(0, 9))::INT AS k FROM dr))""")
+def bezier_flatten(spark, sf):
+    d = dr(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("t", F.col("k") / 8)
+    c = F.col
+    return rounded(d.select("drawing_id", "k", G.bezier(c("x0"), c("x1"), c("x0"), c("x1"), c("t")).alias("x"), G.bezier(c("y0"), c("y0"), c("y1"), c("y1"), c("t")).alias("y")), 8)
+
+
+# -- joins by place ---------------------------------------------------------------------
+
+MEET = "a.x1 + {g} >= b.x0 AND b.x1 + {g} >= a.x0 AND a.y1 + {g} >= b.y0 AND b.y1 + {g} >= a.y0"
+FEW = "few AS (SELECT * FROM dr WHERE drawing_id % 4 = 1)"
+
+
+def few(spark, sf):
+    return dr(spark, sf).where("drawing_id % 4 = 1")
+
+
+@query(f"WITH {DR}, {FEW} SELECT a.drawing_id AS a, b.drawing_id AS b FROM few a JOIN few b ON a.page = b.page AND a.drawing_id < b.drawing_id AND {MEET.format(g=0)}")
+def bbox_overlap_pairs(spark, sf):
+    return spatial.self_overlap_pairs(few(spark, sf), 16.0)
+
+
+@query(f"WITH {DR}, {FEW} SELECT a.drawing_id AS a, b.drawing_id AS b FROM few a JOIN few b ON a.page = b.page AND a.drawing_id < b.drawing_id AND {MEET.format(g=0.5)}")
+def boxes_gap_pairs(spark, sf):
+    return spatial.self_overlap_pairs(few(spark, sf), 16.0, 0.5)
+
+
+@query(f"""WITH RECURSIVE {DR}, s AS (SELECT * FROM dr WHERE drawing_id % 11 = 1), p AS (SELECT a.drawing_id AS a, b.drawing_id AS b FROM s a JOIN s b ON a.page = b.page AND a.drawing_id <> b.drawing_id AND {MEET.format(g=0)}),
+r(a, b) AS (SELECT drawing_id, drawing_id FROM s UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
+SELECT component, count(*) AS n, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM c JOIN s ON drawing_id = node GROUP BY component""")
+def box_clusters(spark, sf):
+    d = dr(spark, sf).where("drawing_id % 11 = 1")
+    labels = graph.connected_components(d.select(F.col("drawing_id").alias("node")), spatial.self_overlap_pairs(d, 16.0))
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    return rounded(labels.join(d, labels["node"] == d["drawing_id"]).groupBy("component").agg(F.count("*").alias("n"), *box))
+
+
+@query(f"""WITH {DR}, p AS (SELECT drawing_id, page, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM dr WHERE drawing_id % 5 = 2),
+n AS (SELECT a.drawing_id AS a, b.drawing_id AS b, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS distance FROM p a JOIN p b ON a.page = b.page AND a.drawing_id <> b.drawing_id),
+k AS (SELECT * FROM n WHERE distance < 6 QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 3)
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(distance, 4) AS distance FROM k""")
+def knn_edges(spark, sf):
+    d = dr(spark, sf).where("drawing_id % 5 = 2").select("drawing_id", "page", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return rounded(spatial.nearest_neighbours(d, 3, 6.0, "drawing_id")).distinct()
+
+
+@query(f"WITH {DR}, w AS (SELECT * FROM dr WHERE drawing_id % 50 = 7) SELECT DISTINCT a.drawing_id FROM dr a JOIN w b ON a.page = b.page AND {MEET.format(g=0)}")
+def window_overlap(spark, sf):
+    d = dr(spark, sf)
+    return spatial.within(d.select("drawing_id", "page", "x0", "y0", "x1", "y1"), d.where("drawing_id % 50 = 7").select("drawing_id", "page", "x0", "y0", "x1", "y1"), 16.0).select("drawing_id")
+
+
+# -- curves -----------------------------------------------------------------------------
+
+STEP = "st AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS step FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i))"
+ARC = "arc AS (SELECT *, sum(step) OVER (PARTITION BY path_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM st)"
+SEG = "seg AS (SELECT * FROM (SELECT path_id, i, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS b_y, d AS d0, lead(d) OVER w AS d1 FROM arc WINDOW w AS (PARTITION BY path_id ORDER BY i)) WHERE d1 > d0)"
+
+
+@query(f"WITH {PT}, {STEP} SELECT path_id, round(sum(step), 4) AS length FROM st GROUP BY path_id")
+def polyline_length(spark, sf):
+    return rounded(curves.polyline_length(pt(spark, sf)))
+
+
+@query(f"WITH {PT}, {STEP}, {ARC} SELECT path_id, i, round(d, 4) AS d FROM arc")
+def arc_length(spark, sf):
+    return rounded(curves.arc_length(pt(spark, sf)).select("path_id", F.col("i").cast("long").alias("i"), "d"))
+
+
+SHOE = "SELECT path_id, round(abs(sum(x * ny - nx * y)) / 2, 4) AS area FROM (SELECT *, coalesce(lead(x) OVER w, first(x) OVER e) AS nx, coalesce(lead(y) OVER w, first(y) OVER e) AS ny FROM {t} WINDOW w AS (PARTITION BY path_id ORDER BY i), e AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY path_id"
+
+
+@query(f"WITH {PT} {SHOE.format(t='pt')}")
+def shoelace_area(spark, sf):
+    return rounded(curves.shoelace_area(pt(spark, sf)))
+
+
+@query(f"""WITH {PT}, inn AS (SELECT path_id, (max(i) OVER (PARTITION BY path_id)) - i AS i, x * 0.5::DOUBLE AS x, y - 3 AS y, 1 AS side FROM pt), b AS (SELECT path_id, i, x, y, 0 AS side FROM pt UNION ALL SELECT * FROM inn),
+c AS (SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY side, i) - 1 AS i, x, y FROM b) {SHOE.format(t='c')}""")
+def corridor_area(spark, sf):
+    p = pt(spark, sf)
+    return rounded(curves.corridor_area(p, p.select("path_id", "i", (F.col("x") * 0.5).alias("x"), (F.col("y") - 3).alias("y"))))
+
+
+@query(f"""WITH {PT}, f AS (SELECT path_id, i, x, count(*) OVER (PARTITION BY path_id) AS n, sum(x) OVER (PARTITION BY path_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS s, first(x) OVER e AS a, last(x) OVER e AS b
+  FROM pt WINDOW e AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT path_id, i, round(CASE WHEN n < 3 OR n < 9 THEN x ELSE (s + greatest(0, 4 - i) * a + greatest(0, 4 - (n - 1 - i)) * b) / 9 END, 4) AS x_smooth FROM f""")
+def smooth_edge_pad(spark, sf):
+    return rounded(curves.smooth_padded(pt(spark, sf), 8, ("x",)).select("path_id", F.col("i").cast("long").alias("i"), "x_smooth"))
+
+
+@query(f"WITH {PT} SELECT path_id, i, round(avg(x) OVER (PARTITION BY path_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS x_smooth FROM pt")
+def smooth_truncated(spark, sf):
+    return rounded(curves.smooth_truncated(pt(spark, sf), 7).select("path_id", F.col("i").cast("long").alias("i"), "x_smooth"))
+
+
+@query(f"""WITH {PT}, e AS (SELECT *, round_even(first(y) OVER w, 0) AS a, round_even(last(y) OVER w, 0) AS b FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT path_id, i FROM e WHERE round_even(y, 0) <> a AND round_even(y, 0) <> b""")
+def row_exclusion(spark, sf):
+    return curves.without_end_rows(pt(spark, sf)).select("path_id", F.col("i").cast("long").alias("i"))
+
+
+@query(f"""WITH {PT}, d AS (SELECT path_id, i, last(x) OVER w - first(x) OVER w AS dx, last(y) OVER w - first(y) OVER w AS dy FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+u AS (SELECT path_id, i, CASE WHEN sqrt(dx*dx+dy*dy) < 1e-9 THEN 0 ELSE dx / sqrt(dx*dx+dy*dy) END AS tx, CASE WHEN sqrt(dx*dx+dy*dy) < 1e-9 THEN 0 ELSE dy / sqrt(dx*dx+dy*dy) END AS ty FROM d)
+SELECT path_id, i, round(tx, 4) + 0.0 AS tx, round(ty, 4) + 0.0 AS ty, round(-ty, 4) + 0.0 AS nx, round(tx, 4) + 0.0 AS ny FROM u""")
+def tangent_normal(spark, sf):
+    out = rounded(curves.tangents(pt(spark, sf)).select("path_id", F.col("i").cast("long").alias("i"), "tx", "ty", "nx", "ny"))
+    return out.select("path_id", "i", *[(F.col(c) + 0.0).alias(c) for c in ("tx", "ty", "nx", "ny")])
+
+
+@query(f"""WITH {PT}, c AS (SELECT path_id, i, count(*) OVER (PARTITION BY path_id) AS n, x - lag(x, 3) OVER w AS ax, y - lag(y, 3) OVER w AS ay, lead(x, 3) OVER w - x AS bx, lead(y, 3) OVER w - y AS b_y FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i)),
+t AS (SELECT path_id, i, n, round(abs(atan2(ax*b_y - ay*bx, ax*bx + ay*b_y)), 9) AS turn FROM c), b AS (SELECT path_id, i, n, turn, row_number() OVER (PARTITION BY path_id ORDER BY turn DESC NULLS LAST, i) AS r FROM t)
+SELECT path_id, (CASE WHEN turn IS NULL THEN n // 2 ELSE i END)::INT AS bend_i FROM b WHERE r = 1""")
+def strongest_bend(spark, sf):
+    return curves.strongest_bend(pt(spark, sf), 3)
+
+
+@query(f"""WITH {PT}, m AS (SELECT path_id, avg(x) AS mx, avg(y) AS my FROM pt GROUP BY path_id), u AS (SELECT path_id, mx, my, x - mx AS u, y - my AS v FROM pt JOIN m USING (path_id)),
+s AS (SELECT path_id, mx, my, count(*) AS n, sum(u*u) AS suu, sum(v*v) AS svv, sum(u*v) AS suv, sum(u*u*u) AS suuu, sum(v*v*v) AS svvv, sum(u*v*v) AS suvv, sum(v*u*u) AS svuu FROM u GROUP BY 1, 2, 3),
+d AS (SELECT *, CASE WHEN abs(suu*svv - suv*suv) > 1e-9 THEN suu*svv - suv*suv END AS det FROM s), c AS (SELECT *, ((suuu+suvv)/2*svv - (svvv+svuu)/2*suv) / det AS cu, ((svvv+svuu)/2*suu - (suuu+suvv)/2*suv) / det AS cv FROM d)
+SELECT path_id, round(mx + cu, 4) AS cx, round(my + cv, 4) AS cy, round(sqrt(cu*cu + cv*cv + (suu+svv)/n), 4) AS radius FROM c""")
+def circle_fit(spark, sf):
+    return rounded(curves.fit_circle(pt(spark, sf)))
+
+
+@query(f"""WITH {PT}, {STEP}, {ARC}, {SEG}, k AS (SELECT *, unnest(range(ceil(d0 / 25)::BIGINT, ceil(d1 / 25)::BIGINT)) AS station FROM seg)
+SELECT path_id, station, round(station * 25.0::DOUBLE, 4) AS d, round(ax + (bx - ax) * (station * 25.0::DOUBLE - d0) / (d1 - d0), 4) AS x, round(ay + (b_y - ay) * (station * 25.0::DOUBLE - d0) / (d1 - d0), 4) AS y FROM k""")
+def resample_stations(spark, sf):
+    return rounded(curves.stations(pt(spark, sf), 25.0))
+
+
+@query(f"""WITH {PT}, s AS (SELECT *, lead(x) OVER w AS bx, lead(y) OVER w AS b_y FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i)), n AS (SELECT *, coalesce(greatest(1, floor(sqrt((bx-x)^2+(b_y-y)^2) / 20)), 1)::INT AS n FROM s),
+k AS (SELECT *, unnest(range(0, n))::INT AS k FROM n) SELECT path_id, i, k, round(coalesce(x + (bx - x) * (k / n::DOUBLE), x), 8) AS px, round(coalesce(y + (b_y - y) * (k / n::DOUBLE), y), 8) AS py FROM k""")
+def densify(spark, sf):
+    return rounded(curves.densified(pt(spark, sf), 20.0).select("path_id", F.col("i").cast("long").alias("i"), "k", "px", "py"), 8)
+
+
+@query(f"""WITH {PT}, {STEP}, {ARC}, {SEG}, r AS (SELECT path_id, 10.0::DOUBLE AS a, max(d) - 15 AS b FROM arc GROUP BY path_id), q AS (SELECT * FROM r WHERE a < b),
+o AS (SELECT arc.path_id, d, x, y FROM arc JOIN q USING (path_id) WHERE d > a AND d < b
+  UNION ALL SELECT path_id, a, ax + (bx-ax)*(a-d0)/(d1-d0), ay + (b_y-ay)*(a-d0)/(d1-d0) FROM seg JOIN q USING (path_id) WHERE d0 <= a AND a < d1
+  UNION ALL SELECT path_id, b, ax + (bx-ax)*(b-d0)/(d1-d0), ay + (b_y-ay)*(b-d0)/(d1-d0) FROM seg JOIN q USING (path_id) WHERE d0 < b AND b <= d1)
+SELECT path_id, round(d, 4) AS d, round(x, 4) AS x, round(y, 4) AS y FROM o""")
+def trim_arc(spark, sf):
+    return rounded(curves.trimmed(pt(spark, sf), 10.0, 15.0))
+
+
+@query(f"""WITH {PT}, {WS}, g AS (SELECT path_id, i, w, last_value(w IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN w IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, first_value(w IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN w IS NOT NULL THEN i END IGNORE NULLS) OVER f AS i1
+  FROM ws WINDOW b AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT path_id, i, round(coalesce(w, v0 + (v1 - v0) * ((i - i0) / nullif(i1 - i0, 0)::DOUBLE), v0, v1), 4) AS w_filled FROM g""")
+def fill_missing(spark, sf):
+    return rounded(curves.interpolated(ws(spark, sf), "w").select("path_id", F.col("i").cast("long").alias("i"), "w_filled"))
+
+
+@query(f"""WITH {PT}, n AS (SELECT *, count(*) OVER (PARTITION BY path_id) AS n FROM pt), p AS (SELECT *, (i - n // 4 + n) % n AS p, ((n // 2) - (n // 4)) % n AS q FROM n)
+SELECT path_id, 0 AS arc, p AS seq, x, y FROM p WHERE p <= q UNION ALL SELECT path_id, 1, (n - p) % n, x, y FROM p WHERE p >= q OR p = 0""")
+def split_contour(spark, sf):
+    p = pt(spark, sf)
+    n = F.count(F.lit(1)).over(Window.partitionBy("path_id"))
+    p = p.withColumn("m0", F.floor(n / 4)).withColumn("m1", F.floor(n / 2))
+    return curves.split_contour(p, F.col("m0"), F.col("m1"))
+
+
+@query(f"""WITH {PT}, e AS (SELECT *, count(*) OVER (PARTITION BY path_id) AS n, first(y) OVER w AS fy, first(x) OVER w AS fx, last(y) OVER w AS ly, last(x) OVER w AS lx FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT path_id, (CASE WHEN fy > ly OR (fy = ly AND fx > lx) THEN n - 1 - i ELSE i END)::INT AS seq, x, y FROM e""")
+def orient_curve(spark, sf):
+    return curves.oriented(pt(spark, sf))
+
+
+# -- statistics and areas ---------------------------------------------------------------
+
+
+@query(f"""WITH {PT}, {WS} SELECT path_id, count(w) AS n, round(quantile_cont(w, 0.5), 4) AS median, round(avg(w), 4) AS mean, round(quantile_cont(w, 0.1), 4) AS p10, round(quantile_cont(w, 0.9), 4) AS p90, round(stddev_pop(w), 4) AS sd,
+  round(min(w), 4) AS least, round(max(w), 4) AS most FROM ws GROUP BY path_id""")
+def width_stats(spark, sf):
+    return rounded(stats.width_stats(ws(spark, sf)))
+
+
+@query(f"""WITH {PT}, {WS}, m AS (SELECT path_id, quantile_cont(w, 0.5) AS med FROM ws GROUP BY path_id), d AS (SELECT path_id, i, w, abs(w - med) AS dev FROM ws JOIN m USING (path_id)), q AS (SELECT path_id, quantile_cont(dev, 0.5) AS mad FROM d GROUP BY path_id)
+SELECT path_id, i, mad <= 1e-6 OR dev <= 2.5 * mad AS mad_kept FROM d JOIN q USING (path_id) WHERE w IS NOT NULL""")
+def mad_filter(spark, sf):
+    return stats.mad_filter(ws(spark, sf).where("w is not null"), 2.5).select("path_id", F.col("i").cast("long").alias("i"), "mad_kept")
+
+
+CLASSED = """cl AS (SELECT *, CASE WHEN z <= 1 THEN 'green' WHEN z <= 2 THEN 'yellow' ELSE 'red' END AS class FROM (SELECT *, CASE WHEN w IS NOT NULL THEN abs(w - mu) / sigma END AS z FROM ws JOIN (SELECT path_id, avg(w) AS mu, greatest(stddev_pop(w), 1e-6) AS sigma FROM ws GROUP BY path_id) USING (path_id)))"""
+KAPPA = "CASE class WHEN 'green' THEN 0 WHEN 'yellow' THEN 1 ELSE 2 END"
+
+
+@query(f"WITH {PT}, {WS}, {CLASSED} SELECT class, count(*) AS n FROM cl GROUP BY class")
+def sigma_classes(spark, sf):
+    return stats.class_counts(ws(spark, sf))
+
+
+@query(f"""WITH {PT}, {WS}, {CLASSED}, b AS (SELECT path_id, len, coalesce(w, mu) AS v, CASE WHEN w IS NULL OR w > mu THEN coalesce(w, mu) - {KAPPA} * sigma ELSE w END AS lo, CASE WHEN w IS NULL OR w < mu THEN coalesce(w, mu) + {KAPPA} * sigma ELSE w END AS hi FROM cl)
+SELECT path_id, round(sum(len * v), 4) AS nominal, round(sum(len * greatest(lo, 0)), 4) AS low, round(sum(len * hi), 4) AS high FROM b GROUP BY path_id""")
+def area_model1(spark, sf):
+    return rounded(stats.area_model_1(stats.sigma_classed(ws(spark, sf))))
+
+
+@query(f"""WITH {PT}, {WS}, {CLASSED} SELECT path_id, round(sum(len * mu), 4) AS baseline, round(coalesce(sum(len * (w - mu)) FILTER (WHERE class = 'green'), 0), 4) AS green, round(coalesce(sum(len * (w - mu)) FILTER (WHERE class = 'yellow'), 0), 4) AS yellow,
+  round(coalesce(sum(len * (w - mu)) FILTER (WHERE class = 'red'), 0), 4) AS red FROM cl GROUP BY path_id""")
+def area_model2(spark, sf):
+    return rounded(stats.area_model_2(stats.sigma_classed(ws(spark, sf))))
+
+
+@query(f"""WITH {PT}, {WS}, {CLASSED}, p AS (SELECT path_id, len, class, coalesce(w, mu) AS v, quantile_cont(w, 0.2) OVER f AS p20, quantile_cont(w, 0.8) OVER f AS p80 FROM cl WINDOW f AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
+SELECT path_id, round(sum(len * v), 4) AS nominal, round(sum(len * CASE class WHEN 'green' THEN v ELSE least(v, coalesce(p20, v)) END), 4) AS low, round(sum(len * CASE class WHEN 'green' THEN v ELSE greatest(v, coalesce(p80, v)) END), 4) AS high FROM p GROUP BY path_id""")
+def area_model3(spark, sf):
+    return rounded(stats.area_model_3(stats.sigma_classed(ws(spark, sf))))
+
+
+TRAP = "SELECT path_id, coalesce(sum(len * (v + pv) / 2) FILTER (WHERE i > 0), 0) AS area, coalesce(sum(len) FILTER (WHERE i > 0), 0) AS length FROM (SELECT path_id, i, len, {v} AS v, lag({v}) OVER (PARTITION BY path_id ORDER BY i) AS pv FROM {t}) GROUP BY path_id"
+
+
+@query(f"WITH {PT}, {WS} SELECT path_id, round(area, 4) AS area, round(length, 4) AS length FROM ({TRAP.format(v='w', t='ws')})")
+def trapezoid_area(spark, sf):
+    return rounded(stats.trapezoid(ws(spark, sf)))
+
+
+@query(f"""WITH {PT}, {WS}, {CLASSED}, e AS (SELECT path_id, i, len, CASE WHEN w IS NULL THEN NULL ELSE greatest(w - sigma * {KAPPA}, 0) END AS lo, w + sigma * {KAPPA} AS hi FROM cl)
+SELECT path_id, round(a.area, 4) AS low, round(b.area, 4) AS high FROM ({TRAP.format(v='lo', t='e')}) a JOIN ({TRAP.format(v='hi', t='e')}) b USING (path_id)""")
+def sigma_envelope(spark, sf):
+    return rounded(stats.sigma_envelope(stats.sigma_classed(ws(spark, sf))))
+
+
+@query(f"WITH {PT}, {WS} SELECT path_id, greatest(2, least(60, round_even(quantile_cont(w, 0.75), 0)::INT)) AS half_width FROM ws GROUP BY path_id")
+def half_width(spark, sf):
+    return stats.half_width(ws(spark, sf), 75.0, 60)
+
+
+# -- rasters ----------------------------------------------------------------------------
+
+KERNEL = "k AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(0, 3) a, range(0, 3) b)"
+DIL = "SELECT DISTINCT page, (y + dy)::INT AS y, (x + dx)::INT AS x FROM {m}, k WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7"
+ERO = """SELECT page, y::INT AS y, x::INT AS x FROM (SELECT page, y - dy AS y, x - dx AS x, count(*) AS n FROM {m}, k GROUP BY 1, 2, 3) WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7
+  AND n = (SELECT count(*) FROM k WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7)"""
+SIZE = (8, 8)
+
+
+@query(f"WITH {PX}, {MASK}, {KERNEL} {DIL.format(m='mask')}")
+def dilate(spark, sf):
+    return raster.dilated(mask(spark, sf), raster.box_kernel(3), SIZE)
+
+
+@query(f"WITH {PX}, {MASK}, {KERNEL} {ERO.format(m='mask')}")
+def erode(spark, sf):
+    return raster.eroded(mask(spark, sf), raster.box_kernel(3), SIZE)
+
+
+@query(f"WITH {PX}, {MASK}, {KERNEL}, e AS ({ERO.format(m='mask')}) {DIL.format(m='e')}")
+def open_mask(spark, sf):
+    return raster.opened(mask(spark, sf), raster.box_kernel(3), SIZE)
+
+
+@query(f"WITH {PX}, {MASK}, {KERNEL}, e AS ({DIL.format(m='mask')}) {ERO.format(m='e')}")
+def close_mask(spark, sf):
+    return raster.closed(mask(spark, sf), raster.box_kernel(3), SIZE)
+
+
+@query(f"""WITH {PX}, a AS (SELECT page, y, x FROM px WHERE v > 0), b AS (SELECT page, y, x FROM px WHERE x + y > 5)
+SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'common', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'difference', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def mask_ops(spark, sf):
+    p = px(spark, sf)
+    a, b = p.where("v > 0"), p.where("x + y > 5")
+    count = lambda name, df: df.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
+    return count("union", raster.union(a, b)).union(count("common", raster.common(a, b))).union(count("difference", raster.difference(a, b)))
+
+
+@query(f"""WITH {PX}, {KERNEL}, t AS (SELECT page, y + dy AS y, x + dx AS x, max(v) AS top FROM px, k GROUP BY 1, 2, 3) SELECT px.page, px.y, px.x, round(v, 4) AS v FROM px JOIN t USING (page, y, x) WHERE v >= 0.1 AND v >= top""")
+def local_max(spark, sf):
+    return rounded(raster.local_maxima(px(spark, sf), 0.1))
+
+
+@query(f"""WITH RECURSIVE {PX}, m AS (SELECT page, y, x, page * 64 + y * 8 + x AS node FROM px WHERE v > 0.12), e AS (SELECT a.node AS a, b.node AS b FROM m a JOIN m b ON a.page = b.page AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+r(a, b) AS (SELECT node, node FROM m UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
+SELECT page, component, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM m JOIN c USING (node) GROUP BY page, component""")
+def pixel_components(spark, sf):
+    node = lambda y, x: (F.col("page") * 64 + F.col(y) * 8 + F.col(x)).cast("long")
+    m = px(spark, sf).where("v > 0.12").select("page", "y", "x", node("y", "x").alias("node"))
+    labels = graph.connected_components(m.select("node"), graph.pixel_graph(m).select(node("ay", "ax").alias("a"), node("by", "bx").alias("b")))
+    return raster.component_stats(m.join(labels, "node")).select("page", "component", "area", "x", "y", "w", "h")
+
+
+@query(f"WITH {PX}, {MASK}, g AS (SELECT page, y, x, x - row_number() OVER (PARTITION BY page, y ORDER BY x) AS k FROM mask) SELECT page, y, min(x) AS first, max(x) AS last, count(*) AS n FROM g GROUP BY page, y, k")
+def row_runs(spark, sf):
+    return curves.row_runs(mask(spark, sf), ["page", "y"])
+
+
+@query(f"WITH {DR}, s AS (SELECT * FROM dr WHERE drawing_id % 9 = 0), r AS (SELECT drawing_id, page, unnest(range(x0::INT, trunc(x1)::INT + 1))::INT AS x, trunc(y0)::INT AS a, trunc(y1)::INT AS b FROM s), p AS (SELECT drawing_id, page, x, unnest(range(a, b + 1))::INT AS y FROM r) SELECT page, y, x, min(drawing_id) AS first_id FROM p GROUP BY page, y, x")
+def seq_min_raster(spark, sf):
+    return raster.first_drawn(dr(spark, sf).where("drawing_id % 9 = 0"))
+
+
+RAYS = "ray AS (SELECT vec_id AS ray_id, vec_id AS page, 3.0::DOUBLE AS x, 3.0::DOUBLE AS y, CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.0 END::DOUBLE AS dx, CASE vec_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.8 ELSE 1.0 END::DOUBLE AS dy FROM embeddings)"
+
+
+@query(f"""WITH {PX}, m AS (SELECT page, y, x FROM px WHERE v > -0.1), {RAYS}, d AS (SELECT ray_id, page, k * 0.5::DOUBLE AS t, round_even(y + dy * (k * 0.5::DOUBLE), 0)::INT AS y, round_even(x + dx * (k * 0.5::DOUBLE), 0)::INT AS x FROM (SELECT *, unnest(range(0, 25)) AS k FROM ray)),
+o AS (SELECT d.ray_id, min(t) FILTER (WHERE m.page IS NULL) AS f, max(t) AS reach FROM d LEFT JOIN m USING (page, y, x) GROUP BY d.ray_id)
+SELECT ray_id, CASE WHEN coalesce(f, -1) <> 0 THEN coalesce(f - 0.5, reach) END AS last_inside, CASE WHEN coalesce(f, -1) <> 0 THEN f END AS first_outside FROM o""")
+def ray_march(spark, sf):
+    r = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ray_id"), F.col("vec_id").alias("page"), F.lit(3.0).alias("x"), F.lit(3.0).alias("y"))
+    m = F.col("ray_id") % 3
+    r = r.withColumn("dx", F.when(m == 0, 1.0).when(m == 1, 0.6).otherwise(0.0)).withColumn("dy", F.when(m == 0, 0.0).when(m == 1, 0.8).otherwise(1.0))
+    return raster.marched(r, px(spark, sf).where("v > -0.1"), 0.5, 12.0)
+
+
+@query(f"""WITH {PX}, {MASK}, e AS (SELECT a.page, CASE WHEN a.y <> b.y AND a.x <> b.x THEN sqrt(2.0::DOUBLE) ELSE 1 END AS c FROM mask a JOIN mask b ON a.page = b.page AND (b.y, b.x) IN ((a.y, a.x + 1), (a.y + 1, a.x - 1), (a.y + 1, a.x), (a.y + 1, a.x + 1)))
+SELECT page, round(sum(c), 4) AS length FROM e GROUP BY page""")
+def skeleton_length(spark, sf):
+    return rounded(graph.skeleton_length(mask(spark, sf)))
+
+
+@query(None)
+def distance_transform(spark, sf):
+    return rounded(raster.distance_transform(mask(spark, sf).withColumn("page", F.col("page").cast("int"))))
+
+
+@query(None)
+def skeleton(spark, sf):
+    return raster.skeleton(mask(spark, sf).withColumn("page", F.col("page").cast("int")))
+
+
+@query(None)
+def polygon_fill(spark, sf):
+    p = pt(spark, sf).where("path_id % 10 = 0 and i < 5")
+    return raster.filled_polygons(p.select((F.col("path_id") % 7).cast("int").alias("page"), F.col("path_id").alias("polygon_id"), "i", "x", "y"))
+
+
+# -- graphs -----------------------------------------------------------------------------
+
+
+@query(f"""WITH {EDGE}, n AS (SELECT a AS node FROM ed UNION SELECT b FROM ed), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM ed UNION ALL SELECT b FROM ed) GROUP BY node) SELECT node, degree FROM n JOIN d USING (node)""")
+def node_degrees(spark, sf):
+    e = edges(spark, sf)
+    return graph.degrees(e.select(F.col("a").alias("node")).union(e.select("b")), e)
+
+
+@query(None)
+def edge_components(spark, sf):
+    e = edges(spark, sf)
+    return graph.connected_components(e.select(F.col("a").alias("node")).union(e.select("b")), e)
+
+
+def page_edges(spark, sf):
+    m = px(spark, sf).where("v > 0.02").select(F.col("page").cast("int").alias("page"), "y", "x")
+    node = lambda y, x: (F.col(y) * 8 + F.col(x)).cast("long")
+    return graph.pixel_graph(m).select("page", node("ay", "ax").alias("a"), node("by", "bx").alias("b"), "cost")
+
+
+@query(None)
+def greedy_seeds(spark, sf):
+    return graph.greedy_seeds(mask(spark, sf).withColumn("page", F.col("page").cast("int")), 2)
+
+
+@query(None)
+def degree2_path(spark, sf):
+    return graph.path_edges(page_edges(spark, sf))
+
+
+@query(None)
+def shortest_path(spark, sf):
+    e = page_edges(spark, sf)
+    starts = e.groupBy("page").agg(F.min(F.least("a", "b")).alias("node"))
+    return rounded(graph.shortest_distances(e, starts))
+
+
+@query(None)
+def main_path(spark, sf):
+    return rounded(graph.main_path(page_edges(spark, sf)))
+
+
+@query(None)
+def forward_progress(spark, sf):
+    return rounded(graph.forward_progress(curves.tangents(pt(spark, sf))))
+
+
+@query(None)
+def offset_fit(spark, sf):
+    p = pt(spark, sf).withColumn("offset", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    return graph.offset_fit(p.withColumn("cost", F.abs(F.col("x") / 10 - F.col("offset"))), 0.5)
+
+
+@query(None)
+def refine_centerline(spark, sf):
+    f = px(spark, sf).withColumn("page", F.col("page").cast("int"))
+    nodes = f.where("x = y").select("page", F.col("x").cast("long").alias("node"), "x", "y")
+    links = nodes.select("page", F.col("node").alias("a"), (F.col("node") + 1).alias("b")).where("b < 8")
+    return rounded(graph.refined_centres(nodes, links, f, 1, 10.0, 0.5, 3))
+
+
+@query(None)
+def scale_search(spark, sf):
+    p = pt(spark, sf)
+    scale, error = graph.scale_search(p, p.select((F.col("x") * 1.3).alias("x"), (F.col("y") * 1.3).alias("y")), [0.5 + 0.1 * k for k in range(16)])
+    return spark.createDataFrame([(round(scale, 4), round(error, 4))], "scale double, error double")
+
+
+# -- quantities and audit ---------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT 1515.22 * 1.003 AS area) SELECT quantity, unit, round(v::DOUBLE, 4) AS value FROM (SELECT 'joal_3d_area' AS quantity, 'm2' AS unit, area AS v FROM a UNION ALL SELECT 'concrete_volume', 'm3', area * 0.15 * 1.05 FROM a
+UNION ALL SELECT 'gap65_area', 'm2', area::DOUBLE * 6.0 / 5.5 FROM a UNION ALL SELECT 'gap65_volume', 'm3', area::DOUBLE * 6.0 / 5.5 * 0.15 * 1.05 FROM a UNION ALL SELECT 'flush_nib_length', 'm', 268.4 * 1.003 UNION ALL SELECT 'subsoil_drain_length', 'm', 231.5 * 1.003
+UNION ALL SELECT 'footpath_volume', 'm3', 850.5 * 1.003 * 0.15 * 1.05)""")
+def quantity_takeoff(spark, sf):
+    facts = quantities.DESIGN_FACTS
+    return quantities.quantities(spark.createDataFrame([tuple(facts.values())], list(facts)))
+
+
+@query("""WITH f AS (SELECT CASE p_size % 3 WHEN 0 THEN 'concrete' WHEN 1 THEN 'gap65' ELSE 'footpath' END AS feature_type, p_retailprice AS area, p_size::DOUBLE AS length FROM part)
+SELECT feature_type, round(sum(area * 1.003::DOUBLE), 4) AS area_3d, round(sum(area * 1.003::DOUBLE * 0.15::DOUBLE * 1.05::DOUBLE), 4) AS volume, round(sum(length * 1.003::DOUBLE), 4) AS length_3d FROM f GROUP BY feature_type""")
+def quantity_roll_up(spark, sf):
+    k = F.col("p_size") % 3
+    return quantities.roll_up(table(spark, sf, "part").select(F.when(k == 0, "concrete").when(k == 1, "gap65").otherwise("footpath").alias("feature_type"), F.col("p_retailprice").alias("area"), F.col("p_size").cast("double").alias("length")))
+
+
+@query("""WITH au AS (SELECT event_id % 7 + 1 AS step_id, ts, event_id, event_type AS decision, value, try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+SELECT step_id, event_id, decision, k FROM au QUALIFY row_number() OVER (PARTITION BY step_id ORDER BY ts DESC, event_id DESC) = 1""")
+def audit_upsert(spark, sf):
+    e = table(spark, sf, "events").select((F.col("event_id") % 7 + 1).alias("step_id"), "ts", "event_id", F.col("event_type").alias("decision"), F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+    return quantities.latest_audit(e, ["ts", "event_id"]).select("step_id", "event_id", "decision", "k")
+
+
+@query("""WITH au AS (SELECT user_id, event_id, event_id % 7 + 1 AS step_id FROM events) SELECT user_id, event_id, coalesce(step_id - lag(step_id) OVER (PARTITION BY user_id ORDER BY event_id) = 1, true) AS in_order FROM au""")
+def step_sequence_check(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 7 + 1).alias("step_id"))
+    return quantities.step_jumps(e, "user_id", ["event_id"]).select("user_id", "event_id", "in_order")
+
+
+@query("""SELECT conv_id, turn, role AS agent, CASE role WHEN 'user' THEN 'prompt' WHEN 'assistant' THEN 'response' ELSE 'tool' END AS task, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS result FROM conversations""")
+def agent_log_flatten(spark, sf):
+    return quantities.log_rows(table(spark, sf, "conversations"))
+
+
+@query("""SELECT page_id, CASE WHEN lower(url) LIKE '%sec%' THEN 'Section' WHEN lower(url) LIKE '%longitudinal%' OR lower(url) LIKE '%profile%' THEN 'Longitudinal' ELSE 'Plan' END AS kind FROM pages""")
+def doc_type(spark, sf):
+    return table(spark, sf, "pages").select("page_id", G.document_type(F.col("url")).alias("kind"))
+
+
+@query(f"""WITH {PT} SELECT path_id, count(*) AS points, CASE WHEN count(*) < 3 THEN 'FAILED: fewer than three points' WHEN max(x) - min(x) < 80 OR max(y) - min(y) < 80 THEN 'FAILED: too small' ELSE 'PASS' END AS verdict FROM pt GROUP BY path_id""")
+def polygon_validate(spark, sf):
+    return quantities.polygon_verdict(pt(spark, sf), "path_id", 80.0)
+
+
+@query(f"WITH {PT} SELECT path_id, i, round(x / 200 * 1000, 6) AS nx, round(y / 97 * 1000, 6) AS ny FROM pt")
+def normalize_coords(spark, sf):
+    p = quantities.normalised(pt(spark, sf), 200.0, 97.0)
+    return p.select("path_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") / 200 * 1000, 6).alias("nx"), F.round(F.col("y") / 97 * 1000, 6).alias("ny"))
