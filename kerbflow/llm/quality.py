@@ -3,7 +3,8 @@
 ``P(grade <= j) = sigmoid(threshold_j - w . x)`` with one weight vector shared by all grades
 and ordered thresholds.  ``x`` holds a text's features, hashed into ``BUCKETS`` and divided
 by their number: each word, its beginning and end, and its shape (letters, capitals, digits,
-runs shortened, other characters as they are), alone and by pairs of neighbours.  The
+runs shortened, other characters as they are), shapes also by pairs of neighbours, and
+how many words back it stood before, if at most ``LAGS``.  The
 expected grade and the tail probability of a grade select documents.
 
 The model is fitted on a bounded sample of the rated rows (``SAMPLE``, by hash of the id);
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from kerbflow.llm import _text
 
 BUCKETS = 1 << 15
+#: Features of a word, and the words back in which it is looked for.
+FEATURES, LAGS = 6, 8
 #: Rated rows that the fit takes at most.
 SAMPLE = 6000
 STEPS = 300
@@ -54,7 +57,7 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     listed = list(kinds)
     table: dict[int, int] = {}
     n = len(codes)
-    out = np.empty((n, 5), np.int64)
+    out = np.empty((n, FEATURES), np.int64)
     out[:, :4] = own[codes]
     if n:
         s = shape_of[codes]
@@ -66,7 +69,12 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for p in distinct:
             table[p] = _bucket("p", "" if p < 0 else f"{listed[p // len(listed)]} {listed[p % len(listed)]}")
         out[:, 4] = np.array([table[p] for p in distinct], np.int64)[back]
-    return out.ravel(), off * 5
+        again = np.zeros(n, np.int64)
+        inside = np.arange(n) - np.repeat(off[:-1], np.diff(off))
+        for lag in range(LAGS, 0, -1):
+            again[lag:][(codes[lag:] == codes[:-lag]) & (inside[lag:] >= lag)] = lag
+        out[:, 5] = np.array([_bucket("r", str(k)) for k in range(LAGS + 1)], np.int64)[again]
+    return out.ravel(), off * FEATURES
 
 
 @dataclass

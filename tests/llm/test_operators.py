@@ -1,0 +1,393 @@
+"""Each operator against a plain version on small tables, with nulls, empties, ties and repeats."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from kerbflow.llm import decontaminate, html_text, licences, line_dedup, mixing, ngram_join, quality, token_files, topk, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+def docs_of(spark, texts, source=None):
+    rows = [(k, t, "en", (source or (lambda i: f"s{i % 3}"))(k), len(t or "")) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+# -- n-gram join ------------------------------------------------------------------------
+
+
+def plain_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    top = {i: i for i in sets}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((root(a), root(b)))
+                top[q] = p
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def near_copies():
+    texts, base, passage = [], words(120, 1), words(40, 9)
+    for k in range(12):  # a chain in which the ends do not link
+        w = list(base)
+        w[: 3 * k] = [f"x{j}" for j in range(3 * k)]
+        texts.append(" ".join(w))
+    for k in range(40):  # one passage in many texts
+        w = words(90, 100 + k)
+        texts.append(" ".join(w[:30] + passage + w[30:]))
+    for k in range(40):  # a group around one text, each changed a little
+        w = list(words(100, 7))
+        for j in range(k % 5):
+            w[(17 * k + 23 * j) % 100] = f"y{k}.{j}"
+        texts.append(" ".join(w).upper() if k % 7 == 0 else "\n".join(w))
+    return [*texts, None, "", "  \t ", "one two", "one  two", "One two three four five", "lang " * 3000, "lang " * 2000, texts[0], texts[5]]
+
+
+def test_ngram_components(spark):
+    texts = near_copies()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs_of(spark, texts)).collect()}
+    assert got == plain_components(list(enumerate(texts)))
+
+
+def test_ngram_components_edges(spark):
+    empty = docs_of(spark, ["a"]).where("doc_id < 0")
+    assert ngram_join.ngram_components(empty).count() == 0
+    rows = [(None, "a b c d e f", 1), (4, "a b c d e f", 2), (4, "a b c d e f", 3), (None, None, 4)]
+    out = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string, sid int")).collect()
+    assert sorted((r.doc_id is None, r.n_shingles, r.component_id) for r in out if r.n_shingles) == [(False, 2, 4), (False, 2, 4), (True, 2, 4)]
+
+
+def test_count_tree_bound():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(150)]
+    sets += [np.unique(np.concatenate([s[: len(s) - 12], r.integers(0, 2**63, 12).astype(np.uint64)])) for s in sets[:50]]
+    vectors = np.stack([ngram_join.count_vector(s, 128) for s in sets])
+    tree = ngram_join.CountTree(vectors, np.array([len(s) for s in sets]), leaf=8)
+    for k, s in enumerate(sets):
+        found = set(tree.search(vectors[k], len(s)))
+        for j, t in enumerate(sets):
+            common = len(np.intersect1d(s, t))
+            if 100 * common >= 80 * (len(s) + len(t) - common):
+                assert j in found
+
+
+def test_shared_cells_across_batches():
+    cell = np.array([1, 1, 1, 2, 3, 3, 3, 3, 4, 5, 5])
+    sid = np.array([7, 7, 9, 1, 2, 2, 2, 2, 3, 4, 6])
+    want = [(1, 7, 7), (1, 9, 7), (5, 4, 4), (5, 6, 4)]
+    for size in range(1, 12):
+        parts = [pa.RecordBatch.from_arrays([pa.array(cell[a : a + size]), pa.array(sid[a : a + size]), pa.array(sid[a : a + size].astype(np.int32))], ["cell", "sid", "n"]) for a in range(0, 11, size)]
+        got = [tuple(r[c] for c in ("cell", "sid", "pivot")) for b in ngram_join._shared_cells(parts) for r in b.to_pylist()]
+        assert got == want, size
+
+
+# -- mixing -----------------------------------------------------------------------------
+
+
+def test_mixing(spark):
+    texts = [" ".join(words(n, n)) for n in (5, 50, 500, 40, 30, 20, 300, 7, 80, 10)] + [None, "", " a "]
+    source = lambda k: ["b", "a", None, "c"][k % 4]
+    rows = mixing.mix(docs_of(spark, texts, source)).collect()
+    size = [len(WORD.findall(t or "")) for t in texts]
+    by = defaultdict(int)
+    for k, n in enumerate(size):
+        by[source(k)] += n
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(size)
+    while True:  # deal, clamp, deal again
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 2 * by[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * by[s]
+            left -= target[s]
+            free.discard(s)
+    target |= {s: level * weight[s] for s in free}
+    taken = defaultdict(int)
+    for r in rows:
+        assert r.size == size[r.doc_id] and r.source_size == by[source(r.doc_id)]
+        assert r.target == pytest.approx(target[source(r.doc_id)]) and 0 <= r.taken <= 2 * r.size
+        taken[source(r.doc_id)] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in by)
+    again = {r.doc_id: r.taken for r in mixing.mix(docs_of(spark, texts, source).repartition(3)).collect()}
+    assert again == {r.doc_id: r.taken for r in rows}
+    mixed = mixing.mixed_documents(docs_of(spark, texts, source))
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    out = defaultdict(int)
+    for r in mixed.collect():
+        out[r.doc_id] += len(WORD.findall(r.text))
+    assert out == {r.doc_id: r.taken for r in rows if r.taken}
+
+
+def test_mixing_edges(spark):
+    assert mixing.mix(docs_of(spark, ["a"]).where("doc_id < 0")).count() == 0
+    assert [r.taken for r in mixing.mix(docs_of(spark, [None, ""])).collect()] == [0, 0]
+    same = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (None, "a b c", "s")], "doc_id long, text string, source string")
+    assert sum(r.taken for r in mixing.mix(same).collect()) == 14  # 13.5 rounded
+
+
+# -- licences ---------------------------------------------------------------------------
+
+
+def test_licences(spark):
+    grant = licences.NOTICES[3][1]
+    changed = grant.replace("charge", "cost").replace("software and", "program and")
+    texts = [" ".join(words(50, 1)) + "\n" + licences.NOTICES[0][1] + "\n" + " ".join(words(20, 2)), "Released under the MIT License.", changed, " ".join(words(300, 3)), None, "", "the mit", f"{grant} x {grant}"]
+    rows = licences.scan_licences(docs_of(spark, texts)).collect()
+    got = defaultdict(set)
+    for r in rows:
+        got[r.doc_id].add(r.license)
+    assert got[0] >= {"Apache-2.0"} and got[1] == {"MIT"} and got[2] == {"MIT-grant"}
+    assert not {3, 4, 5, 6} & set(got)
+    assert sum(r.doc_id == 7 and r.license == "MIT-grant" for r in rows) == 2
+    assert licences.scan_licences(docs_of(spark, ["a"]).where("doc_id < 0")).count() == 0
+    assert licences.collision_probability(0.5) > 0.98 and licences.collision_probability(1) == 1
+    with pytest.raises(ValueError):
+        licences.TemplateIndex([("short", "too short")])
+
+
+# -- top k ------------------------------------------------------------------------------
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(1)
+    v = r.normal(0, 0.1, (400, 16)).astype(np.float32)
+    v[7] = v[8]
+    rows = [(int(k), [float(x) for x in v[k]]) for k in range(400)] + [(400, None), (450, [float("nan")] * 16), (500, [None] * 16), (None, [0.1] * 16), (350, [float(x) for x in v[350]])]
+    df = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert df.count() == 401
+    got = defaultdict(list)
+    for x in topk.exact_top_k(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    whole = np.floor(256 * v.astype(float)).astype(np.int64)
+    for q in range(0, 400, 50):
+        score = whole @ whole[q]
+        want = sorted(((-int(score[k]), k) for k in range(400) if k != q))[:5]
+        assert got[q] == [(k, -s) for s, k in want]
+    assert set(got) == set(range(0, 400, 50))
+
+
+def test_top_k_stops_early():
+    r = np.random.default_rng(2)
+    v = r.integers(0, 3, (5000, 4))
+    v[17] = 50
+    lists = topk.SortedLists(np.arange(5000), v)
+    ids, score = lists.top(-1, np.array([1, 2, 0, -1]), 3)
+    every = v @ np.array([1, 2, 0, -1])
+    best = np.lexsort((np.arange(5000), -every))[:3]
+    assert ids.tolist() == best.tolist() and score.tolist() == every[best].tolist()
+    assert topk.SortedLists(np.arange(3), np.zeros((3, 4), int)).top(1, np.zeros(4, int), 5)[0].tolist() == [0, 2]
+
+
+def test_top_k_empty(spark):
+    df = spark.createDataFrame([], "vec_id long, parts array<int>")
+    assert topk.exact_top_k(df, df).count() == 0
+
+
+# -- token files ------------------------------------------------------------------------
+
+
+def test_rank_coding():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 3, 4, 1001):
+        ranks = (2 ** r.uniform(0, 32, n)).astype(np.uint64).clip(0, 2**32 - 1).astype(np.uint32)
+        control, data = token_files.encode_ranks(ranks)
+        back = token_files.decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n)
+        assert (back == ranks).all()
+    raw = token_files.shard_bytes(np.array([3, 9]), np.array([2, 1]), np.array([0, 1, 0]), np.array([500, 70000]))
+    ids, lengths, tokens = token_files.read_shard(raw)
+    assert ids.tolist() == [3, 9] and lengths.tolist() == [2, 1] and tokens.tolist() == [500, 70000, 500]
+
+
+def test_token_digest(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["Hello, world.  It's  3.14 km..", None, "", "a  b 　c  d", "x<|endoftext|> y", "tab\t\ttab\n\n new \r\n", "été déjà-vu… 12,5%!! don't", "\x1c odd\x85 space", " lead", "trail  ", "日本語 テキスト 🙂🙂", " ".join(words(4000, 5)), "a.b,c .d ,e A.,", "1.5.6,7"]
+    docs = docs_of(spark, texts).repartition(3)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_digest(docs, path).collect())
+    want, start = [], 0
+    for k, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((k, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+    assert token_files.token_digest(docs.where("doc_id < 0"), path).count() == 0
+    rows = spark.createDataFrame([(None, "a"), (5, "b"), (5, "b")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.start) for r in token_files.token_digest(rows, path).collect()) == [(-1, 0), (5, 2), (5, 4)]
+
+
+# -- toxicity ---------------------------------------------------------------------------
+
+
+def plain_segments(scores, drift):
+    """Maximal segments by repeated best sub-sequence, on each side again."""
+    s = [x if x > 0 else drift for x in scores]
+
+    def best(a, b):
+        top = None
+        for i in range(a, b):
+            total = 0.0
+            for j in range(i, b):
+                total += s[j]
+                if total > 0 and (top is None or total > top[0] + 1e-12):
+                    top = (total, i, j + 1)
+        if top is None:
+            return []
+        return best(a, top[1]) + [(top[1], top[2], top[0])] + best(top[2], b)
+
+    return best(0, len(s))
+
+
+def test_segments():
+    r = random.Random(4)
+    for _ in range(60):
+        x = [r.choice([0, 0, 0, 1.3, 2.1, 0.7]) for _ in range(25)]
+        got = toxicity.segments(np.array(x), -0.9)
+        want = plain_segments(x, -0.9)
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_toxicity(spark):
+    r = random.Random(1)
+    rows = []
+    for k in range(600):
+        w, toxic = words(60, k), int(k % 4 == 0)
+        if toxic:
+            for j in range(4):
+                w[20 + j * 3] = r.choice(["vile", "nasty", "foul"])
+        rows.append((k, " ".join(w), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(df.where("doc_id < 400"))
+    out = {x.doc_id: x for x in toxicity.toxic_passages(df.select("doc_id", "text"), model).collect()}
+    held = [(out[k].score >= 0.5, bool(t)) for k, _, t in rows if k >= 400]
+    assert sum(a == b for a, b in held) / len(held) > 0.97
+    assert all(19 <= p["start"] and p["end"] <= 31 for k, _, t in rows if t for p in out[k].passages)
+    edge = spark.createDataFrame([(1, None, 2), (None, "", 3)], "doc_id long, text string, score int")
+    assert all(0 <= x.score < 0.5 and x.passages == [] for x in toxicity.toxic_passages(edge, model).collect())
+    none = toxicity.fit_toxicity(df.where("toxic = 0"))
+    assert all(x.score < 0.5 for x in toxicity.toxic_passages(df, none).collect())
+    assert toxicity.toxic_passages(df.where("doc_id < 0"), model).count() == 0
+
+
+# -- quality ----------------------------------------------------------------------------
+
+
+def test_ordinal_grades(spark):
+    r = random.Random(2)
+    rows = []
+    for k in range(900):
+        grade = k % 4
+        w = [x.upper() + "!!" if r.random() < (3 - grade) / 3.5 else x for x in words(40, k)]
+        rows.append((k, " ".join(w), grade))
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = quality.fit_quality(df.where("doc_id < 600").select("doc_id", "text"), df.select("doc_id", "grade").where("doc_id < 600"))
+    assert (np.diff(model.thresholds) > 0).all() and len(model.thresholds) == 3
+    out = {x.doc_id: x for x in quality.score_quality(df, model, 2).collect()}
+    mean = [np.mean([out[k].expected_grade for k in range(600, 900) if k % 4 == g]) for g in range(4)]
+    assert mean == sorted(mean) and mean[3] - mean[0] > 2
+    assert np.mean([(out[k].tail >= 0.5) == (k % 4 >= 2) for k in range(600, 900)]) > 0.9
+    edge = spark.createDataFrame([(1, None, 9.0), (None, "", 9.0)], "doc_id long, text string, tail double")
+    got = quality.score_quality(edge, model).collect()
+    assert len(got) == 2 and all(0 <= x.tail <= 1 for x in got)
+    assert quality.score_quality(edge.where("doc_id < 0"), model).count() == 0
+    one = quality.fit_quality(edge, spark.createDataFrame([(1, 0)], "doc_id long, grade int"))
+    assert quality.score_quality(edge, one, 0).first().tail == 1
+
+
+# -- line dedup -------------------------------------------------------------------------
+
+
+def test_patience():
+    assert line_dedup.patience("abcde", "abxde") == [(0, 0), (1, 1), (3, 3), (4, 4)]
+    assert line_dedup.patience("", "abc") == [] and line_dedup.patience("aaa", "aa") == [(0, 0), (1, 1)]
+    r = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(r.choice("abcdefgh") for _ in range(r.randrange(12))) for _ in range(2))
+        got = line_dedup.patience(a, b)
+        assert all(a[i] == b[j] for i, j in got) and got == sorted(set(got))
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
+def test_line_dedup(spark):
+    long = [" ".join(words(20, k)) for k in range(30)]
+    texts = ["\n".join(long[:6]), "\n".join([long[10], *long[2:5], "As.", long[11]]), "\n".join([long[12], "As.", long[13]]), "\n".join(long[:6]), None, "", long[3] + " \n" + long[20]]
+    got = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs_of(spark, texts).withColumn("hash", F.lit(1))).collect()}
+    assert got[0].removed == [] and got[0].text == texts[0]
+    assert got[1].removed == [1, 2, 3] and got[1].text == "\n".join([long[10], "As.", long[11]])
+    assert got[2].removed == [] and got[3].removed == [0, 1, 2, 3, 4, 5] and got[3].text == ""
+    assert got[4].text is None and got[5].text == "" and got[6].removed == [0]
+    assert got[1].hash == 1 and set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "hash", "n_lines", "removed"}
+    assert line_dedup.without_repeated_lines(docs_of(spark, ["a"]).where("doc_id < 0")).count() == 0
+
+
+# -- decontamination --------------------------------------------------------------------
+
+
+def test_decontamination(spark):
+    question = "A train leaves the old station with 120 km to go and arrives after 3 hours while Maria waits near the gate with 120 apples"
+    other = question.replace("120", "250").replace("3 hours", "5 hours").replace("Maria", "Jonas")
+    broken = question.replace("120", "250", 1).replace("Maria", "Jonas")
+    plain = " ".join(words(40, 3))
+    fill = " ".join(words(30, 4)) + ". "
+    texts = [fill + question + " " + fill, fill + other + ". " + fill, fill + broken + ". " + fill, fill * 3, None, "", fill + plain.upper() + "\n" + fill, "120 km"]
+    bench = spark.createDataFrame([(1, question, 0), (2, plain, 0), (2, plain, 0), (3, None, 0), (4, "too short", 0)], "item_id long, text string, doc_id int")
+    docs = docs_of(spark, [*texts, texts[0]])
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert found == {(0, 1), (1, 1), (6, 2), (8, 1)}
+    left = decontaminate.clean_documents(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 4, 5, 7]
+    assert decontaminate.leaks(docs.where("doc_id < 0"), bench).count() == 0
+    assert decontaminate.clean_documents(docs, bench.where("item_id < 0")).count() == 9
+    nameless = spark.createDataFrame([(None, texts[0]), (None, texts[3])], "doc_id long, text string")
+    assert [r.text for r in decontaminate.clean_documents(nameless, bench).collect()] == [texts[3]]
+
+
+# -- html -------------------------------------------------------------------------------
+
+
+def page(body, note=""):
+    return f"<html><head><title>t</title><script>var a='<p>x</p>';</script></head><body><nav><a href='/'>home</a></nav>{note}{body}<footer>foot</footer></body></html>"
+
+
+def test_main_text(spark):
+    article = "<article class='post-12'><h1>Title &amp; more</h1><p>First   line<br>goes\non &lt;here&gt;.<p><b>Second<p>Third&nbsp;one</p><div class='ad'>Buy</div><aside>side</aside><form><p>mail</p></form><!-- <p>no</p> --></article>"
+    want = "Title & more\n\nFirst line goes on <here>.\n\nSecond\n\nThird one"
+    rows = [(k, f"http://a.example/{k}", page(article)) for k in range(5)]
+    rows.append((5, "http://A.example:80/x", page("<div id='cookie-notice'><p>" + "We use cookies a lot. " * 90 + "</p></div><article class='post-13'><p>Short.</p></article>")))
+    rows.append((6, "http://b.example/1", page("<div class='main'><p>Body text that is long enough.</p><p>And more of it.</p></div><div class='comments'><p>" + "I think so too. " * 50 + "</p></div>")))
+    rows += [(7, None, None), (8, "http://a.example/8", ""), (9, "", "just text"), (0, rows[0][1], rows[0][2])]
+    out = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r for r in out}
+    assert len(out) == 11 and all(got[k].text == want and got[k].n_chars == len(want) for k in range(5))
+    assert got[5].text == "Short." and got[6].text == "Body text that is long enough.\n\nAnd more of it."
+    assert got[7].text == "" and got[8].text == "" and got[9].text == "just text" and got[7].url is None
+    assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

@@ -1,0 +1,138 @@
+"""The registered queries against SQL, plain versions, and each stage of the pipeline."""
+
+import os
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKEN = re.compile(r"[^\W_]+")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SF}/{f}'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["op1_source_mixing", "op3_exact_top_k", "op7_ngram_jaccard_join"])
+def test_matches_sql(spark, duck, name):
+    from kerbflow.llm import queries
+
+    got = queries.QUERIES[name](spark, SF)
+    want = duck.sql(queries.ORACLE[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    pick = sorted(got.columns)
+    a = sorted(tuple(r[c] for c in pick) for r in got.collect())
+    b = sorted(tuple(r[want.columns.index(c)] for c in pick) for r in want.fetchall())
+    assert a == b
+
+
+def leaked(text, items):
+    w = TOKEN.findall(text.lower())
+    seen = {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+    return any(2 * len(seen & i) >= len(i) for i in items)
+
+
+def bench_windows(duck):
+    out = []
+    for (t,) in duck.sql("SELECT text FROM benchmark").fetchall():
+        w = TOKEN.findall(t.lower())
+        out.append({tuple(w[k : k + 8]) for k in range(len(w) - 7)})
+    return [i for i in out if i]
+
+
+def test_decontamination_query(spark, duck):
+    from kerbflow.llm import queries
+
+    items = bench_windows(duck)
+    want = {i for i, t in duck.sql("SELECT doc_id, text FROM documents").fetchall() if leaked(t, items)}
+    assert {r.doc_id for r in queries.op9_decontamination(spark, SF).collect()} == want and want
+
+
+def test_licence_query(spark, duck):
+    from kerbflow.llm import queries
+
+    want = {i for i, t in duck.sql("SELECT doc_id, text FROM documents").fetchall() if "MIT License." in t}
+    assert {r.doc_id for r in queries.op2_licence_scan(spark, SF).collect() if r.license == "MIT"} == want
+
+
+def test_scores_are_whole(spark, duck):
+    from kerbflow.llm import queries
+
+    ids = [i for (i,) in duck.sql("SELECT doc_id FROM documents ORDER BY 1").fetchall()]
+    tox = queries.op5_toxic_passages(spark, SF).orderBy("doc_id").collect()
+    assert [r.doc_id for r in tox] == ids and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in tox)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in tox)
+    assert sorted(r.doc_id for r in queries.op6_quality(spark, SF).collect()) == ids
+    assert sorted(r.doc_id for r in queries.op8_line_dedup(spark, SF).collect()) == ids
+    assert queries.op10_main_text(spark, SF).count() == duck.sql("SELECT count(*) FROM pages").fetchone()[0]
+
+
+def test_pipeline(spark, duck):
+    import corpus_pipeline
+    from kerbflow.llm._cluster import written
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = docs.columns, [docs.collect()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "test")
+        assert docs.columns == columns
+        kept.append(docs.collect())
+    start, good, unique, clean, mixed = kept
+    bad = dict(duck.sql("SELECT doc_id, quality FROM labels").fetchall())
+    assert sum(bad.get(r.doc_id, 1) for r in start) - sum(bad.get(r.doc_id, 1) for r in good) <= 0.05 * len(start)
+    assert {r.doc_id for r in good} <= {r.doc_id for r in start}
+
+    sets = {}
+    for r in good:
+        w = WORD.findall(r.text.translate({c: c + 32 for c in range(65, 91)}))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    top = {i: i for i in sets}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((root(a), root(b)))
+                top[q] = p
+    assert sorted(r.doc_id for r in unique) == sorted(i for i in ids if root(i) == i)
+    items = bench_windows(duck)
+    assert sorted(r.doc_id for r in clean) == sorted(r.doc_id for r in unique if not leaked(r.text, items))
+
+    size, by = {r.doc_id: len(WORD.findall(r.text)) for r in clean}, Counter()
+    for r in clean:
+        by[r.source] += size[r.doc_id]
+    out, each = Counter(), Counter()
+    for r in mixed:
+        n = len(WORD.findall(r.text))
+        out[r.source] += n
+        each[r.doc_id] += n
+    assert all(each[i] <= 2 * n for i, n in size.items())
+    assert abs(sum(out.values()) - 1.5 * sum(by.values())) <= len(by)
+
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    from kerbflow.llm.queries import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path())
+    want = Counter((r.doc_id, zlib.crc32(np.array([*t.encode(r.text, add_special_tokens=False).ids, 0], "<u4").tobytes())) for r in mixed)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert sorted(got, key=lambda r: r.start) == sorted(got, key=lambda r: (r.doc_id, r.start))
