@@ -13,7 +13,8 @@ to one class.  Two classes link when ``100 * |A n B| >= percent * |A u B|``.
    ``GROUPS`` groups; the group counts are points in an R-tree, packed by set size and then
    by the most spread coordinate.  A node's coordinatewise maxima bound the overlap of a
    query with all points below by the summed coordinate minima; what is left under the
-   points themselves is verified exactly.  Cells over ``BLOCK`` rows are split into pairs
+   points themselves is verified exactly; in the larger cells a first search takes the
+   best partners of each query only, so that few pairs are left for the second, which takes all.  Cells over ``BLOCK`` rows are split into pairs
    of blocks, one task each.
 
 No pair that links is lost: cells are complete, and the R-tree only drops pairs whose bound
@@ -31,18 +32,36 @@ from kerbflow.llm import _text
 from kerbflow.llm._cluster import SLICES, components, merged_sketch, partitions, sketch_rows, written
 
 WIDTH, PERCENT = 5, 80
-GROUPS = 128
-CELLS = 1 << 21
+#: Groups of small sets, and of the largest.
+GROUPS, MOST_GROUPS = 128, 8192
+CELL_BITS = 22
+CELLS = 1 << CELL_BITS
 BLOCK = 4096
 LEAF = 32
+#: Partners of each query in the first of the two searches.
+BEST = 3
 FILTER_BITS = 24
 
 
-def count_vector(values: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def groups_of(size: int) -> int:
+    """Groups for a set of that many shingles: about as many as shingles, a power of 4 times ``GROUPS``."""
+    groups = GROUPS
+    while groups < MOST_GROUPS and 4 * groups <= size:
+        groups *= 4
+    return groups
+
+
+def count_vector(values: np.ndarray, groups: int | None = None) -> np.ndarray:
     """How many of a set's shingles fall in each group."""
+    groups = groups or groups_of(len(values))
     return np.bincount((values >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
 
 
+def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    """Count vectors, one a row, with their groups joined into fewer."""
+    return vectors.reshape(len(vectors), -1, groups).sum(axis=1)
+
+
 class CountTree:
     """A packed R-tree over count vectors.
 
@@ -51,7 +70,10 @@ class CountTree:
     """
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, leaf: int = LEAF):
-        self.vectors, self.sizes, self.percent = vectors, sizes, percent
+        self.vectors, self.sizes, self.percent, self.leaf = vectors, sizes, percent, leaf
+        self.order = np.arange(len(sizes))
+        if len(sizes) <= leaf:
+            return  # one leaf, its own root
         order = np.argsort(sizes, kind="stable")
         slab = leaf * leaf
         packed = []
@@ -59,7 +81,7 @@ class CountTree:
             part = order[a : a + slab]
             axis = int(np.argmax(vectors[part].var(axis=0))) if len(part) > leaf else 0
             packed.append(part[np.argsort(vectors[part, axis], kind="stable")])
-        self.order = np.concatenate(packed) if packed else order
+        self.order = np.concatenate(packed)
         cuts = np.arange(0, len(order), leaf)
         self.leaves = [self.order[a : a + leaf] for a in cuts]
         self.leaf_top = np.array([vectors[x].max(axis=0) for x in self.leaves]).reshape(len(cuts), -1)
@@ -67,7 +89,6 @@ class CountTree:
         groups = np.arange(0, len(cuts), leaf)
         self.node_top = np.array([self.leaf_top[a : a + leaf].max(axis=0) for a in groups]).reshape(len(groups), -1)
         self.node_size = np.array([(self.leaf_size[a : a + leaf, 0].min(), self.leaf_size[a : a + leaf, 1].max()) for a in groups]).reshape(-1, 2)
-        self.leaf = leaf
 
     def _pass(self, vector, size, tops, low, high):
         """Whether the bound reaches the least overlap for partners of ``low`` to ``high``."""
@@ -77,8 +98,8 @@ class CountTree:
         return near & ((100 + p) * np.minimum(tops, vector).sum(axis=1) >= need)
 
     def search(self, vector: np.ndarray, size: int) -> np.ndarray:
-        if not len(self.order):
-            return np.zeros(0, np.int64)
+        if len(self.order) <= self.leaf:
+            return self.order[self._pass(vector, size, self.vectors, self.sizes, self.sizes)]
         nodes = np.flatnonzero(self._pass(vector, size, self.node_top, *self.node_size.T))
         if not len(nodes):
             return np.zeros(0, np.int64)
@@ -99,9 +120,9 @@ def _first_pass(width: int):
             for part in _text.slices(batch):
                 sets = _text.shingle_sets(part.column("text"), width)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                sketch += np.bincount((flat >> np.uint64(43)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                sketch += np.bincount((flat >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
                 none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-                vectors = [count_vector(s).astype("<u4").tobytes() for s in sets]
+                vectors = [_packed(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [_text.long_column(part, "doc_id"), pa.array([_text.set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(vectors, pa.binary()), *none],
                     ["doc_id", "sid", "n", "vector", "slice", "part"],
@@ -115,7 +136,8 @@ def _first_pass(width: int):
 
 def _order_levels(sketch: np.ndarray) -> np.ndarray:
     """For each sketch cell 0 if its count is ordinary, else the count's bit length."""
-    usual = 4 * sketch.mean() + 16
+    mean = sketch.mean()
+    usual = mean + 8 * np.sqrt(mean) + 16  # beyond what chance puts in one cell
     return np.where(sketch > usual, np.ceil(np.log2(sketch.astype(float) + 2)), 0).astype(np.uint8)
 
 
@@ -131,7 +153,7 @@ def _prefixes(width: int, percent: int, levels):
                         continue
                     seen.add(sid)
                     take = n - -(-percent * n // 100) + 1
-                    key = (level[(s >> np.uint64(43)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
+                    key = (level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
                     keys.append(np.partition(key, take - 1)[:take])
                     sids.append(np.full(take, sid, np.int64))
                     sizes.append(np.full(take, n, np.int64))
@@ -144,7 +166,7 @@ def _prefixes(width: int, percent: int, levels):
 def _shared_cells(batches):
     """Of rows sorted by (cell, sid): the distinct ones of cells with several, with the cell's first sid."""
     last: tuple | None = None  # the row that the next batch may continue
-    first: int | None = None  # the cell's first sid, once rows of the cell were returned
+    first: tuple | None = None  # the cell's first sid and its size, once rows of the cell were returned
     for batch in batches:
         cell, sid, n = (batch.column(k).to_numpy() for k in range(3))
         if not len(cell):
@@ -156,18 +178,18 @@ def _shared_cells(batches):
         cell, sid, n = cell[new], sid[new], n[new]
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         length = np.diff(np.r_[starts, len(cell)])
-        pivot = np.repeat(sid[starts], length)
+        pivot, pivot_n = np.repeat(sid[starts], length), np.repeat(n[starts], length)
         many = np.repeat(length > 1, length)
         if head and first is not None:
-            pivot[: length[0]] = first
+            pivot[: length[0]], pivot_n[: length[0]] = first
             many[: length[0]] = True
             many[0] = False  # already returned
         # the last row may gain company in the next batch
         alone = length[-1] == 1 and not (head and first is not None and len(starts) == 1)
-        first = None if alone else int(pivot[-1])
+        first = None if alone else (pivot[-1], pivot_n[-1])
         last = (cell[-1], sid[-1], n[-1])
         if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (cell, sid, n.astype(np.int32), pivot)], ["cell", "sid", "n", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (cell, sid, n.astype(np.int32), pivot, pivot_n.astype(np.int32))], ["cell", "sid", "n", "pivot", "pivot_n"])
 
 
 def _filter_cell(ids: np.ndarray) -> np.ndarray:
@@ -225,6 +247,32 @@ def _sets_of(width: int, wanted):
     return run
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """A count vector in bytes: the width of a count, then the counts."""
+    vector = count_vector(values)
+    width = 1 if vector.max() < 256 else 4
+    return bytes([width]) + vector.astype(f"<u{width}").tobytes()
+
+
+def _vector(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)[None]
+
+
+def _bounded(percent: int):
+    """Keeps pairs whose summed coordinate minima reach the overlap that their sizes need."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b, m, n in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "a_n", "b_n"))):
+                a, b = _vector(a), _vector(b)
+                groups = min(a.shape[1], b.shape[1])
+                keep.append((100 + percent) * int(np.minimum(folded(a, groups), folded(b, groups)).sum()) >= percent * (m + n))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link, by their exact sets."""
     spark = docs.sparkSession
@@ -240,24 +288,44 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return written(both.where(100 * common >= percent * union).select("a", "b").distinct(), "verified")
 
 
-def _tree_pairs(percent: int):
-    """Of rows sorted by (cell, i, j): pairs of different components that the R-tree keeps."""
+def _tree_pairs(percent: int, best: int | None):
+    """Of rows sorted by (cell, i, j): pairs of different components that the R-tree keeps.
+
+    With ``best`` only so many a query, those of the highest bounds.
+    """
 
     def group(side, sid, n, comp, vector, diagonal):
+        """``vector`` maps a number of groups to (the rows that have it, their vectors)."""
         found = []
-        tree_rows = np.arange(len(sid)) if diagonal else np.flatnonzero(side == 1)
-        ask = np.arange(len(sid)) if diagonal else np.flatnonzero(side == 0)
-        if not len(tree_rows) or not len(ask):
+        ask, held = (np.arange(len(sid)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(ask) or not len(held):
             return found
-        tree = CountTree(vector[tree_rows], n[tree_rows], percent)
-        sizes = dict(zip(*np.unique(comp[tree_rows], return_counts=True)))
-        for k in ask:
-            if sizes.get(comp[k], 0) == len(tree_rows):
-                continue
-            hits = tree_rows[tree.search(vector[k], n[k])]
-            hits = hits[(comp[hits] != comp[k]) & ((sid[hits] > sid[k]) if diagonal else True)]
-            if len(hits):
-                found.append(np.stack([np.full(len(hits), sid[k]), sid[hits]]))
+        # each pair of components is searched from the smaller one
+        _, of, size = np.unique(comp, return_inverse=True, return_counts=True)
+        place = np.argsort(np.argsort(size, kind="stable"), kind="stable")[of] if diagonal else np.where(side == 1, len(size), 0)
+        ask = ask[place[ask] < place[held].max()]
+        trees: dict = {}
+        for groups, (rows, own) in vector.items():
+            for wide, (points, tops) in vector.items():
+                points_in = np.isin(points, held)
+                asked = np.isin(rows, ask)
+                if not points_in.any() or not asked.any():
+                    continue
+                least = min(groups, wide)
+                key = wide, least
+                if key not in trees:
+                    trees[key] = points[points_in], CountTree(folded(tops[points_in], least), n[points[points_in]], percent)
+                base, tree = trees[key]
+                for k, v in zip(rows[asked], folded(own[asked], least)):
+                    at = tree.search(v, n[k])
+                    hits = base[at]
+                    fit = (comp[hits] != comp[k]) & (place[hits] > place[k])
+                    hits, at = hits[fit], at[fit]
+                    if best is not None and len(hits) > best:
+                        bound = np.minimum(tree.vectors[at], v).sum(axis=1) / (n[hits] + n[k])
+                        hits = hits[np.argsort(-bound, kind="stable")[:best]]
+                    if len(hits):
+                        found.append(np.stack([np.full(len(hits), sid[k]), sid[hits]]))
         return found
 
     def run(batches):
@@ -276,10 +344,15 @@ def _tree_pairs(percent: int):
 
     def emit(table, starts):
         side, sid, n, comp, i, j = (table.column(c).to_numpy() for c in ("side", "sid", "n", "comp", "i", "j"))
-        vector = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<u4").reshape(len(sid), -1).astype(np.int64)
+        n, raw = n.astype(np.int64), table.column("vector").to_pylist()
+        width = np.array([(len(v) - 1) // v[0] for v in raw])
         found = []
         for a, b in zip(starts, [*starts[1:], len(sid)]):
-            found += group(side[a:b], sid[a:b], n[a:b].astype(np.int64), comp[a:b], vector[a:b], i[a] == j[a])
+            vector = {}
+            for groups in np.unique(width[a:b]):
+                rows = np.flatnonzero(width[a:b] == groups)
+                vector[int(groups)] = rows, np.concatenate([_vector(raw[a + r]) for r in rows])
+            found += group(side[a:b], sid[a:b], n[a:b], comp[a:b], vector, i[a] == j[a])
         if found:
             out = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(out.min(axis=0)), pa.array(out.max(axis=0))], ["a", "b"])
@@ -287,6 +360,25 @@ def _tree_pairs(percent: int):
     return run
 
 
+def _near(cells: DataFrame, vectors: DataFrame, found: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs (a < b) of classes that share a cell, are in different components and pass the R-tree.
+
+    A cell of two is left out, as its one pair has been tried; of cells with the same classes
+    one is searched.  With ``best`` only the cells of more than a leaf are, and only the best
+    partners of each class taken.
+    """
+    named = cells.select("cell", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+    mixed = named.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("sid")).alias("same"))
+    mixed = mixed.where(f"lo < hi and rows > {2 if best is None else LEAF}").groupBy("same", "rows").agg(F.min("cell").alias("cell"))
+    mixed = mixed.select("cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    rows = named.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.join(vectors, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side, "sid", "n", "comp", "vector")
+    rows = rows.repartition(partitions(cells.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return rows.mapInArrow(_tree_pairs(percent, best), "a long, b long").distinct()
+
+
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -305,24 +397,20 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     cells = docs.mapInArrow(_prefixes(width, percent, levels), "cell long, sid long, n int")
     cells = cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "sid")
-    cells = written(cells.mapInArrow(_shared_cells, "cell long, sid long, n int, pivot long"), "cells")
+    cells = written(cells.mapInArrow(_shared_cells, "cell long, sid long, n int, pivot long, pivot_n int"), "cells")
+    vectors = written(members.where("n > 0").groupBy("sid").agg(F.first("vector").alias("vector")), "vectors")
 
-    centred = cells.where("pivot <> sid").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    centred = cells.where(f"pivot <> sid and 100 * n >= {percent} * pivot_n and 100 * pivot_n >= {percent} * n")
+    centred = centred.select(F.col("pivot").alias("a"), F.col("sid").alias("b"), F.col("pivot_n").alias("a_n"), F.col("n").alias("b_n")).distinct()
+    both = centred.join(vectors.select(F.col("sid").alias("b"), F.col("vector").alias("right")), "b").join(vectors.select(F.col("sid").alias("a"), F.col("vector").alias("left")), "a")
+    centred = written(both.mapInArrow(_bounded(percent), "a long, b long"), "centred")
     links = _verified(docs, classes, centred, width, percent)
-    found = written(components(links), "components")
-
-    named = cells.select("cell", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    mixed = named.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    rows = named.join(mixed.select("cell", blocks.alias("blocks")), "cell").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.join(members.groupBy("sid").agg(F.first("vector").alias("vector")), "sid")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "sid", "n", "comp", "vector")
-    rows = rows.repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    near = rows.mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
-    near = written(near.join(centred, ["a", "b"], "left_anti"), "near")
-    more = _verified(docs, classes, near, width, percent)
-    both = components(links.union(more))
+    # the likeliest links first, so that a large group is one component before the full search
+    for best in (BEST, None):
+        near = _near(cells, vectors, written(components(links), "components"), percent, best)
+        near = written(near.join(centred, ["a", "b"], "left_anti"), "near")
+        links = links.union(_verified(docs, classes, near, width, percent))
+    both = components(links)
 
     labelled = members.select("doc_id", "sid", "n").join(both.withColumnRenamed("node", "sid"), "sid", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "sid"))
