@@ -286,3 +286,96 @@ def start_and_end(nodes: DataFrame) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("page").orderBy("y", "x", "node"))
     n = F.count(F.lit(1)).over(Window.partitionBy("page"))
     return nodes.withColumn("n", n).withColumn("role", F.when(F.col("n") == 2, F.when(order == 1, "start").otherwise("end"))).drop("n")
+
+
+def grid_paths(costs: DataFrame, ends: DataFrame) -> DataFrame:
+    """Cheapest ways over pixels (page, y, x, cost) between ends (page, ay, ax, by, bx), in eight directions.
+
+    A step costs its length by the mean of the two pixels' costs.  (page, i, y, x, distance)
+    """
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        cost = dict(zip(zip(left["y"], left["x"]), left["cost"]))
+        rows = []
+        for e in right.itertuples(index=False):
+            start, goal = (e.ay, e.ax), (e.by, e.bx)
+            best, before, heap, done = {start: 0.0}, {}, [(0.0, start)], set()
+            while heap:
+                d, v = heapq.heappop(heap)
+                if v in done:
+                    continue
+                done.add(v)
+                if v == goal:
+                    break
+                for dy in (-1, 0, 1):
+                    for dx in (-1, 0, 1):
+                        q = (v[0] + dy, v[1] + dx)
+                        if q in cost and q != v and d + (step := (dy * dy + dx * dx) ** 0.5 * (cost[v] + cost[q]) / 2) < best.get(q, np.inf):
+                            best[q], before[q] = d + step, v
+                            heapq.heappush(heap, (best[q], q))
+            if goal in best:
+                way = [goal]
+                while way[-1] != start:
+                    way.append(before[way[-1]])
+                rows += [(key[0], i, y, x, best[y, x]) for i, (y, x) in enumerate(way[::-1])]
+        return pd.DataFrame(rows, columns=["page", "i", "y", "x", "distance"])
+
+    return costs.groupBy("page").cogroup(ends.select(F.col("page").cast("int").alias("page"), "ay", "ax", "by", "bx").groupBy("page")).applyInPandas(run, "page int, i int, y int, x int, distance double")
+
+
+def branches_pruned(edges: DataFrame, least: int) -> DataFrame:
+    """Edges (page, a, b) without the side branches of at most ``least`` edges that end at a junction, shortest first."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b in zip(pdf["a"], pdf["b"]):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        while True:
+            found = []
+            for v in sorted(near):
+                if len(near[v]) == 1:
+                    walk = [v]
+                    while len(near[walk[-1]]) <= 2 and (ahead := sorted(near[walk[-1]] - set(walk[-2:]))):
+                        walk.append(ahead[0])
+                    if len(near[walk[-1]]) > 2 and len(walk) - 1 <= least:
+                        found.append((len(walk), walk))
+            if not found:
+                break
+            walk = min(found)[1]
+            for p, q in zip(walk, walk[1:]):
+                near[p].discard(q)
+                near[q].discard(p)
+        left = [(a, b) for a, b in zip(pdf["a"], pdf["b"]) if b in near[a]]
+        return pd.DataFrame({"page": pdf["page"].iloc[0], "a": [p[0] for p in left], "b": [p[1] for p in left]})
+
+    return edges.select("page", "a", "b").groupBy("page").applyInPandas(run, "page int, a long, b long")
+
+
+def ends_clipped(edges: DataFrame, clip: float) -> DataFrame:
+    """Nodes of each page's main path at least ``clip`` from both of its ends."""
+    path = main_path(edges)
+    total = F.max("distance").over(Window.partitionBy("page"))
+    return path.withColumn("total", total).where((F.col("distance") >= clip) & (F.col("total") - F.col("distance") >= clip)).drop("total")
+
+
+def upright_pair(distances: DataFrame, share: float = 0.65) -> DataFrame:
+    """Of pairs of ends (page, a, b, ay, ax, by, bx, distance) not much shorter than the longest, the most upright one."""
+    longest = F.max("distance").over(Window.partitionBy("page"))
+    score = F.abs(F.col("by") - F.col("ay")) / (1 + F.abs(F.col("bx") - F.col("ax")))
+    fit = distances.withColumn("most", longest).where(F.col("distance") >= share * F.col("most"))
+    return fit.groupBy("page").agg(F.max(F.struct(score.alias("score"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")).select("page", (-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b"), F.col("m.score").alias("score"))
+
+
+def flooded(background: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Background pixels (page, y, x) joined to a seed's pixel in four directions, by components."""
+    node = lambda y, x: F.col(y).cast("long") * 1_000_000 + F.col(x) + F.col("page").cast("long") * 1_000_000_000_000
+    p = background.select("page", "y", "x").distinct()
+    steps = F.array(F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx")), F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx")))
+    ahead = p.withColumn("o", F.explode(steps)).select("page", F.col("y").alias("ay"), F.col("x").alias("ax"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    e = ahead.join(p, ["page", "y", "x"]).select(node("ay", "ax").alias("a"), node("y", "x").alias("b"))
+    named = p.withColumn("node", node("y", "x"))
+    labels = connected_components(named.select("node"), e)
+    all_of = named.join(labels, "node")
+    hit = all_of.join(seeds.select("page", "y", "x"), ["page", "y", "x"], "left_semi").select("component").distinct()
+    return all_of.join(hit, "component", "left_semi").select("page", "y", "x")

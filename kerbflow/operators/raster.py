@@ -230,3 +230,57 @@ def filled_polygons(corners: DataFrame) -> DataFrame:
     a, b = F.ceil("at"), F.floor("end")
     out = spans.withColumn("x", F.explode(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))))
     return out.select("page", F.col("row").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
+
+
+def small_removed(labelled: DataFrame, least: int) -> DataFrame:
+    """Pixels of components with at least so many; of the set ones objects go, of the others holes."""
+    keep = labelled.groupBy("page", "component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("page", "component")
+    return labelled.join(keep, ["page", "component"], "left_semi")
+
+
+def enclosed(labelled: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """Of labelled background pixels, those of components that do not touch the image's border."""
+    border = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == size[0] - 1) | (F.col("x") == size[1] - 1)
+    return labelled.join(labelled.where(border).select("page", "component").distinct(), ["page", "component"], "left_anti")
+
+
+def cost_map(pixels: DataFrame, support: DataFrame, overlay: DataFrame) -> DataFrame:
+    """What a step costs on each pixel: 8 in the open, 1.2 on support, 0.35 on the overlay."""
+    p = pixels.select(*PLACE).distinct()
+    p = p.join(support.select(*PLACE, F.lit(1).alias("s")).distinct(), PLACE, "left").join(overlay.select(*PLACE, F.lit(1).alias("o")).distinct(), PLACE, "left")
+    return p.select(*PLACE, F.when(F.col("o") == 1, 0.35).when(F.col("s") == 1, 1.2).otherwise(8.0).alias("cost"))
+
+
+def reconstructed(mask: DataFrame, limits: DataFrame, half_width: int) -> DataFrame:
+    """The mask widened by half a width, inside its limits, with small gaps closed."""
+    return closed(common(dilated(mask, ellipse_kernel(2 * half_width + 1)), limits), box_kernel(3))
+
+
+def support_ratio(rays: DataFrame, mask: DataFrame, start: int, end: int) -> DataFrame:
+    """The share of set pixels among the steps ``start`` to ``end`` of each ray."""
+    dots = rays.withColumn("k", F.explode(F.sequence(F.lit(start), F.lit(end))))
+    put = lambda c: F.bround(F.col(c) + F.col(f"d{c}") * F.col("k")).cast("int")
+    dots = dots.select("ray_id", "page", put("y").alias("y"), put("x").alias("x"))
+    on = dots.join(mask.select(*PLACE, F.lit(1).alias("on")).distinct(), PLACE, "left")
+    return on.groupBy("ray_id").agg(F.avg(F.coalesce("on", F.lit(0)).cast("double")).alias("support"))
+
+
+def touching_absorbed(fragments: DataFrame, start: int = 0) -> DataFrame:
+    """Fragments (page, component, y, x) that meet the growing whole when it is widened by two, in order of label.
+
+    The whole begins with the component ``start`` of each page; a fragment that is absorbed
+    counts for those after it.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = set(zip(*(pdf.loc[pdf["component"] == start, c] for c in ("y", "x"))))
+        taken = [start]
+        for label, part in sorted((k, g) for k, g in pdf.groupby("component") if k != start):
+            own = set(zip(part["y"], part["x"]))
+            if any((y + dy, x + dx) in whole for y, x in own for dy in range(-2, 3) for dx in range(-2, 3)):
+                whole |= own
+                taken.append(label)
+        return pd.DataFrame({"page": pdf["page"].iloc[0], "component": taken})
+
+    slim = fragments.select("page", F.col("component").cast("long").alias("component"), "y", "x")
+    return slim.groupBy("page").applyInPandas(run, "page int, component long")

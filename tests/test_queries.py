@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from kerbflow.plans import more  # noqa: F401
 from kerbflow.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
