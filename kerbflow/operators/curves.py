@@ -217,3 +217,41 @@ def row_runs(pixels: DataFrame, keys: list[str], position: str = "x") -> DataFra
     """Runs of neighbouring positions in each row."""
     island = F.col(position) - F.row_number().over(Window.partitionBy(*keys).orderBy(position))
     return pixels.withColumn("island", island).groupBy(*keys, "island").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n")).drop("island")
+
+
+def row_centres(runs: DataFrame, page: str = "page") -> DataFrame:
+    """One centre a row of runs (page, y, first, last): the widest run of the first row, then the run nearest to the centre before.
+
+    Each choice depends on the one before, so a page is one task's fold over its rows.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, last = [], None
+        for y, g in pdf.sort_values(["y", "first"]).groupby("y"):
+            centre, width = (g["first"] + g["last"]).to_numpy() / 2, (g["last"] - g["first"]).to_numpy()
+            last = float(centre[width.argmax()] if last is None else centre[abs(centre - last).argmin()])
+            out.append((g[page].iloc[0], y, last))
+        return pd.DataFrame(out, columns=[page, "y", "x"])
+
+    slim = runs.select(F.col(page).cast("long").alias(page), F.col("y").cast("int").alias("y"), "first", "last")
+    return slim.groupBy(page).applyInPandas(run, f"{page} long, y int, x double")
+
+
+def neighbour_means(curves: DataFrame, span: int, key: str = KEY) -> DataFrame:
+    """Adds the unit vector of the mean tangent of up to ``span`` neighbours on either side, without the point itself."""
+    frame = along(key).rowsBetween(-span, span)
+    sx, sy = (F.sum(c).over(frame) - F.col(c) for c in ("tx", "ty"))
+    out = curves.withColumn("mx", sx).withColumn("my", sy).withColumn("norm", F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my")))
+    part = lambda c: F.when(F.col("norm") < 1e-9, 0.0).otherwise(F.col(c) / F.nullif("norm", F.lit(0.0)))
+    return out.withColumn("mx", part("mx")).withColumn("my", part("my")).drop("norm")
+
+
+def extended(lines: DataFrame, reach: DataFrame, key: str = KEY) -> DataFrame:
+    """Curves with one more point at their end, ``reach`` (key, distance) along the last step; keys without stay."""
+    w = along(key)
+    last = lines.withColumn("px", F.lag(X).over(w)).withColumn("py", F.lag(Y).over(w)).withColumn("nx", F.lead(I).over(w)).where("nx is null and px is not null")
+    size = G.distance(F.col("px"), F.col("py"), F.col(X), F.col(Y))
+    put = lambda c, p: F.col(c) + (F.col(c) - F.col(p)) / F.nullif(size, F.lit(0.0)) * F.col("distance")
+    more = last.join(reach, key).where(size > 0).select(key, (F.col(I) + 1).alias(I), put(X, "px").alias(X), put(Y, "py").alias(Y))
+    return lines.select(key, I, X, Y).unionByName(more)

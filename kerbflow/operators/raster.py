@@ -284,3 +284,32 @@ def touching_absorbed(fragments: DataFrame, start: int = 0) -> DataFrame:
 
     slim = fragments.select("page", F.col("component").cast("long").alias("component"), "y", "x")
     return slim.groupBy("page").applyInPandas(run, "page int, component long")
+
+
+def contours(labelled: DataFrame) -> DataFrame:
+    """The outer outline of each component (page, component, y, x), in order, clockwise from its topmost leftmost pixel."""
+    ring = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        here = set(zip(pdf["y"].tolist(), pdf["x"].tolist()))
+        start = min(here)
+        walk, at, came, first = [start], start, 4, None
+        while True:
+            for k in range(1, 9):
+                side = (came + k) % 8
+                step = (at[0] + ring[side][0], at[1] + ring[side][1])
+                if step in here:
+                    break
+            else:
+                break  # a single pixel
+            if first is None:
+                first = (at, step)
+            elif (at, step) == first:
+                walk.pop()
+                break
+            walk.append(step)
+            at, came = step, (side + 4) % 8
+        return pd.DataFrame({"page": pdf["page"].iloc[0], "component": pdf["component"].iloc[0], "i": range(len(walk)), "y": [p[0] for p in walk], "x": [p[1] for p in walk]})
+
+    slim = labelled.select(F.col("page").cast("long").alias("page"), F.col("component").cast("long").alias("component"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    return slim.groupBy("page", "component").applyInPandas(run, "page long, component long, i int, y int, x int")

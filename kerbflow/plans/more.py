@@ -235,3 +235,25 @@ def ends_clipped(spark, sf):
 def first_black(spark, sf):
     rays = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ray_id"), F.col("vec_id").alias("page"), F.lit(0.0).alias("x"), F.lit(2.0).alias("y"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"))
     return raster.first_black(rays, mask(spark, sf), 1.0, 8.0, 2)
+
+
+@query(None)
+def outlines(spark, sf):
+    return raster.contours(_labelled(px(spark, sf).where("page % 5 = 0 and v > 0.02")))
+
+
+@query(None)
+def row_centres(spark, sf):
+    return curves.row_centres(curves.row_runs(mask(spark, sf), ["page", "y"]))
+
+
+@query(None)
+def neighbour_means(spark, sf):
+    return rounded(curves.neighbour_means(curves.tangents(pt(spark, sf)), 3))
+
+
+@query(f"""WITH {PT}, l AS (SELECT path_id, i, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(i) OVER w AS n FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i)), e AS (SELECT *, sqrt((x-px)*(x-px)+(y-py)*(y-py)) AS s FROM l WHERE n IS NULL AND px IS NOT NULL)
+SELECT path_id, i, round(x, 4) AS x, round(y, 4) AS y FROM pt UNION ALL SELECT path_id, i + 1, round(x + (x - px) / s * 7, 4), round(y + (y - py) / s * 7, 4) FROM e WHERE s > 0""")
+def end_extension(spark, sf):
+    p = pt(spark, sf).withColumn("i", F.col("i").cast("long"))
+    return rounded(curves.extended(p, p.select("path_id").distinct().withColumn("distance", F.lit(7.0))))

@@ -206,3 +206,14 @@ def test_audit_stream(spark, tmp_path):
     assert {(r.step_id, r.decision) for r in audit.current(spark, str(tmp_path / "out")).collect()} == {(2, "a"), (3, "c"), (5, "d")}
     got = quantities.latest_audit(spark.createDataFrame(rows, schema), ["arrival", "entry_id"]).collect()
     assert {(r.step_id, r.decision) for r in got} == {(2, "a"), (3, "c"), (5, "d")}
+
+
+def test_contours_and_centres(spark):
+    block = [(1, 7, y, x) for y in range(3) for x in range(4)] + [(1, 9, 8, 8)]
+    df = spark.createDataFrame(block, "page int, component int, y int, x int")
+    out = {c: [(r.y, r.x) for r in raster.contours(df).where(F.col("component") == c).orderBy("i").collect()] for c in (7, 9)}
+    assert out == {7: [(0, 0), (0, 1), (0, 2), (0, 3), (1, 3), (2, 3), (2, 2), (2, 1), (2, 0), (1, 0)], 9: [(8, 8)]}
+    runs = spark.createDataFrame([(1, 0, 0, 2), (1, 0, 10, 20), (1, 1, 0, 2), (1, 1, 12, 14), (1, 2, 0, 1)], "page int, y int, first int, last int")
+    assert [r.x for r in curves.row_centres(runs).orderBy("y").collect()] == [15, 13, 0.5]
+    line = curves.extended(curve(spark, [(0, 0), (3, 4)]), spark.createDataFrame([(1, 5.0)], "path_id int, distance double")).orderBy("i").collect()
+    assert [(r.x, r.y) for r in line] == [(0, 0), (3, 4), (6, 8)]
