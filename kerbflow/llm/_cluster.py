@@ -37,6 +37,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch on its way to a Python task.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of this session small: a batch of ten thousand long texts does not fit a small worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m")))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 BROADCAST_ROWS = 1_000_000
 
 

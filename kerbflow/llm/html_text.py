@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.llm import _text
-from kerbflow.llm._cluster import sized, written
+from kerbflow.llm._cluster import bounded_batches, sized, written
 
 #: Paths that a page votes for, and that a host keeps.
 VOTES, KEPT = 3, 4
@@ -220,6 +220,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     without a host vote together.  Repeated rows stay; an empty table gives no rows; further
     columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     winners = sized(written(host_paths(pages), "paths"), HOSTS)
     known = pages.withColumn("host", host_of(F.col("url"))).join(winners, "host", "left").select("page_id", "url", "html", "paths")

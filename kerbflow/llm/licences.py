@@ -22,8 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from kerbflow.llm import _text
+from kerbflow.llm._cluster import bounded_batches
 
 WINDOW, BANDS, ROWS = 5, 16, 2
+#: Windows whose keys are made at a time.
+PIECE = 1 << 14
 SHINGLE, CONTAINED, SLACK = 3, 0.8, 0.2
 #: Words that all templates may have together.
 TEMPLATE_WORDS = 500_000
@@ -61,30 +64,38 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return value[codes[keep]], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
+def _seeds() -> np.ndarray:
+    """One odd and one other number a row of each band."""
+    make = lambda k: np.uint64(xxhash.xxh64_intdigest(k))
+    return np.array([[(make(f"{b}.{r}.odd") | np.uint64(1), make(f"{b}.{r}")) for r in range(ROWS)] for b in range(BANDS)])
+
+
+_SEEDS, _ODD = _seeds(), np.uint64(0x9E3779B97F4A7C15)
+
+
 def band_keys(words: np.ndarray) -> np.ndarray:
-    """The band keys of all windows of a sequence of word hashes, one row a window."""
+    """The band keys of all windows of a sequence of word hashes, one row a band."""
     n = len(words) - WINDOW + 1
     if n <= 0:
-        return np.zeros((0, BANDS), np.uint64)
+        return np.zeros((BANDS, 0), np.uint64)
     with np.errstate(over="ignore"):
         pairs = _text.mix(_text.mix(words[:-1]) + words[1:])
-        out = np.empty((n, BANDS), np.uint64)
+        out = np.empty((BANDS, n), np.uint64)
         for band in range(BANDS):
             key = np.full(n, band, np.uint64)
-            for r in range(ROWS):
-                seed = np.uint64(xxhash.xxh64_intdigest(f"{band}.{r}"))
-                h = _text.mix(pairs ^ seed)
-                least = h[:n].copy()
-                for k in range(1, WINDOW - 1):
+            for odd, seed in _SEEDS[band]:
+                h = (pairs ^ seed) * odd
+                least = np.minimum(h[:n], h[1 : n + 1])
+                for k in range(2, WINDOW - 1):
                     np.minimum(least, h[k : n + k], out=least)
-                key = _text.mix(key + least)
-            out[:, band] = key
+                key = key * _ODD + least
+            out[band] = _text.mix(key)
     return out
 
 
-def _shingle_hashes(words: np.ndarray) -> np.ndarray:
+def _shingle_hashes(words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        return _text.shingles(words, np.array([0, len(words)]), SHINGLE)[0]
+        return _text.shingles(words, off, SHINGLE)
 
 
 class TemplateIndex:
@@ -99,41 +110,64 @@ class TemplateIndex:
             raise ValueError(f"templates of fewer than {WINDOW} words: {short}")
         if off[-1] > TEMPLATE_WORDS:
             raise ValueError(f"templates of {off[-1]} words; at most {TEMPLATE_WORDS} are sent to all tasks")
-        self.shingles = [np.unique(_shingle_hashes(w)) for w in self.words]
+        self.shingles = [np.unique(_shingle_hashes(w, np.array([0, len(w)]))[0]) for w in self.words]
         where = defaultdict(set)
         for t, w in enumerate(self.words):
-            for at, row in enumerate(band_keys(w)):
+            for at, row in enumerate(band_keys(w).T):
                 for key in row:
                     where[int(key)].add((t, at))
         self.where = {k: sorted(v) for k, v in where.items()}
         self.keys = np.array(sorted(self.where), np.uint64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-
-    def scan(self, words: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(template, first word, end, containment) of the verified copies, the best of overlapping ones."""
-        keys = band_keys(words)
-        rows, bands = np.nonzero(self.filter[(keys >> np.uint64(44)).astype(np.int64)])
+        self.any = np.unique(np.concatenate(self.shingles)) if self.shingles else np.zeros(0, np.uint64)
+        self.any_filter = np.zeros(1 << 20, bool)
+        self.any_filter[(self.any >> np.uint64(44)).astype(np.int64)] = True
+
+    def hits(self, words: np.ndarray) -> list[tuple[int, int]]:
+        """(window, key) of the windows that share a band with a template, a piece at a time."""
+        out = []
+        for a in range(0, max(len(words) - WINDOW + 1, 0), PIECE):
+            keys = band_keys(words[a : a + PIECE + WINDOW - 1])
+            bands, rows = np.nonzero(self.filter[(keys >> np.uint64(44)).astype(np.int64)])
+            out += zip((rows + a).tolist(), keys[bands, rows].tolist())
+        return out
+
+    def scan(self, words: np.ndarray, off: np.ndarray) -> list[tuple[int, str, int, int, float]]:
+        """(text, template, first word, end, containment) of the verified copies, the best of overlapping ones.
+
+        ``words`` holds all texts in a row.  Before a region is compared with a template, its
+        shingles that any template has are counted: fewer than the template needs cannot do.
+        """
+        shingles, s_off = _shingle_hashes(words, off)
+        known = self.any_filter[(shingles >> np.uint64(44)).astype(np.int64)]
+        known[known] = np.isin(shingles[known], self.any)
+        before = np.concatenate([[0], np.cumsum(known)])
         starts = defaultdict(set)
-        for r, b in zip(rows, bands):
-            for t, at in self.where.get(int(keys[r, b]), ()):
-                starts[t].add(int(r) - at)
-        found = []
-        for t, places in sorted(starts.items()):
-            size, best = len(self.words[t]), []
+        for row, key in self.hits(words):
+            for t, at in self.where.get(key, ()):
+                starts[t, row - at].add(row)
+        found = defaultdict(list)
+        for (t, p), rows in sorted(starts.items()):
+            size = len(self.words[t])
             slack = int(np.ceil(SLACK * size))
-            for p in sorted(places):
-                a, b = max(0, p - slack), min(len(words), p + size + slack)
-                share = float(np.isin(self.shingles[t], _shingle_hashes(words[a:b])).mean())
+            for text in {int(x) for x in np.searchsorted(off, sorted(rows), side="right") - 1}:
+                low, high = int(off[text]), int(off[text + 1])
+                if not any(low <= r and r + WINDOW <= high for r in rows):
+                    continue  # such a window runs over the text's end
+                a, b = max(low, p - slack), min(high, p + size + slack)
+                x, y = a - low + int(s_off[text]), min(b - low - SHINGLE + 1 + int(s_off[text]), int(s_off[text + 1]))
+                if before[max(x, y)] - before[x] < CONTAINED * len(self.shingles[t]):
+                    continue
+                share = float(np.isin(self.shingles[t], shingles[x:y]).mean())
                 if share >= CONTAINED:
-                    first, end = max(0, p), min(len(words), p + size)
-                    if best and first < best[-1][2]:
-                        if share > best[-1][3]:
-                            best[-1] = (self.names[t], first, end, share)
+                    best, first, end = found[text, t], max(low, p) - low, min(high, p + size) - low
+                    if best and first < best[-1][3]:
+                        if share > best[-1][4]:
+                            best[-1] = (text, self.names[t], first, end, share)
                     else:
-                        best.append((self.names[t], first, end, share))
-            found += best
-        return found
+                        best.append((text, self.names[t], first, end, share))
+        return [f for _, listed in sorted(found.items()) for f in listed]
 
 
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES) -> DataFrame:
@@ -143,6 +177,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES) -
     notice.  Repeated rows are reported each; an empty table gives no rows; further columns
     are ignored.
     """
+    bounded_batches(docs.sparkSession)
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(list(templates)))
 
     def run(batches):
@@ -151,7 +186,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES) -
             for part in _text.slices(batch):
                 hashes, off = _word_hashes(part.column("text"))
                 ids = part.column("doc_id").to_pylist()
-                out = [(i, *f) for i, a, b in zip(ids, off[:-1], off[1:]) if b - a >= WINDOW for f in t.scan(hashes[a:b])]
+                out = [(ids[f[0]], *f[1:]) for f in t.scan(hashes, off)]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "license", "first_word", "end_word", "containment"])
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,7 +133,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "removed")
     cuts = written(repeated_positions(docs), "cuts").select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), F.col("cut").alias("removed"))
     same = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
-    out = docs.join(cuts, same, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    # by shuffle at every size: how many cuts there are follows the corpus
+    out = docs.join(cuts.hint("merge"), same, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     lines = _lines(F.col("text"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))

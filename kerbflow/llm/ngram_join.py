@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbflow.llm import _text
-from kerbflow.llm._cluster import SLICES, components, merged_sketch, partitions, sketch_rows, written
+from kerbflow.llm._cluster import SLICES, bounded_batches, components, merged_sketch, partitions, sketch_rows, written
 
 WIDTH, PERCENT = 5, 80
 #: Groups of small sets, and of the largest.
@@ -388,6 +388,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     columns are ignored.  An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, sid long, n long, vector binary, slice int, part binary"
     base = written(docs.mapInArrow(_first_pass(width), kind), "sets")

@@ -21,18 +21,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kerbflow.llm import _text
+from kerbflow.llm._cluster import bounded_batches
 
 BUCKETS = 1 << 15
 #: Features of a word, and the words back in which it is looked for.
 FEATURES, LAGS = 6, 8
 #: Rated rows that the fit takes at most.
-SAMPLE = 6000
+SAMPLE = 4000
 STEPS = 300
 PENALTY = 2e-5
-#: Least tail probability of a document that is kept.
-KEEP = 0.5
+#: Least tail probability of a document that is kept.  Grades weigh alike in the fit, so 0.5 is the even
+#: odds of a rare grade; below that, doubtful documents stay.
+KEEP = 0.25
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+")
 
 
@@ -45,36 +48,46 @@ def _bucket(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}\x00{value}") % BUCKETS
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of all texts in a row and the texts' offsets into them."""
+@dataclass
+class Features:
+    """The buckets of all words of some texts: by distinct word, and by place."""
+
+    codes: np.ndarray
+    off: np.ndarray
+    own: np.ndarray  # four buckets a distinct word
+    pair: np.ndarray  # one bucket a place: the shapes of the word and the next
+    again: np.ndarray  # one bucket a place: how many words back the word stood before
+
+    def of(self, text: int) -> np.ndarray:
+        """All buckets of a text."""
+        z = slice(self.off[text], self.off[text + 1])
+        return np.concatenate([self.own[self.codes[z]].ravel(), self.pair[z], self.again[z]])
+
+
+def text_features(texts: pa.Array) -> Features:
     codes, off, vocabulary = _text.words(texts, lower=False)
     names = vocabulary.to_pylist()
     shapes = [_shape(w) for w in names]
     kinds = {s: k for k, s in enumerate(dict.fromkeys(shapes))}
+    listed = list(kinds)
+    shape_bucket = [_bucket("s", s) for s in listed]
     shape_of = np.array([kinds[s] for s in shapes], np.int64)
     lows = [w.lower() for w in names]
-    own = np.array([[_bucket("w", w), _bucket("b", w[:3]), _bucket("e", w[-3:]), _bucket("s", s)] for w, s in zip(lows, shapes)], np.int64).reshape(-1, 4)
-    listed = list(kinds)
-    table: dict[int, int] = {}
+    own = np.array([(_bucket("w", w), _bucket("b", w[:3]), _bucket("e", w[-3:]), shape_bucket[k]) for w, k in zip(lows, shape_of)], np.int32).reshape(-1, 4)
     n = len(codes)
-    out = np.empty((n, FEATURES), np.int64)
-    out[:, :4] = own[codes]
-    if n:
-        s = shape_of[codes]
-        after = np.append(s[1:], 0)
-        last = np.zeros(n, bool)
-        last[off[1:][np.diff(off) > 0] - 1] = True
-        pair = np.where(last, -1, s * len(listed) + after)
-        distinct, back = np.unique(pair, return_inverse=True)
-        for p in distinct:
-            table[p] = _bucket("p", "" if p < 0 else f"{listed[p // len(listed)]} {listed[p % len(listed)]}")
-        out[:, 4] = np.array([table[p] for p in distinct], np.int64)[back]
-        again = np.zeros(n, np.int64)
-        inside = np.arange(n) - np.repeat(off[:-1], np.diff(off))
-        for lag in range(LAGS, 0, -1):
-            again[lag:][(codes[lag:] == codes[:-lag]) & (inside[lag:] >= lag)] = lag
-        out[:, 5] = np.array([_bucket("r", str(k)) for k in range(LAGS + 1)], np.int64)[again]
-    return out.ravel(), off * FEATURES
+    if not n:
+        return Features(codes, off, own, np.zeros(0, np.int32), np.zeros(0, np.int32))
+    s = shape_of[codes]
+    pair = s * len(listed) + np.append(s[1:], 0)
+    pair[off[1:][np.diff(off) > 0] - 1] = -1  # the last word has no next one
+    distinct, back = np.unique(pair, return_inverse=True)
+    made = [_bucket("p", "" if p < 0 else f"{listed[p // len(listed)]} {listed[p % len(listed)]}") for p in distinct]
+    again = np.zeros(n, np.int8)
+    inside = np.arange(n) - np.repeat(off[:-1], np.diff(off))
+    for lag in range(LAGS, 0, -1):
+        again[lag:][(codes[lag:] == codes[:-lag]) & (inside[lag:] >= lag)] = lag
+    lags = np.array([_bucket("r", str(k)) for k in range(LAGS + 1)], np.int32)
+    return Features(codes, off, own, np.array(made, np.int32)[back], lags[again])
 
 
 @dataclass
@@ -93,9 +106,11 @@ class OrdinalModel:
     def expected(self, score: np.ndarray) -> np.ndarray:
         return (1 - self.at_most(score)).sum(axis=1)
 
-    def scores(self, buckets: np.ndarray, off: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.weights[buckets])])[off]
-        return np.diff(total) / np.maximum(np.diff(off), 1)
+    def scores(self, f: Features) -> np.ndarray:
+        """The mean weight of each text's features."""
+        each = self.weights[f.own].sum(axis=1)[f.codes] + self.weights[f.pair] + self.weights[f.again]
+        total = np.concatenate([[0.0], np.cumsum(each)])[f.off]
+        return np.diff(total) / np.maximum(FEATURES * np.diff(f.off), 1)
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> OrdinalModel:
@@ -141,12 +156,12 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, s
 def _sampled_features(batches):
     for batch in batches:
         for part in _text.slices(batch):
-            buckets, off = text_features(part.column("text"))
+            features = text_features(part.column("text"))
             cols, vals = [], []
-            for a, b in zip(off[:-1], off[1:]):
-                c, k = np.unique(buckets[a:b], return_counts=True)
-                cols.append(c.astype("<i4").tobytes())
-                vals.append((k / max(b - a, 1)).astype("<f4").tobytes())
+            for k in range(part.num_rows):
+                found, count = np.unique(features.of(k), return_counts=True)
+                cols.append(found.astype("<i4").tobytes())
+                vals.append((count / max(count.sum(), 1)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([part.column("grade").cast(pa.int64()), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], ["grade", "cols", "vals"])
 
 
@@ -156,12 +171,13 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Or
     The sample is chosen by hash of doc_id among all rated ids.  Null ids and grades take no
     part; of several ratings of an id the lowest counts.
     """
+    bounded_batches(docs.sparkSession)
     rated = ratings.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("grade").cast("long").alias("grade"))
     picked = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded sample, small enough to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     rows = rows.select("grade", "text").mapInArrow(_sampled_features, "grade long, cols binary, vals binary").collect()
-    rows = sorted(rows, key=lambda r: (r.grade, r.cols, r.vals))  # the fit does not depend on the order of arrival
-    parts = [(np.frombuffer(r.cols, "<i4").astype(np.int64), np.frombuffer(r.vals, "<f4").astype(np.float64)) for r in rows]
+    rows.sort(key=lambda r: (r.grade, r.cols, r.vals))  # the fit does not depend on the order of arrival
+    parts = [(np.frombuffer(r.cols, "<i4"), np.frombuffer(r.vals, "<f4")) for r in rows]
     return fit_ordinal(parts, np.array([r.grade for r in rows], np.int64))
 
 
@@ -173,14 +189,16 @@ def score_quality(docs: DataFrame, model: OrdinalModel, grade: int = 1) -> DataF
     """
     docs = docs.drop("expected_grade", "tail")
     model = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema.add("expected_grade", "double").add("tail", "double")
-    whole = docs.withColumn("__text", F.col("text").cast("string"))
+    kind = StructType([*docs.schema.fields, StructField("expected_grade", DoubleType()), StructField("tail", DoubleType())])
+    bounded_batches(docs.sparkSession)
+    named = "text" if dict(docs.dtypes)["text"] == "string" else "__text"
+    whole = docs if named == "text" else docs.withColumn(named, F.col("text").cast("string"))
 
     def run(batches):
         m = model.value
         for batch in batches:
-            for part in _text.slices(batch, "__text"):
-                score = m.scores(*text_features(part.column("__text")))
+            for part in _text.slices(batch, named):
+                score = m.scores(text_features(part.column(named)))
                 columns = [c for k, c in enumerate(part.columns) if part.schema.names[k] != "__text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(m.expected(score)), pa.array(m.tail(score, grade))], [*[n for n in part.schema.names if n != "__text"], "expected_grade", "tail"])
 

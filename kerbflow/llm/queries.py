@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.llm import decontaminate, html_text, licences, line_dedup, mixing, ngram_join, quality, token_files, topk, toxicity
+from kerbflow.llm._cluster import sized
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -42,7 +43,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    model = toxicity.fit_toxicity(docs.join(labels, "doc_id"))
+    model = toxicity.fit_toxicity(docs.join(sized(labels), "doc_id"))  # the texts stay in place while the labels are few
     out = toxicity.toxic_passages(docs, model)
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 

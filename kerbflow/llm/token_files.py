@@ -26,21 +26,24 @@ import re
 import struct
 import uuid
 import zlib
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.llm import _text
-from kerbflow.llm._cluster import partitions, shared_folder, written
+from kerbflow.llm._cluster import bounded_batches, partitions, shared_folder, written
 
 MAGIC, VERSION = b"KFTK", 1
+#: Tokens coded at a time, a multiple of four.
+PIECE = 1 << 18
 NULL_ID = np.iinfo(np.int64).min
-#: Pieces that a worker remembers between slices.
-REMEMBERED = 150_000
+#: Pieces that a worker remembers between slices, about 40 MB.
+REMEMBERED = 800_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,7 +51,7 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 _STOP = np.zeros(256, bool)
 _STOP[[44, 46]] = True
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -74,9 +77,11 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarra
     return out
 
 
-def shard_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, vocabulary: np.ndarray) -> bytes:
+def shard_parts(doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, vocabulary: np.ndarray) -> list[bytes]:
+    """The bytes of a shard file, in pieces; ranks are coded ``PIECE`` at a time."""
     head = MAGIC + struct.pack("<IQQI", VERSION, len(doc_ids), len(ranks), len(vocabulary))
-    return b"".join([head, vocabulary.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), *encode_ranks(ranks)])
+    coded = [encode_ranks(ranks[a : a + PIECE]) for a in range(0, len(ranks), PIECE)]
+    return [head, vocabulary.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), *(c for c, _ in coded), *(d for _, d in coded)]
 
 
 def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,6 +120,33 @@ def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]), np.searchsorted(starts, off)
 
 
+class Remembered:
+    """Ids of pieces by a 128-bit hash, in sorted arrays: some 30 bytes a piece."""
+
+    def __init__(self):
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each hash, and whether there is one."""
+        at = np.searchsorted(self.high, high)
+        near = np.minimum(at, max(len(self.high) - 1, 0))
+        known = (self.high[near] == high) & (self.low[near] == low) if len(self.high) else np.zeros(len(high), bool)
+        return near, known
+
+    def add(self, high: np.ndarray, low: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        order = np.argsort(high)
+        at = np.searchsorted(self.high, high[order])
+        for name, new in (("low", low), ("start", start), ("count", count), ("high", high)):
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
+
+
 class Encoder:
     """Encodes Arrow arrays of texts; one in each worker."""
 
@@ -125,7 +157,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known = Remembered()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -133,41 +165,48 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for a in range(0, len(texts), 20_000):
-            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
-        return out
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row and each text's count."""
+        flat, count = [np.zeros(0, np.uint32)], []
+        for a in range(0, len(texts), 10_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 10_000], add_special_tokens=False)]
+            count += map(len, found)
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        return np.concatenate(flat), np.array(count, np.int64)
 
     def whole(self, text: str) -> bool:
-        return any(t in text for t in self.special) or not text.isascii() and _ODD_SPACE.search(text) is not None or any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return any(t in text for t in self.special) or _ODD_SPACE.search(text) is not None
+
+    def _entries(self, pieces: pa.Array) -> np.ndarray:
+        """The entries of distinct pieces; new ones are encoded."""
+        listed = pieces.to_pylist()
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, listed)), ">u8").astype(np.uint64).reshape(-1, 2)
+        high, low = hashes[:, 0], hashes[:, 1]
+        if len(self.known.high) + len(listed) > REMEMBERED:
+            self.known = Remembered()
+        entry, known = self.known.find(high, low)
+        new = np.flatnonzero(~known)
+        if len(new):
+            self.known.add(high[new], low[new], *self._ids([listed[k].decode() for k in new]))
+            entry, _ = self.known.find(high, low)
+        return entry
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and each text's count; a null text is empty."""
         texts = texts.fill_null("")
         apart = [k for k, t in enumerate(texts.to_pylist()) if self.whole(t)]
-        spared = dict(zip(apart, self._ids([texts[k].as_py() for k in apart])))
+        spared = {k: self._ids([texts[k].as_py()])[0] for k in apart}
         if apart:
             empty = np.zeros(len(texts), bool)
             empty[apart] = True
             texts = pa.compute.if_else(pa.array(empty), "", texts)
         pieces, off = _pieces(texts)
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {p: self.known[p] for p in distinct if p in self.known}
-        ids = dict(zip(new, self._ids([p.decode() for p in new])))
-        for p in new[: max(0, REMEMBERED - len(self.known))]:
-            self.known[p] = ids[p]
-        parts = [ids[p] if p in ids else self.known[p] for p in distinct]
-        count = np.array([len(p) for p in parts], np.int64)
-        start, flat = np.cumsum(count) - count, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        codes = coded.indices.to_numpy()
-        each = count[codes]
-        place = np.cumsum(each) - each
-        out = flat[np.repeat(start[codes] - place, each) + np.arange(each.sum())]
-        total = np.concatenate([[0], np.cumsum(each)])[off]
+        entry = self._entries(coded.dictionary)[coded.indices.to_numpy()] if len(pieces) else np.zeros(0, np.int64)
+        each = self.known.count[entry].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(each)])
+        out = self.known.ids[np.repeat(self.known.start[entry] - total[:-1], each) + np.arange(total[-1])]
+        total = total[off]
         if spared:
             rows = [out[a:b] for a, b in zip(total[:-1], total[1:])]
             for k, v in spared.items():
@@ -203,13 +242,17 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
 
 
 def _counted(batches):
-    seen: Counter = Counter()
+    """A task's counts of each id."""
+    seen = np.zeros(1, np.int64)
     for batch in batches:
-        parts = [_unpacked(p, n) for p, n in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist())]
-        ids, count = np.unique(np.concatenate(parts), return_counts=True) if parts else ((), ())
-        for i, c in zip(ids, count):
-            seen[int(i)] += int(c)
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["id", "count"])
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
+            ids = np.concatenate([_unpacked(p, n) for n, p in zip(*(part.column(k).to_pylist() for k in (0, 1)))])
+            count = np.bincount(ids, minlength=len(seen))
+            count[: len(seen)] += seen
+            seen = count
+    ids = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(seen[ids])], ["id", "count"])
 
 
 def _store(folder: str):
@@ -225,18 +268,21 @@ def _written_shards(folder: str, vocabulary):
 
     def save(store, root, bucket, docs, parts):
         lengths = np.array([len(p) for p in parts], np.int64)
-        ids = np.concatenate(parts)
-        raw = shard_bytes(np.array([NULL_ID if d is None else d for d in docs], np.int64), lengths, vocabulary.value[1][ids], vocabulary.value[0])
+        named = np.array([NULL_ID if d is None else d for d in docs], np.int64)
+        raw = shard_parts(named, lengths, np.concatenate(parts), vocabulary.value[0])
         name = f"{root}/shard-{bucket:08d}.kftk"
         draft = f"{name}.{uuid.uuid4().hex}"  # a lost or repeated attempt leaves the final name whole
         with store.open_output_stream(draft) as f:
-            f.write(raw)
+            for piece in raw:
+                f.write(piece)
         store.move(draft, name)
         return bucket, len(docs), int(lengths.sum())
 
     def run(batches):
+        Encoder._made.clear()  # a worker that has encoded needs its memory back
         store, root = _store(folder)
         manifest, bucket, docs, parts = [], None, [], []
+        rank_of = vocabulary.value[1]
         for batch in batches:
             for b, d, n, p in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if bucket is not None and b != bucket:
@@ -244,7 +290,7 @@ def _written_shards(folder: str, vocabulary):
                     docs, parts = [], []
                 bucket = b
                 docs.append(d)
-                parts.append(_unpacked(p, n))
+                parts.append(rank_of[_unpacked(p, n)])
         if parts:
             manifest.append(save(store, root, bucket, docs, parts))
         yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in manifest], pa.int64()) for k in range(3)], ["bucket", "docs", "tokens"])
@@ -260,18 +306,20 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     Null and empty texts hold the end id alone.  An empty table writes no file.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.count()
     parts = max(partitions(spark), -(-rows // shard_rows))
     cuts = [k / parts for k in range(1, parts)]
     bounds = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", cuts, 0.1 / parts))) if rows and cuts else []
     ids = docs.mapInArrow(_encoded(tokenizer, end_id, [int(b) for b in bounds]), "bucket int, doc_id long, n long, packed binary")
-    ids = written(ids.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id"), "tokens")
+    ids = written(ids, "tokens")
     counts = ids.select("n", "packed").mapInArrow(_counted, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     ranked = counts.orderBy(F.desc("count"), "id").toPandas()  # as long as the tokenizer's vocabulary
     by_rank = ranked["id"].to_numpy(np.int64)
-    rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
-    rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    narrow = np.uint16 if len(by_rank) < 1 << 16 else np.uint32
+    rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, narrow)
+    rank_of[by_rank] = np.arange(len(by_rank), dtype=narrow)
     vocabulary = spark.sparkContext.broadcast((by_rank.astype(np.uint32), rank_of))
     _make(spark, folder)
     again = ids.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbflow.llm import _text
-from kerbflow.llm._cluster import written
+from kerbflow.llm._cluster import bounded_batches, written
 
 STEMS = (4, 5, 6)
 Z = 4.0
@@ -199,6 +199,7 @@ def fit_toxicity(training: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Fits on ``training`` (doc_id, text, toxic 0/1): token counts on all rows, the two
     calibration curves on at most about ``sample`` rows of each label, by hash of doc_id.
     """
+    bounded_batches(training.sparkSession)
     training = training.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     model = ToxicityModel(token_scores(training.select("text", "toxic")))
     if not model.scores:
@@ -224,6 +225,7 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     score of a text without evidence.  Repeated rows are scored alike; further columns are
     ignored; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, score double, passages array<struct<start:long,end:long,score:double,surprise:double>>"
     return rows.mapInArrow(_mapped(docs.sparkSession.sparkContext.broadcast(model), "passages"), kind)

@@ -220,7 +220,7 @@ def test_rank_coding():
         control, data = token_files.encode_ranks(ranks)
         back = token_files.decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n)
         assert (back == ranks).all()
-    raw = token_files.shard_bytes(np.array([3, 9]), np.array([2, 1]), np.array([0, 1, 0]), np.array([500, 70000]))
+    raw = b"".join(token_files.shard_parts(np.array([3, 9]), np.array([2, 1]), np.array([0, 1, 0]), np.array([500, 70000])))
     ids, lengths, tokens = token_files.read_shard(raw)
     assert ids.tolist() == [3, 9] and lengths.tolist() == [2, 1] and tokens.tolist() == [500, 70000, 500]
 
