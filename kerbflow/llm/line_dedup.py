@@ -114,7 +114,8 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
     long = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= LINE_WORDS)
     uses = rows.select("doc", "hash", F.explode(F.array_distinct(F.transform(long, lambda x: x["lines"]))).alias("line"))
     first = uses.groupBy("line").agg(F.min(F.struct("doc", "hash")).alias("first"), F.count("*").alias("uses")).where("uses > 1")
-    pairs = uses.join(first, "line").select("doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash"))
+    # a table of its own, so that the join does not share the aggregate's shuffle and a frequent line's rows can be split
+    pairs = uses.join(written(first.select("line", "first"), "first").hint("merge"), "line").select("doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash"))
     pairs = pairs.where("doc <> first_doc or hash <> first_hash").distinct()
     pairs = pairs.join(rows.select(F.col("doc").alias("first_doc"), F.col("hash").alias("first_hash"), F.col("lines").alias("first_lines")), ["first_doc", "first_hash"])
     pairs = pairs.join(rows, ["doc", "hash"]).select("doc", "hash", "first_lines", "lines", "words")
