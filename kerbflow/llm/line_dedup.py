@@ -1,28 +1,33 @@
 """Line dedup by pairwise alignment (operator 8).
 
-Every line with at least ``LINE_WORDS`` words that several documents share retrieves one pair
-for each later document: that document and the first one with the line.  So a line costs
-as many pairs as it has copies, however frequent it is, and every repeated line has an
-earlier partner.  (Retrieval by rare lines alone would miss large groups of copies; a line
-with a short text would retrieve pairs with nothing else in common.)
+A repeated block of ``BLOCK_WORDS`` words or more holds, for each of its lines, a *run* around
+it: the fewest adjacent lines with as many words, counted forward from a line or back from
+one.  Every run that several documents share, whatever the length of its lines, retrieves
+one pair for each later document: that document and the first one with the run.  So a run
+costs as many pairs as it has copies, however frequent it is, and each line of a repeated
+block is in a run whose first holder is paired.  (Lines retrieved singly would pair a
+document with holders that have its lines apart.)
 
 A pair is aligned by patience diff on line hashes: lines that occur once in either document
 are matched in the longest common order, matches grow over equal neighbours, and what lies
 between is aligned likewise.  Aligned runs of lines with ``BLOCK_WORDS`` words or more are
-deleted from the later document.
+deleted from the later document, and so are those that both have but that the alignment
+left, such as blocks in another order or with no line that occurs once.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.llm._cluster import written
+from kerbflow.llm._cluster import bounded_batches, written
 
-LINE_WORDS, BLOCK_WORDS = 6, 12
+BLOCK_WORDS = 12
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -76,16 +81,46 @@ def patience(left, right) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def runs(words, least: int = BLOCK_WORDS) -> set[tuple[int, int]]:
+    """(first, end) of the fewest adjacent lines with ``least`` words from each line on and back from each line."""
+    upto = np.concatenate([[0], np.cumsum(np.asarray(words, np.int64))])
+    n = len(upto) - 1
+    end = np.searchsorted(upto, upto[:-1] + least)
+    first = np.searchsorted(upto, upto[1:] - least, side="right") - 1
+    forward = {(s, e) for s, e in enumerate(end.tolist()) if e <= n}
+    return forward | {(s, e + 1) for e, s in enumerate(first.tolist()) if s >= 0}
+
+
+def run_hashes(lines, words, least: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
+    """(first, end, signed hash) of the runs of a document's line hashes."""
+    flat = np.asarray(lines, "<i8")
+    return [(s, e, xxhash.xxh3_64_intdigest(flat[s:e].tobytes()) - (1 << 63)) for s, e in sorted(runs(words, least))]
+
+
 def repeated_lines(left, right, words, least: int = BLOCK_WORDS) -> list[int]:
-    """Positions in ``right`` of the aligned blocks of at least ``least`` words."""
-    out, block = [], []
+    """Positions in ``right`` of the blocks of at least ``least`` words that ``left`` has, aligned or not."""
+    out, block = set(), []
     for pair in [*patience(left, right), (-9, -9)]:
         if block and (pair[0] != block[-1][0] + 1 or pair[1] != block[-1][1] + 1):
             if sum(words[j] for _, j in block) >= least:
-                out += [j for _, j in block]
+                out.update(j for _, j in block)
             block = []
         block.append(pair)
-    return out
+    left_over = [(s, e) for s, e in runs(words, least) if any(j not in out for j in range(s, e))]
+    if left_over:
+        count = dict(zip(right, words))  # a run of ``left`` that ``right`` lacks needs no words
+        parts, part = [], []
+        for h in [*left, None]:
+            if h in count:
+                part.append(h)
+            elif part:
+                parts.append(part)
+                part = []
+        known = {tuple(p[s:e]) for p in parts for s, e in runs([count[h] for h in p], least)}
+        for s, e in left_over:
+            if tuple(right[s:e]) in known:
+                out.update(range(s, e))
+    return sorted(out)
 
 
 def _aligned(batches):
@@ -96,6 +131,17 @@ def _aligned(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("hash"), pa.array(cut, pa.list_(pa.int32()))], ["doc", "hash", "cut"])
 
 
+def _run_uses(batches):
+    for batch in batches:
+        found, counts = [], []
+        for lines, words in zip(batch.column("lines"), batch.column("words")):
+            mine = {h for _, _, h in run_hashes(lines.values.to_numpy(), words.values.to_numpy())}
+            found += mine
+            counts.append(len(mine))
+        place = pa.array(np.repeat(np.arange(len(counts)), counts))
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(place), batch.column("hash").take(place), pa.array(found, pa.int64())], ["doc", "hash", "run"])
+
+
 def _lines(text) -> F.Column:
     return F.split(text, "\n")
 
@@ -111,11 +157,11 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
     trimmed = F.transform("line", lambda x: F.trim(x))
     rows = rows.select("doc", "hash", F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"), F.transform(trimmed, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("words"))
     rows = written(rows.distinct(), "lines")
-    long = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= LINE_WORDS)
-    uses = rows.select("doc", "hash", F.explode(F.array_distinct(F.transform(long, lambda x: x["lines"]))).alias("line"))
-    first = uses.groupBy("line").agg(F.min(F.struct("doc", "hash")).alias("first"), F.count("*").alias("uses")).where("uses > 1")
-    # a table of its own, so that the join does not share the aggregate's shuffle and a frequent line's rows can be split
-    pairs = uses.join(written(first.select("line", "first"), "first").hint("merge"), "line").select("doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash"))
+    bounded_batches(docs.sparkSession)
+    uses = written(rows.mapInArrow(_run_uses, "doc long, hash long, run long"), "uses")
+    first = uses.groupBy("run").agg(F.min(F.struct("doc", "hash")).alias("first"), F.count("*").alias("uses")).where("uses > 1")
+    # a table of its own, so that the join does not share the aggregate's shuffle and a frequent run's rows can be split
+    pairs = uses.join(written(first.select("run", "first"), "first").hint("merge"), "run").select("doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash"))
     pairs = pairs.where("doc <> first_doc or hash <> first_hash").distinct()
     pairs = pairs.join(rows.select(F.col("doc").alias("first_doc"), F.col("hash").alias("first_hash"), F.col("lines").alias("first_lines")), ["first_doc", "first_hash"])
     pairs = pairs.join(rows, ["doc", "hash"]).select("doc", "hash", "first_lines", "lines", "words")

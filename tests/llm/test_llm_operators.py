@@ -349,6 +349,40 @@ def test_line_dedup(spark):
     assert line_dedup.without_repeated_lines(docs_of(spark, ["a"]).where("doc_id < 0")).count() == 0
 
 
+def test_line_dedup_by_runs(spark):
+    line = [" ".join(words(7, 100 + k)) for k in range(12)]
+    short = [" ".join(words(4, 200 + k)) for k in range(6)]
+    texts = [
+        "\n".join([line[0], line[5]]),  # first with line 0, apart from line 1
+        "\n".join([line[6], line[1]]),  # first with line 1
+        "\n".join([line[0], line[1], line[7]]),  # first with the two together
+        "\n".join([line[8], line[0], line[1]]),
+        "\n".join(short),  # no line is long
+        "\n".join([line[9], *short[1:5], line[10]]),
+        "\n".join([*short[3:], *short[:3]]),  # in another order
+        "\n".join([*short[:3], "x", *short[:3]]),  # twice
+    ]
+    got = {r.doc_id: r.removed for r in line_dedup.without_repeated_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [1, 2], 4: [], 5: [1, 2, 3, 4], 6: [0, 1, 2, 3, 4, 5], 7: [0, 1, 2, 4, 5, 6]}
+
+
+def test_line_dedup_finds_every_block(spark):
+    r = random.Random(8)
+    texts = ["\n".join(" ".join([chr(97 + k)] * (k % 5 + 2)) for k in (r.randrange(9) for _ in range(r.randrange(1, 14)))) for _ in range(60)]
+    lines = [t.split("\n") for t in texts]
+
+    def blocks(doc):  # all stretches of 12 words and more
+        return {(s, e): tuple(doc[s:e]) for s in range(len(doc)) for e in range(s + 1, len(doc) + 1) if sum(len(x.split()) for x in doc[s:e]) >= 12}
+
+    seen, want = set(), {}
+    for k, doc in enumerate(lines):
+        mine = blocks(doc)
+        want[k] = sorted({p for (s, e), b in mine.items() if b in seen for p in range(s, e)})
+        seen |= set(mine.values())
+    got = {r.doc_id: r.removed for r in line_dedup.without_repeated_lines(docs_of(spark, texts)).collect()}
+    assert got == want
+
+
 # -- decontamination --------------------------------------------------------------------
 
 
