@@ -8,6 +8,10 @@ offers many windows.  The words around the hit, as many as the template has and
 more on either side, must then contain ``CONTAINED`` of the template's exact ``SHINGLE``-word
 shingles.
 
+Templates of fewer than ``WINDOW`` words have no window; they are found where their shingles
+stand in a row, by lookup of the first one, so only word for word.  Several templates may
+share a name: of their overlapping copies the best one is reported.
+
 Templates are a parameter, small by nature and checked to be; they go to all tasks, so the
 scan is one pass over the texts without a shuffle.
 """
@@ -46,6 +50,33 @@ NOTICES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced"),
+    # the notice alone, and the part that the common wordings of the short notices share
+    ("all-rights-reserved-notice", "All rights reserved."),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "under the Apache License 2.0"),
+    ("Apache-2.0", "under the Apache 2.0 License"),
+    ("Apache-2.0", "under the Apache-2.0 License"),
+    ("MIT", "under the MIT License"),
+    ("MIT", "under an MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "under the terms of the MIT License"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License v3"),
+    ("GPL-3.0", "GNU General Public License v3.0"),
+    ("GPL-3.0", "GNU GPL version 3"),
+    ("GPL-3.0", "GNU GPL v3"),
+    ("GPL-3.0", "under the GPL-3.0 License"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("BSD", "under the BSD License"),
+    ("BSD", "3-Clause BSD License"),
+    ("BSD", "2-Clause BSD License"),
 )
 
 
@@ -105,12 +136,18 @@ class TemplateIndex:
         hashes, off = _word_hashes(pa.array([t for _, t in templates], pa.string()))
         self.names = [n for n, _ in templates]
         self.words = [hashes[a:b] for a, b in zip(off[:-1], off[1:])]
-        short = [n for n, w in zip(self.names, self.words) if len(w) < WINDOW]
+        short = [n for n, w in zip(self.names, self.words) if len(w) < SHINGLE]
         if short:
-            raise ValueError(f"templates of fewer than {WINDOW} words: {short}")
+            raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
         if off[-1] > TEMPLATE_WORDS:
             raise ValueError(f"templates of {off[-1]} words; at most {TEMPLATE_WORDS} are sent to all tasks")
-        self.shingles = [np.unique(_shingle_hashes(w, np.array([0, len(w)]))[0]) for w in self.words]
+        rows = [_shingle_hashes(w, np.array([0, len(w)]))[0] for w in self.words]
+        self.shingles = [np.unique(r) for r in rows]
+        self.short = defaultdict(list)
+        for t, row in enumerate(rows):
+            if len(self.words[t]) < WINDOW:
+                self.short[int(row[0])].append((t, row))
+        self.short_keys = np.array(sorted(self.short), np.uint64)
         where = defaultdict(set)
         for t, w in enumerate(self.words):
             for at, row in enumerate(band_keys(w).T):
@@ -167,7 +204,30 @@ class TemplateIndex:
                             best[-1] = (text, self.names[t], first, end, share)
                     else:
                         best.append((text, self.names[t], first, end, share))
-        return [f for _, listed in sorted(found.items()) for f in listed]
+        at = np.flatnonzero(known)
+        for i in at[np.isin(shingles[at], self.short_keys)].tolist():
+            text = int(np.searchsorted(s_off, i, side="right")) - 1
+            for t, row in self.short[int(shingles[i])]:
+                if i + len(row) <= s_off[text + 1] and np.array_equal(shingles[i : i + len(row)], row):
+                    first = i - int(s_off[text])
+                    found[text, t].append((text, self.names[t], first, first + len(self.words[t]), 1.0))
+        return self._best(found)
+
+    def _best(self, found: dict) -> list[tuple[int, str, int, int, float]]:
+        """The copies without those that overlap a better or longer one of another template of that name."""
+        named = defaultdict(list)
+        for (text, t), listed in sorted(found.items()):
+            named[text, self.names[t]] += [(f, t) for f in listed]
+        out = []
+        for listed in named.values():
+            kept, covered = [], {}
+            for f, t in sorted(listed, key=lambda x: (-x[0][4], x[0][2] - x[0][3], x[0][2])):
+                place = range(f[2], f[3])
+                if all(covered.get(k, t) == t for k in place):
+                    kept.append(f)
+                    covered |= dict.fromkeys(place, t)
+            out += sorted(kept)
+        return out
 
 
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = NOTICES) -> DataFrame:

@@ -172,6 +172,19 @@ def test_licences(spark):
         licences.TemplateIndex([("short", "too short")])
 
 
+def test_licence_notices_of_few_words(spark):
+    fill = " ".join(words(12, 5))
+    texts = [f"{fill}\nAll rights reserved.\n{fill}", "all rights\nRESERVED", f"{fill} Licensed under the MIT License.", "Distributed under the Apache License, version 2.0", "(CC BY-NC 4.0)", "All rights are reserved", "all rights", "", "Reserved", f"All rights reserved. {fill} All rights reserved.", "Released under the MIT License."]
+    got = defaultdict(list)
+    for r in licences.scan_licences(docs_of(spark, texts)).collect():
+        got[r.doc_id].append((r.license, r.first_word, r.end_word))
+    notice = "all-rights-reserved-notice"
+    assert got == {
+        0: [(notice, 12, 15)], 1: [(notice, 0, 3)], 2: [("MIT", 13, 17)], 3: [("Apache-2.0", 3, 7)], 4: [("CC-BY-NC-4.0", 0, 3)],
+        9: [(notice, 0, 3), (notice, 15, 18)], 10: [("MIT", 0, 5)],
+    }
+
+
 # -- top k ------------------------------------------------------------------------------
 
 
