@@ -1,13 +1,15 @@
 """Benchmark decontamination by template canonicalisation (operator 9).
 
-Texts become words (runs of letters and digits).  Numbers turn into ``<num>``, a unit
-after a number into ``<unit>``, a capitalised word inside a sentence into ``<name>``; all
-else is lower-cased.  Windows of ``WINDOW`` canonical words are hash-joined with those of
-the benchmark items.  Matched windows of a document and an item are laid side by side and
-their slots compared: within one alignment an item's slot value must stand for one value
-of the document throughout, or the alignment does not count.  What remains decides by the
-share of the item's windows that were found, so that questions with other numbers, names
-or units are caught like verbatim copies.
+Texts become words (runs of letters and digits; a decimal or grouped number is one).  Numbers
+turn into ``<num>``, a unit after a number into ``<unit>``, a capitalised word inside a sentence
+into ``<name>``; all else is lower-cased.  Windows of ``WINDOW`` canonical words are
+hash-joined with those of the benchmark items.  Matched windows of a document and an item are
+laid side by side and their slots compared: within one alignment a value that an item has in
+several slots must not stay in one and change in another.  The windows that hold such a value
+do not count; windows without slots always do.  (Slots that only happen to be equal in the
+item may all change, each to a value of its own.)  What remains decides by the share of the
+item's windows that were found, so that questions with other numbers, names or units are
+caught like verbatim copies.
 
 DataFrame functions only.
 """
@@ -32,28 +34,39 @@ def _units() -> str:
     return "|".join(sorted(UNITS, key=len, reverse=True))
 
 
+#: Stands for the mark inside a decimal or grouped number.
+MARK = "\u066b"
+_NUM, _WORD, _OTHER = rf"\p{{N}}[\p{{N}}{MARK}]*", rf"\p{{L}}\p{{N}}{MARK}", rf"[^\p{{L}}\p{{N}}{MARK}]+"
+
+
+def _joined(text: Column) -> Column:
+    """The text with ``MARK`` for each point, comma, apostrophe or fixed blank between two digits."""
+    inside = "[.,'\u2019\u00a0\u202f]"
+    return F.regexp_replace(F.translate(text, MARK, " "), rf"{inside}(?<=\p{{N}}{inside})(?=\p{{N}})", MARK)
+
+
 def canonical_text(text: Column) -> Column:
     """The text with its slots replaced by ``<num>``, ``<unit>`` and ``<name>``, lower-cased.
 
     A slot is one word, so the words of the result line up with those of ``raw_text``.
     """
     # (?=...) first: it rejects most places at once
-    text = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{Ll},] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "<name>")
-    text = F.regexp_replace(text, rf"(?=\p{{N}})(?<![\p{{L}}\p{{N}}])\p{{N}}+ ?(?i:{_units()})(?![\p{{L}}\p{{N}}])", "<num> <unit>")
-    return F.lower(F.regexp_replace(text, r"(?=\p{N})(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", "<num>"))
+    text = F.regexp_replace(_joined(text), r"(?=\p{Lu})(?<=[\p{Ll},] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "<name>")
+    text = F.regexp_replace(text, rf"(?=\p{{N}})(?<![{_WORD}]){_NUM} ?(?i:{_units()})(?![\p{{L}}\p{{N}}])", "<num> <unit>")
+    return F.lower(F.regexp_replace(text, rf"(?=\p{{N}})(?<![{_WORD}]){_NUM}(?![\p{{L}}\p{{N}}])", "<num>"))
 
 
 def raw_text(text: Column) -> Column:
     """The text in lower case, with a blank between a number and its unit."""
-    return F.lower(F.regexp_replace(text, rf"(?=\p{{N}})(?<![\p{{L}}\p{{N}}])(\p{{N}}+)((?i:{_units()}))(?![\p{{L}}\p{{N}}])", "$1 $2"))
+    return F.lower(F.regexp_replace(_joined(text), rf"(?=\p{{N}})(?<![{_WORD}])({_NUM})((?i:{_units()}))(?![\p{{L}}\p{{N}}])", "$1 $2"))
 
 
 def canonical_words(text: Column) -> Column:
-    return F.filter(F.split(canonical_text(F.translate(text, "<>", "  ")), r"[^\p{L}\p{N}<>]+"), lambda w: w != "")
+    return F.filter(F.split(canonical_text(F.translate(text, "<>", "  ")), _OTHER.replace("^", "^<>")), lambda w: w != "")
 
 
 def raw_words(text: Column) -> Column:
-    return F.filter(F.split(raw_text(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(raw_text(text), _OTHER), lambda w: w != "")
 
 
 def _windows(words: Column) -> Column:
@@ -94,13 +107,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     slotted = met.where("slots > 0").join(own, met["doc_id"].eqNullSafe(F.col("d")) & (met["text_hash"] == F.col("h")))
     slotted = slotted.withColumn("doc_raw", F.slice("raw", F.col("doc_at") + 1, WINDOW))
     line = ["doc_id", "text_hash", "item_id", "shift"]
-    values = slotted.select(*line, F.explode(F.filter(F.arrays_zip("kinds", "item_raw", "doc_raw"), lambda s: _is_slot(s["kinds"]))).alias("slot"))
-    values = values.select(*line, "slot.*").distinct().groupBy(*line, "kinds", "item_raw").agg(F.count("*").alias("values"))
-    broken = values.where("values > 1").select(*[F.col(c).alias("x_" + c) for c in line]).distinct()
+    slot = F.explode(F.filter(F.arrays_zip("kinds", "item_raw", "doc_raw"), lambda s: _is_slot(s["kinds"])))
+    slots = slotted.select(*line, "item_at", slot.alias("slot")).select(*line, "item_at", "slot.*")
+    kept = F.col("item_raw") == F.col("doc_raw")
+    broken = slots.groupBy(*line, "kinds", "item_raw").agg(F.max(kept).alias("kept"), F.max(~kept).alias("changed")).where("kept and changed")
+    on = [*line, "kinds", "item_raw"]
+    broken = broken.select(*[F.col(c).alias("y_" + c) for c in on])
+    same = slots["doc_id"].eqNullSafe(F.col("y_doc_id"))
+    for c in on[1:]:
+        same = same & (slots[c] == F.col("y_" + c))
+    line = [*line, "item_at"]
+    dropped = slots.join(broken, same).select(*[F.col(c).alias("x_" + c) for c in line]).distinct()
     same = met["doc_id"].eqNullSafe(F.col("x_doc_id"))
     for c in line[1:]:
         same = same & (met[c] == F.col("x_" + c))
-    sound = met.join(broken, same, "left_anti")
+    sound = met.join(dropped, same, "left_anti")
 
     found = sound.select("doc_id", "text_hash", "item_id", "item_at").distinct().groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("windows"))
     return found.join(totals, "item_id").where(F.col("windows") >= share * F.col("item_windows")).select("doc_id", "text_hash", "item_id", "windows", "item_windows")

@@ -418,6 +418,23 @@ def test_decontamination(spark):
     assert [r.text for r in decontaminate.clean_documents(nameless, bench).collect()] == [texts[3]]
 
 
+def test_decontamination_drops_only_conflicting_windows(spark):
+    fill = " ".join(words(30, 4)) + ". "
+    long = "the tank holds 40 litres at dawn and " + " ".join(words(30, 6)) + " so that 40 men can drink"
+    seats = "there are 5 cars with 5 seats in the yard and every driver counts them"
+    split = "the rod of 3.5 and the one of 3.2 were laid on the table, 1,200 times in all"
+    items = [long, seats, split]
+    texts = [fill + x + " " + fill for x in (
+        long.replace("40 men", "41 men"),
+        seats.replace("5 cars", "6 cars").replace("5 seats", "8 seats"),
+        split.replace("3.5", "4.75").replace("3.2", "3.1").replace("1,200", "3500"),
+    )]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()} == {(0, 0), (1, 1), (2, 2)}
+    both = spark.createDataFrame([("Cost 3.5kg, v2.5 and 1,2 or 5. Then 1'000.50 km; 7x 3.5x",)], "t string").select(decontaminate.canonical_words(F.col("t")).alias("c"), decontaminate.raw_words(F.col("t")).alias("r")).first()
+    assert len(both.c) == len(both.r) and both.c[:3] == ["cost", "<num>", "<unit>"] and both.r[:3] == ["cost", f"3{decontaminate.MARK}5", "kg"]
+
+
 # -- html -------------------------------------------------------------------------------
 
 
