@@ -11,6 +11,9 @@ item may all change, each to a value of its own.)  What remains decides by the s
 item's windows that were found, so that questions with other numbers, names or units are
 caught like verbatim copies.
 
+Windows that are mostly slots say too little as templates; they are found by their own words,
+as is the whole of an item with fewer words than a window.
+
 DataFrame functions only.
 """
 
@@ -69,10 +72,10 @@ def raw_words(text: Column) -> Column:
     return F.filter(F.split(raw_text(text), _OTHER), lambda w: w != "")
 
 
-def _windows(words: Column) -> Column:
+def _windows(words: Column, width: int = WINDOW) -> Column:
     """Hashes of all windows of an array of words, in order; none if there are fewer words."""
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    return F.when(F.size(words) >= WINDOW, many).otherwise(F.array().cast("array<bigint>"))
+    many = F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))
+    return F.when(F.size(words) >= width, many).otherwise(F.array().cast("array<bigint>"))
 
 
 def _is_slot(word: Column) -> Column:
@@ -82,18 +85,24 @@ def _is_slot(word: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, text_hash, item_id, windows, item_windows) for each document that contains an item.
 
-    ``text_hash`` tells rows apart that share a doc_id or have none.  Items with fewer than
-    ``WINDOW`` words, or whose windows are mostly slots, cannot be recognised and match
-    nothing; neither do null and empty texts.  Repeated rows count once.  Empty tables give no
-    rows; further columns are ignored.
+    ``text_hash`` tells rows apart that share a doc_id or have none.  ``item_windows`` counts all
+    windows of an item, the whole item if it has fewer than ``WINDOW`` words.  An item is found
+    by ``share`` of them, or of those that are not mostly slots, if it has any.  Items without
+    words match nothing; neither do null and empty texts.  Repeated rows count once.  Empty
+    tables give no rows; further columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    items = items.select("item_id", canonical_words(F.col("text")).alias("canon"), raw_words(F.col("text")).alias("raw"))
-    items = items.select("item_id", "canon", "raw", F.posexplode(_windows(F.col("canon"))).alias("item_at", "window"))
+    whole = items.select("item_id", canonical_words(F.col("text")).alias("canon"), raw_words(F.col("text")).alias("raw"))
+    items = whole.select("item_id", "canon", "raw", F.posexplode(_windows(F.col("canon"))).alias("item_at", "window"))
     items = items.select("item_id", "item_at", "window", F.slice("canon", F.col("item_at") + 1, WINDOW).alias("kinds"), F.slice("raw", F.col("item_at") + 1, WINDOW).alias("item_raw"))
-    items = items.withColumn("slots", F.size(F.filter("kinds", _is_slot))).where(F.col("slots") <= WINDOW - PLAIN)
-    items = written(items, "items")
-    totals = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
+    items = written(items.withColumn("slots", F.size(F.filter("kinds", _is_slot))), "items")
+    few = WINDOW - PLAIN
+    dense = items.where(F.col("slots") > few).select("item_id", "item_at", F.lit(WINDOW).alias("width"), F.xxhash64("item_raw").alias("window"))
+    short = whole.where(F.size("raw").between(1, WINDOW - 1)).select("item_id", F.lit(-1).alias("item_at"), F.size("raw").alias("width"), F.xxhash64("raw").alias("window"))
+    exact = written(dense.unionByName(short), "exact")
+    items = items.where(F.col("slots") <= few)
+    counted = items.select("item_id", "item_at", F.lit(True).alias("plain")).unionByName(exact.select("item_id", "item_at", F.lit(False).alias("plain"))).distinct()
+    totals = counted.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"), F.count_if("plain").alias("item_plain"))
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     seen = docs.select("doc_id", "text_hash", canonical_words(F.col("text")).alias("canon"))
@@ -123,8 +132,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         same = same & (met[c] == F.col("x_" + c))
     sound = met.join(dropped, same, "left_anti")
 
-    found = sound.select("doc_id", "text_hash", "item_id", "item_at").distinct().groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("windows"))
-    return found.join(totals, "item_id").where(F.col("windows") >= share * F.col("item_windows")).select("doc_id", "text_hash", "item_id", "windows", "item_windows")
+    found = sound.select("doc_id", "text_hash", "item_id", "item_at", F.lit(True).alias("plain"))
+    widths = sorted(r.width for r in exact.select("width").distinct().collect())  # at most WINDOW
+    if widths:
+        raw = docs.select("doc_id", "text_hash", raw_words(F.col("text")).alias("raw"))
+        own = raw.select("doc_id", "text_hash", F.explode(F.array(*[F.struct(F.lit(w).alias("width"), _windows(F.col("raw"), w).alias("all")) for w in widths])).alias("of"))
+        own = own.select("doc_id", "text_hash", "of.width", F.explode("of.all").alias("window"))
+        word_for_word = own.join(sized(exact), ["width", "window"]).select("doc_id", "text_hash", "item_id", "item_at", F.lit(False).alias("plain"))
+        found = found.unionByName(word_for_word)
+    found = found.distinct().groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_at").alias("windows"), F.count_if("plain").alias("plain"))
+    enough = (F.col("windows") >= share * F.col("item_windows")) | ((F.col("item_plain") > 0) & (F.col("plain") >= share * F.col("item_plain")))
+    return found.join(totals, "item_id").where(enough).select("doc_id", "text_hash", "item_id", "windows", "item_windows")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

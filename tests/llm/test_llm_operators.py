@@ -435,6 +435,18 @@ def test_decontamination_drops_only_conflicting_windows(spark):
     assert len(both.c) == len(both.r) and both.c[:3] == ["cost", "<num>", "<unit>"] and both.r[:3] == ["cost", f"3{decontaminate.MARK}5", "kg"]
 
 
+def test_decontamination_of_dense_and_short_items(spark):
+    fill = " ".join(words(30, 4)) + ". "
+    sums = "12 + 34 + 56 - 7 * 8 + 90 / 3 = 76 or 1 + 2"
+    names = "the list has Anna, Berta, Carla, Dora, Emil, Fritz, Gustav, Hans, Ida"
+    short = "who wrote Faust?"
+    items = [sums, names, short, "...", "Ja"]
+    texts = [fill + x + "; " + fill for x in (sums, names, short.upper(), sums.replace("34", "35").replace("8", "9").replace("1 + 2", "4 + 4"), "who never wrote Faust", "ja")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, [*texts, None, ""]), bench).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (5, 4)}
+
+
 # -- html -------------------------------------------------------------------------------
 
 
