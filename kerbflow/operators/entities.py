@@ -91,15 +91,37 @@ def dedupe_rects(drawings: DataFrame, digits: int = 1) -> DataFrame:
     return first_of(drawings, [*(F.round(c, digits) for c in ("x0", "y0", "x1", "y1")), F.col("fill")], ["drawing_id"])
 
 
+#: Target colours up to which drawings are streamed past all of them.
+COLORS = 10_000
+
+
 def color_hits(colors: DataFrame, drawings: DataFrame, threshold: float) -> DataFrame:
     """By target colour: drawings whose fill, whose stroke, or either is near.
 
-    Colours are a short list (a legend); drawings are streamed past it.
+    Drawings are streamed past a short list of colours (a legend); a list of more than
+    ``COLORS``, which are counted, is joined by cells of colour as wide as the threshold.
     """
     near = lambda c: F.coalesce(G.rgb_distance(F.col("color"), F.col(c)) <= threshold, F.lit(False))
-    pairs = drawings.select("fill", "stroke").crossJoin(F.broadcast(colors.limit(10_000)))
-    pairs = pairs.select("color_id", near("fill").alias("f"), near("stroke").alias("s"))
-    return pairs.groupBy("color_id").agg(F.count_if("f").alias("fill_hits"), F.count_if("s").alias("stroke_hits"), F.count_if(F.col("f") | F.col("s")).alias("matched"))
+    if colors.count() <= COLORS:
+        pairs = drawings.select("fill", "stroke").crossJoin(F.broadcast(colors))
+        pairs = pairs.select("color_id", near("fill").alias("f"), near("stroke").alias("s"))
+        return pairs.groupBy("color_id").agg(F.count_if("f").alias("fill_hits"), F.count_if("s").alias("stroke_hits"), F.count_if(F.col("f") | F.col("s")).alias("matched"))
+
+    width = threshold * (1 + 1e-9) if threshold > 0 else 1.0  # a rounded quotient must not skip a cell
+    cell = lambda c, k: F.floor(F.col(c)[k] / width)
+    around = [F.explode(F.array(*[cell("color", k) + d for d in (-1, 0, 1)])).alias(f"cell{k}") for k in range(3)]
+    spread = colors.select("color_id", "color")
+    for k in range(3):
+        spread = spread.select("*", around[k])
+    kinds = drawings.groupBy("fill", "stroke").agg(F.count("*").alias("n"))
+    at = lambda c: kinds.select("*", *[cell(c, k).alias(f"cell{k}") for k in range(3)]).join(spread, ["cell0", "cell1", "cell2"]).where(near(c))
+    none = F.lit(0).cast("long")
+    hits = at("fill").select("color_id", F.col("n").alias("f"), none.alias("s"), F.when(near("stroke"), F.col("n")).otherwise(none).alias("both"))
+    hits = hits.unionByName(at("stroke").select("color_id", none.alias("f"), F.col("n").alias("s"), none.alias("both")))
+    # colours without a hit count 0 unless there are no drawings
+    rest = colors.select("color_id").crossJoin(F.broadcast(drawings.select(F.lit(1)).limit(1))).select("color_id", none.alias("f"), none.alias("s"), none.alias("both"))
+    sums = hits.unionByName(rest).groupBy("color_id").agg(F.sum("f").alias("fill_hits"), F.sum("s").alias("stroke_hits"), F.sum("both").alias("both"))
+    return sums.select("color_id", "fill_hits", "stroke_hits", (F.col("fill_hits") + F.col("stroke_hits") - F.col("both")).alias("matched"))
 
 
 def geometry_gate(drawings: DataFrame, area: float, short: float, long: float) -> DataFrame:

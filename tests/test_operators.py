@@ -217,3 +217,22 @@ def test_contours_and_centres(spark):
     assert [r.x for r in curves.row_centres(runs).orderBy("y").collect()] == [15, 13, 0.5]
     line = curves.extended(curve(spark, [(0, 0), (3, 4)]), spark.createDataFrame([(1, 5.0)], "path_id int, distance double")).orderBy("i").collect()
     assert [(r.x, r.y) for r in line] == [(0, 0), (3, 4), (6, 8)]
+
+
+def test_color_hits_of_many_colors(spark):
+    r = random.Random(3)
+    pick = lambda: [r.randrange(5) / 4 for _ in range(3)]
+    shown = [(pick(), None if k % 5 == 0 else pick()) for k in range(40)]
+    asked = [(k, None if k == 7 else pick()) for k in range(10_050)]
+    colors = spark.createDataFrame(asked, "color_id long, color array<double>")
+    drawings = spark.createDataFrame(shown, "fill array<double>, stroke array<double>")
+    near = lambda a, b: a is not None and b is not None and math.sqrt(sum((x - y) * (x - y) for x, y in zip(a, b))) <= 0.25
+    memo = {}
+    for k, c in asked:
+        key = c and tuple(c)
+        if key not in memo:
+            f, s = [near(x, c) for x, _ in shown], [near(y, c) for _, y in shown]
+            memo[key] = (sum(f), sum(s), sum(p or q for p, q in zip(f, s)))
+    got = {row.color_id: (row.fill_hits, row.stroke_hits, row.matched) for row in entities.color_hits(colors, drawings, 0.25).collect()}
+    assert got == {k: memo[c and tuple(c)] for k, c in asked}
+    assert entities.color_hits(colors, drawings.limit(0), 0.25).count() == 0
