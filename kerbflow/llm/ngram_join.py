@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbflow.llm import _text
-from kerbflow.llm._cluster import SLICES, bounded_batches, components, merged_sketch, partitions, sketch_rows, written
+from kerbflow.llm._cluster import SLICES, bounded_batches, components, give_back, merged_sketch, partitions, sketch_rows, written
 
 WIDTH, PERCENT = 5, 80
 #: Groups of small sets, and of the largest.
@@ -115,6 +115,7 @@ class CountTree:
 
 def _first_pass(width: int):
     def run(batches):
+        give_back()
         sketch = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for part in _text.slices(batch):
@@ -143,6 +144,7 @@ def _order_levels(sketch: np.ndarray) -> np.ndarray:
 
 def _prefixes(width: int, percent: int, levels):
     def run(batches):
+        give_back()
         level, seen = levels.value, set()
         for batch in batches:
             for part in _text.slices(batch):
@@ -228,6 +230,7 @@ def _membership(ids: DataFrame) -> np.ndarray:
 
 def _sets_of(width: int, wanted):
     def run(batches):
+        give_back()
         marks, seen = wanted.value, set()
         for batch in batches:
             ids = _text.long_column(batch, "doc_id")

@@ -12,7 +12,11 @@ is laid out as follows, all numbers little-endian:
     data bytes
 
 The decoder looks up the four lengths of each control byte in a table of 256 rows and
-gathers the bytes with numpy.
+gathers the bytes with numpy, ``PIECE`` tokens at a time, so that reading a file needs its
+bytes and little more.
+
+Documents are dealt by ranges of (doc_id, hash of the text), so that a doc_id that many rows
+share is split; a range is written as a row of files of about ``SHARD_TOKENS`` tokens.
 
 Encoding keeps texts in Arrow buffers and hands every distinct piece to the tokenizer once a
 slice.  Pieces are cut where a byte-level BPE cuts anyway: before white space that follows
@@ -22,25 +26,32 @@ space beyond ASCII or with a special token's string are encoded whole.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.llm import _text
-from kerbflow.llm._cluster import bounded_batches, partitions, shared_folder, written
+from kerbflow.llm._cluster import bounded_batches, give_back, partitions, shared_folder, written
 
 MAGIC, VERSION = b"KFTK", 1
 #: Tokens coded at a time, a multiple of four.
 PIECE = 1 << 18
+#: Tokens after which a shard file is closed; only a single longer document makes a larger one.
+SHARD_TOKENS = 1 << 22
+#: Documents of a range, one task each.
+RANGE_ROWS = 200_000
 NULL_ID = np.iinfo(np.int64).min
 #: Pieces that a worker remembers between slices, about 40 MB.
 REMEMBERED = 800_000
@@ -84,8 +95,8 @@ def shard_parts(doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, voc
     return [head, vocabulary.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), *(c for c, _ in coded), *(d for _, d in coded)]
 
 
-def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, tokens of each document and all token ids of a shard file."""
+def open_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
+    """doc_ids, tokens of each document, and the token ids of a shard file, ``PIECE`` at a time."""
     if raw[:4] != MAGIC:
         raise ValueError("not a token file")
     version, docs, tokens, size = struct.unpack_from("<IQQI", raw, 4)
@@ -100,7 +111,38 @@ def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at += 4 * docs
     control = np.frombuffer(raw, np.uint8, -(-tokens // 4), at)
     data = np.frombuffer(raw, np.uint8, -1, at + len(control))
-    return doc_ids, lengths, vocabulary[decode_ranks(control, data, tokens)]
+
+    def pieces():
+        used = 0
+        for a in range(0, tokens, PIECE):
+            count = min(PIECE, tokens - a)
+            part = control[a // 4 : a // 4 + -(-count // 4)]
+            size = int(_LENGTHS[part].reshape(-1)[:count].sum())
+            yield vocabulary[decode_ranks(part, data[used : used + size], count)]
+            used += size
+
+    return doc_ids, lengths, pieces()
+
+
+def read_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, tokens of each document and all token ids of a shard file."""
+    doc_ids, lengths, pieces = open_shard(raw)
+    return doc_ids, lengths, np.concatenate([np.zeros(0, np.uint32), *pieces])
+
+
+def by_document(lengths: np.ndarray, pieces: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The ids of each document of a shard as a list of consecutive parts."""
+    rest = np.zeros(0, np.uint32)
+    for n in lengths.tolist():
+        parts = []
+        while n > len(rest):
+            if len(rest):
+                parts.append(rest)
+            n -= len(rest)
+            rest = next(pieces)
+        parts.append(rest[:n])
+        rest = rest[n:]
+        yield parts
 
 
 def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -215,27 +257,30 @@ class Encoder:
         return out, np.diff(total)
 
 
-def _encoded(tokenizer: str, end_id: int, bounds: list[int]):
-    edges = np.array(bounds, np.int64)
-
+def _encoded(tokenizer: str, end_id: int):
     def run(batches):
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             for part in _text.slices(batch):
                 ids, count = encoder.encode(part.column("text"))
-                doc = _text.long_column(part, "doc_id")
-                bucket = np.searchsorted(edges, doc.fill_null(int(NULL_ID)).to_numpy(), side="right")
                 off = np.concatenate([[0], np.cumsum(count)])
-                packed = []
+                packed, same = [], []
                 for a, b in zip(off[:-1], off[1:]):
                     full = np.append(ids[a:b], np.uint32(end_id))
                     narrow = full.astype("<u2") if full.max() < 1 << 16 else full.astype("<u4")
+                    same.append(xxhash.xxh3_64_intdigest(narrow.tobytes()) - (1 << 63))
                     packed.append(bytes([narrow.itemsize]) + pa.compress(narrow.tobytes(), "zstd", asbytes=True))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), doc, pa.array(count + 1), pa.array(packed, pa.binary())], ["bucket", "doc_id", "n", "packed"])
+                yield pa.RecordBatch.from_arrays([_text.long_column(part, "doc_id"), pa.array(same, pa.int64()), pa.array(count + 1), pa.array(packed, pa.binary())], ["doc_id", "hash", "n", "packed"])
 
     return run
 
 
+def released() -> None:
+    """A worker that has encoded gives its memory back."""
+    Encoder._made.clear()
+    give_back()
+
+
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
     width = packed[0]
     return np.frombuffer(pa.decompress(packed[1:], n * width, "zstd", asbytes=True), f"<u{width}").astype(np.uint32)
@@ -243,6 +288,7 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
 
 def _counted(batches):
     """A task's counts of each id."""
+    released()
     seen = np.zeros(1, np.int64)
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
@@ -263,57 +309,61 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def _name(root: str, bucket: int, part: int) -> str:
+    return f"{root}/shard-{bucket:08d}-{part:06d}.kftk"
+
+
 def _written_shards(folder: str, vocabulary):
-    """Writes the rows, sorted by (bucket, doc_id), as one file a bucket; returns a manifest."""
-
-    def save(store, root, bucket, docs, parts):
-        lengths = np.array([len(p) for p in parts], np.int64)
-        named = np.array([NULL_ID if d is None else d for d in docs], np.int64)
-        raw = shard_parts(named, lengths, np.concatenate(parts), vocabulary.value[0])
-        name = f"{root}/shard-{bucket:08d}.kftk"
-        draft = f"{name}.{uuid.uuid4().hex}"  # a lost or repeated attempt leaves the final name whole
-        with store.open_output_stream(draft) as f:
-            for piece in raw:
-                f.write(piece)
-        store.move(draft, name)
-        return bucket, len(docs), int(lengths.sum())
+    """Writes a partition's rows, in order, as files of about ``SHARD_TOKENS`` tokens; returns a manifest."""
 
     def run(batches):
-        Encoder._made.clear()  # a worker that has encoded needs its memory back
+        released()
         store, root = _store(folder)
-        manifest, bucket, docs, parts = [], None, [], []
+        bucket, manifest = TaskContext.get().partitionId(), []
+        docs, parts, size = [], [], 0
         rank_of = vocabulary.value[1]
+
+        def save():
+            lengths = np.array([len(p) for p in parts], np.int64)
+            named = np.array([NULL_ID if d is None else d for d in docs], np.int64)
+            pieces = shard_parts(named, lengths, np.concatenate(parts), vocabulary.value[0])
+            name = _name(root, bucket, len(manifest))
+            draft = f"{name}.{uuid.uuid4().hex}"  # a lost or repeated attempt leaves the final name whole
+            with store.open_output_stream(draft) as f:
+                for piece in pieces:
+                    f.write(piece)
+            store.move(draft, name)
+            manifest.append((bucket, len(manifest), len(docs), int(lengths.sum())))
+
         for batch in batches:
-            for b, d, n, p in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if bucket is not None and b != bucket:
-                    manifest.append(save(store, root, bucket, docs, parts))
-                    docs, parts = [], []
-                bucket = b
+            for d, n, p in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if size and size + n > SHARD_TOKENS:
+                    save()
+                    docs, parts, size = [], [], 0
                 docs.append(d)
-                parts.append(rank_of[_unpacked(p, n)])
+                parts.append(rank_of[_unpacked(p.as_py(), n)])
+                size += n
         if parts:
-            manifest.append(save(store, root, bucket, docs, parts))
-        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in manifest], pa.int64()) for k in range(3)], ["bucket", "docs", "tokens"])
+            save()
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in manifest], pa.int64()) for k in range(4)], ["bucket", "part", "docs", "tokens"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shard_rows: int = 20_000) -> DataFrame:
-    """Writes token files below ``folder`` and returns their manifest (bucket, docs, tokens, base).
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Writes token files below ``folder`` and returns their manifest (bucket, part, docs, tokens, base).
 
     Files follow one another in ascending doc_id order (nulls first), rows inside likewise; rows
-    that share a doc_id stay together.  ``base`` is the number of ids in the files before.
-    Null and empty texts hold the end id alone.  An empty table writes no file.
+    that share a doc_id are ordered by a hash of their ids.  ``base`` is the number of ids in the
+    files before.  Null and empty texts hold the end id alone.  An empty table writes no file.
+    The tokenizer must be a byte-level BPE: pieces are encoded on their own.
     """
     spark = docs.sparkSession
+    checked_kind(tokenizer)
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.count()
-    parts = max(partitions(spark), -(-rows // shard_rows))
-    cuts = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", cuts, 0.1 / parts))) if rows and cuts else []
-    ids = docs.mapInArrow(_encoded(tokenizer, end_id, [int(b) for b in bounds]), "bucket int, doc_id long, n long, packed binary")
-    ids = written(ids, "tokens")
+    ids = written(docs.mapInArrow(_encoded(tokenizer, end_id), "doc_id long, hash long, n long, packed binary"), "tokens")
+    parts = max(partitions(spark), -(-ids.count() // range_rows))
     counts = ids.select("n", "packed").mapInArrow(_counted, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     ranked = counts.orderBy(F.desc("count"), "id").toPandas()  # as long as the tokenizer's vocabulary
     by_rank = ranked["id"].to_numpy(np.int64)
@@ -322,43 +372,84 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     rank_of[by_rank] = np.arange(len(by_rank), dtype=narrow)
     vocabulary = spark.sparkContext.broadcast((by_rank.astype(np.uint32), rank_of))
     _make(spark, folder)
-    again = ids.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id")
-    manifest = written(again.mapInArrow(_written_shards(folder, vocabulary), "bucket long, docs long, tokens long"), "manifest")
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    again = ids.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    manifest = written(again.mapInArrow(_written_shards(folder, vocabulary), "bucket long, part long, docs long, tokens long"), "manifest")
+    before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
+def checked_kind(tokenizer: str) -> None:
+    """Raises unless the file describes a byte-level BPE without a normalizer."""
+    with open(tokenizer, encoding="utf-8") as f:
+        told = json.load(f)
+    kinds = json.dumps(told.get("pre_tokenizer") or {})
+    if (told.get("model") or {}).get("type") != "BPE" or "ByteLevel" not in kinds or told.get("normalizer"):
+        raise ValueError(f"{tokenizer}: only byte-level BPE tokenizers without a normalizer can be encoded by pieces")
+
+
 def _make(spark, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of each document, from the files.
+def _files(manifest: DataFrame) -> DataFrame:
+    return manifest.select("bucket", "part", "base").repartition(partitions(manifest.sparkSession), "bucket", "part")
 
-    ``ids`` are little-endian unsigned 32-bit integers.
-    """
+
+def _documents(folder: str, row_of):
+    """Rows of all documents of some files; ``row_of`` makes the last columns of a document's parts."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), *row_of.kinds]
 
     def run(batches):
+        released()
         store, root = _store(folder)
         for batch in batches:
-            for bucket, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with store.open_input_stream(f"{root}/shard-{bucket:08d}.kftk") as f:
-                    doc_ids, lengths, ids = read_shard(f.read())
-                off = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(off[:-1], off[1:])]
-                for a in range(0, len(raw), 2000):
-                    z = slice(a, a + 2000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[z], pa.int64(), mask=doc_ids[z] == NULL_ID), pa.array(off[:-1][z] + base), pa.array(lengths[z].astype(np.int64)), pa.array([zlib.crc32(x) for x in raw[z]], pa.int64()), pa.array(raw[z], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
-
-    shards = manifest.select("bucket", "base").repartition(partitions(manifest.sparkSession), "bucket")
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+            for bucket, part, base in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                with store.open_input_stream(_name(root, bucket, part)) as f:
+                    doc_ids, lengths, pieces = open_shard(f.read())
+                out, size = [], 0
+                for doc, n, parts in zip(doc_ids.tolist(), lengths.tolist(), by_document(lengths, pieces)):
+                    out.append((None if doc == NULL_ID else doc, base, n, *row_of(parts)))
+                    base, size = base + n, size + n
+                    if size > PIECE or len(out) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f"c{k}" for k in range(len(kinds))])
+                        out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f"c{k}" for k in range(len(kinds))])
+
+    return run
+
+
+def _crc(parts: list[np.ndarray]) -> tuple:
+    """The crc of a document's ids, as little-endian unsigned 32-bit integers."""
+    value = 0
+    for p in parts:
+        value = zlib.crc32(np.ascontiguousarray(p, "<u4"), value)
+    return (value,)
+
+
+def _crc_and_ids(parts: list[np.ndarray]) -> tuple:
+    return (*_crc(parts), b"".join(np.ascontiguousarray(p, "<u4").tobytes() for p in parts))
+
+
+_crc.kinds, _crc_and_ids.kinds = [pa.int64()], [pa.int64(), pa.binary()]
+
+
+def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of each document, from the files.
+
+    ``ids`` are little-endian unsigned 32-bit integers.
+    """
+    return _files(manifest).mapInArrow(_documents(folder, _crc_and_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each row of ``docs``, through the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each row of ``docs``, read back from the files.
+
+    Null and empty texts are documents of the end id alone; an empty table gives no rows.
+    Repeated rows are documents each; rows that share a doc_id start in the order of a hash of
+    their ids, so reruns agree.  Further columns, whatever their names, are ignored.
+    """
     folder = shared_folder(docs.sparkSession, "token-files")
-    return read_token_files(write_token_files(docs, folder, tokenizer, end_id), folder).drop("ids")
+    manifest = write_token_files(docs, folder, tokenizer, end_id)
+    return _files(manifest).mapInArrow(_documents(folder, _crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
