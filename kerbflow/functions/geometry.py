@@ -134,5 +134,5 @@ def document_type(name: Column) -> Column:
     return F.when(low.contains("section") | low.contains("sec"), "Section").when(low.contains("longitudinal") | low.contains("profile"), "Longitudinal").otherwise("Plan")
 
 
-def shortened(text: Column, most: int = 2000, suffix: str = "... [truncated]") -> Column:
+def shortened(text: Column, most: int = 2000, suffix: str = "... (truncated)") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(suffix))).otherwise(text)

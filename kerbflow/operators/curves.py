@@ -167,6 +167,70 @@ def stations(curves: DataFrame, spacing: float, key: str = KEY) -> DataFrame:
     return seg.select(key, F.col("m").cast("long").alias("station"), d.alias("d"), _at(d, "x").alias("x"), _at(d, "y").alias("y"))
 
 
+def stations_with_end(curves: DataFrame, spacing: float, key: str = KEY) -> DataFrame:
+    """(key, station, d, x, y, tx, ty): as ``stations``, with the end of the curve, and the step of the segment that each lies on."""
+    last = Window.partitionBy(key)
+    seg = _segments(curves, key).withColumn("total", F.max("d1").over(last))
+    # a station on a joint belongs to the segment that ends there
+    first, most = F.when(F.col("d0") == 0, 0).otherwise(F.floor(F.col("d0") / spacing) + 1), F.floor(F.col("d1") / spacing)
+    some = F.when(first <= most, F.sequence(first, most)).otherwise(F.array().cast("array<bigint>"))
+    rows = seg.withColumn("m", F.explode(some)).withColumn("d", F.col("m") * F.lit(float(spacing))).where(F.col("d") < F.col("total"))
+    ends = seg.where("d1 = total").withColumn("d", F.col("total"))
+    ends = ends.where(F.col("total") - (F.ceil(F.col("total") / spacing) - 1) * F.lit(float(spacing)) > 1e-6)
+    both = rows.drop("m").unionByName(ends)
+    n = F.row_number().over(Window.partitionBy(key).orderBy("d")) - 1
+    return both.select(key, n.alias("station"), "d", _at(F.col("d"), "x").alias("x"), _at(F.col("d"), "y").alias("y"), (F.col("bx") - F.col("ax")).alias("tx"), (F.col("by") - F.col("ay")).alias("ty"))
+
+
+def every_nth(curves: DataFrame, n: int, key: str = KEY) -> DataFrame:
+    """Every ``n``-th point and the last."""
+    last = F.max(I).over(Window.partitionBy(key))
+    return curves.withColumn("last", last).where((F.col(I) % max(1, n) == 0) | (F.col(I) == F.col("last"))).drop("last")
+
+
+def origins(curves: DataFrame, span: int = 80, bend: int = 20, least: int = 10, key: str = KEY) -> DataFrame:
+    """(key, cx, cy): the centre of the circle through the points around the strongest bend, else the mean of the curve.
+
+    The mean counts where there are under ``least`` points or no proper circle.
+    """
+    at = strongest_bend(curves, bend, key)
+    near = curves.join(at, key).where(F.abs(F.col(I) - F.col("bend_i")) <= span)
+    circle = fit_circle(near, key).join(near.groupBy(key).agg(F.count("*").alias("n")), key)
+    fine = (F.col("n") >= least) & (F.col("radius") > 1e-6) & ~F.isnan("cx") & ~F.isnan("cy")
+    mean = curves.groupBy(key).agg(F.avg(X).alias("mx"), F.avg(Y).alias("my"))
+    out = mean.join(circle, key, "left")
+    return out.select(key, F.coalesce(F.when(fine, F.col("cx")), "mx").alias("cx"), F.coalesce(F.when(fine, F.col("cy")), "my").alias("cy"))
+
+
+def bend_diameters(hits: DataFrame, metres: float, least: int = 20, key: str = KEY) -> DataFrame:
+    """(key, inner_diameter_px, outer_diameter_px, inner_diameter_m, outer_diameter_m) from hits (key, side, x, y) on both sides of a bend.
+
+    Circles through ``least`` hits or more a side; the smaller is inner.
+    """
+    sided = hits.withColumn("of", F.struct(key, "side"))
+    many = sided.groupBy("of").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    circle = fit_circle(sided.join(many, "of", "left_semi"), "of").select(F.col(f"of.{key}").alias(key), "radius").where("radius is not null")
+    both = circle.groupBy(key).agg(F.count("*").alias("n"), (2 * F.min("radius")).alias("inner_diameter_px"), (2 * F.max("radius")).alias("outer_diameter_px")).where("n = 2").drop("n")
+    return both.withColumn("inner_diameter_m", F.col("inner_diameter_px") * metres).withColumn("outer_diameter_m", F.col("outer_diameter_px") * metres)
+
+
+def end_directions(hits: DataFrame, neighbours: int = 6, key: str = KEY) -> DataFrame:
+    """(key, i, x, y, dx, dy): for the first and last station of hits (key, i, x, y, hx, hy) the mean unit direction of the next ``neighbours`` casts.
+
+    Ends whose casts cancel, and keys of fewer than four hits, have no row.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    size = G.distance(F.col(X), F.col(Y), F.col("hx"), F.col("hy"))
+    v = hits.withColumn("n", n).where("n >= 4").withColumn("size", size).withColumn("k", F.greatest(F.lit(2), F.least(F.lit(neighbours), F.col("n") - 2)))
+    unit = lambda c: F.when(F.col("size") >= 1e-9, (F.col(f"h{c}") - F.col(c)) / F.nullif("size", F.lit(0.0)))
+    v = v.withColumn("ux", unit("x")).withColumn("uy", unit("y"))
+    out = []
+    for inside, place in ((F.col(I).between(F.lit(1), F.col("k")), F.col(I) == 0), (F.col(I).between(F.col("n") - 1 - F.col("k"), F.col("n") - 2), F.col(I) == F.col("n") - 1)):
+        mean = v.where(inside).groupBy(key).agg(F.sum("ux").alias("sx"), F.sum("uy").alias("sy")).withColumn("norm", F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2)).where("norm >= 1e-9")
+        out.append(v.where(place).join(mean, key).select(key, I, X, Y, (F.col("sx") / F.col("norm")).alias("dx"), (F.col("sy") / F.col("norm")).alias("dy")))
+    return out[0].unionByName(out[1])
+
+
 def densified(curves: DataFrame, step: float, key: str = KEY) -> DataFrame:
     """Each segment cut into ``max(1, floor(length / step))`` equal parts; starts of parts and the last point."""
     w = along(key)
@@ -220,22 +284,35 @@ def row_runs(pixels: DataFrame, keys: list[str], position: str = "x") -> DataFra
 
 
 def row_centres(runs: DataFrame, page: str = "page") -> DataFrame:
-    """One centre a row of runs (page, y, first, last): the widest run of the first row, then the run nearest to the centre before.
+    """One centre a row of runs (page, y, first, last), with the run it is of: the widest run of the first row, then the run whose centre is nearest to the one before.
 
-    Each choice depends on the one before, so a page is one task's fold over its rows.
+    Of equally near runs the wider one counts, then the one further left.  Each choice depends
+    on the one before, so a page is one task's fold over its rows.
     """
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
+        out, before = [], None
         for y, g in pdf.sort_values(["y", "first"]).groupby("y"):
-            centre, width = (g["first"] + g["last"]).to_numpy() / 2, (g["last"] - g["first"]).to_numpy()
-            last = float(centre[width.argmax()] if last is None else centre[abs(centre - last).argmin()])
-            out.append((g[page].iloc[0], y, last))
-        return pd.DataFrame(out, columns=[page, "y", "x"])
-
-    slim = runs.select(F.col(page).cast("long").alias(page), F.col("y").cast("int").alias("y"), "first", "last")
-    return slim.groupBy(page).applyInPandas(run, f"{page} long, y int, x double")
+            ends = list(zip(g["first"], g["last"]))
+            if before is None:
+                a, b = max(ends, key=lambda e: e[1] - e[0])
+            else:
+                a, b = min(ends, key=lambda e: (abs((e[0] + e[1]) / 2 - before), e[0] - e[1]))
+            before = (a + b) / 2
+            out.append((g[page].iloc[0], y, before, a, b))
+        return pd.DataFrame(out, columns=[page, "y", "x", "first", "last"])
+
+    slim = runs.select(F.col(page).cast("long").alias(page), F.col("y").cast("int").alias("y"), F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+    return slim.groupBy(page).applyInPandas(run, f"{page} long, y int, x double, first int, last int")
+
+
+def centre_path(runs: DataFrame, window: int = 9, page: str = "page") -> DataFrame:
+    """(page, i, y, x): the row centres of one component's runs, smoothed where there are enough, and kept inside their runs."""
+    rows = row_centres(runs, page)
+    rows = rows.withColumn(I, F.row_number().over(Window.partitionBy(page).orderBy("y")) - 1)
+    out = smooth_padded(rows, window, ("x",), page)
+    return out.select(page, I, "y", F.greatest(F.least("x_smooth", "last"), "first").cast("double").alias("x"))
 
 
 def neighbour_means(curves: DataFrame, span: int, key: str = KEY) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
+from kerbflow.operators import spatial
 
 #: Links below this score are reviewed by hand.
 REVIEW_SCORE = 0.45
@@ -30,14 +31,13 @@ def fallback_hits(lines: DataFrame, patterns=G.KEYWORD_PATTERNS, text: str = "te
 def nearest_drawing(hits: DataFrame, drawings: DataFrame) -> DataFrame:
     """Each hit with the drawing of its page whose centre is nearest, or unlinked.
 
-    The join is by page; its rows are folded into one minimum a hit before the shuffle's
-    sort, ties falling to the smaller drawing_id.  Hits without coordinates stay unlinked.
+    Ties fall to the smaller drawing_id.  Hits without coordinates stay unlinked.  The search is
+    made once for each place, however many hits it has.
     """
-    centre = drawings.select("page", "drawing_id", G.midpoint(F.col("x0"), F.col("x1")).alias("cx"), G.midpoint(F.col("y0"), F.col("y1")).alias("cy"))
-    near = hits.where("x >= 0 and y >= 0").select("hit_id", "page", "x", "y").join(centre, "page")
-    near = near.select("hit_id", F.struct(G.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy")).alias("distance"), "drawing_id").alias("best"))
-    near = near.groupBy("hit_id").agg(F.min("best").alias("best"))
-    out = hits.join(near, "hit_id", "left")
+    centre = drawings.select("page", F.col("drawing_id").alias("id"), G.midpoint(F.col("x0"), F.col("x1")).alias("x"), G.midpoint(F.col("y0"), F.col("y1")).alias("y"))
+    near = spatial.nearest(hits.where("x >= 0 and y >= 0"), centre)
+    near = near.select("page", "x", "y", F.struct("distance", F.col("id").alias("drawing_id")).alias("best"))
+    out = hits.join(near, ["page", "x", "y"], "left")
     return out.select(
         *hits.columns, F.col("best.drawing_id").alias("linked_drawing_id"), F.col("best.distance").alias("distance"),
         F.coalesce(G.link_score(F.col("best.distance")), F.lit(0.0)).alias("score"), F.when(F.col("best").isNull(), "unlinked").otherwise("linked").alias("link_status"),
@@ -72,11 +72,13 @@ def match_swatches(labels: DataFrame, swatches: DataFrame, reach: float = 140.0,
     the score is the gap and half the difference of the middles.  Ties fall to the smaller
     swatch_id.
     """
-    gap = F.col("lx0") - F.col("x1")
-    fits = (gap >= 0) & (gap <= reach) & (G.y_overlap_ratio(F.col("ly0"), F.col("ly1"), F.col("y0"), F.col("y1")) >= overlap)
-    left = labels.select("label_id", "page", F.col("x0").alias("lx0"), F.col("y0").alias("ly0"), F.col("y1").alias("ly1"))
-    score = gap + 0.5 * F.abs(G.midpoint(F.col("y0"), F.col("y1")) - G.midpoint(F.col("ly0"), F.col("ly1")))
-    best = left.join(swatches, "page").where(fits).groupBy("label_id").agg(F.min(F.struct(score.alias("score"), "swatch_id")).alias("best"))
+    strip = labels.select("page", "label_id", (F.col("x0") - reach).alias("x0"), "y0", F.col("x0").alias("x1"), "y1")
+    edges = swatches.select("page", "swatch_id", F.col("x1").alias("x0"), "y0", "x1", "y1")  # a swatch's right edge
+    met = spatial.overlap_pairs(strip, edges, reach)
+    gap = F.col("a_x1") - F.col("b_x1")
+    fits = (gap >= 0) & (gap <= reach) & (G.y_overlap_ratio(F.col("a_y0"), F.col("a_y1"), F.col("b_y0"), F.col("b_y1")) >= overlap)
+    score = gap + 0.5 * F.abs(G.midpoint(F.col("b_y0"), F.col("b_y1")) - G.midpoint(F.col("a_y0"), F.col("a_y1")))
+    best = met.where(fits).groupBy(F.col("a_label_id").alias("label_id")).agg(F.min(F.struct(score.alias("score"), F.col("b_swatch_id").alias("swatch_id"))).alias("best"))
     out = labels.select("label_id", "page").join(best, "label_id", "left")
     return out.select("label_id", "page", F.col("best.swatch_id").alias("swatch_id"), F.col("best.score").alias("match_score"), F.when(F.col("best").isNull(), "no_swatch_found").otherwise("ok").alias("status"))
 

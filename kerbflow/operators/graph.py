@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbflow.functions import geometry as G
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, with its lineage cut, in the shared checkpoint folder."""
@@ -26,23 +28,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component) for all ``nodes`` (node): the least node that edges (a, b) reach.
+def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
+    """(node, component) of the nodes of ``links`` (a, b): the least node that they reach.
 
-    Each round takes the least label among the neighbours and then the label of that label, so
-    that rounds grow with the logarithm of a component's breadth; it ends when no label moves.
+    Alternating large-star and small-star steps: rounds grow with the logarithm of a component's
+    size, each a few joins whose hot keys Spark can split; a hub is joined with its neighbours
+    only, never pairs of them.  ``keep`` computes a table once and cuts its lineage.  Isolated
+    nodes do not occur in ``links`` and so not in the result; self links and repeats are harmless.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = checkpointed(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    edge = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        jump = step.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = checkpointed(step.join(jump, "low", "left").select("node", F.col("component").alias("old"), F.least("low", F.coalesce("next", "low")).alias("component")))
-        moved = new.where("old <> component").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
+        both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = star.groupBy("u").agg(F.min("v").alias("m"))
+        hop = star.join(low, "u")
+        edge = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hop.select("u", F.col("m").alias("v"))).distinct()
+        edge = keep(edge.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = tuple(edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    tops = edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) for all ``nodes`` (node): the least node that edges (a, b) reach."""
+    found = star_components(edges.select("a", "b"))
+    return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -223,18 +238,33 @@ def forward_progress(lines: DataFrame, key: str = "path_id") -> DataFrame:
     return slim.groupBy(key).applyInPandas(run, slim.schema)
 
 
-def offset_fit(samples: DataFrame, smooth: float = 1.0, key: str = "path_id") -> DataFrame:
-    """One offset a station from candidates (key, i, offset, cost): cost plus the squared jump from the one chosen before."""
+def offset_fit(candidates: DataFrame, smooth: float = 0.6, bias: float = 0.01, key: str = "path_id") -> DataFrame:
+    """One offset a station from candidates (key, i, cap, offset, cost), each weighed against the one chosen before.
+
+    The total is the cost, ``smooth`` times the step from the offset before and ``bias`` times
+    the offset; candidates beyond ``cap``, the way to the first boundary, do not count.  The
+    first offset starts from 0, of equal totals the smaller counts.  A station without a cap
+    (null) has no offset and leaves the one before as it is; one with a cap of 0 resets it.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, last = [], None
+        rows, before = [], 0.0
         for i, g in pdf.sort_values(["i", "offset"]).groupby("i"):
-            total = g["cost"].to_numpy() + (0 if last is None else smooth * (g["offset"].to_numpy() - last) ** 2)
-            last = float(g["offset"].iloc[int(np.argmin(total))])
-            rows.append((pdf[key].iloc[0], i, last))
+            cap = g["cap"].iloc[0]
+            if pd.isna(cap):
+                rows.append((pdf[key].iloc[0], i, None))
+                continue
+            d = g["offset"].to_numpy()
+            fit = d <= cap
+            if cap <= 1e-9 or not fit.any():
+                before = 0.0
+            else:
+                total = g["cost"].to_numpy()[fit] + smooth * np.abs(d[fit] - before) + bias * d[fit]
+                before = float(d[fit][int(np.argmin(total))])
+            rows.append((pdf[key].iloc[0], i, before))
         return pd.DataFrame(rows, columns=[key, "i", "offset"])
 
-    slim = samples.select(key, "i", F.col("offset").cast("double").alias("offset"), F.col("cost").cast("double").alias("cost"))
+    slim = candidates.select(key, "i", *[F.col(c).cast("double").alias(c) for c in ("cap", "offset", "cost")])
     return slim.groupBy(key).applyInPandas(run, f"{key} {dict(slim.dtypes)[key]}, i {dict(slim.dtypes)['i']}, offset double")
 
 
@@ -255,27 +285,36 @@ def scale_search(points: DataFrame, target: DataFrame, scales: list[float], roun
     return out
 
 
-def refined_centres(nodes: DataFrame, edges: DataFrame, field: DataFrame, reach: int = 2, weight: float = 1.0, pull: float = 0.5, rounds: int = 8, least_move: float = 0.15) -> DataFrame:
-    """Nodes (page, node, x, y) moved to better pixels of ``field`` (page, y, x, v) around them.
+def refined_centres(path: DataFrame, field: DataFrame, radius: int = 12, end_radius: int = 4, value: float = 1.0, middle: float = 0.03, move: float = 0.02, bend: float = 0.015, rounds: int = 8, least_move: float = 0.15) -> DataFrame:
+    """Points (page, i, x, y) of one path a page, moved to better pixels of ``field`` (page, y, x, v) in the disc around them.
 
-    All nodes move at once: a candidate scores its value less its distances from the place
-    and from the middle of the neighbours.  Ends after ``rounds`` or when the mean move is small.
+    All points move at once.  A pixel scores its value, less the squared distances from the
+    middle of the neighbours and from the point, and the distance from the chord between the
+    neighbours, each by its weight; of equal scores the first by (y, x) counts.  The ends search a
+    disc of their own, have one neighbour and no chord.  A point without a pixel stays.  Ends
+    after ``rounds`` or when the mean move is small; each round is a join by pixel.
     """
-    both = edges.select("page", "a", "b").union(edges.select("page", "b", "a"))
-    at = nodes.select("page", "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
+    at = path.select("page", "i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    most = max(radius, end_radius)
+    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-most, most + 1) for dx in range(-most, most + 1) if dy * dy + dx * dx <= most * most])
+    w = Window.partitionBy("page").orderBy("i")
     for _ in range(rounds):
-        mid = both.join(at.select("page", F.col("node").alias("b"), "x", "y"), ["page", "b"]).groupBy("page", F.col("a").alias("node")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-        tried = at.join(mid, ["page", "node"], "left").withColumn("o", F.explode(offsets))
+        near = at.withColumns({f"{p}{c}": f(c).over(w) for c in "xy" for p, f in (("p", F.lag), ("n", F.lead))})
+        inner = F.col("px").isNotNull() & F.col("nx").isNotNull()
+        for c in "xy":
+            near = near.withColumn(f"m{c}", F.when(inner, (F.col(f"p{c}") + F.col(f"n{c}")) / 2).otherwise(F.coalesce(f"p{c}", f"n{c}", c)))
+        tried = near.withColumn("reach", F.when(inner, radius).otherwise(end_radius)).withColumn("o", F.explode(offsets))
+        tried = tried.where(F.col("o.dy") * F.col("o.dy") + F.col("o.dx") * F.col("o.dx") <= F.col("reach") * F.col("reach"))
         tried = tried.withColumn("fx", F.bround("x").cast("int") + F.col("o.dx")).withColumn("fy", F.bround("y").cast("int") + F.col("o.dy"))
         tried = tried.join(field.select("page", F.col("y").alias("fy"), F.col("x").alias("fx"), "v"), ["page", "fy", "fx"])
-        away = lambda p, q: F.sqrt((F.col("fx") - F.col(p)) ** 2 + (F.col("fy") - F.col(q)) ** 2)
-        score = weight * F.col("v") - pull * away("x", "y") - pull * F.coalesce(away("mx", "my"), F.lit(0.0))
-        best = tried.groupBy("page", "node").agg(F.max(F.struct(score.alias("s"), (-F.col("fy")).alias("y"), (-F.col("fx")).alias("x"))).alias("best"))
-        moved = at.join(best, ["page", "node"], "left").select("page", "node", F.coalesce(-F.col("best.x"), "x").cast("double").alias("nx"), F.coalesce(-F.col("best.y"), "y").cast("double").alias("ny"), "x", "y")
+        square = lambda p, q: (F.col("fx") - F.col(p)) ** 2 + (F.col("fy") - F.col(q)) ** 2
+        chord = F.when(inner, G.segment_distance(F.col("fx"), F.col("fy"), F.col("px"), F.col("py"), F.col("nx"), F.col("ny"))).otherwise(0.0)
+        score = value * F.col("v") - middle * square("mx", "my") - move * square("x", "y") - bend * chord
+        best = tried.groupBy("page", "i").agg(F.max(F.struct(score.alias("s"), (-F.col("fy")).alias("y"), (-F.col("fx")).alias("x"))).alias("best"))
+        moved = at.join(best, ["page", "i"], "left").select("page", "i", F.coalesce(-F.col("best.x"), "x").cast("double").alias("nx"), F.coalesce(-F.col("best.y"), "y").cast("double").alias("ny"), "x", "y")
         moved = checkpointed(moved)
         mean = moved.agg(F.avg(F.sqrt((F.col("nx") - F.col("x")) ** 2 + (F.col("ny") - F.col("y")) ** 2))).first()[0]
-        at = moved.select("page", "node", F.col("nx").alias("x"), F.col("ny").alias("y"))
+        at = moved.select("page", "i", F.col("nx").alias("x"), F.col("ny").alias("y"))
         if mean is None or mean < least_move:
             break
     return at

@@ -95,18 +95,26 @@ def envelope(boxes: DataFrame, key: str, pad: float = 0.0) -> DataFrame:
     return boxes.groupBy(key).agg((F.min("x0") - pad).alias("x0"), (F.min("y0") - pad).alias("y0"), (F.max("x1") + pad).alias("x1"), (F.max("y1") + pad).alias("y1"))
 
 
+def _banded(df: DataFrame, y: str, width: float, reach: int) -> DataFrame:
+    """Rows by bands of height, and with ``reach`` 1 also by those next to their own: what is at most ``width`` apart shares one."""
+    wide = width * (1 + 1e-9) if width > 0 else 1.0  # a rounded quotient must not skip a band
+    return df.withColumn("band", F.explode(F.array(*[F.floor(F.col(y) / wide) + k for k in range(-reach, reach + 1)])))
+
+
 def token_pairs(words: DataFrame, left: str, right: str, band: float = 5.0) -> DataFrame:
     """The nearest word ``right`` to the right of each word ``left``, in a band of heights."""
     a = words.where(F.lower("text") == left).select("page", F.col("word_no").alias("left_no"), F.col("x1").alias("ax"), F.col("y0").alias("ay"))
     b = words.where(F.lower("text") == right).select("page", F.col("word_no").alias("right_no"), F.col("x0").alias("bx"), F.col("y0").alias("b_y"))
-    near = a.join(b, "page").where((F.abs(F.col("ay") - F.col("b_y")) <= band) & (F.col("bx") >= F.col("ax")))
+    a, b = _banded(a, "ay", band, 1), _banded(b, "b_y", band, 0)
+    near = a.join(b, ["page", "band"]).where((F.abs(F.col("ay") - F.col("b_y")) <= band) & (F.col("bx") >= F.col("ax")))
     return near.groupBy("page", "left_no").agg(F.min(F.struct((F.col("bx") - F.col("ax")).alias("gap"), "right_no")).alias("best")).select("page", "left_no", "best.right_no", "best.gap")
 
 
 def ticks_right_of(words: DataFrame, labels: DataFrame, band: float = 40.0) -> DataFrame:
     """Numbers in a band right of a label (page, x, y), as ticks (page, value, x); of equal ones the first."""
     n = words.where(F.col("text").rlike(r"^\d+(?:\.\d+)?$")).select("page", "word_no", F.col("text").cast("double").alias("value"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), F.col("y0").alias("wy"))
-    met = n.join(labels.select("page", F.col("x").alias("lx"), F.col("y").alias("ly")), "page").where((F.col("cx") >= F.col("lx")) & (F.abs(F.col("wy") - F.col("ly")) <= band))
+    n, own = _banded(n, "wy", band, 0), _banded(labels.select("page", F.col("x").alias("lx"), F.col("y").alias("ly")), "ly", band, 1)
+    met = n.join(own, ["page", "band"]).where((F.col("cx") >= F.col("lx")) & (F.abs(F.col("wy") - F.col("ly")) <= band))
     return met.groupBy("page", "value").agg(F.min(F.struct("word_no", "cx")).alias("f")).select("page", "value", F.col("f.cx").alias("x"))
 
 
@@ -131,3 +139,88 @@ def rooted(path: Column) -> Column:
     """Forward slashes, with one in front."""
     path = F.regexp_replace(path, r"\\", "/")
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
+def target_color(entries: DataFrame, label: str) -> DataFrame:
+    """(label, color) of the first ``ok`` entry (label, status, color, entry_no) of that label, however written; an error if there is none."""
+    fit = entries.where((G.normal_label(F.col("label")) == label.strip().upper()) & (F.col("status") == "ok") & F.col("color").isNotNull())
+    first = fit.agg(F.min_by(F.struct("label", "color"), "entry_no").alias("e"))
+    missing = F.raise_error(F.lit(f"no colour for label {label}"))
+    return first.select(F.coalesce(F.col("e.label"), missing.cast("string")).alias("label"), F.col("e.color").alias("color"))
+
+
+def exclusion_rects(boxes: DataFrame, regions: DataFrame, scale: float, pad: int, width: int, height: int) -> DataFrame:
+    """(page, x0, y0, x1, y1) in pixels around a page's labels and swatches, else its legend region; padded, on the image."""
+    around = envelope(boxes, "page").select("page", F.struct("x0", "y0", "x1", "y1").alias("own"))
+    both = regions.join(around, "page", "left")
+    edge = lambda c: G.to_pixel(F.coalesce(F.col(f"own.{c}"), F.col(c)), scale)
+    low = lambda c: F.greatest(F.lit(0), edge(c) - pad)
+    return both.select("page", low("x0").alias("x0"), low("y0").alias("y0"), F.least(F.lit(width), edge("x1") + pad).alias("x1"), F.least(F.lit(height), edge("y1") + pad).alias("y1"))
+
+
+def best_pair(words: DataFrame, left: str = "a3", right: str = "scale", band: float = 5.0) -> DataFrame:
+    """By page the two words, one height and least apart from left edge to left edge, the second not before the first.
+
+    (page, left_no, right_no, x0, y0, x1, y1, anchor_y, ratio_x1): with the box around both.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    a = words.where(F.lower("text") == left).select("page", F.col("word_no").alias("left_no"), *[F.col(c).alias(f"a{c}") for c in box])
+    b = words.where(F.lower("text") == right).select("page", F.col("word_no").alias("right_no"), *[F.col(c).alias(f"b{c}") for c in box])
+    met = _banded(a, "ay0", band, 1).join(_banded(b, "by0", band, 0), ["page", "band"])
+    met = met.where((F.abs(F.col("ay0") - F.col("by0")) <= band) & (F.col("bx0") >= F.col("ax0")))
+    best = met.groupBy("page").agg(F.min(F.struct((F.col("bx0") - F.col("ax0")).alias("gap"), "left_no", "right_no", *[f"{p}{c}" for p in "ab" for c in box])).alias("m")).select("page", "m.*")
+    edges = [(F.least if c.endswith("0") else F.greatest)(f"a{c}", f"b{c}").alias(c) for c in box]
+    return best.select("page", "left_no", "right_no", *edges, ((F.col("ay0") + F.col("by0")) / 2).alias("anchor_y"), F.col("bx1").alias("ratio_x1"))
+
+
+def ratio_values(pairs: DataFrame, words: DataFrame, band: float = 8.0, reach: float = 40.0) -> DataFrame:
+    """(page, ratio_no, ratio): the whole number that starts nearest to the right of a pair, at most ``reach`` away and in a band of heights."""
+    n = words.where(F.col("text").rlike(r"^\d{2,5}$")).select("page", "word_no", "text", F.col("x0").alias("nx"), F.col("y0").alias("ny"))
+    met = n.join(pairs.select("page", "anchor_y", "ratio_x1"), "page")  # one pair a page
+    gap = F.col("nx") - F.col("ratio_x1")
+    met = met.where((F.abs(F.col("ny") - F.col("anchor_y")) <= band) & (gap >= 0) & (gap <= reach))
+    best = met.groupBy("page").agg(F.min(F.struct(gap.alias("gap"), "word_no", "text")).alias("b"))
+    return best.select("page", F.col("b.word_no").alias("ratio_no"), F.col("b.text").cast("int").alias("ratio"))
+
+
+def search_boxes(labels: DataFrame, ticks: DataFrame) -> DataFrame:
+    """(page, x0, y0, x1, y1): where the bar is looked for, around a label's box and its ticks', with room below; without ticks right of the label."""
+    t = ticks.select("page", F.struct("x0", "y0", "x1", "y1").alias("t"))
+    both = labels.join(t, "page", "left")
+    some = F.col("t").isNotNull()
+    low = lambda c, off: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(f"t.{c}")) - off)
+    high = lambda c, off: F.greatest(F.col(c), F.col(f"t.{c}")) + off
+    return both.select(
+        "page", F.when(some, low("x0", 2.0)).otherwise(F.col("x1") + 4.0).alias("x0"), F.when(some, low("y0", 6.0)).otherwise(F.col("y0") - 6.0).alias("y0"),
+        F.when(some, high("x1", 2.0)).otherwise(F.col("x1") + 220.0).alias("x1"), F.when(some, high("y1", 14.0)).otherwise(F.col("y1") + 14.0).alias("y1"),
+    )
+
+
+def checked_calibration(calibration: DataFrame, ratios: DataFrame, dpi: float) -> DataFrame:
+    """Adds to a calibration by page the metres a pixel that its stated ratio gives; null without one."""
+    out = calibration.join(ratios.select("page", "ratio"), "page", "left")
+    return out.withColumn("ratio_m_per_px", F.round(25.4 / F.lit(float(dpi)) * F.col("ratio") / 1000.0, 9))
+
+
+def metres_per_pixel(m_per_pt: Column, width_px: Column, height_px: Column, width_pt: Column, height_pt: Column) -> Column:
+    """The mean of both axes, from the size of an image of a page."""
+    return 0.5 * (m_per_pt / (width_px / width_pt) + m_per_pt / (height_px / height_pt))
+
+
+def metres_by_density(m_per_pt: Column, pixels_per_pt: Column) -> Column:
+    return m_per_pt / pixels_per_pt
+
+
+def number(value: Column) -> Column:
+    """A number, or null where the value does not read as one."""
+    return value.try_cast("double")
+
+
+def numbers(values: Column, count: int) -> Column:
+    """The first ``count`` members as numbers, rounded to six places; null if one is missing or none."""
+    made = F.transform(F.slice(values, 1, count), lambda v: F.round(v.try_cast("double"), 6))
+    return F.when((F.size(values) >= count) & ~F.exists(made, lambda v: v.isNull()), made)
+
+
+def thick(width: Column, least: float = 2.0) -> Column:
+    return F.coalesce(width > least, F.lit(False))

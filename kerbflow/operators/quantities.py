@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbflow.functions import geometry as G
+
 #: Design facts of the recorded run.
 DESIGN_FACTS = {
     "joal_2d_area": 1515.22, "inner_kerb_length": 231.5, "outer_kerb_length": 268.4, "slope_correction_factor": 1.003,
@@ -51,10 +53,13 @@ def step_jumps(audit: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def log_rows(messages: DataFrame) -> DataFrame:
-    """Messages (conv_id, turn, role, text) as log rows (conv_id, turn, agent, task, result)."""
+    """Messages (conv_id, turn, role, text) as log rows (conv_id, turn, agent, task, result).
+
+    What tools return is shortened, what people and agents say is not.
+    """
     call, result = F.col("role") == "user", F.col("role") == "assistant"
     task = F.when(call, "prompt").when(result, "response").otherwise("tool")
-    return messages.select("conv_id", "turn", F.col("role").alias("agent"), task.alias("task"), F.when(F.length("text") > 60, F.concat(F.substring("text", 1, 60), F.lit("..."))).otherwise(F.col("text")).alias("result"))
+    return messages.select("conv_id", "turn", F.col("role").alias("agent"), task.alias("task"), F.when(call | result, F.col("text")).otherwise(G.shortened(F.col("text"))).alias("result"))
 
 
 def polygon_verdict(points: DataFrame, key: str, least_spread: float = 10.0) -> DataFrame:

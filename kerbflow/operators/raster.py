@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
+from kerbflow.operators import spatial
 
 PLACE = ["page", "y", "x"]
 
@@ -102,9 +103,11 @@ def color_mask(pixels: DataFrame, color: tuple[int, int, int], threshold: float)
 
 
 def clear_rects(mask: DataFrame, rects: DataFrame) -> DataFrame:
-    """Pixels outside the page's rectangles (few a page)."""
-    hit = (F.col("r.page") == F.col("m.page")) & F.col("m.x").between(F.col("r.x0"), F.col("r.x1")) & F.col("m.y").between(F.col("r.y0"), F.col("r.y1"))
-    return mask.alias("m").join(rects.alias("r"), hit, "left_anti")
+    """Pixels outside the page's rectangles."""
+    dots = mask.select("page", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    covered = spatial.overlap_pairs(dots.distinct(), rects.select("page", "x0", "y0", "x1", "y1"), 64.0)
+    covered = covered.select(F.col("a_page").alias("page"), F.col("a_y0").alias("y"), F.col("a_x0").alias("x")).distinct()
+    return mask.join(covered, PLACE, "left_anti")
 
 
 def first_drawn(drawings: DataFrame) -> DataFrame:
@@ -142,6 +145,67 @@ def first_black(rays: DataFrame, black: DataFrame, step: float, most: float, run
     return rays.select("ray_id").join(first, "ray_id", "left")
 
 
+def _walks(rays: DataFrame, support: DataFrame, black: DataFrame, size: tuple[int, int], step: float, start: Column, end: Column) -> DataFrame:
+    """The steps of rays (ray_id, page, x, y, dx, dy) from ``start`` to ``end``, with the run of black and of unsupported pixels that each ends.
+
+    (ray_id, n, t, inside, black, black_from, black_run, out_from, out_run): runs are known by
+    the step they begin at.  Each ray is walked by windows over its own steps.
+    """
+    count = F.floor((end - start) / step).cast("int")
+    some = F.when(count >= 0, F.sequence(F.lit(0), count)).otherwise(F.array().cast("array<int>"))
+    dots = rays.withColumn("t0", start).withColumn("n", F.explode(some)).withColumn("t", F.col("t0") + F.col("n") * F.lit(float(step)))
+    put = lambda c: F.bround(F.col(c) + F.col(f"d{c}") * F.col("t")).cast("int")
+    dots = dots.select("ray_id", "page", "n", "t", put("y").alias("y"), put("x").alias("x"))
+    inside = (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < size[0]) & (F.col("x") < size[1])
+    on = lambda df, mask, name: df.join(mask.select(*PLACE, F.lit(True).alias(name)).distinct(), PLACE, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    dots = on(on(dots.withColumn("inside", inside), support, "held"), black, "black")
+    so_far = Window.partitionBy("ray_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = lambda still: F.coalesce(F.max(F.when(~still, F.col("n"))).over(so_far), F.lit(-1)) + 1
+    dots = dots.withColumn("black_from", first(F.col("black"))).withColumn("out_from", first(~F.col("held")))
+    runs = dots.withColumn("black_run", F.col("n") - F.col("black_from") + 1).withColumn("out_run", F.col("n") - F.col("out_from") + 1)
+    return runs.select("ray_id", "n", "t", "inside", "held", "black", "black_from", "black_run", "out_from", "out_run")
+
+
+def _events(walks: DataFrame, black_run: int, outside_run: int) -> DataFrame:
+    """By ray: the step that leaves the image, the first full run of black, the first full run off the support, and the last step."""
+    hit = F.col("black") & (F.col("black_run") >= max(1, black_run))
+    out = ~F.col("held") & (F.col("out_run") >= max(1, outside_run))
+    return walks.groupBy("ray_id").agg(
+        F.min(F.when(~F.col("inside"), F.col("n"))).alias("leave"), F.min(F.when(hit, F.struct("n", F.col("black_from").alias("begin")))).alias("hit"),
+        F.min(F.when(out, F.struct("n", F.col("out_from").alias("begin")))).alias("out"), F.max("n").alias("last"), F.min("t").alias("t0"),
+    )
+
+
+def rays_to_black(rays: DataFrame, support: DataFrame, black: DataFrame, size: tuple[int, int], most: float, step: float = 1.0, black_run: int = 1, outside_run: int = 1, grace: float = 80.0) -> DataFrame:
+    """(ray_id, distance) at which each ray meets a boundary: a run of black, else the end of the support, else the image's edge; null if none.
+
+    A ray that has left the support goes on for ``grace``, because a drawn line may lie just outside.
+    """
+    walks = _walks(rays, support, black, size, step, F.lit(float(step)), F.lit(float(most)))
+    e = _events(walks, black_run, outside_run)
+    wait = F.greatest(F.col("out.n"), F.ceil(F.col("out.begin") + F.lit(grace / step)).cast("int"))
+    e = e.withColumn("stop", F.when(F.col("out").isNotNull() & (wait <= F.col("last")), wait))
+    e = e.withColumn("at", F.coalesce("stop", "last"))
+    there = walks.select("ray_id", F.col("n").alias("at"), F.col("black").alias("at_black"), F.col("black_from").alias("at_from"))
+    e = e.join(there, ["ray_id", "at"], "left")
+    before = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) <= F.col(b)))
+    leaves = before("leave", "hit.n") & before("leave", "stop")
+    put = lambda n: F.col("t0") + n * F.lit(float(step))
+    far = F.when(leaves, put(F.col("leave"))).when(before("hit.n", "stop"), put(F.col("hit.begin"))).when(F.col("at_black"), put(F.col("at_from"))).otherwise(put(F.col("out.begin")))
+    return rays.select("ray_id").join(e.select("ray_id", far.alias("distance")), "ray_id", "left")
+
+
+def boundary_in_window(rays: DataFrame, support: DataFrame, black: DataFrame, size: tuple[int, int], t0: Column, t1: Column, step: float = 1.0, black_run: int = 1, outside_run: int = 1) -> DataFrame:
+    """(ray_id, distance, support): the first boundary between two distances of each ray, and the share of supported steps that are not black."""
+    walks = _walks(rays, support, black, size, step, F.greatest(F.lit(float(step)), t0), t1)
+    good = F.avg(F.when(F.col("inside"), (F.col("held") & ~F.col("black")).cast("double")))
+    e = _events(walks, black_run, outside_run).join(walks.groupBy("ray_id").agg(good.alias("support")), "ray_id")
+    before = lambda a, *rest: F.col(a).isNotNull() & (F.col(a) <= F.least(F.col(a), *[F.coalesce(F.col(r), F.col(a)) for r in rest]))
+    put = lambda n: F.col("t0") + n * F.lit(float(step))
+    far = F.when(before("leave", "hit.n", "out.n"), put(F.col("leave"))).when(before("hit.n", "out.n"), put(F.col("hit.begin"))).otherwise(put(F.col("out.begin")))
+    return rays.select("ray_id").join(e.select("ray_id", far.alias("distance"), "support"), "ray_id", "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
+
+
 def bilinear(points: DataFrame, field: DataFrame, outside: float = 1e6) -> DataFrame:
     """Values of ``field`` (page, y, x, v) between pixels at points (point_id, page, x, y)."""
     corner = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
@@ -171,20 +235,24 @@ def _grids(pdf: pd.DataFrame, pad: int = 1) -> tuple[np.ndarray, int, int]:
 
 
 def distance_transform(mask: DataFrame) -> DataFrame:
-    """The exact distance of each set pixel to the nearest one that is not set, a page at a time."""
+    """The exact distance of each set pixel to the nearest one that is not set, a page at a time.
 
-    def lower(f: np.ndarray) -> np.ndarray:
-        """The squared distance along one axis, of all lines at once."""
-        n = f.shape[1]
-        k = np.arange(n)
-        return np.min(f[:, None, :] + (k[:, None] - k[None, :]) ** 2, axis=2)
+    A task holds the page's bounding box of pixels, some 40 bytes each.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid, y0, x0 = _grids(pdf)
-        flat = np.where(grid, 1e12, 0.0)
-        part = np.concatenate([lower(flat[a : a + 8]) for a in range(0, len(flat), 8)])
-        part = part.T
-        full = np.concatenate([lower(part[a : a + 8]) for a in range(0, len(part), 8)]).T
+        # along the columns: steps since the last pixel that is not set, from either side
+        row = np.arange(len(grid))[:, None]
+        above = np.maximum.accumulate(np.where(grid, -1, row), axis=0)
+        below = np.minimum.accumulate(np.where(grid, 2 * len(grid), row)[::-1], axis=0)[::-1]
+        column = np.minimum(row - above, below - row).astype(np.int64) ** 2
+        # along the rows: a shift by d adds d * d, so none beyond the largest distance counts
+        full, d = column.copy(), 1
+        while d * d < full.max(initial=0) and d < full.shape[1]:
+            np.minimum(full[:, d:], column[:, :-d] + d * d, out=full[:, d:])
+            np.minimum(full[:, :-d], column[:, d:] + d * d, out=full[:, :-d])
+            d += 1
         y, x = np.nonzero(grid)
         return pd.DataFrame({"page": pdf["page"].iloc[0], "y": y + y0, "x": x + x0, "v": np.sqrt(full[y, x])})
 

@@ -100,16 +100,38 @@ def arc_sides(arcs: DataFrame, cx: float, cy: float) -> DataFrame:
     return r.withColumn("side", F.when(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("radius", "arc")) == 1, "inner").otherwise("outer"))
 
 
-def hooks_trimmed(lines: DataFrame, angle: float, reach: float, span: int = 6, key: str = "path_id") -> DataFrame:
-    """Curves without the hook at their start: up to the last point within ``reach`` where the direction turns sharply."""
+def _start_trimmed(lines: DataFrame, angle: float, reach: float, span: int, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("i")
-    d = curves.arc_length(lines, key)
-    ahead = lambda c, k: F.lead(c, k).over(w) - F.col(c)
-    ax, ay = ahead("x", span), ahead("y", span)
-    bx, b_y = F.lead("x", 2 * span).over(w) - F.lead("x", span).over(w), F.lead("y", 2 * span).over(w) - F.lead("y", span).over(w)
-    turn = F.degrees(F.abs(F.atan2(ax * b_y - ay * bx, ax * bx + ay * b_y)))
-    at = d.withColumn("turn", turn).groupBy(key).agg(F.max(F.when((F.col("turn") >= angle) & (F.col("d") <= reach), F.col("i") + span)).alias("from"))
-    return lines.join(at, key).where("from is null or i >= from").drop("from")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = curves.arc_length(lines, key).withColumn("n", F.count(F.lit(1)).over(every)).withColumn("total", F.max("d").over(every))
+    d = d.withColumn("most", F.least(F.count_if(F.col("d") <= reach).over(every), F.col("n") - 4))
+    ax, ay = F.col("x") - F.first("x").over(every), F.col("y") - F.first("y").over(every)
+    ahead = lambda c: F.coalesce(F.lead(c, span).over(w), F.last(c).over(every)) - F.col(c)
+    d = d.withColumns({"ax": ax, "ay": ay, "bx": ahead("x"), "b_y": ahead("y")})
+    size = F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2), F.sqrt(F.col("bx") ** 2 + F.col("b_y") ** 2)
+    cos = G.clamp((F.col("ax") * F.col("bx") + F.col("ay") * F.col("b_y")) / F.nullif(size[0] * size[1], F.lit(0.0)), -1.0, 1.0)
+    turned = (size[0] >= 1e-6) & (size[1] >= 1e-6) & (F.acos(cos) >= math.radians(angle))
+    fit = (F.col("n") >= 8) & (F.col("total") > reach) & (F.col("most") >= 3) & F.col("i").between(F.lit(2), F.col("most")) & turned
+    at = d.where(fit).groupBy(key).agg(F.max("i").alias("from"))
+    cut = lines.join(at, key, "left").where("from is null or i >= from")
+    return cut.select(key, (F.col("i") - F.coalesce("from", F.lit(0))).alias("i"), "x", "y")
+
+
+def _reversed(lines: DataFrame, key: str) -> DataFrame:
+    return lines.select(key, (F.max("i").over(Window.partitionBy(key)) - F.col("i")).alias("i"), "x", "y")
+
+
+def hooks_trimmed(lines: DataFrame, angle: float, reach: float, span: int = 6, key: str = "path_id") -> DataFrame:
+    """Curves without the hooks at their ends.
+
+    A curve begins at the last point within ``reach`` of its start from which the way ahead
+    (``span`` points) turns by ``angle`` degrees or more from the way so far; then its other end
+    likewise.  Curves of fewer than eight points, or no longer than ``reach``, stay.
+    """
+    if reach <= 0:
+        return lines.select(key, "i", "x", "y")
+    once = _start_trimmed(lines, angle, reach, span, key)
+    return _reversed(_start_trimmed(_reversed(once, key), angle, reach, span, key), key)
 
 
 def measured_lengths(area_px: float, skeleton_px: float, width_px: float, m_per_px: float) -> dict[str, float]:

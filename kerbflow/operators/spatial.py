@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
+from kerbflow.operators.graph import checkpointed
+
+#: Places that a smallest cell of the search may hold, and the levels of cells at most.
+LEAF, DEEPEST = 64, 16
 
 
 def _cells(df: DataFrame, p: str, size: float, pad: float) -> DataFrame:
@@ -58,6 +62,45 @@ def nearest_neighbours(points: DataFrame, k: int, radius: float, id_column: str,
     return ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
 
 
+def nearest(places: DataFrame, targets: DataFrame, on: str = "page") -> DataFrame:
+    """(page, x, y, id, distance): of ``targets`` (page, id, x, y) the nearest to each of ``places`` (page, x, y), at any distance.
+
+    A page's square is halved level by level.  A cell that holds targets stays for a place if its
+    near side is no further than the far side of every other cell; each level is one equi-join,
+    and a place keeps a few cells, wherever targets crowd.  Ties fall to the smaller id; places
+    on a page without targets have no row.
+    """
+    spots = targets.groupBy(on, F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("id").alias("id"))
+    frame = spots.groupBy(on).agg(F.min("tx").alias("left"), F.min("ty").alias("top"), F.greatest(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty"), F.lit(1e-9)).alias("side"))
+    spots = spots.join(frame, on)
+    at = lambda c, low, parts: F.least(F.floor((F.col(c) - F.col(low)) / F.col("side") * parts), F.lit(parts) - 1).cast("long")
+    parts = F.pow(F.lit(2.0), F.col("level"))
+    cells = spots.select("*", F.explode(F.sequence(F.lit(1), F.lit(DEEPEST))).alias("level")).groupBy(on, "level", at("tx", "left", parts).alias("ix"), at("ty", "top", parts).alias("iy")).agg(F.count("*").alias("n"))
+    cells = checkpointed(cells)
+    fullest = {r.level: r.n for r in cells.groupBy("level").agg(F.max("n").alias("n")).collect()}
+    depth = next((k for k in range(1, DEEPEST + 1) if fullest.get(k, 0) <= LEAF), DEEPEST)
+
+    halves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    put = lambda df, ix, iy: df.withColumn("h", F.explode(halves)).withColumn("ix", ix).withColumn("iy", iy).drop("h")
+    tried = put(places.select(on, "x", "y").distinct().join(frame, on), F.col("h.a").cast("long"), F.col("h.b").cast("long"))
+    mine = Window.partitionBy(on, "x", "y")
+    for level in range(1, depth + 1):
+        if level > 1:
+            tried = put(tried, 2 * F.col("ix") + F.col("h.a"), 2 * F.col("iy") + F.col("h.b"))
+        size = F.col("side") / float(1 << level)
+        a, b = F.col("left") + F.col("ix") * size, F.col("top") + F.col("iy") * size
+        near = G.rect_distance(F.col("x"), F.col("y"), a, b, a + size, b + size)
+        far = G.distance(F.lit(0.0), F.lit(0.0), F.greatest(F.col("x") - a, a + size - F.col("x")), F.greatest(F.col("y") - b, b + size - F.col("y")))
+        held = cells.where(F.col("level") == level).select(on, "ix", "iy")
+        tried = tried.join(held, [on, "ix", "iy"]).withColumn("near", near).withColumn("bound", F.min(far).over(mine))
+        # the slack covers rounded cell edges
+        tried = tried.where(F.col("near") <= F.col("bound") + 1e-6 * F.col("side")).drop("near", "bound")
+    leaf = spots.select(on, at("tx", "left", float(1 << depth)).alias("ix"), at("ty", "top", float(1 << depth)).alias("iy"), "tx", "ty", "id")
+    gap = G.distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
+    best = tried.select(on, "x", "y", "ix", "iy").join(leaf, [on, "ix", "iy"]).groupBy(on, "x", "y").agg(F.min(F.struct(gap.alias("distance"), "id")).alias("best"))
+    return best.select(on, "x", "y", "best.id", "best.distance")
+
+
 def within(boxes: DataFrame, window: DataFrame, cell: float, on: str = "page") -> DataFrame:
     """The boxes that meet any of the windows; a short list is sent to the boxes instead of both being dealt out."""
     out = overlap_pairs(boxes, window, cell, 0.0, on)

@@ -1,6 +1,7 @@
 """Width statistics, outliers, sigma classes and area models.
 
-Width samples have a key, a dense position ``i``, a segment length ``len`` and a width ``w``.
+Width samples have a key, a dense position ``i``, the length ``len`` from the sample before and a
+width ``w``.  Areas are sums over segments, each between two neighbouring samples.
 Percentiles are exact and linear between neighbours.
 """
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
+from kerbflow.operators import curves
 
 KEY = "path_id"
 
@@ -40,40 +42,92 @@ def sigma_classed(samples: DataFrame, key: str = KEY) -> DataFrame:
     return out.withColumn("class", G.sigma_class(F.coalesce("z", F.lit(1e9))))
 
 
-def class_counts(samples: DataFrame, key: str = KEY) -> DataFrame:
-    return sigma_classed(samples, key).groupBy("class").agg(F.count("*").alias("n"))
+def segments(samples: DataFrame, key: str = KEY) -> DataFrame:
+    """(key, i, len, w): the segments between neighbours, with their mean width; null if either has none."""
+    w = Window.partitionBy(key).orderBy("i")
+    out = samples.select(key, "i", F.lead("len").over(w).alias("len"), ((F.col("w") + F.lead("w").over(w)) / 2).alias("w"), F.lead("i").over(w).alias("next"))
+    return out.where("next is not null").drop("next")
 
 
-def area_model_1(classed: DataFrame, key: str = KEY) -> DataFrame:
-    """Nominal, low and high area from bounds on the side where the width lies.
+def classed_segments(samples: DataFrame, key: str = KEY) -> DataFrame:
+    """Segments with the mean, sigma (at least 1e-6), least and most of all widths, and their class; without a width red."""
+    by = samples.groupBy(key).agg(F.avg("w").alias("mu"), F.greatest(F.stddev_pop("w"), F.lit(1e-6)).alias("sigma"), F.min("w").alias("least"), F.max("w").alias("most"))
+    out = segments(samples, key).join(by, key)
+    return out.withColumn("class", G.sigma_class(F.coalesce(F.abs(F.col("w") - F.col("mu")) / F.col("sigma"), F.lit(1e9))))
 
-    Green keeps its width; yellow may be one sigma off, red two, towards the mean; a missing
-    width is the mean with two sigmas either way.
-    """
-    k = F.when(F.col("class") == "green", 0).when(F.col("class") == "yellow", 1).otherwise(2)
-    w = F.coalesce("w", "mu")
-    low = F.when(F.col("w").isNull() | (F.col("w") > F.col("mu")), w - k * F.col("sigma")).otherwise(w)
-    high = F.when(F.col("w").isNull() | (F.col("w") < F.col("mu")), w + k * F.col("sigma")).otherwise(w)
-    area = lambda c: F.sum(F.col("len") * c)
-    return classed.groupBy(key).agg(area(w).alias("nominal"), area(F.greatest(low, F.lit(0.0))).alias("low"), area(high).alias("high"))
+
+def class_counts(samples: DataFrame, key: str = KEY) -> DataFrame:
+    return classed_segments(samples, key).groupBy("class").agg(F.count("*").alias("n"))
 
 
-def area_model_2(classed: DataFrame, key: str = KEY) -> DataFrame:
-    """The mean width along the whole length, and the deviation that each class adds."""
-    off = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, F.col("len") * (F.col("w") - F.col("mu")))), F.lit(0.0))
-    return classed.groupBy(key).agg(F.sum(F.col("len") * F.col("mu")).alias("baseline"), off("green").alias("green"), off("yellow").alias("yellow"), off("red").alias("red"))
+def _band(class_from: dict, side: Column) -> tuple[Column, Column]:
+    """Low and high of a class's band, in sigmas from the mean by the side of the width, within the least and the most."""
+    low, high = F.col("least"), F.col("most")
+    for name, (a, b) in class_from.items():
+        hit = F.col("class") == name
+        up = (F.col("mu") + a * F.col("sigma"), F.col("mu") + b * F.col("sigma"))
+        down = (F.col("mu") - b * F.col("sigma"), F.col("mu") - a * F.col("sigma"))
+        low = F.when(hit, F.greatest(F.col("least"), F.when(side, up[0]).otherwise(down[0]))).otherwise(low)
+        high = F.when(hit, F.least(F.col("most"), F.when(side, up[1]).otherwise(down[1]))).otherwise(high)
+    return low, high
 
 
-def area_model_3(classed: DataFrame, span: int = 4, key: str = KEY) -> DataFrame:
-    """As the first, with the bounds of widths that are not green drawn in to the local 20th and 80th percentile."""
+def area_model_1(samples: DataFrame, key: str = KEY) -> DataFrame:
+    """Nominal, low and high area by the band of each segment's class, on the side of the mean where its width lies.
+
+    Green reaches one sigma either way, yellow from one to two, red from two to the least or most
+    width; the nominal width is kept in its band.  A segment without a width counts the mean,
+    and anything from the least to the most.
+    """
+    seg = classed_segments(samples, key)
+    side = F.col("w") >= F.col("mu")
+    low, high = _band({"green": (-1, 1), "yellow": (1, 2)}, side)
+    red, known = F.col("class") == "red", F.col("w").isNotNull()
+    low = F.when(red & known & side, F.greatest(F.col("least"), F.col("mu") + 2 * F.col("sigma"))).otherwise(low)
+    high = F.when(red & known & ~side, F.least(F.col("most"), F.col("mu") - 2 * F.col("sigma"))).otherwise(high)
+    seg = seg.withColumn("lo", low).withColumn("hi", high).withColumn("nom", F.when(known, F.least(F.greatest("w", "lo"), "hi")).otherwise(F.col("mu")))
+    area = lambda c: F.coalesce(F.sum(F.col("len") * F.col(c)), F.lit(0.0))
+    return seg.groupBy(key).agg(area("nom").alias("nominal"), area("lo").alias("low"), area("hi").alias("high"))
+
+
+def area_model_2(samples: DataFrame, key: str = KEY) -> DataFrame:
+    """The mean width along the whole length, its low and high by class (one sigma, two, all), and what each class takes off or adds."""
+    seg = classed_segments(samples, key)
+    low, high = _band({"green": (-1, 1), "yellow": (-2, 2)}, F.lit(True))
+    seg = seg.withColumn("lo", low).withColumn("hi", high)
+    area = lambda v: F.coalesce(F.sum(F.col("len") * v), F.lit(0.0))
+    part = lambda c, v: area(F.when(F.col("class") == c, F.greatest(F.lit(0.0), v)))
+    by_class = [p for c in ("green", "yellow", "red") for p in (part(c, F.col("mu") - F.col("lo")).alias(f"{c}_down"), part(c, F.col("hi") - F.col("mu")).alias(f"{c}_up"))]
+    return seg.groupBy(key).agg(area(F.col("mu")).alias("baseline"), area(F.col("lo")).alias("low"), area(F.col("hi")).alias("high"), *by_class)
+
+
+def area_model_3(samples: DataFrame, span: int = 4, key: str = KEY) -> DataFrame:
+    """The mean of the interpolated widths, with bands drawn in to the 5th and 95th percentile.
+
+    Red segments take the 20th and 80th percentile of the ``span`` segments on either side.
+    """
+    seg = segments(curves.interpolated(samples, "w", key).withColumn("w", F.col("w_filled")), key)
+    by = seg.groupBy(key).agg(F.avg("w").alias("mu"), F.greatest(F.stddev_pop("w"), F.lit(1e-6)).alias("sigma"), _percentile("w", 0.05).alias("least"), _percentile("w", 0.95).alias("most"))
+    seg = seg.join(by, key).withColumn("class", G.sigma_class(F.abs(F.col("w") - F.col("mu")) / F.col("sigma")))
     frame = Window.partitionBy(key).orderBy("i").rowsBetween(-span, span)
-    out = classed.withColumn("p20", _percentile("w", 0.2).over(frame)).withColumn("p80", _percentile("w", 0.8).over(frame))
-    green = F.col("class") == "green"
-    w = F.coalesce("w", "mu")
-    low = F.when(green, w).otherwise(F.least(w, F.coalesce("p20", w)))
-    high = F.when(green, w).otherwise(F.greatest(w, F.coalesce("p80", w)))
-    area = lambda c: F.sum(F.col("len") * c)
-    return out.groupBy(key).agg(area(w).alias("nominal"), area(low).alias("low"), area(high).alias("high"))
+    seg = seg.withColumn("p20", _percentile("w", 0.2).over(frame)).withColumn("p80", _percentile("w", 0.8).over(frame))
+    low, high = _band({"green": (-1, 1), "yellow": (-2, 2)}, F.lit(True))
+    red = F.col("class") == "red"
+    seg = seg.withColumn("a", F.when(red, F.greatest("least", "p20")).otherwise(low)).withColumn("b", F.when(red, F.least("most", "p80")).otherwise(high))
+    area = lambda v: F.coalesce(F.sum(F.col("len") * v), F.lit(0.0))
+    return seg.groupBy(key).agg(area(F.col("mu")).alias("nominal"), area(F.least("a", "b")).alias("low"), area(F.greatest("a", "b")).alias("high"))
+
+
+def chosen_widths(samples: DataFrame, method: str, window: int = 5, scale: float = 1.0, key: str = KEY) -> DataFrame:
+    """Adds ``width``: the median of all, the sample's own (else the median), or that smoothed over a window; times ``scale``."""
+    if method not in ("median", "local", "smooth"):
+        raise ValueError(f"unknown width method {method}")
+    med = samples.groupBy(key).agg(_percentile("w", 0.5).alias("med"))
+    out = samples.join(med, key)
+    own = F.col("med") if method == "median" else F.coalesce("w", "med")
+    if method == "smooth" and window > 1:
+        own = F.avg(own).over(Window.partitionBy(key).orderBy("i").rowsBetween(-(window // 2), window // 2))
+    return out.withColumn("width", own * scale).drop("med")
 
 
 def trapezoid(samples: DataFrame, width: Column | None = None, key: str = KEY) -> DataFrame:

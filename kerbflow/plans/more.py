@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.operators import curves, graph, labels, raster, shapes
-from kerbflow.plans.queries import DR, PT, PX, dr, mask, page_edges, pt, px, query, rounded, table
+from kerbflow.plans.queries import DR, FIVE, PT, PX, RING, dr, five, mask, page_edges, pt, px, query, rounded, table
 
 WD = """wd AS (SELECT page, drawing_id AS word_no, x0, y0, x1, y1, lower(CASE drawing_id % 5 WHEN 0 THEN 'scale' WHEN 1 THEN 'a3' WHEN 2 THEN ((drawing_id % 6) * 5)::VARCHAR WHEN 3 THEN name ELSE kind END) AS text FROM dr)"""
 LN = "ln AS (SELECT page, word_no AS line_no, x0, y0, x1, y1, CASE WHEN word_no % 97 = 4 THEN 'Legend of ' || text ELSE text END AS text FROM wd)"
@@ -126,33 +126,29 @@ def axis_ends(spark, sf):
     return shapes.axis_ends(pt(spark, sf), "path_id")
 
 
-def five(spark, sf):
-    return pt(spark, sf).where("i < 5")
-
-
-@query(f"""WITH {PT}, p AS MATERIALIZED (SELECT * FROM pt WHERE i < 5), c AS (SELECT a.path_id, a.i AS p0, b.i AS p1, round(sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)), 9) AS d, b.x - a.x AS dx, b.y - a.y AS dy FROM p a JOIN p b ON a.path_id = b.path_id AND a.i < b.i),
-f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY path_id ORDER BY d DESC, p0, p1) = 1)
-SELECT path_id, round(CASE WHEN g < 0 THEN g + 180 WHEN g >= 180 THEN g - 180 ELSE g END, 4) AS angle FROM (SELECT path_id, degrees(atan2(dy, dx)) AS g FROM f)""")
+@query(f"""WITH {PT}, {FIVE}, c AS (SELECT a.polygon_id, a.i AS p0, b.i AS p1, round(sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)), 9) AS d, b.x - a.x AS dx, b.y - a.y AS dy FROM five a JOIN five b ON a.polygon_id = b.polygon_id AND a.i < b.i),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY polygon_id ORDER BY d DESC, p0, p1) = 1)
+SELECT polygon_id, round(CASE WHEN g < 0 THEN g + 180 WHEN g >= 180 THEN g - 180 ELSE g END, 4) AS angle FROM (SELECT polygon_id, degrees(atan2(dy, dx)) AS g FROM f)""")
 def dash_directions(spark, sf):
-    return rounded(shapes.dash_directions(five(spark, sf), "path_id"))
+    return rounded(shapes.dash_directions(five(spark, sf), "polygon_id"))
 
 
 @query(None)
 def collinear_groups(spark, sf):
-    d = shapes.dash_directions(five(spark, sf), "path_id").join(five(spark, sf).groupBy("path_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), "path_id")
-    return shapes.collinear_groups(d.select((F.col("path_id") % 3).cast("int").alias("page"), F.col("path_id").cast("long").alias("dash_id"), "cx", "cy", "angle"))
+    d = shapes.dash_directions(five(spark, sf), "polygon_id").join(five(spark, sf).groupBy("page", "polygon_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), "polygon_id")
+    return shapes.collinear_groups(d.select("page", F.col("polygon_id").cast("long").alias("dash_id"), "cx", "cy", "angle"))
 
 
 @query(None)
 def polygon_simplify(spark, sf):
-    return rounded(shapes.simplified(pt(spark, sf).where("i < 40"), "path_id", 0.01))
+    return rounded(shapes.simplified(pt(spark, sf), "path_id", 0.01))
 
 
-@query(f"""WITH {PT}, p AS (SELECT * FROM pt WHERE i < 5), e AS (SELECT path_id, x, y, coalesce(lead(x) OVER w, first(x) OVER v) AS bx, coalesce(lead(y) OVER w, first(y) OVER v) AS b_y FROM p WINDOW w AS (PARTITION BY path_id ORDER BY i), v AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-h AS (SELECT path_id, count(*) FILTER (WHERE (y > 48.5) <> (b_y > 48.5) AND x + (48.5 - y) * (bx - x) / nullif(b_y - y, 0) > 55) AS hits, abs(sum(x * b_y - bx * y)) / 2 AS area FROM e GROUP BY path_id)
-SELECT path_id, round(area, 4) AS area FROM h WHERE hits % 2 = 1 AND area > 100 ORDER BY area, path_id LIMIT 1""")
+@query(f"""WITH {PT}, {FIVE}, {RING},
+h AS (SELECT polygon_id, count(*) FILTER (WHERE (y > 4.85) <> (b_y > 4.85) AND x + (4.85 - y) * (bx - x) / nullif(b_y - y, 0) > 2.75) AS hits, abs(sum(x * b_y - bx * y)) / 2 AS area FROM ring GROUP BY polygon_id)
+SELECT polygon_id, round(area, 4) AS area FROM h WHERE hits % 2 = 1 AND area > 1 ORDER BY area, polygon_id LIMIT 1""")
 def tightest_polygon(spark, sf):
-    return rounded(shapes.containing(five(spark, sf), 55.0, 48.5, "path_id", 100.0))
+    return rounded(shapes.containing(five(spark, sf), 2.75, 4.85, "polygon_id", 1.0))
 
 
 @query(f"WITH {PT} SELECT path_id, i, round(5 + 2 * (x - 5) * cos(radians(30.0)) - 2 * (y - 6) * sin(radians(30.0)) + 1, 4) AS x, round(6 + 2 * (x - 5) * sin(radians(30.0)) + 2 * (y - 6) * cos(radians(30.0)) - 1, 4) AS y FROM pt")
@@ -160,9 +156,21 @@ def affine(spark, sf):
     return rounded(shapes.transformed(pt(spark, sf), 2.0, 1.0, -1.0, 5.0, 6.0, 30.0).select("path_id", F.col("i").cast("long").alias("i"), "x", "y"))
 
 
-@query(None)
+def _trim(t: str, name: str) -> str:
+    """SQL of a curve table without the hook at its start (reach 400, 80 degrees, two points ahead)."""
+    return f"""{name}_d AS (SELECT path_id, i, x, y, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS step, x - first(x) OVER e AS ax, y - first(y) OVER e AS ay, coalesce(lead(x, 2) OVER w, last(x) OVER e) - x AS bx, coalesce(lead(y, 2) OVER w, last(y) OVER e) - y AS b_y, count(*) OVER e AS n
+  FROM {t} WINDOW w AS (PARTITION BY path_id ORDER BY i), e AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+{name}_c AS (SELECT *, sum(step) OVER (PARTITION BY path_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM {name}_d),
+{name}_m AS (SELECT path_id, max(d) AS total, least(count(*) FILTER (WHERE d <= 400), max(n) - 4) AS most FROM {name}_c GROUP BY path_id),
+{name}_f AS (SELECT path_id, max(i) AS cut FROM {name}_c JOIN {name}_m USING (path_id) WHERE n >= 8 AND total > 400 AND most >= 3 AND i BETWEEN 2 AND most AND sqrt(ax*ax+ay*ay) >= 1e-6 AND sqrt(bx*bx+b_y*b_y) >= 1e-6
+  AND acos(greatest(-1, least(1, (ax*bx+ay*b_y) / (sqrt(ax*ax+ay*ay) * sqrt(bx*bx+b_y*b_y))))) >= radians(80) GROUP BY path_id),
+{name} AS (SELECT path_id, i - coalesce(cut, 0) AS i, x, y FROM {t} LEFT JOIN {name}_f USING (path_id) WHERE cut IS NULL OR i >= cut)"""
+
+
+@query(f"""WITH {PT}, {_trim('pt', 'one')}, turned AS (SELECT path_id, max(i) OVER (PARTITION BY path_id) - i AS i, x, y FROM one), {_trim('turned', 'two')}
+SELECT path_id, max(i) OVER (PARTITION BY path_id) - i AS i, x, y FROM two""")
 def hooks_trimmed(spark, sf):
-    return shapes.hooks_trimmed(pt(spark, sf), 80.0, 400.0, 2)
+    return shapes.hooks_trimmed(pt(spark, sf).withColumn("i", F.col("i").cast("long")), 80.0, 400.0, 2)
 
 
 @query(None)
@@ -186,23 +194,23 @@ def _labelled(p: DataFrame) -> DataFrame:
     return named.join(graph.connected_components(named.select("node"), e), "node").select("page", "y", "x", "component")
 
 
-HOLES = f"""{PX}, bg AS (SELECT page, y, x, page * 64 + y * 8 + x AS node FROM px WHERE page % 5 = 0 AND v <= 0.02), e AS (SELECT a.node AS a, b.node AS b FROM bg a JOIN bg b ON a.page = b.page AND abs(a.y - b.y) + abs(a.x - b.x) <= 1),
+HOLES = f"""{PX}, bg AS (SELECT page, y, x, page * 64 + y * 8 + x AS node FROM px WHERE v <= 0.02), e AS (SELECT a.node AS a, b.node AS b FROM bg a JOIN bg b ON a.page = b.page AND abs(a.y - b.y) + abs(a.x - b.x) <= 1),
 r(a, b) AS (SELECT node, node FROM bg UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a), lb AS (SELECT bg.page, y, x, component FROM bg JOIN c USING (node))"""
 
 
 @query(f"WITH RECURSIVE {HOLES} SELECT page, y, x FROM lb WHERE (page, component) NOT IN (SELECT page, component FROM lb WHERE y IN (0, 7) OR x IN (0, 7))")
 def enclosed_holes(spark, sf):
-    return raster.enclosed(_labelled(px(spark, sf).where("page % 5 = 0 and v <= 0.02")), (8, 8)).select("page", "y", "x")
+    return raster.enclosed(_labelled(px(spark, sf).where("v <= 0.02")), (8, 8)).select("page", "y", "x")
 
 
 @query(f"WITH RECURSIVE {HOLES} SELECT page, y, x FROM lb WHERE (page, component) IN (SELECT page, component FROM lb GROUP BY 1, 2 HAVING count(*) >= 6)")
 def small_removed(spark, sf):
-    return raster.small_removed(_labelled(px(spark, sf).where("page % 5 = 0 and v <= 0.02")), 6).select("page", "y", "x")
+    return raster.small_removed(_labelled(px(spark, sf).where("v <= 0.02")), 6).select("page", "y", "x")
 
 
 @query(f"WITH RECURSIVE {HOLES} SELECT page, y, x FROM lb WHERE (page, component) IN (SELECT page, component FROM lb WHERE y = 3 AND x = 3)")
 def flood_fill(spark, sf):
-    p = px(spark, sf).where("page % 5 = 0 and v <= 0.02")
+    p = px(spark, sf).where("v <= 0.02")
     return graph.flooded(p, p.where("y = 3 and x = 3"))
 
 
@@ -239,7 +247,7 @@ def first_black(spark, sf):
 
 @query(None)
 def outlines(spark, sf):
-    return raster.contours(_labelled(px(spark, sf).where("page % 5 = 0 and v > 0.02")))
+    return raster.contours(_labelled(px(spark, sf).where("v > 0.02")))
 
 
 @query(None)

@@ -42,14 +42,14 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 # -- projections ------------------------------------------------------------------------
 
 PT = "pt AS (SELECT user_id AS path_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS x, (event_id % 97)::DOUBLE AS y FROM events)"
-DR = """dr AS (SELECT p_partkey AS drawing_id, (p_partkey % 7)::INT AS page, p_size::DOUBLE AS x0, p_retailprice / 50 AS y0, p_size + 3.0::DOUBLE + p_partkey % 11 AS x1,
+DR = """dr AS (SELECT p_partkey AS drawing_id, (p_partkey // 50)::INT AS page, p_size::DOUBLE AS x0, p_retailprice / 50 AS y0, p_size + 3.0::DOUBLE + p_partkey % 11 AS x1,
   p_retailprice / 50 + 2 + p_partkey % 5 AS y1, [(p_partkey % 5) / 4.0::DOUBLE, (p_partkey % 3) / 2.0::DOUBLE, (p_partkey % 2)::DOUBLE] AS fill,
   CASE WHEN p_partkey % 4 > 0 THEN [(p_partkey % 2)::DOUBLE, (p_partkey % 5) / 4.0::DOUBLE, (p_partkey % 3) / 2.0::DOUBLE] END AS stroke, p_name AS name, p_type AS kind FROM part)"""
 PX = "px AS (SELECT vec_id AS page, ((p - 1) // 8)::INT AS y, ((p - 1) % 8)::INT AS x, embedding[p]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM embeddings))"
 MASK = "mask AS (SELECT page, y, x FROM px WHERE v > 0)"
-HIT = "hit AS (SELECT o_orderkey AS hit_id, (o_orderkey % 7)::INT AS page, (o_custkey % 50)::DOUBLE AS x, CASE WHEN o_orderkey % 10 = 0 THEN -1.0 ELSE (o_orderkey % 40) END::DOUBLE AS y, o_orderpriority AS text FROM orders WHERE o_orderkey % 5 < 2)"
+HIT = "hit AS (SELECT o_orderkey AS hit_id, (o_custkey * 4 // 150)::INT AS page, (o_custkey % 50)::DOUBLE AS x, CASE WHEN o_orderkey % 10 = 0 THEN -1.0 ELSE (o_orderkey % 40) END::DOUBLE AS y, o_orderpriority AS text FROM orders)"
 WS = "ws AS (SELECT path_id, i, 1 + abs(y) AS len, CASE WHEN (i * 7 + path_id) % 6 = 0 THEN NULL ELSE abs(x) END AS w FROM pt)"
-EDGE = "ed AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 100000000 AS b FROM lineitem WHERE l_suppkey % 4 = 0)"
+EDGE = "ed AS (SELECT DISTINCT l_orderkey AS a, l_partkey + 100000000 AS b FROM lineitem)"
 
 
 def pt(spark, sf):
@@ -63,7 +63,7 @@ def dr(spark, sf):
     y0, x0 = F.col("p_retailprice") / 50, F.col("p_size").cast("double")
     fill = F.array((k % 5) / F.lit(4.0), (k % 3) / F.lit(2.0), (k % 2).cast("double"))
     stroke = F.when(k % 4 > 0, F.array((k % 2).cast("double"), (k % 5) / F.lit(4.0), (k % 3) / F.lit(2.0)))
-    return p.select(k.alias("drawing_id"), (k % 7).cast("int").alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 3 + k % 11).alias("x1"), (y0 + 2 + k % 5).alias("y1"), fill.alias("fill"), stroke.alias("stroke"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
+    return p.select(k.alias("drawing_id"), F.floor(k / 50).cast("int").alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 3 + k % 11).alias("x1"), (y0 + 2 + k % 5).alias("y1"), fill.alias("fill"), stroke.alias("stroke"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
 
 
 def px(spark, sf):
@@ -78,7 +78,7 @@ def mask(spark, sf):
 def hit(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
     y = F.when(k % 10 == 0, -1.0).otherwise((k % 40).cast("double"))
-    return o.where(k % 5 < 2).select(k.alias("hit_id"), (k % 7).cast("int").alias("page"), (F.col("o_custkey") % 50).cast("double").alias("x"), y.alias("y"), F.col("o_orderpriority").alias("text"))
+    return o.select(k.alias("hit_id"), F.floor(F.col("o_custkey") * 4 / 150).cast("int").alias("page"), (F.col("o_custkey") % 50).cast("double").alias("x"), y.alias("y"), F.col("o_orderpriority").alias("text"))
 
 
 def ws(spark, sf):
@@ -87,8 +87,7 @@ def ws(spark, sf):
 
 
 def edges(spark, sf):
-    line = table(spark, sf, "lineitem").where("l_suppkey % 4 = 0")
-    return line.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b")).distinct()
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b")).distinct()
 
 
 # -- entities ---------------------------------------------------------------------------
@@ -149,14 +148,14 @@ def page_counts(spark, sf):
     return links(spark, sf).groupBy("page").agg(F.count("*").alias("hits"), F.count_if(F.col("link_status") == "linked").alias("linked"), F.count_distinct("linked_drawing_id").alias("drawings"))
 
 
-@query(f"""WITH {DR}, lab AS (SELECT drawing_id AS label_id, page, x0 + 60 AS x0, y0, y1 FROM dr WHERE drawing_id % 10 = 3), sw AS (SELECT drawing_id AS swatch_id, page, x0 AS sx0, x1, y0 AS sy0, y1 AS sy1 FROM dr WHERE x1 - x0 >= 8 AND y1 - y0 >= 2),
+@query(f"""WITH {DR}, lab AS (SELECT drawing_id AS label_id, page, x0 + 60 AS x0, y0, y1 FROM dr), sw AS (SELECT drawing_id AS swatch_id, page, x0 AS sx0, x1, y0 AS sy0, y1 AS sy1 FROM dr WHERE x1 - x0 >= 8 AND y1 - y0 >= 2),
 c AS (SELECT label_id, swatch_id, (lab.x0 - sw.x1) + 0.5::DOUBLE * abs((sy0 + sy1) / 2 - (lab.y0 + lab.y1) / 2) AS score FROM lab JOIN sw USING (page) WHERE lab.x0 - sw.x1 BETWEEN 0 AND 140
   AND least(lab.y1, sy1) > greatest(lab.y0, sy0) AND (least(lab.y1, sy1) - greatest(lab.y0, sy0)) / least(lab.y1 - lab.y0, sy1 - sy0) >= 0.4),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY score, swatch_id) = 1)
 SELECT lab.label_id, lab.page, b.swatch_id, round(b.score, 4) AS match_score, CASE WHEN b.label_id IS NULL THEN 'no_swatch_found' ELSE 'ok' END AS status FROM lab LEFT JOIN b USING (label_id)""")
 def legend_swatch_match(spark, sf):
     d = dr(spark, sf)
-    labels = d.where("drawing_id % 10 = 3").select(F.col("drawing_id").alias("label_id"), "page", (F.col("x0") + 60).alias("x0"), "y0", "y1")
+    labels = d.select(F.col("drawing_id").alias("label_id"), "page", (F.col("x0") + 60).alias("x0"), "y0", "y1")
     return rounded(entities.match_swatches(labels, d.where("x1 - x0 >= 8 and y1 - y0 >= 2").select(F.col("drawing_id").alias("swatch_id"), "page", "x0", "x1", "y0", "y1")))
 
 
@@ -165,12 +164,13 @@ def dedupe_rects(spark, sf):
     return entities.dedupe_rects(dr(spark, sf), 0).select("drawing_id", "page")
 
 
-@query(f"""WITH {DR}, c AS (SELECT drawing_id AS color_id, fill AS color FROM dr WHERE drawing_id <= 8),
+@query(f"""WITH {DR}, c AS (SELECT n_nationkey AS color_id, [(n_nationkey % 5) / 4.0::DOUBLE, (n_nationkey % 3) / 2.0::DOUBLE, (n_nationkey % 2)::DOUBLE] AS color FROM nation),
 h AS (SELECT color_id, coalesce(sqrt((fill[1]-color[1])^2+(fill[2]-color[2])^2+(fill[3]-color[3])^2) <= 0.3, false) AS f, coalesce(sqrt((stroke[1]-color[1])^2+(stroke[2]-color[2])^2+(stroke[3]-color[3])^2) <= 0.3, false) AS s FROM dr, c)
 SELECT color_id, count(*) FILTER (WHERE f) AS fill_hits, count(*) FILTER (WHERE s) AS stroke_hits, count(*) FILTER (WHERE f OR s) AS matched FROM h GROUP BY color_id""")
 def color_hits(spark, sf):
-    d = dr(spark, sf)
-    return entities.color_hits(d.where("drawing_id <= 8").select(F.col("drawing_id").alias("color_id"), F.col("fill").alias("color")), d, 0.3)
+    k = F.col("n_nationkey")
+    color = F.array((k % 5) / F.lit(4.0), (k % 3) / F.lit(2.0), (k % 2).cast("double"))
+    return entities.color_hits(table(spark, sf, "nation").select(k.alias("color_id"), color.alias("color")), dr(spark, sf), 0.3)
 
 
 @query(f"""WITH {DR} SELECT drawing_id, '#' || upper(printf('%02x%02x%02x', round_even(fill[1]*255, 0)::INT, round_even(fill[2]*255, 0)::INT, round_even(fill[3]*255, 0)::INT)) AS fill_hex FROM dr""")
@@ -204,13 +204,13 @@ def signature_semijoin(spark, sf):
     return entities.style_semi_join(d, d.where("page = 1 and x0 < 6"), ["color", "style"]).select("drawing_id")
 
 
-@query(f"""WITH {DR}, t AS (SELECT page, (drawing_id % 6) * 5 AS value, x0 * 3 + drawing_id % 6 * 28 AS x FROM dr WHERE drawing_id < 60),
+@query(f"""WITH {DR}, t AS (SELECT page, (drawing_id % 6) * 5 AS value, x0 * 3 + drawing_id % 6 * 28 AS x FROM dr),
 a AS (SELECT page, min(x) FILTER (WHERE value = 0) AS x_0, min(x) FILTER (WHERE value = 25) AS x_25, min({{'v': value, 'x': x}}) AS lo, max({{'v': value, 'x': x}}) AS hi FROM t GROUP BY page),
 m AS (SELECT page, (CASE WHEN x_0 IS NOT NULL AND x_25 IS NOT NULL THEN 25 ELSE hi.v - lo.v END)::DOUBLE AS delta_m, abs(CASE WHEN x_0 IS NOT NULL AND x_25 IS NOT NULL THEN x_25 - x_0 ELSE hi.x - lo.x END) AS delta_pt FROM a)
 SELECT page, delta_m, round(delta_pt, 4) AS delta_pt, round(delta_m / delta_pt, 4) AS m_per_pt, round(delta_m / delta_pt / (220 / 72.0::DOUBLE), 4) AS m_per_px FROM m WHERE delta_m > 0 AND delta_pt > 0""")
 def calibration(spark, sf):
     k = F.col("drawing_id")
-    ticks = dr(spark, sf).where(k < 60).select("page", ((k % 6) * 5).alias("value"), (F.col("x0") * 3 + k % 6 * 28).alias("x"))
+    ticks = dr(spark, sf).select("page", ((k % 6) * 5).alias("value"), (F.col("x0") * 3 + k % 6 * 28).alias("x"))
     return rounded(entities.calibration(ticks, 220))
 
 
@@ -225,14 +225,14 @@ def label_normalise(spark, sf):
     return dr(spark, sf).select("drawing_id", G.normal_label(F.concat_ws("   ", "name", "kind")).alias("label"))
 
 
-@query(f"""WITH {DR}, s AS (SELECT drawing_id, page, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS b_y FROM dr), p AS (SELECT drawing_id AS point_id, page, x0 + 5 AS x, y0 + 3 AS y FROM dr WHERE drawing_id % 20 = 0),
+@query(f"""WITH {DR}, s AS (SELECT drawing_id, page, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS b_y FROM dr), p AS (SELECT drawing_id AS point_id, page, x0 + 5 AS x, y0 + 3 AS y FROM dr),
 d AS (SELECT point_id, s.drawing_id AS item_id, greatest(0, least(1, ((x-ax)*(bx-ax)+(y-ay)*(b_y-ay)) / ((bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay)))) AS t, x, y, ax, ay, bx, b_y FROM s JOIN p USING (page)),
 e AS (SELECT point_id, item_id, sqrt((ax+t*(bx-ax)-x)^2 + (ay+t*(b_y-ay)-y)^2) AS distance FROM d)
 SELECT point_id, item_id, round(distance, 4) AS distance FROM e WHERE distance <= 2""")
 def segment_distance(spark, sf):
     d = dr(spark, sf)
     seg = d.select(F.col("drawing_id").alias("item_id"), "page", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
-    points = d.where("drawing_id % 20 = 0").select(F.col("drawing_id").alias("point_id"), "page", (F.col("x0") + 5).alias("x"), (F.col("y0") + 3).alias("y"))
+    points = d.select(F.col("drawing_id").alias("point_id"), "page", (F.col("x0") + 5).alias("x"), (F.col("y0") + 3).alias("y"))
     return rounded(spatial.items_near(seg, points, 2.0))
 
 
@@ -247,46 +247,43 @@ def bezier_flatten(spark, sf):
 # -- joins by place ---------------------------------------------------------------------
 
 MEET = "a.x1 + {g} >= b.x0 AND b.x1 + {g} >= a.x0 AND a.y1 + {g} >= b.y0 AND b.y1 + {g} >= a.y0"
-FEW = "few AS (SELECT * FROM dr WHERE drawing_id % 4 = 1)"
-
-
-def few(spark, sf):
-    return dr(spark, sf).where("drawing_id % 4 = 1")
 
 
-@query(f"WITH {DR}, {FEW} SELECT a.drawing_id AS a, b.drawing_id AS b FROM few a JOIN few b ON a.page = b.page AND a.drawing_id < b.drawing_id AND {MEET.format(g=0)}")
+@query(f"WITH {DR} SELECT a.drawing_id AS a, b.drawing_id AS b FROM dr a JOIN dr b ON a.page = b.page AND a.drawing_id < b.drawing_id AND {MEET.format(g=0)}")
 def bbox_overlap_pairs(spark, sf):
-    return spatial.self_overlap_pairs(few(spark, sf), 16.0)
+    return spatial.self_overlap_pairs(dr(spark, sf), 16.0)
 
 
-@query(f"WITH {DR}, {FEW} SELECT a.drawing_id AS a, b.drawing_id AS b FROM few a JOIN few b ON a.page = b.page AND a.drawing_id < b.drawing_id AND {MEET.format(g=0.5)}")
+@query(f"WITH {DR} SELECT a.drawing_id AS a, b.drawing_id AS b FROM dr a JOIN dr b ON a.page = b.page AND a.drawing_id < b.drawing_id AND {MEET.format(g=0.5)}")
 def boxes_gap_pairs(spark, sf):
-    return spatial.self_overlap_pairs(few(spark, sf), 16.0, 0.5)
+    return spatial.self_overlap_pairs(dr(spark, sf), 16.0, 0.5)
 
 
-@query(f"""WITH RECURSIVE {DR}, s AS (SELECT * FROM dr WHERE drawing_id % 11 = 1), p AS (SELECT a.drawing_id AS a, b.drawing_id AS b FROM s a JOIN s b ON a.page = b.page AND a.drawing_id <> b.drawing_id AND {MEET.format(g=0)}),
+@query(f"""WITH RECURSIVE {DR}, s AS (SELECT * FROM dr), p AS (SELECT a.drawing_id AS a, b.drawing_id AS b FROM s a JOIN s b ON a.page = b.page AND a.drawing_id <> b.drawing_id AND {MEET.format(g=0)}),
 r(a, b) AS (SELECT drawing_id, drawing_id FROM s UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b), c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a)
 SELECT component, count(*) AS n, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM c JOIN s ON drawing_id = node GROUP BY component""")
 def box_clusters(spark, sf):
-    d = dr(spark, sf).where("drawing_id % 11 = 1")
+    d = dr(spark, sf)
     labels = graph.connected_components(d.select(F.col("drawing_id").alias("node")), spatial.self_overlap_pairs(d, 16.0))
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     return rounded(labels.join(d, labels["node"] == d["drawing_id"]).groupBy("component").agg(F.count("*").alias("n"), *box))
 
 
-@query(f"""WITH {DR}, p AS (SELECT drawing_id, page, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM dr WHERE drawing_id % 5 = 2),
+@query(f"""WITH {DR}, p AS (SELECT drawing_id, page, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM dr),
 n AS (SELECT a.drawing_id AS a, b.drawing_id AS b, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS distance FROM p a JOIN p b ON a.page = b.page AND a.drawing_id <> b.drawing_id),
 k AS (SELECT * FROM n WHERE distance < 6 QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 3)
 SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(distance, 4) AS distance FROM k""")
 def knn_edges(spark, sf):
-    d = dr(spark, sf).where("drawing_id % 5 = 2").select("drawing_id", "page", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    d = dr(spark, sf).select("drawing_id", "page", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     return rounded(spatial.nearest_neighbours(d, 3, 6.0, "drawing_id")).distinct()
 
 
-@query(f"WITH {DR}, w AS (SELECT * FROM dr WHERE drawing_id % 50 = 7) SELECT DISTINCT a.drawing_id FROM dr a JOIN w b ON a.page = b.page AND {MEET.format(g=0)}")
+@query(f"WITH {DR}, w AS (SELECT n_nationkey % 4 AS page, n_nationkey % 5 * 10.0::DOUBLE AS x0, 18.0::DOUBLE + n_nationkey % 3 * 6 AS y0, n_nationkey % 5 * 10.0::DOUBLE + 6 AS x1, 21.0::DOUBLE + n_nationkey % 3 * 6 AS y1 FROM nation) SELECT DISTINCT a.drawing_id FROM dr a JOIN w b ON a.page = b.page AND {MEET.format(g=0)}")
 def window_overlap(spark, sf):
-    d = dr(spark, sf)
-    return spatial.within(d.select("drawing_id", "page", "x0", "y0", "x1", "y1"), d.where("drawing_id % 50 = 7").select("drawing_id", "page", "x0", "y0", "x1", "y1"), 16.0).select("drawing_id")
+    k = F.col("n_nationkey")
+    x0, y0 = k % 5 * F.lit(10.0), 18.0 + k % 3 * 6
+    windows = table(spark, sf, "nation").select((k % 4).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + 6).alias("x1"), (y0 + 3).alias("y1"))
+    return spatial.within(dr(spark, sf).select("drawing_id", "page", "x0", "y0", "x1", "y1"), windows, 16.0).select("drawing_id")
 
 
 # -- curves -----------------------------------------------------------------------------
@@ -424,27 +421,56 @@ CLASSED = """cl AS (SELECT *, CASE WHEN z <= 1 THEN 'green' WHEN z <= 2 THEN 'ye
 KAPPA = "CASE class WHEN 'green' THEN 0 WHEN 'yellow' THEN 1 ELSE 2 END"
 
 
-@query(f"WITH {PT}, {WS}, {CLASSED} SELECT class, count(*) AS n FROM cl GROUP BY class")
+SEGS = """sg AS (SELECT * FROM (SELECT path_id, i, lead(len) OVER q AS len, (w + lead(w) OVER q) / 2 AS w, lead(i) OVER q AS nx FROM ws WINDOW q AS (PARTITION BY path_id ORDER BY i)) WHERE nx IS NOT NULL),
+st AS (SELECT path_id, avg(w) AS mu, greatest(stddev_pop(w), 1e-6) AS sigma, min(w) AS least, max(w) AS most FROM ws GROUP BY path_id),
+cs AS (SELECT *, CASE WHEN w IS NULL THEN 'red' WHEN abs(w - mu) / sigma <= 1 THEN 'green' WHEN abs(w - mu) / sigma <= 2 THEN 'yellow' ELSE 'red' END AS class FROM sg JOIN st USING (path_id))"""
+
+
+@query(f"WITH {PT}, {WS}, {SEGS} SELECT class, count(*) AS n FROM cs GROUP BY class")
 def sigma_classes(spark, sf):
     return stats.class_counts(ws(spark, sf))
 
 
-@query(f"""WITH {PT}, {WS}, {CLASSED}, b AS (SELECT path_id, len, coalesce(w, mu) AS v, CASE WHEN w IS NULL OR w > mu THEN coalesce(w, mu) - {KAPPA} * sigma ELSE w END AS lo, CASE WHEN w IS NULL OR w < mu THEN coalesce(w, mu) + {KAPPA} * sigma ELSE w END AS hi FROM cl)
-SELECT path_id, round(sum(len * v), 4) AS nominal, round(sum(len * greatest(lo, 0)), 4) AS low, round(sum(len * hi), 4) AS high FROM b GROUP BY path_id""")
+@query(f"""WITH {PT}, {WS}, {SEGS}, b AS (SELECT *, CASE WHEN w IS NULL THEN least WHEN class = 'green' THEN greatest(least, mu - sigma) WHEN class = 'yellow' AND w >= mu THEN greatest(least, mu + sigma)
+    WHEN class = 'yellow' THEN greatest(least, mu - 2 * sigma) WHEN w >= mu THEN greatest(least, mu + 2 * sigma) ELSE least END AS lo,
+  CASE WHEN w IS NULL THEN most WHEN class = 'green' THEN least(most, mu + sigma) WHEN class = 'yellow' AND w >= mu THEN least(most, mu + 2 * sigma)
+    WHEN class = 'yellow' THEN least(most, mu - sigma) WHEN w >= mu THEN most ELSE least(most, mu - 2 * sigma) END AS hi FROM cs)
+SELECT path_id, round(sum(len * CASE WHEN w IS NULL THEN mu ELSE least(greatest(w, lo), hi) END), 4) AS nominal, round(sum(len * lo), 4) AS low, round(sum(len * hi), 4) AS high FROM b GROUP BY path_id""")
 def area_model1(spark, sf):
-    return rounded(stats.area_model_1(stats.sigma_classed(ws(spark, sf))))
+    return rounded(stats.area_model_1(ws(spark, sf)))
 
 
-@query(f"""WITH {PT}, {WS}, {CLASSED} SELECT path_id, round(sum(len * mu), 4) AS baseline, round(coalesce(sum(len * (w - mu)) FILTER (WHERE class = 'green'), 0), 4) AS green, round(coalesce(sum(len * (w - mu)) FILTER (WHERE class = 'yellow'), 0), 4) AS yellow,
-  round(coalesce(sum(len * (w - mu)) FILTER (WHERE class = 'red'), 0), 4) AS red FROM cl GROUP BY path_id""")
+@query(f"""WITH {PT}, {WS}, {SEGS}, b AS (SELECT *, CASE class WHEN 'green' THEN greatest(least, mu - sigma) WHEN 'yellow' THEN greatest(least, mu - 2 * sigma) ELSE least END AS lo,
+  CASE class WHEN 'green' THEN least(most, mu + sigma) WHEN 'yellow' THEN least(most, mu + 2 * sigma) ELSE most END AS hi FROM cs)
+SELECT path_id, round(sum(len * mu), 4) AS baseline, round(sum(len * lo), 4) AS low, round(sum(len * hi), 4) AS high,
+  round(coalesce(sum(len * greatest(0, mu - lo)) FILTER (WHERE class = 'green'), 0), 4) AS green_down, round(coalesce(sum(len * greatest(0, hi - mu)) FILTER (WHERE class = 'green'), 0), 4) AS green_up,
+  round(coalesce(sum(len * greatest(0, mu - lo)) FILTER (WHERE class = 'yellow'), 0), 4) AS yellow_down, round(coalesce(sum(len * greatest(0, hi - mu)) FILTER (WHERE class = 'yellow'), 0), 4) AS yellow_up,
+  round(coalesce(sum(len * greatest(0, mu - lo)) FILTER (WHERE class = 'red'), 0), 4) AS red_down, round(coalesce(sum(len * greatest(0, hi - mu)) FILTER (WHERE class = 'red'), 0), 4) AS red_up FROM b GROUP BY path_id""")
 def area_model2(spark, sf):
-    return rounded(stats.area_model_2(stats.sigma_classed(ws(spark, sf))))
+    return rounded(stats.area_model_2(ws(spark, sf)))
+
+
+FILLED = """fg AS (SELECT path_id, i, len, w, last_value(w IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN w IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, first_value(w IGNORE NULLS) OVER f AS v1, first_value(CASE WHEN w IS NOT NULL THEN i END IGNORE NULLS) OVER f AS i1
+  FROM ws WINDOW b AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fw AS (SELECT path_id, i, len, coalesce(w, v0 + (v1 - v0) * ((i - i0) / nullif(i1 - i0, 0)::DOUBLE), v0, v1) AS w FROM fg)"""
 
 
-@query(f"""WITH {PT}, {WS}, {CLASSED}, p AS (SELECT path_id, len, class, coalesce(w, mu) AS v, quantile_cont(w, 0.2) OVER f AS p20, quantile_cont(w, 0.8) OVER f AS p80 FROM cl WINDOW f AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
-SELECT path_id, round(sum(len * v), 4) AS nominal, round(sum(len * CASE class WHEN 'green' THEN v ELSE least(v, coalesce(p20, v)) END), 4) AS low, round(sum(len * CASE class WHEN 'green' THEN v ELSE greatest(v, coalesce(p80, v)) END), 4) AS high FROM p GROUP BY path_id""")
+@query(f"""WITH {PT}, {WS}, {FILLED}, sg AS (SELECT * FROM (SELECT path_id, i, lead(len) OVER q AS len, (w + lead(w) OVER q) / 2 AS w, lead(i) OVER q AS nx FROM fw WINDOW q AS (PARTITION BY path_id ORDER BY i)) WHERE nx IS NOT NULL),
+st AS (SELECT path_id, avg(w) AS mu, greatest(stddev_pop(w), 1e-6) AS sigma, quantile_cont(w, 0.05) AS least, quantile_cont(w, 0.95) AS most FROM sg GROUP BY path_id),
+p AS (SELECT *, abs(w - mu) / sigma AS z, quantile_cont(w, 0.2) OVER f AS p20, quantile_cont(w, 0.8) OVER f AS p80 FROM sg JOIN st USING (path_id) WINDOW f AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+b AS (SELECT *, CASE WHEN z <= 1 THEN greatest(least, mu - sigma) WHEN z <= 2 THEN greatest(least, mu - 2 * sigma) ELSE greatest(least, p20) END AS a, CASE WHEN z <= 1 THEN least(most, mu + sigma) WHEN z <= 2 THEN least(most, mu + 2 * sigma) ELSE least(most, p80) END AS c FROM p)
+SELECT path_id, round(sum(len * mu), 4) AS nominal, round(sum(len * least(a, c)), 4) AS low, round(sum(len * greatest(a, c)), 4) AS high FROM b GROUP BY path_id""")
 def area_model3(spark, sf):
-    return rounded(stats.area_model_3(stats.sigma_classed(ws(spark, sf))))
+    return rounded(stats.area_model_3(ws(spark, sf)))
+
+
+@query(f"""WITH {PT}, {WS}, m AS (SELECT path_id, quantile_cont(w, 0.5) AS med FROM ws GROUP BY path_id)
+SELECT path_id, i, round(med * 1.1::DOUBLE, 4) AS median_width, round(coalesce(w, med) * 1.1::DOUBLE, 4) AS local_width, round(avg(coalesce(w, med)) OVER (PARTITION BY path_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) * 1.1::DOUBLE, 4) AS smooth_width FROM ws JOIN m USING (path_id)""")
+def width_methods(spark, sf):
+    out = ws(spark, sf)
+    for method in ("median", "local", "smooth"):
+        out = stats.chosen_widths(out, method, 5, 1.1).withColumnRenamed("width", f"{method}_width")
+    return rounded(out.select("path_id", F.col("i").cast("long").alias("i"), "median_width", "local_width", "smooth_width"))
 
 
 TRAP = "SELECT path_id, coalesce(sum(len * (v + pv) / 2) FILTER (WHERE i > 0), 0) AS area, coalesce(sum(len) FILTER (WHERE i > 0), 0) AS length FROM (SELECT path_id, i, len, {v} AS v, lag({v}) OVER (PARTITION BY path_id ORDER BY i) AS pv FROM {t}) GROUP BY path_id"
@@ -524,9 +550,9 @@ def row_runs(spark, sf):
     return curves.row_runs(mask(spark, sf), ["page", "y"])
 
 
-@query(f"WITH {DR}, s AS (SELECT * FROM dr WHERE drawing_id % 9 = 0), r AS (SELECT drawing_id, page, unnest(range(x0::INT, trunc(x1)::INT + 1))::INT AS x, trunc(y0)::INT AS a, trunc(y1)::INT AS b FROM s), p AS (SELECT drawing_id, page, x, unnest(range(a, b + 1))::INT AS y FROM r) SELECT page, y, x, min(drawing_id) AS first_id FROM p GROUP BY page, y, x")
+@query(f"WITH {DR}, s AS (SELECT * FROM dr), r AS (SELECT drawing_id, page, unnest(range(x0::INT, trunc(x1)::INT + 1))::INT AS x, trunc(y0)::INT AS a, trunc(y1)::INT AS b FROM s), p AS (SELECT drawing_id, page, x, unnest(range(a, b + 1))::INT AS y FROM r) SELECT page, y, x, min(drawing_id) AS first_id FROM p GROUP BY page, y, x")
 def seq_min_raster(spark, sf):
-    return raster.first_drawn(dr(spark, sf).where("drawing_id % 9 = 0"))
+    return raster.first_drawn(dr(spark, sf))
 
 
 RAYS = "ray AS (SELECT vec_id AS ray_id, vec_id AS page, 3.0::DOUBLE AS x, 3.0::DOUBLE AS y, CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.0 END::DOUBLE AS dx, CASE vec_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.8 ELSE 1.0 END::DOUBLE AS dy FROM embeddings)"
@@ -558,10 +584,23 @@ def skeleton(spark, sf):
     return raster.skeleton(mask(spark, sf).withColumn("page", F.col("page").cast("int")))
 
 
-@query(None)
+#: Every five points of a path in a row, as a small polygon: (polygon_id, page, i, x, y).
+FIVE = "five AS (SELECT path_id * 100000 + i // 5 AS polygon_id, (path_id // 10)::INT AS page, i % 5 AS i, x / 20 AS x, y / 10 AS y FROM pt)"
+
+
+def five(spark, sf):
+    k = F.floor(F.col("i") / 5)
+    return pt(spark, sf).select((F.col("path_id") * 100000 + k).alias("polygon_id"), F.floor(F.col("path_id") / 10).cast("int").alias("page"), (F.col("i") % 5).alias("i"), (F.col("x") / 20).alias("x"), (F.col("y") / 10).alias("y"))
+
+
+RING = "ring AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER v) AS bx, coalesce(lead(y) OVER w, first(y) OVER v) AS b_y FROM five WINDOW w AS (PARTITION BY polygon_id ORDER BY i), v AS (PARTITION BY polygon_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+@query(f"""WITH {PT}, {FIVE}, {RING}, c AS (SELECT page, polygon_id, k, x + (bx - x) * (k - y) / (b_y - y) AS cut FROM (SELECT *, unnest(range(ceil(least(y, b_y))::BIGINT, ceil(greatest(y, b_y))::BIGINT)) AS k FROM ring)),
+s AS (SELECT page, k, cut, lead(cut) OVER w AS stop, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY polygon_id, k ORDER BY cut))
+SELECT DISTINCT page, k::INT AS y, unnest(range(ceil(cut)::BIGINT, floor(stop)::BIGINT + 1))::INT AS x FROM s WHERE n % 2 = 1 AND stop IS NOT NULL""")
 def polygon_fill(spark, sf):
-    p = pt(spark, sf).where("path_id % 10 = 0 and i < 5")
-    return raster.filled_polygons(p.select((F.col("path_id") % 7).cast("int").alias("page"), F.col("path_id").alias("polygon_id"), "i", "x", "y"))
+    return raster.filled_polygons(five(spark, sf))
 
 
 # -- graphs -----------------------------------------------------------------------------
@@ -612,18 +651,26 @@ def forward_progress(spark, sf):
     return rounded(graph.forward_progress(curves.tangents(pt(spark, sf))))
 
 
-@query(None)
+CAP = "CASE WHEN (i * 7 + path_id) % 6 = 0 THEN NULL WHEN (i + path_id) % 11 = 0 THEN 0 ELSE y / 20 END"
+
+
+@query(f"""WITH RECURSIVE {PT}, c AS (SELECT path_id, i, {CAP} AS cap, k * 0.5::DOUBLE AS d, abs(x / 25 - k * 0.5::DOUBLE) AS cost FROM pt, range(0, 9) t(k)),
+r(path_id, i, before, offst) AS (SELECT DISTINCT path_id, -1::BIGINT, 0.0::DOUBLE, NULL::DOUBLE FROM pt UNION ALL
+  SELECT n.path_id, n.i, n.now, CASE WHEN n.cap IS NULL THEN NULL ELSE n.now END FROM (
+    SELECT c.path_id, c.i, any_value(c.cap) AS cap, CASE WHEN any_value(c.cap) IS NULL THEN any_value(r.before) WHEN any_value(c.cap) <= 1e-9 THEN 0.0
+      ELSE coalesce(arg_min(c.d, (c.cost + 0.6 * abs(c.d - r.before) + 0.01 * c.d, c.d)) FILTER (WHERE c.d <= c.cap), 0.0) END::DOUBLE AS now
+    FROM r JOIN c ON c.path_id = r.path_id AND c.i = r.i + 1 GROUP BY c.path_id, c.i) n)
+SELECT path_id, i, offst AS "offset" FROM r WHERE i >= 0""")
 def offset_fit(spark, sf):
-    p = pt(spark, sf).withColumn("offset", F.explode(F.sequence(F.lit(-2), F.lit(2))))
-    return graph.offset_fit(p.withColumn("cost", F.abs(F.col("x") / 10 - F.col("offset"))), 0.5)
+    cap = F.when((F.col("i") * 7 + F.col("path_id")) % 6 == 0, F.lit(None).cast("double")).when((F.col("i") + F.col("path_id")) % 11 == 0, 0.0).otherwise(F.col("y") / 20)
+    p = pt(spark, sf).withColumn("i", F.col("i").cast("long")).withColumn("cap", cap).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("offset", F.col("k") * F.lit(0.5))
+    return graph.offset_fit(p.withColumn("cost", F.abs(F.col("x") / 25 - F.col("offset"))))
 
 
 @query(None)
 def refine_centerline(spark, sf):
     f = px(spark, sf).withColumn("page", F.col("page").cast("int"))
-    nodes = f.where("x = y").select("page", F.col("x").cast("long").alias("node"), "x", "y")
-    links = nodes.select("page", F.col("node").alias("a"), (F.col("node") + 1).alias("b")).where("b < 8")
-    return rounded(graph.refined_centres(nodes, links, f, 1, 10.0, 0.5, 3))
+    return rounded(graph.refined_centres(f.where("x = y").select("page", F.col("x").alias("i"), "x", "y"), f.where("v > 0"), 2, 1, 10.0, 0.03, 0.02, 0.015, 3))
 
 
 @query(None)
@@ -664,7 +711,7 @@ def step_sequence_check(spark, sf):
     return quantities.step_jumps(e, "user_id", ["event_id"]).select("user_id", "event_id", "in_order")
 
 
-@query("""SELECT conv_id, turn, role AS agent, CASE role WHEN 'user' THEN 'prompt' WHEN 'assistant' THEN 'response' ELSE 'tool' END AS task, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS result FROM conversations""")
+@query("""SELECT conv_id, turn, role AS agent, CASE role WHEN 'user' THEN 'prompt' WHEN 'assistant' THEN 'response' ELSE 'tool' END AS task, CASE WHEN role NOT IN ('user', 'assistant') AND length(text) > 2000 THEN substr(text, 1, 2000) || '... (truncated)' ELSE text END AS result FROM conversations""")
 def agent_log_flatten(spark, sf):
     return quantities.log_rows(table(spark, sf, "conversations"))
 
@@ -679,7 +726,7 @@ def polygon_validate(spark, sf):
     return quantities.polygon_verdict(pt(spark, sf), "path_id", 80.0)
 
 
-@query(f"WITH {PT} SELECT path_id, i, round(x / 200 * 1000, 6) AS nx, round(y / 97 * 1000, 6) AS ny FROM pt")
+@query(f"WITH {PT} SELECT path_id, i, round_even(x / 200.0::DOUBLE * 1000, 2) AS nx, round_even(y / 97.0::DOUBLE * 1000, 2) AS ny FROM pt")
 def normalize_coords(spark, sf):
     p = quantities.normalised(pt(spark, sf), 200.0, 97.0)
-    return p.select("path_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") / 200 * 1000, 6).alias("nx"), F.round(F.col("y") / 97 * 1000, 6).alias("ny"))
+    return p.select("path_id", F.col("i").cast("long").alias("i"), "nx", "ny")
