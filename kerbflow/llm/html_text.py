@@ -4,7 +4,8 @@ Every page is parsed and its containers scored by the running text they hold.  A
 container is known by its generalised path: the tags from the root with their classes,
 digits replaced, positions left out.  Pages vote for their best containers; Spark sums the
 votes by host and path.  The text of a page is then taken from the containers on its host's
-winning path, and only where it has none of the winning paths from its own best one.
+winning path and on winning paths beside it, and only where it has none of the winning paths
+from its own best one.
 """
 
 from __future__ import annotations
@@ -23,16 +24,21 @@ from kerbflow.llm._cluster import bounded_batches, sized, written
 VOTES, KEPT = 3, 4
 #: Hosts up to which their winners are broadcast.
 HOSTS = 100_000
+#: Least score of a sibling of the best container, as a share of its own.
+SIBLING = 0.25
+#: Elements deeper than this belong to the one at that depth, as in browsers.
+DEEPEST = 512
 
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select xmp noembed noframes".split())
-DROPPED = frozenset("nav footer aside form button dialog menu".split())
+#: Their content is no markup; without an end tag it goes to the end of the page.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+DROPPED = frozenset("nav footer aside form button dialog menu select template svg".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body blockquote html".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 NOISE_ROLES = frozenset("banner complementary contentinfo dialog alert navigation search menu form".split())
-CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
@@ -40,28 +46,47 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "noise", "score", "link")
+    __slots__ = ("tag", "path", "parent", "noise", "soft", "keeps", "weight", "score", "link", "depth", "blocks")
 
-    def __init__(self, tag, path, parent, noise, link):
-        self.tag, self.path, self.parent, self.noise, self.link = tag, path, parent, noise, link
-        self.score = 0.0
+    def __init__(self, tag, path, parent, noise, soft, link, depth, blocks):
+        self.tag, self.path, self.parent, self.noise, self.link, self.depth, self.blocks = tag, path, parent, noise, link, depth, blocks
+        #: the nearest element around, itself included, whose names only hint at noise
+        self.soft = self if soft else parent.soft if parent else None
+        self.keeps, self.weight, self.score = False, 0, 0.0
 
 
-def _describe(tag: str, rest: str) -> tuple[str, bool]:
-    """A step of the generalised path, and whether the element is no part of an article."""
+def _describe(tag: str, rest: str) -> tuple[str, bool, bool]:
+    """A step of the generalised path; whether the element is no part of an article, and whether its names only hint at that.
+
+    A class or id all of whose words mean noise (``cookie-notice``) says so; one with some such
+    word (``share-enabled``) hints at it.
+    """
     if not rest.strip():
-        return tag, tag in DROPPED
+        return tag, tag in DROPPED, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
-    classes = sorted({re.sub(r"\d+", "0", c) for c in found.get("class", "").lower().split()})
-    words = set(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    noise = tag in DROPPED or bool(words & NOISE_WORDS) or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    return ".".join([tag, *classes]), noise and tag not in ("html", "body")
+    names = found.get("class", "").lower().split()
+    step = ".".join([tag, *sorted({re.sub(r"\d+", "0", c) for c in names})])
+    if tag in ("html", "body"):
+        return step, False, False
+    listed = [set(_WORDS.findall(n)) for n in [*names, *found.get("id", "").lower().split()]]
+    sure = any(w and w <= NOISE_WORDS for w in listed) and tag not in ("article", "main")
+    noise = tag in DROPPED or sure or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+    return step, noise, not noise and any(w & NOISE_WORDS for w in listed)
 
 
 def parse(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
-    """Blocks of text outside noise, with their element and their letters in links; all containers."""
-    root = _Node("", "", None, False, False)
+    """Blocks of text outside noise, with their element and their letters in links; all containers.
+
+    An element whose names hint at noise is none if it holds an article, a first heading or half
+    of the page's text.
+    """
+    root = _Node("", "", None, False, False, False, 0, 0)
     stack, blocks, containers, text, linked = [root], [], [], [], 0
+    at_of: dict[str, list[int]] = {}  # places of the open elements by tag
+    paths: dict = {}
+
+    def top(tags, floor=0):
+        return max((at_of[t][-1] for t in tags if at_of.get(t) and at_of[t][-1] > floor), default=0)
 
     def flush():
         nonlocal linked
@@ -74,8 +99,10 @@ def parse(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
         linked = 0
 
     def pop(k):
-        if any(n.tag in BLOCKS for n in stack[k:]):
+        if stack[-1].blocks > stack[k - 1].blocks:
             flush()
+        for n in stack[k:]:
+            at_of[n.tag].pop()
         del stack[k:]
 
     at, size = 0, len(page)
@@ -94,12 +121,14 @@ def parse(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag in BLOCKS and (k := top(("svg",))):
+            pop(k)  # blocks end a drawing that was left open
         if close:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not at_of.get("p"):
                 flush()
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = top((tag,))
             # an inline end tag does not close blocks around it
-            if k and (tag in BLOCKS or not any(n.tag in BLOCKS for n in stack[k:])):
+            if k and (tag in BLOCKS or stack[-1].blocks == stack[k - 1].blocks):
                 pop(k)
             continue
         if tag in RAW and not rest.endswith("/"):
@@ -111,29 +140,49 @@ def parse(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
             text.append(" ")
             continue
         if tag in BLOCKS:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in CONTAINERS), 0)
+            k = top(("p", *CONTAINERS))
             if k and stack[k].tag == "p":
                 pop(k)
             if tag in CLOSES:
                 ends, limits = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in limits:
-                        break
-                    if stack[k].tag in ends.split():
-                        pop(k)
+                while k := top(ends, top(limits)):
+                    pop(k)
             flush()
         if tag in VOID or rest.endswith("/"):
             continue
-        step, noise = _describe(tag, rest)
+        step, noise, soft = _describe(tag, rest)
         up = stack[-1]
+        if tag == "header" and not at_of.get("article"):
+            noise = True
+        parent = up if up.depth < DEEPEST else up.parent
         # inline elements do not lengthen paths
-        path = f"{up.path}>{step}" if tag in BLOCKS else up.path
-        node = _Node(tag, path, up, noise or up.noise, up.link or tag == "a")
+        path = paths.setdefault((parent.path, step), f"{parent.path}>{step}") if tag in BLOCKS else parent.path
+        node = _Node(tag, path, parent, noise or up.noise, soft and not up.noise, up.link or tag == "a", min(up.depth + 1, DEEPEST), up.blocks + (tag in BLOCKS))
+        if tag in ("article", "main", "h1"):
+            s = node.parent.soft
+            while s is not None and not s.keeps:
+                s.keeps, s = True, s.parent.soft
+        at_of.setdefault(tag, []).append(len(stack))
         stack.append(node)
         if tag in CONTAINERS and not node.noise:
             containers.append(node)
     flush()
-    return blocks, containers
+    whole = sum(len(words) for _, words, _ in blocks)
+    for node, words, _ in blocks:
+        s = node.soft
+        while s is not None:
+            s.weight += len(words)
+            s = s.parent.soft
+
+    def clear(node):
+        s = node.soft
+        while s is not None:
+            if not s.keeps and 2 * s.weight < whole:
+                return False
+            s = s.parent.soft
+        return True
+
+    return [b for b in blocks if clear(b[0])], [c for c in containers if clear(c)]
 
 
 def _holders(node: _Node):
@@ -165,15 +214,21 @@ def scored(blocks, containers) -> list[tuple[str, float]]:
     return sorted(total.items(), key=lambda x: (-x[1], x[0]))
 
 
+def _with_siblings(ranked: list[tuple[str, float]], paths: list[str]) -> set[str]:
+    """The first of ``paths`` that a page has, else its best, and those next to it, below the same element, that hold a good part."""
+    have = dict(ranked)
+    order = [p for p in paths if p in have] or [p for p, _ in ranked]
+    up = lambda p: p.rpartition(">")[0]
+    return {p for p in order if p == order[0] or up(p) == up(order[0]) and have[p] >= SIBLING * have[order[0]]}
+
+
 def article(page: str | None, paths: list[str]) -> str:
-    """The text below the first of ``paths`` that the page has, else below its best container."""
+    """The text below the first of ``paths`` that the page has, else below its best container, siblings included."""
     blocks, containers = parse(page or "")
-    own = scored(blocks, containers)
-    have = {c.path for c in containers if c.score > 0}
-    path = next((p for p in paths if p in have), own[0][0] if own else None)
-    if path is None:
+    chosen = _with_siblings(scored(blocks, containers), paths)
+    if not chosen:
         return "\n\n".join(words for _, words, _ in blocks)
-    return "\n\n".join(words for node, words, _ in blocks if any(h.path == path for h in _holders(node)))
+    return "\n\n".join(words for node, words, _ in blocks if any(h.path in chosen for h in _holders(node)))
 
 
 def _votes(batches):
@@ -217,8 +272,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
 
     A null or empty page has an empty text, and so has one without text outside noise.  Pages
-    without a host vote together.  Repeated rows stay; an empty table gives no rows; further
-    columns are ignored.
+    without a host vote together.  Repeated rows stay, equal votes fall to the path that sorts
+    first; an empty table gives no rows; further columns, whatever their names, are ignored.  A
+    long page is parsed whole, in time that grows with its length whatever its depth.
     """
     bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
