@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from kerbflow.llm._cluster import sized, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BIN_BITS = 12
+#: A source is cut inside one of so many ranges, whose rows one task sorts.
+BIN_BITS = 16
 HASH_BITS = 52
 #: Sources up to which their table is broadcast.
 SOURCES = 100_000
@@ -54,37 +55,40 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int
 
     ``weights`` repeats over the sources in code-point order, a null source last.  Null and
     empty texts have size 0 and give 0 words; so does a source of size 0.  Repeated rows
-    count as often as they occur.  An empty table gives no rows.  All columns stay, but ones
-    of the added names are replaced.
+    count as often as they occur; rows that share a doc_id or have none share a place in the
+    seeded order and follow one another by size and text.  An empty table gives no rows.  All
+    columns stay, but ones of the added names are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
     order = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
     rows = docs.withColumn("size", word_count(F.col("text"))).withColumn("__at", order)
     rows = rows.withColumn("__bin", F.shiftright("__at", HASH_BITS - BIN_BITS).cast("int"))
 
-    bins = written(rows.groupBy("source", F.col("__bin").alias("bin")).agg(F.sum("size").alias("bin_size")), "bins")
-    sources = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # no name of the plan is left that a column of the documents may have
+    bins = written(rows.groupBy(F.col("source").alias("__of"), "__bin").agg(F.sum("size").alias("__bin_size")), "bins")
+    sources = bins.groupBy(F.col("__of").alias("source")).agg(F.sum("__bin_size").alias("source_size"))
+    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
     plan = water_fill(sources.withColumn("weight", weight), budget, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("whole", epochs).withColumn("extra", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
+    extra = F.round(F.col("target")).cast("long") - epochs * F.col("source_size")
+    plan = written(plan.select(F.col("source").alias("__name"), "source_size", "target", epochs.alias("__whole"), extra.alias("__extra")), "targets")
 
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plan = written(plan.withColumnRenamed("source", "of"), "targets")
-    same = F.col("source").eqNullSafe(F.col("of"))
-    sums = bins.withColumn("upto", F.sum("bin_size").over(upto)).join(sized(plan.select("of", "extra"), SOURCES), same)
-    cut = sums.where("upto > extra").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("cut"))
+    upto = Window.partitionBy("__of").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("__of").eqNullSafe(F.col("__name"))
+    sums = bins.withColumn("__upto", F.sum("__bin_size").over(upto)).join(sized(plan.select("__name", "__extra"), SOURCES), same)
+    cut = sums.where("__upto > __extra").groupBy("__of").agg(F.min(F.struct("__bin", (F.col("__upto") - F.col("__bin_size")).alias("before"))).alias("__cut"))
     plan = plan.join(cut, same, "left").select(
-        "of", "source_size", "target", "whole", "extra", F.coalesce("cut.bin", F.lit(1 << BIN_BITS)).alias("cut_bin"), F.coalesce("cut.before", F.lit(0)).alias("before")
+        "__name", "source_size", "target", "__whole", "__extra", F.coalesce("__cut.__bin", F.lit(1 << BIN_BITS)).alias("__cut_bin"), F.coalesce("__cut.before", F.lit(0)).alias("__before")
     )
-    known = rows.join(sized(written(plan, "plan"), SOURCES), rows["source"].eqNullSafe(F.col("of")))
-
-    base = F.col("whole") * F.col("size")
-    clear = known.where("__bin <> cut_bin").withColumn("taken", base + F.when(F.col("__bin") < F.col("cut_bin"), F.col("size")).otherwise(0))
-    inside = Window.partitionBy("of").orderBy("__at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = known.where("__bin = cut_bin").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    edge = edge.withColumn("taken", base + F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("ahead"))))
+    known = rows.join(sized(written(plan, "plan"), SOURCES), rows["source"].eqNullSafe(F.col("__name")))
+
+    base = F.col("__whole") * F.col("size")
+    clear = known.where("__bin <> __cut_bin").withColumn("taken", base + F.when(F.col("__bin") < F.col("__cut_bin"), F.col("size")).otherwise(0))
+    # rows of one place, id and size are told apart by their texts
+    inside = Window.partitionBy("__name").orderBy("__at", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, -1)
+    edge = known.where("__bin = __cut_bin").withColumn("__text", F.xxhash64("text")).withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    edge = edge.withColumn("taken", base + F.greatest(F.lit(0), F.least(F.col("size"), F.col("__extra") - F.col("__ahead"))))
     columns = [*docs.columns, "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return clear.select(*columns).unionByName(edge.select(*columns))
 
