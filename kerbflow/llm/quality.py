@@ -40,7 +40,6 @@ _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-
 
 
 def _shape(word: str) -> str:
-    word = word[:64]
     return _DIGIT.sub("9", _UPPER.sub("A", _LOWER.sub("a", word)))
 
 
