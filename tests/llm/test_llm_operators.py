@@ -467,3 +467,67 @@ def test_main_text(spark):
     assert got[5].text == "Short." and got[6].text == "Body text that is long enough.\n\nAnd more of it."
     assert got[7].text == "" and got[8].text == "" and got[9].text == "just text" and got[7].url is None
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_main_text_keeps_articles(spark):
+    body = "<p>" + "Running text of the article itself. " * 12 + "</p>"
+    text = ("Running text of the article itself. " * 12).strip()
+    other, rest = body.replace("itself", "as such"), text.replace("itself", "as such")
+    pages = [
+        (f"<body><header><p>A site banner</p></header><div class='post share-enabled'>{body}</div></body>", text),
+        ("<article><p>Let <math><mi>x</mi></math> be large.</p><svg><text>no</text><p>After it.</p></article>", "Let x be large.\n\nAfter it."),
+        (f"<body><div id='w'><div class='part-a'>{body}</div><div class='part-b'>{other}</div></div><footer>f</footer></body>", f"{text}\n\n{rest}"),
+        (f"<article><header><h1>Title</h1></header>{body}<noscript>Plain.</noscript><div class='share'>Tell others</div></article>", f"Title\n\n{text}\n\nPlain."),
+        (f"<body><div class='cookie-banner'>{body}{body}{body}</div><div class='text'>{other}</div></body>", rest),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        (f"<article>{body}<script>if (a < b) 'x'", text),
+    ]
+    rows = [(k, f"http://h{k}.example/", h, "a", "b") for k, (h, _) in enumerate(pages)]
+    out = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string")).collect()
+    assert {r.page_id: r.text for r in out} == {k: t for k, (_, t) in enumerate(pages)}
+    long = "<article>" + "<p>word word</p>" * 40_000 + "</article>"
+    assert html_text.article(long, []).count("\n\n") == 39_999
+
+
+def test_mixing_with_clashing_names(spark):
+    names = ["of", "whole", "extra", "before", "cut", "cut_bin", "bin", "bin_size", "upto", "ahead", "weight", "level", "ratio"]
+    rows = [(k % 7 or None, f"{'a ' * (k % 5)}b{k}", f"s{k % 3}", *[k] * len(names)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "size", "source_size", "target", "taken"]
+    got, again = sorted(out.collect(), key=str), sorted(mixing.mix(df.repartition(3)).collect(), key=str)
+    assert got == again and len(got) == 40 and all(r["of"] == r["whole"] for r in got)
+    plain = sorted((r.doc_id or 0, r.size, r.taken) for r in mixing.mix(df.select("doc_id", "text", "source")).collect())
+    assert sorted((r.doc_id or 0, r.size, r.taken) for r in got) == plain
+    assert mixing.mixed_documents(df).columns == df.columns
+
+
+def test_token_files_split_and_stream(spark, monkeypatch, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    r = np.random.default_rng(5)
+    lengths, ids = r.integers(0, 900, 40), r.integers(0, 300, 20_000).astype(np.uint32)
+    monkeypatch.setattr(token_files, "PIECE", 256)
+    raw = b"".join(token_files.shard_parts(np.arange(40), lengths, ids[: lengths.sum()] % 50, np.arange(50)))
+    doc_ids, n, pieces = token_files.open_shard(raw)
+    back = [np.concatenate([np.zeros(0, np.uint32), *p]) for p in token_files.by_document(n, pieces)]
+    assert doc_ids.tolist() == list(range(40)) and [len(b) for b in back] == lengths.tolist()
+    assert (np.concatenate(back) == ids[: lengths.sum()] % 50).all()
+    # one doc_id, or none, for most rows; columns of other names stay out of the way
+    texts = [" ".join(words(k % 40 + 1, k)) for k in range(300)] + ["same text"] * 50
+    rows = [(None if k % 3 else 7, x, k, k) for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash int, bucket int")
+    got = sorted(token_files.token_digest(df, path).collect(), key=lambda x: x.start)
+    want = sorted(zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for x in texts)
+    assert sorted(x.ids_crc32 for x in got) == want and [x.doc_id for x in got] == [None] * sum(1 for x in rows if x[0] is None) + [7] * sum(1 for x in rows if x[0])
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    assert [tuple(x) for x in sorted(token_files.token_digest(df.repartition(2), path).collect(), key=lambda x: x.start)] == [tuple(x) for x in got]
+    folder = "file://" + str(tmp_path / "files")
+    whole = token_files.read_token_files(token_files.write_token_files(df, folder, path), folder).collect()
+    assert all(zlib.crc32(x.ids) == x.ids_crc32 and len(x.ids) == 4 * x.n_tokens for x in whole) and len(whole) == 350
+    (tmp_path / "w.json").write_text('{"model": {"type": "WordPiece"}}')
+    with pytest.raises(ValueError):
+        token_files.checked_kind(str(tmp_path / "w.json"))
