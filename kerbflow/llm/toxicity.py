@@ -2,9 +2,10 @@
 
 *Token scores.*  Tokens are words and, for words with other endings, their beginnings of
 ``STEMS`` characters.  A token's score is the difference of its log-odds in toxic and in
-clean training texts under a Dirichlet prior in proportion to its count in both;
-only scores whose z-value passes ``Z`` are kept.  All other tokens share one small negative
-score, so that chance hits do not grow into passages.
+clean training texts under a Dirichlet prior in proportion to its count in both, of either
+sign, if it is ``Z`` standard deviations from 0, and for toxicity at least ``LEAST``; else 0.
+Every token that is not positive costs ``DRIFT`` besides, so that chance hits do not grow into
+passages.
 
 *Passages.*  A linear scan finds the maximal scoring segments of a text, each disjoint from
 the others and not extendable.
@@ -29,9 +30,10 @@ from kerbflow.llm import _text
 from kerbflow.llm._cluster import bounded_batches, written
 
 STEMS = (4, 5, 6)
-Z = 4.0
+#: Standard deviations from 0 of a score that counts, and the least one that speaks for toxicity.
+Z, LEAST = 3.0, 2.0
 PRIOR = 2000.0
-#: The score of tokens that say nothing.
+#: What a token that does not point to toxicity costs.
 DRIFT = -0.25
 #: Training texts of each label that the calibration takes at most, by hash of the id.
 SAMPLE = 4000
@@ -72,10 +74,10 @@ def _count(batches):
     yield out()
 
 
-def token_scores(training: DataFrame, z: float = Z, prior: float = PRIOR) -> dict[str, float]:
+def token_scores(training: DataFrame, z: float = Z, least: float = LEAST, prior: float = PRIOR) -> dict[str, float]:
     """Scores of the tokens that tell toxic from clean ``training`` texts (text, toxic).
 
-    Counts and the prior cover all training rows.  Only tokens that pass ``z`` reach the driver.
+    Counts and the prior cover all training rows.  Only tokens with a score reach the driver.
     """
     counts = training.mapInArrow(_count, "token string, label int, uses long").groupBy("token").agg(
         F.sum(F.when(F.col("label") == 1, F.col("uses")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("uses")).otherwise(0)).alias("good")
@@ -91,35 +93,38 @@ def token_scores(training: DataFrame, z: float = Z, prior: float = PRIOR) -> dic
     odds = lambda y, n: F.log((y + a) / F.greatest(F.lit(n + prior) - y - a, F.lit(1e-9)))
     delta = odds(F.col("bad"), n_bad) - odds(F.col("good"), n_good)
     spread = F.sqrt(1 / (F.col("bad") + a) + 1 / (F.col("good") + a))
-    kept = counts.withColumn("delta", delta).where((F.col("delta") / spread >= z) & (F.col("delta") >= 1.5))
+    far = F.col("delta") / spread
+    kept = counts.withColumn("delta", delta).where(((far >= z) & (F.col("delta") >= least)) | (far <= -z))
     return {r.token: float(r.delta) for r in kept.select("token", "delta").collect()}
 
 
 def segments(scores: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in linear time.
 
-    ``scores`` are 0 at tokens that say nothing; those count ``drift``.  Only the others can
-    begin or end a segment, so the scan steps from one to the next.
+    Scores that are not positive cost ``drift`` besides.  Only positive ones can begin or end a
+    segment, so the scan steps from one to the next.  Each open segment knows the last one
+    before it that begins lower, so that those between are passed over at once; a segment that
+    begins lower than all closes them.
     """
-    at = np.flatnonzero(scores > 0)
-    stack: list[list[float]] = []  # start, end, sum before, sum after
-    total, last = 0.0, 0
-    for p in at:
-        total += drift * (p - last)
-        left = total
-        total += float(scores[p])
-        last = p + 1
-        new = [p, p + 1, left, total]
+    upto = np.concatenate([[0.0], np.cumsum(np.where(scores > 0, scores, scores + drift))])
+    closed: list[tuple] = []
+    opened: list[tuple] = []  # start, end, sum before, sum after, place of the last one that begins lower
+    for p in np.flatnonzero(scores > 0).tolist():
+        start, before, after = p, float(upto[p]), float(upto[p + 1])
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
+            j = len(opened) - 1
+            while j >= 0 and opened[j][2] >= before:
+                j = opened[j][4]
+            if j < 0:
+                closed += opened
+                opened = [(start, p + 1, before, after, -1)]
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
-            del stack[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in stack]
+            if opened[j][3] >= after:
+                opened.append((start, p + 1, before, after, j))
+                break
+            start, before = opened[j][0], opened[j][2]
+            del opened[j:]
+    return [(a, b, after - before) for a, b, before, after, _ in [*closed, *opened]]
 
 
 @dataclass
@@ -131,8 +136,8 @@ class ToxicityModel:
     offset: float = -4.0
 
     def word_score(self, word: str) -> float:
-        """The best score among a word's tokens; 0 if none is known."""
-        return max((self.scores[t] for t in _variants(word) if t in self.scores), default=0.0)
+        """The score furthest from 0 among a word's tokens; 0 if none is known."""
+        return max((self.scores[t] for t in _variants(word) if t in self.scores), key=abs, default=0.0)
 
     def surprise(self, score: float, words: int) -> float:
         """-log of the chance that a clean text of that length holds such a segment."""
@@ -197,17 +202,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit_toxicity(training: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Fits on ``training`` (doc_id, text, toxic 0/1): token counts on all rows, the two
-    calibration curves on at most about ``sample`` rows of each label, by hash of doc_id.
+    calibration curves on at most ``sample`` ids of each label, by hash of doc_id.
+
+    Rows without an id or a label take no part.  Of rows that share an id one calibrates.
     """
     bounded_batches(training.sparkSession)
-    training = training.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    training = training.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     model = ToxicityModel(token_scores(training.select("text", "toxic")))
     if not model.scores:
         return model
     spark = training.sparkSession
     picked = [training.where(F.col("toxic") == k).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     # a bounded sample, small enough to broadcast
-    rows = training.join(F.broadcast(picked[0].union(picked[1]).distinct()), "doc_id", "left_semi").select("text", "toxic")
+    rows = training.join(F.broadcast(picked[0].union(picked[1]).distinct()), "doc_id", "left_semi").select("doc_id", "text", "toxic")
+    rows = rows.dropDuplicates(["doc_id"]).select("text", "toxic")
     best = rows.mapInArrow(_mapped(spark.sparkContext.broadcast(model), "best"), "toxic int, best double, words long").toPandas()
     clean = best[best.toxic == 0]
     excess = clean.best.to_numpy()

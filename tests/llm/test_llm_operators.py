@@ -531,3 +531,34 @@ def test_token_files_split_and_stream(spark, monkeypatch, tmp_path):
     (tmp_path / "w.json").write_text('{"model": {"type": "WordPiece"}}')
     with pytest.raises(ValueError):
         token_files.checked_kind(str(tmp_path / "w.json"))
+
+
+def test_segments_of_both_signs():
+    r = random.Random(14)
+    for _ in range(60):
+        x = [r.choice([0, 0, 1.3, 2.1, 0.7, -1.1, -0.2]) for _ in range(25)]
+        got = toxicity.segments(np.array(x), -0.4)
+        # a plain value for each token: costs first
+        want = plain_segments([v if v > 0 else 1e-18 for v in x], -0.4) if all(v >= 0 for v in x) else None
+        value = [v if v > 0 else v - 0.4 for v in x]
+        for a, b, s in got:
+            assert s == pytest.approx(sum(value[a:b]))
+            assert all(sum(value[a:k]) > -1e-9 and sum(value[k:b]) > -1e-9 for k in range(a, b + 1))  # no end worth cutting
+        assert all(p[1] <= q[0] for p, q in zip(got, got[1:]))
+        assert {k for k, v in enumerate(x) if v > 0} == {k for a, b, _ in got for k in range(a, b) if x[k] > 0}
+        assert want is None or [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    long = np.tile([3.0, -5.0, 2.0, -4.0, 1.0, -6.0], 60_000)  # every one begins lower than those before it
+    assert len(toxicity.segments(long, -0.1)) == 180_000
+
+
+def test_toxicity_of_repeats_and_long_texts(spark):
+    r = random.Random(3)
+    rows = [(k, " ".join(words(50, k) + (["vile", "foul"] * 3 if k % 4 == 0 else [])), int(k % 4 == 0)) for k in range(300)]
+    df = spark.createDataFrame([*rows, *rows[:40], (None, "vile", 1), (999, None, 1)], "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(df)
+    long = " ".join(words(30_000, 5) + ["vile", "foul", "vile", "foul", "vile"] + words(30_000, 6))
+    docs = spark.createDataFrame([(1, rows[0][1], 5), (1, rows[0][1], 5), (2, long, 5)], "doc_id long, text string, score int")
+    got = toxicity.toxic_passages(docs, model).collect()
+    assert len(got) == 3 and got[0] == got[1] and got[0].score >= 0.5
+    far = next(g for g in got if g.doc_id == 2)
+    assert any(30_000 <= p["start"] and p["end"] <= 30_005 for p in far.passages)
