@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbflow.operators.graph import star_components
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share.
@@ -102,25 +104,5 @@ def merged_sketch(rows: DataFrame, cells: int) -> np.ndarray:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Connected components of ``links`` (a long, b long): (node, component), the least node.
-
-    Alternating large-star and small-star steps: rounds grow with the logarithm of a
-    component's size, each a few joins whose hot keys Spark can split.  Isolated nodes do
-    not occur in ``links`` and so not in the result.  Self links and repeats are harmless.
-    """
-    edge = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        hop = star.join(low, "u")
-        edge = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hop.select("u", F.col("m").alias("v"))).distinct()
-        edge = written(edge.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-        now = tuple(edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    tops = edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+    """Connected components of ``links`` (a long, b long): (node, component), the least node."""
+    return star_components(links, lambda df: written(df, "links"))

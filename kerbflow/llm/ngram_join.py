@@ -397,7 +397,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     base = written(docs.mapInArrow(_first_pass(width), kind), "sets")
     members = base.where("slice is null").select("doc_id", "sid", "n", "vector")
     levels = spark.sparkContext.broadcast(_order_levels(merged_sketch(base.where("slice is not null"), CELLS)))
-    classes = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"))
+    classes = written(members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id")), "classes")
 
     cells = docs.mapInArrow(_prefixes(width, percent, levels), "cell long, sid long, n int")
     cells = cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell", "sid")
@@ -414,11 +414,11 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
         near = _near(cells, vectors, written(components(links), "components"), percent, best)
         near = written(near.join(centred, ["a", "b"], "left_anti"), "near")
         links = links.union(_verified(docs, classes, near, width, percent))
-    both = components(links)
-
-    labelled = members.select("doc_id", "sid", "n").join(both.withColumnRenamed("node", "sid"), "sid", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "sid"))
-    least = classes.join(both.withColumnRenamed("node", "sid"), "sid", "left").groupBy(F.coalesce("component", "sid").alias("component")).agg(F.min("first_id").alias("component_id"))
-    return labelled.join(least, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    both = written(components(links), "components").withColumnRenamed("node", "sid")
+
+    # tables of their own, so that no join shares an aggregate's shuffle and the rows of a large group can be split
+    least = written(classes.join(both, "sid").groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    named = classes.join(both.join(least, "component"), "sid", "left").select("sid", F.coalesce("component_id", "first_id").alias("component_id"))
+    named = written(named, "named")
+    out = members.select("doc_id", "sid", "n").join(named, "sid", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
