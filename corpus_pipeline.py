@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbflow.llm import decontaminate, mixing, ngram_join, quality, queries, token_files
-from kerbflow.llm._cluster import written
+from kerbflow.llm._cluster import sized, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words stay, repeated rows once.  A row without doc_id stays unless its
     component has one with.
     """
-    found = ngram_join.ngram_components(docs).where("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = ngram_join.ngram_components(docs).where("n_shingles = 0 or doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
     found = written(found, "kept")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id"))
+    # by shuffle at every size, once: how many ids are kept follows the corpus; only ids of several rows are made distinct
+    single = docs.join(found.where("kept_rows = 1").hint("merge"), same, "left_semi")
+    several = docs.join(sized(found.where("kept_rows > 1")), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
