@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.operators import curves, graph, labels, raster, shapes
-from kerbflow.plans.queries import DR, FIVE, PT, PX, RING, dr, five, mask, page_edges, pt, px, query, rounded, table
+from kerbflow.plans.queries import DR, FIVE, MASK, PT, PX, RING, _tangents, dr, five, mask, page_edges, pt, px, query, rounded, table
 
 WD = """wd AS (SELECT page, drawing_id AS word_no, x0, y0, x1, y1, lower(CASE drawing_id % 5 WHEN 0 THEN 'scale' WHEN 1 THEN 'a3' WHEN 2 THEN ((drawing_id % 6) * 5)::VARCHAR WHEN 3 THEN name ELSE kind END) AS text FROM dr)"""
 LN = "ln AS (SELECT page, word_no AS line_no, x0, y0, x1, y1, CASE WHEN word_no % 97 = 4 THEN 'Legend of ' || text ELSE text END AS text FROM wd)"
@@ -173,9 +173,12 @@ def hooks_trimmed(spark, sf):
     return shapes.hooks_trimmed(pt(spark, sf).withColumn("i", F.col("i").cast("long")), 80.0, 400.0, 2)
 
 
-@query(None)
+@query(f"""WITH {PT}, t AS {_tangents(3)}, g AS (SELECT *, max(tx) FILTER (WHERE i = 2) OVER w AS hx, max(ty) FILTER (WHERE i = 2) OVER w AS hy, max(tx) FILTER (WHERE i = n - 3) OVER w AS ex, max(ty) FILTER (WHERE i = n - 3) OVER w AS ey FROM t WINDOW w AS (PARTITION BY path_id)),
+u AS (SELECT path_id, i, x, y, CASE WHEN n <= 4 THEN tx WHEN i < 2 THEN hx WHEN i > n - 3 THEN ex ELSE tx END AS tx, CASE WHEN n <= 4 THEN ty WHEN i < 2 THEN hy WHEN i > n - 3 THEN ey ELSE ty END AS ty FROM g)
+SELECT path_id, i, round(tx, 4) + 0.0 AS tx, round(ty, 4) + 0.0 AS ty FROM u""")
 def guarded_tangents(spark, sf):
-    return rounded(curves.guard_end_tangents(curves.tangents(pt(spark, sf), 3), 2))
+    out = rounded(curves.guard_end_tangents(curves.tangents(pt(spark, sf), 3), 2))
+    return out.select("path_id", F.col("i").cast("long").alias("i"), (F.col("tx") + 0.0).alias("tx"), (F.col("ty") + 0.0).alias("ty"))
 
 
 # -- masks and paths --------------------------------------------------------------------
@@ -239,7 +242,9 @@ def ends_clipped(spark, sf):
     return rounded(graph.ends_clipped(page_edges(spark, sf), 2.0))
 
 
-@query(None)
+@query(f"""WITH {PX}, {MASK}, d AS (SELECT vec_id AS ray_id, k FROM embeddings JOIN (SELECT unnest(range(0, 9)) AS k) ON true JOIN mask m ON m.page = vec_id AND m.y = 2 AND m.x = k),
+g AS (SELECT ray_id, min(k) AS k FROM (SELECT *, k - row_number() OVER (PARTITION BY ray_id ORDER BY k) AS g FROM d) GROUP BY ray_id, g HAVING count(*) >= 2), f AS (SELECT ray_id, min(k)::DOUBLE AS distance FROM g GROUP BY ray_id)
+SELECT vec_id AS ray_id, distance FROM embeddings LEFT JOIN f ON ray_id = vec_id""")
 def first_black(spark, sf):
     rays = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ray_id"), F.col("vec_id").alias("page"), F.lit(0.0).alias("x"), F.lit(2.0).alias("y"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"))
     return raster.first_black(rays, mask(spark, sf), 1.0, 8.0, 2)
@@ -250,14 +255,19 @@ def outlines(spark, sf):
     return raster.contours(_labelled(px(spark, sf).where("v > 0.02")))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {PX}, {MASK}, g AS (SELECT page, y, x, x - row_number() OVER (PARTITION BY page, y ORDER BY x) AS k FROM mask), n AS (SELECT page, y, min(x) AS a, max(x) AS b, dense_rank() OVER (PARTITION BY page ORDER BY y) - 1 AS i FROM g GROUP BY page, y, k),
+r(page, i, y, a, b) AS (SELECT page, i, any_value(y), arg_min(a, (a - b, a)), arg_min(b, (a - b, a)) FROM n WHERE i = 0 GROUP BY page, i UNION ALL
+  SELECT n.page, n.i, any_value(n.y), arg_min(n.a, (abs((n.a + n.b) / 2.0::DOUBLE - (r.a + r.b) / 2.0::DOUBLE), n.a - n.b, n.a)), arg_min(n.b, (abs((n.a + n.b) / 2.0::DOUBLE - (r.a + r.b) / 2.0::DOUBLE), n.a - n.b, n.a)) FROM r JOIN n ON n.page = r.page AND n.i = r.i + 1 GROUP BY n.page, n.i)
+SELECT page, y, (a + b) / 2.0::DOUBLE AS x, a AS first, b AS last FROM r""")
 def row_centres(spark, sf):
     return curves.row_centres(curves.row_runs(mask(spark, sf), ["page", "y"]))
 
 
-@query(None)
+@query(f"""WITH {PT}, t AS {_tangents(1)}, s AS (SELECT path_id, i, sum(tx) OVER w - tx AS sx, sum(ty) OVER w - ty AS sy FROM t WINDOW w AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+SELECT path_id, i, round(CASE WHEN sqrt(sx*sx+sy*sy) < 1e-9 THEN 0 ELSE sx / sqrt(sx*sx+sy*sy) END, 4) + 0.0 AS mx, round(CASE WHEN sqrt(sx*sx+sy*sy) < 1e-9 THEN 0 ELSE sy / sqrt(sx*sx+sy*sy) END, 4) + 0.0 AS my FROM s""")
 def neighbour_means(spark, sf):
-    return rounded(curves.neighbour_means(curves.tangents(pt(spark, sf)), 3))
+    out = rounded(curves.neighbour_means(curves.tangents(pt(spark, sf)), 3))
+    return out.select("path_id", F.col("i").cast("long").alias("i"), (F.col("mx") + 0.0).alias("mx"), (F.col("my") + 0.0).alias("my"))
 
 
 @query(f"""WITH {PT}, l AS (SELECT path_id, i, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(i) OVER w AS n FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i)), e AS (SELECT *, sqrt((x-px)*(x-px)+(y-py)*(y-py)) AS s FROM l WHERE n IS NULL AND px IS NOT NULL)

@@ -344,6 +344,14 @@ def tangent_normal(spark, sf):
     return out.select("path_id", "i", *[(F.col(c) + 0.0).alias(c) for c in ("tx", "ty", "nx", "ny")])
 
 
+def _tangents(span: int) -> str:
+    return f"""(SELECT path_id, i, x, y, n, CASE WHEN h < 1e-9 THEN 0 ELSE dx / h END AS tx, CASE WHEN h < 1e-9 THEN 0 ELSE dy / h END AS ty FROM (SELECT *, sqrt(dx*dx+dy*dy) AS h FROM
+  (SELECT path_id, i, x, y, count(*) OVER (PARTITION BY path_id) AS n, last(x) OVER w - first(x) OVER w AS dx, last(y) OVER w - first(y) OVER w AS dy FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN {span} PRECEDING AND {span} FOLLOWING))))"""
+
+
+TANG = f"tg AS {_tangents(1)}"
+
+
 @query(f"""WITH {PT}, c AS (SELECT path_id, i, count(*) OVER (PARTITION BY path_id) AS n, x - lag(x, 3) OVER w AS ax, y - lag(y, 3) OVER w AS ay, lead(x, 3) OVER w - x AS bx, lead(y, 3) OVER w - y AS b_y FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i)),
 t AS (SELECT path_id, i, n, round(abs(atan2(ax*b_y - ay*bx, ax*bx + ay*b_y)), 9) AS turn FROM c), b AS (SELECT path_id, i, n, turn, row_number() OVER (PARTITION BY path_id ORDER BY turn DESC NULLS LAST, i) AS r FROM t)
 SELECT path_id, (CASE WHEN turn IS NULL THEN n // 2 ELSE i END)::INT AS bend_i FROM b WHERE r = 1""")
@@ -574,7 +582,9 @@ def skeleton_length(spark, sf):
     return rounded(graph.skeleton_length(mask(spark, sf)))
 
 
-@query(None)
+@query(f"""WITH {PX}, {MASK}, b AS (SELECT page, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM mask GROUP BY page),
+g AS (SELECT page, y, unnest(range(x0 - 1, x1 + 2)) AS x FROM (SELECT *, unnest(range(y0 - 1, y1 + 2)) AS y FROM b)), o AS (SELECT page, y, x FROM g ANTI JOIN mask USING (page, y, x))
+SELECT m.page::INT AS page, m.y, m.x, round(min(sqrt((m.y - o.y) * (m.y - o.y) + (m.x - o.x) * (m.x - o.x))), 4) AS v FROM mask m JOIN o ON o.page = m.page GROUP BY ALL""")
 def distance_transform(spark, sf):
     return rounded(raster.distance_transform(mask(spark, sf).withColumn("page", F.col("page").cast("int"))))
 
@@ -612,7 +622,15 @@ def node_degrees(spark, sf):
     return graph.degrees(e.select(F.col("a").alias("node")).union(e.select("b")), e)
 
 
-@query(None)
+def _least_labels(rounds: int) -> str:
+    """SQL that hands the least label to all neighbours, so many times; the driver's graphs are narrower."""
+    steps = ["l0 AS (SELECT a AS node, a AS c FROM ed UNION SELECT b, b FROM ed)", "pairs AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed)"]
+    for k in range(rounds):
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT node, min(c) AS c FROM (SELECT node, c FROM l{k} UNION ALL SELECT a, c FROM pairs JOIN l{k} ON node = b) GROUP BY node)")
+    return ", ".join(steps)
+
+
+@query(f"WITH {EDGE}, {_least_labels(16)} SELECT node, c AS component FROM l16")
 def edge_components(spark, sf):
     e = edges(spark, sf)
     return graph.connected_components(e.select(F.col("a").alias("node")).union(e.select("b")), e)
@@ -646,9 +664,12 @@ def main_path(spark, sf):
     return rounded(graph.main_path(page_edges(spark, sf)))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {PT}, {TANG}, r(path_id, i, x, y, tx, ty) AS (SELECT path_id, i, x, y, tx, ty FROM tg WHERE i = 0 UNION ALL
+  SELECT path_id, i, x - least(a, 0) * tx, y - least(a, 0) * ty, tx, ty FROM (SELECT tg.*, (tg.x - r.x) * tg.tx + (tg.y - r.y) * tg.ty AS a FROM r JOIN tg ON tg.path_id = r.path_id AND tg.i = r.i + 1))
+SELECT path_id, i, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(tx, 4) + 0.0 AS tx, round(ty, 4) + 0.0 AS ty FROM r""")
 def forward_progress(spark, sf):
-    return rounded(graph.forward_progress(curves.tangents(pt(spark, sf))))
+    out = rounded(graph.forward_progress(curves.tangents(pt(spark, sf))))
+    return out.select("path_id", F.col("i").cast("long").alias("i"), *[(F.col(c) + 0.0).alias(c) for c in ("x", "y", "tx", "ty")])
 
 
 CAP = "CASE WHEN (i * 7 + path_id) % 6 = 0 THEN NULL WHEN (i + path_id) % 11 = 0 THEN 0 ELSE y / 20 END"
