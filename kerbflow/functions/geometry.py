@@ -129,6 +129,11 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return hue, F.when(high == 0, 0).otherwise(F.bround(255.0 * span / F.nullif(high, F.lit(0)))).cast("int"), high
 
 
+def hsv_kinds(h: Column, s: Column, v: Column) -> dict[str, Column]:
+    """Predicates on hue, saturation and value: grey and green surfaces, what is not black, and black."""
+    return {"gray": (s <= 20) & (v >= 90), "green": h.between(35, 95) & (s >= 55) & (v >= 35), "non_black": v >= 55, "black": v <= 45}
+
+
 def document_type(name: Column) -> Column:
     low = F.lower(name)
     return F.when(low.contains("section") | low.contains("sec"), "Section").when(low.contains("longitudinal") | low.contains("profile"), "Longitudinal").otherwise("Plan")

@@ -270,11 +270,16 @@ def oriented(curves: DataFrame, key: str = KEY) -> DataFrame:
     return out.withColumn("seq", F.when(F.col("turned"), F.col("n") - 1 - F.col(I)).otherwise(F.col(I)).cast("int")).select(key, "seq", X, Y)
 
 
-def without_end_rows(curves: DataFrame, key: str = KEY) -> DataFrame:
-    """Points whose rounded y is that of the curve's first or last point are left out."""
+def without_end_rows(curves: DataFrame, key: str = KEY, of: DataFrame | None = None) -> DataFrame:
+    """Points whose rounded y is that of the first or last point are left out: of the curve itself, or of the curve ``of`` (a centreline) with its key."""
     every = along(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     y = F.bround(Y)
-    return curves.withColumn("a", F.bround(F.first(Y).over(every))).withColumn("b", F.bround(F.last(Y).over(every))).where((y != F.col("a")) & (y != F.col("b"))).drop("a", "b")
+    if of is None:
+        ends = curves.withColumn("a", F.bround(F.first(Y).over(every))).withColumn("b", F.bround(F.last(Y).over(every)))
+    else:
+        last = of.groupBy(key).agg(F.bround(F.min_by(Y, I)).alias("a"), F.bround(F.max_by(Y, I)).alias("b"))
+        ends = curves.join(last, key)
+    return ends.where((y != F.col("a")) & (y != F.col("b"))).drop("a", "b")
 
 
 def row_runs(pixels: DataFrame, keys: list[str], position: str = "x") -> DataFrame:

@@ -219,10 +219,11 @@ def skeleton_length(pixels: DataFrame) -> DataFrame:
     return pixel_graph(pixels).groupBy("page").agg(F.sum("cost").alias("length"))
 
 
-def forward_progress(lines: DataFrame, key: str = "path_id") -> DataFrame:
+def forward_progress(lines: DataFrame, key: str = "path_id", nudge: float = 0.0) -> DataFrame:
     """Points (key, i, x, y, tx, ty) that do not fall back along the tangent of the curve.
 
-    Each point is measured from the one returned before; where it falls back it is put level with it.
+    Each point is measured from the one returned before; where it falls back it is put level
+    with it, and ``nudge`` further.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -231,13 +232,23 @@ def forward_progress(lines: DataFrame, key: str = "path_id") -> DataFrame:
         for k in range(1, len(p)):
             ahead = float((p[k] - p[k - 1]) @ t[k])
             if ahead < 0:
-                p[k] -= ahead * t[k]
+                p[k] += (nudge - ahead) * t[k]
         return pdf.assign(x=p[:, 0], y=p[:, 1])
 
     slim = lines.select(key, "i", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "tx", "ty")
     return slim.groupBy(key).applyInPandas(run, slim.schema)
 
 
+def progress_along(lines: DataFrame, centre: DataFrame, key: str = "path_id") -> DataFrame:
+    """Side lines that do not fall back along the steps of their centreline, station by station."""
+    w = Window.partitionBy(key).orderBy("i")
+    dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
+    step = centre.select(key, "i", dx.alias("dx"), dy.alias("dy")).withColumn("size", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
+    part = lambda c: F.when(F.col("size") >= 1e-9, F.col(c) / F.nullif("size", F.lit(0.0))).otherwise(0.0)
+    along = lines.select(key, "i", "x", "y").join(step.select(key, "i", part("dx").alias("tx"), part("dy").alias("ty")), [key, "i"])
+    return forward_progress(along, key, 1e-6).select(key, "i", "x", "y")
+
+
 def offset_fit(candidates: DataFrame, smooth: float = 0.6, bias: float = 0.01, key: str = "path_id") -> DataFrame:
     """One offset a station from candidates (key, i, cap, offset, cost), each weighed against the one chosen before.
 
@@ -268,21 +279,68 @@ def offset_fit(candidates: DataFrame, smooth: float = 0.6, bias: float = 0.01, k
     return slim.groupBy(key).applyInPandas(run, f"{key} {dict(slim.dtypes)[key]}, i {dict(slim.dtypes)['i']}, offset double")
 
 
-def scale_search(points: DataFrame, target: DataFrame, scales: list[float], rounds: int = 3) -> tuple[float, float]:
-    """The scale about the mean that brings the points' mean radius nearest to the target's, coarse to fine.
+def scale_search(
+    paths: DataFrame, field: DataFrame, origins: DataFrame, scales=(0.85, 1.0), moves_y=(-80.0, 80.0), moves_x=(-80.0, 80.0), first=(61, 17), then: int = 31, rounds: int = 4,
+    outside: float = 1000.0, mean_weight: float = 0.25, end_weight: float = 500.0, nth: int = 8, lock_ends: bool = True,
+) -> DataFrame:
+    """(page, scale, dy, dx, objective): how the path of each page, scaled about its origin and moved, lies best on the edge of a mask.
 
-    Every round is one aggregation over a short list of scales; (scale, error).
-    """
-    centre = lambda df: df.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))  # noqa: E731  one row
-    radius = lambda df: F.avg(F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
-    goal = target.crossJoin(F.broadcast(centre(target))).agg(radius(target)).first()[0]
-    own = points.crossJoin(F.broadcast(centre(points)))
-    for _ in range(rounds):
-        row = own.agg(*[F.abs(F.lit(s) * radius(own) - goal).alias(f"e{k}") for k, s in enumerate(scales)]).first()
-        best = min(range(len(scales)), key=lambda k: (row[k], k))
-        out, step = (float(scales[best]), float(row[best])), (scales[-1] - scales[0]) / (len(scales) - 1)
-        scales = list(np.linspace(scales[best] - step, scales[best] + step, len(scales)))
-    return out
+    Paths are (page, i, x, y), origins (page, cx, cy), the field (page, y, x, v, inside) holds the
+    distance to the edge and whether a pixel is in the mask.  The objective is the median edge distance
+    of every ``nth`` point inside, some of its mean, and what points outside and ends that leave
+    their height cost.  With ``lock_ends`` the move keeps the mean height of the ends.  A grid of scales and
+    moves is narrowed round by round to two steps either side of the best; the first of equals counts.  A page is one task.
+    """
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        p = left.sort_values("i")
+        if not len(p) or not len(right):
+            return pd.DataFrame(columns=["page", "scale", "dy", "dx", "objective"])
+        path, origin = p[["y", "x"]].to_numpy(float), p[["cy", "cx"]].to_numpy(float)[0]
+        few = path[::nth] if np.allclose(path[::nth][-1], path[-1]) else np.vstack([path[::nth], path[-1]])
+        h, w = int(right["y"].max()) + 1, int(right["x"].max()) + 1
+        edge, held = np.full((h, w), 1e6), np.zeros((h, w), bool)
+        at = right["y"].to_numpy(int), right["x"].to_numpy(int)
+        edge[at], held[at] = right["v"].to_numpy(float), right["inside"].to_numpy(bool)
+
+        def weigh(scale, dy, dx):
+            q = origin + scale * (few - origin) + (dy, dx)
+            y, x = q.T
+            on = (y >= 0) & (x >= 0) & (y <= h - 1) & (x <= w - 1)
+            y, x = y.clip(0, h - 1), x.clip(0, w - 1)
+            a, b = np.floor(y).astype(int), np.floor(x).astype(int)
+            c, d = np.minimum(a + 1, h - 1), np.minimum(b + 1, w - 1)
+            u, v = y - a, x - b
+            gap = np.where(on, (edge[a, b] * (1 - v) + edge[a, d] * v) * (1 - u) + (edge[c, b] * (1 - v) + edge[c, d] * v) * u, 1e6)
+            r, s = np.round(q[:, 0]).astype(int), np.round(q[:, 1]).astype(int)
+            sound = (r >= 0) & (s >= 0) & (r < h) & (s < w)
+            inner = np.zeros(len(q), bool)
+            inner[sound] = held[r[sound], s[sound]]
+            ends = np.abs(origin[0] + scale * (path[[0, -1], 0] - origin[0]) + dy - path[[0, -1], 0]).max()
+            near = (np.median(gap[inner]), gap[inner].mean()) if inner.any() else (1e6, 1e6)
+            return near[0] + mean_weight * near[1] + outside * (~inner).sum() / max(1, len(path)) + end_weight * ends
+
+        limits = [scales, moves_y, moves_x]
+        spans = [tuple(map(float, z)) for z in limits]
+        for k in range(rounds + 1):
+            counts = [max(3, first[0] if k == 0 else then), *[max(3, first[1] if k == 0 else then)] * 2]
+            grids = [np.linspace(*z, n) for z, n in zip(spans, counts)]
+            best = None
+            for scale in grids[0]:
+                ends = path[[0, -1], 0]
+                ys = [ends.mean() - (origin[0] + scale * (ends - origin[0])).mean()] if lock_ends else grids[1]
+                for dy in ys:
+                    for dx in grids[2]:
+                        total = weigh(scale, dy, dx)
+                        if best is None or total < best[0]:
+                            best = (total, scale, dy, dx)
+            steps = [(z[1] - z[0]) / (n - 1) for z, n in zip(spans, counts)]
+            spans = [(max(lim[0], m - 2 * s), min(lim[1], m + 2 * s)) if not (lock_ends and j == 1) else z for j, (z, lim, m, s) in enumerate(zip(spans, limits, best[1:], steps))]
+        return pd.DataFrame([(key[0], best[1], best[2], best[3], best[0])], columns=["page", "scale", "dy", "dx", "objective"])
+
+    own = paths.select(F.col("page").cast("long").alias("page"), "i", "x", "y").join(origins.select(F.col("page").cast("long").alias("page"), "cx", "cy"), "page")
+    pixels = field.select(F.col("page").cast("long").alias("page"), "y", "x", "v", "inside")
+    return own.groupBy("page").cogroup(pixels.groupBy("page")).applyInPandas(run, "page long, scale double, dy double, dx double, objective double")
 
 
 def refined_centres(path: DataFrame, field: DataFrame, radius: int = 12, end_radius: int = 4, value: float = 1.0, middle: float = 0.03, move: float = 0.02, bend: float = 0.015, rounds: int = 8, least_move: float = 0.15) -> DataFrame:
@@ -406,15 +464,23 @@ def upright_pair(distances: DataFrame, share: float = 0.65) -> DataFrame:
     return fit.groupBy("page").agg(F.max(F.struct(score.alias("score"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")).select("page", (-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b"), F.col("m.score").alias("score"))
 
 
-def flooded(background: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Background pixels (page, y, x) joined to a seed's pixel in four directions, by components."""
+def labelled(pixels: DataFrame, neighbours: int = 8) -> DataFrame:
+    """Pixels (page, y, x) with their ``component`` by four or eight neighbours: a number that orders a page's pixels by (y, x).
+
+    Pages are below nine million, columns below a million.
+    """
     node = lambda y, x: F.col(y).cast("long") * 1_000_000 + F.col(x) + F.col("page").cast("long") * 1_000_000_000_000
-    p = background.select("page", "y", "x").distinct()
-    steps = F.array(F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx")), F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx")))
-    ahead = p.withColumn("o", F.explode(steps)).select("page", F.col("y").alias("ay"), F.col("x").alias("ax"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    e = ahead.join(p, ["page", "y", "x"]).select(node("ay", "ax").alias("a"), node("y", "x").alias("b"))
+    p = pixels.select("page", "y", "x").distinct()
+    ahead = [(0, 1), (1, 0)] if neighbours == 4 else [(0, 1), (1, -1), (1, 0), (1, 1)]
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ahead])
+    e = p.withColumn("o", F.explode(steps)).select("page", F.col("y").alias("ay"), F.col("x").alias("ax"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    e = e.join(p, ["page", "y", "x"]).select(node("ay", "ax").alias("a"), node("y", "x").alias("b"))
     named = p.withColumn("node", node("y", "x"))
-    labels = connected_components(named.select("node"), e)
-    all_of = named.join(labels, "node")
+    return named.join(connected_components(named.select("node"), e), "node").select("page", "y", "x", "component")
+
+
+def flooded(background: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Background pixels (page, y, x) joined to a seed's pixel in four directions, by components."""
+    all_of = labelled(background, 4)
     hit = all_of.join(seeds.select("page", "y", "x"), ["page", "y", "x"], "left_semi").select("component").distinct()
     return all_of.join(hit, "component", "left_semi").select("page", "y", "x")

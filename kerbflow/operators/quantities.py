@@ -72,3 +72,39 @@ def polygon_verdict(points: DataFrame, key: str, least_spread: float = 10.0) ->
 def normalised(points: DataFrame, width: float, height: float) -> DataFrame:
     """Coordinates on a grid of 1000 by 1000, two decimals, halves to even."""
     return points.withColumn("ny", F.bround(F.col("y") / height * 1000, 2)).withColumn("nx", F.bround(F.col("x") / width * 1000, 2))
+
+
+def run_manifest(spark, inputs: dict[str, str], outputs: dict[str, str]) -> DataFrame:
+    """One row (inputs, outputs, written_at): what a run read and wrote, by name."""
+    kind = "inputs map<string, string>, outputs map<string, string>"
+    return spark.createDataFrame([(inputs, outputs)], kind).withColumn("written_at", F.current_timestamp())
+
+
+#: The colours of the drawn lines as blue, green, red, and their thickness.
+LINE_STYLES = {"inner": ((255, 0, 255), 1), "center": ((0, 191, 255), 1), "outer": ((255, 255, 0), 1)}
+
+
+def visual_manifest(spark, overlay_mask: str, overlay_plan: str, transparent_layer: str) -> DataFrame:
+    """One row that names the layers of a drawing and how their lines are drawn."""
+    kind = "overlay_mask string, overlay_plan string, transparent_layer string, line_styles map<string, struct<color_bgr: array<int>, thickness: int>>"
+    styles = {k: (list(c), t) for k, (c, t) in LINE_STYLES.items()}
+    return spark.createDataFrame([(overlay_mask, overlay_plan, transparent_layer, styles)], kind)
+
+
+def forward_slashed(df: DataFrame) -> DataFrame:
+    """The table with forward slashes in all strings, also those in arrays, structs and maps."""
+    from pyspark.sql import types as T
+
+    def mend(c, kind):
+        if isinstance(kind, T.StringType):
+            return F.translate(c, "\\", "/")
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: mend(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, v: mend(v, kind.valueType))
+        if isinstance(kind, T.StructType):
+            made = F.struct(*[mend(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+            return F.when(c.isNotNull(), made)
+        return c
+
+    return df.select([mend(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
-from kerbflow.operators import spatial
+from kerbflow.operators import graph, spatial
 
 PLACE = ["page", "y", "x"]
 
@@ -312,6 +312,22 @@ def enclosed(labelled: DataFrame, size: tuple[int, int]) -> DataFrame:
     return labelled.join(labelled.where(border).select("page", "component").distinct(), ["page", "component"], "left_anti")
 
 
+def largest_filled(mask: DataFrame, kernel: int, size: tuple[int, int]) -> DataFrame:
+    """Of each page the largest component (eight neighbours), its holes filled, after closing with an ellipse of an odd size.
+
+    Of equally large ones the one whose first pixel by (y, x) comes first.  Holes are the
+    background components (four neighbours) that do not reach the image's edge.
+    """
+    k = max(1, kernel) | 1
+    whole = closed(mask, ellipse_kernel(k), size) if k > 1 else mask.select(*PLACE).distinct()
+    rows = F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1)))
+    every = whole.select("page").distinct().withColumn("y", rows).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1))))
+    holes = enclosed(graph.labelled(difference(every, whole), 4), size)
+    full = graph.labelled(union(whole, holes), 8)
+    top = full.groupBy("page", "component").agg(F.count("*").alias("n")).groupBy("page").agg(F.min(F.struct(-F.col("n"), "component")).alias("t")).select("page", F.col("t.component").alias("component"))
+    return full.join(top, ["page", "component"], "left_semi").select(*PLACE)
+
+
 def cost_map(pixels: DataFrame, support: DataFrame, overlay: DataFrame) -> DataFrame:
     """What a step costs on each pixel: 8 in the open, 1.2 on support, 0.35 on the overlay."""
     p = pixels.select(*PLACE).distinct()

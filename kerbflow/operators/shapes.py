@@ -34,28 +34,81 @@ def dash_directions(corners: DataFrame, key: str) -> DataFrame:
     return far.select(key, F.pmod(F.degrees(F.atan2("f.dy", "f.dx")), F.lit(180.0)).alias("angle"))
 
 
-def collinear_groups(dashes: DataFrame, angle: float = 5.0, offset: float = 15.0) -> DataFrame:
-    """Dashes (page, dash_id, cx, cy, angle) grouped in order with the first group whose mean direction and offset are near."""
+def collinear_groups(dashes: DataFrame, angle: float = 5.0, offset: float = 15.0, reach: float = 40.0) -> DataFrame:
+    """Dashes (page, dash_id, cx, cy, angle) grouped in order with the first group that they continue.
+
+    A dash continues a group if it differs by less than ``angle`` from the mean of the group's
+    angles, by less than ``offset`` from the mean distance of its centres from the origin across
+    that direction, and lies less than ``reach`` from one of its centres.  Order matters, so a
+    page is one task's fold over its dashes.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups, out = [], []
-        for d in pdf.sort_values("dash_id").itertuples():
-            t = math.radians(d.angle)
-            rho = d.cx * math.sin(t) - d.cy * math.cos(t)
-            for k, (n, a, r) in enumerate(groups):
-                apart = abs(a - d.angle) % 180
-                if min(apart, 180 - apart) < angle and abs(r - rho) < offset:
-                    groups[k] = (n + 1, a + (d.angle - a) / (n + 1), r + (rho - r) / (n + 1))
+        pdf = pdf.sort_values("dash_id")
+        groups, out = [], []  # sum of angles, centres
+        for d in pdf.itertuples():
+            here = np.array([d.cx, d.cy])
+            for k, (total, centres) in enumerate(groups):
+                mean = total / len(centres)
+                apart = abs(d.angle - mean)
+                if min(apart, 180 - apart) >= angle:
+                    continue
+                across = np.array([math.sin(math.radians(mean)), -math.cos(math.radians(mean))])
+                at = np.array(centres)
+                if abs(here @ across - (at @ across).mean()) < offset and np.hypot(*(at - here).T).min() < reach:
+                    groups[k] = (total + d.angle, [*centres, here])
                     out.append(k)
                     break
             else:
                 out.append(len(groups))
-                groups.append((1, d.angle, rho))
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "dash_id": sorted(pdf["dash_id"]), "group": out})
+                groups.append((d.angle, [here]))
+        return pd.DataFrame({"page": pdf["page"].iloc[0], "dash_id": pdf["dash_id"].to_numpy(), "group": out})
 
     return dashes.groupBy("page").applyInPandas(run, "page int, dash_id long, group int")
 
 
+def _hull(p: np.ndarray) -> np.ndarray:
+    """The convex hull of distinct points, in order."""
+    p = np.unique(p, axis=0)
+    if len(p) < 3:
+        return p
+    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    half = []
+    for seq in (p, p[::-1]):
+        line: list = []
+        for q in seq:
+            while len(line) > 1 and cross(line[-2], line[-1], q) <= 0:
+                line.pop()
+            line.append(q)
+        half += line[:-1]
+    return np.array(half)
+
+
+def smallest_rectangles(points: DataFrame, key: str) -> DataFrame:
+    """(key, i, x, y, area): the four corners of the rotated rectangle of least area around each group of points.
+
+    One of its sides lies on a side of the convex hull; each row of points is first cut to its two ends.
+    """
+    ends = points.groupBy(key, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    slim = ends.select(key, F.col("y").cast("double").alias("y"), F.explode(F.array("a", "b")).alias("x")).select(key, F.col("x").cast("double").alias("x"), "y")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hull = _hull(pdf[["x", "y"]].to_numpy())
+        best = None
+        for k in range(len(hull)):
+            side = hull[(k + 1) % len(hull)] - hull[k]
+            u = side / np.hypot(*side) if np.hypot(*side) > 0 else np.array([1.0, 0.0])
+            v = np.array([-u[1], u[0]])
+            s, t = hull @ u, hull @ v
+            area = (s.max() - s.min()) * (t.max() - t.min())
+            if best is None or area < best[0] - 1e-9:
+                best = (area, [a * u + b * v for a, b in ((s.min(), t.min()), (s.max(), t.min()), (s.max(), t.max()), (s.min(), t.max()))])
+        corners = np.array(best[1])
+        return pd.DataFrame({key: pdf[key].iloc[0], "i": range(4), "x": corners[:, 0], "y": corners[:, 1], "area": best[0]})
+
+    return slim.groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, i int, x double, y double, area double")
+
+
 def simplified(polygons: DataFrame, key: str, share: float = 0.005) -> DataFrame:
     """Polygons with the points that lie within a share of the outline's length of the chords left out."""
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
-from kerbflow.operators import curves, entities, graph, items, labels, raster
+from kerbflow.operators import curves, graph, items, labels, raster, shapes
 from kerbflow.plans.more import WD, words
 from kerbflow.plans.queries import ARC, DR, PT, PX, RAYS, SEG, STEP, dr, mask, pt, px, query, rounded, table
 
@@ -235,3 +235,28 @@ def closest_components(spark, sf):
     e = graph.pixel_graph(p).select(node("ay", "ax").alias("a"), node("by", "bx").alias("b"))
     labelled = named.join(graph.connected_components(named.select("node"), e), "node").select("page", "y", "x", "component")
     return rounded(items.closest_later(items.component_ends(labelled, 2)))
+
+
+@query(None)
+def smallest_rectangles(spark, sf):
+    """Held against a plain version in the tests."""
+    p = px(spark, sf).where("v > 0.05").select("page", "y", "x")
+    return rounded(shapes.smallest_rectangles(graph.labelled(p), "component"))
+
+
+@query(None)
+def largest_filled(spark, sf):
+    """Held against a plain version in the tests."""
+    return raster.largest_filled(mask(spark, sf), 1, (8, 8))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, (c_custkey * 37 % 256)::INT AS r, (c_custkey * 101 % 256)::INT AS g, (c_custkey * 59 % 256)::INT AS b FROM customer), m AS (SELECT *, greatest(r, g, b) AS v, least(r, g, b) AS lo FROM c),
+t AS (SELECT *, CASE WHEN v = lo THEN 0 WHEN v = r THEN 60.0::DOUBLE * (g - b) / (v - lo) WHEN v = g THEN 120 + 60.0::DOUBLE * (b - r) / (v - lo) ELSE 240 + 60.0::DOUBLE * (r - g) / (v - lo) END AS deg FROM m),
+h AS (SELECT id, v, (round_even((CASE WHEN deg < 0 THEN deg + 360 ELSE deg END) / 2, 0)::INT) % 180 AS h, CASE WHEN v = 0 THEN 0 ELSE round_even(255.0::DOUBLE * (v - lo) / v, 0)::INT END AS s FROM t)
+SELECT id, h, s, v, s <= 20 AND v >= 90 AS gray, h BETWEEN 35 AND 95 AND s >= 55 AND v >= 35 AS green, v >= 55 AS non_black, v <= 45 AS black FROM h""")
+def hsv_kinds(spark, sf):
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(k.alias("id"), *[(k * n % 256).cast("int").alias(c) for n, c in ((37, "r"), (101, "g"), (59, "b"))])
+    h, s, v = G.hsv(F.col("r"), F.col("g"), F.col("b"))
+    c = c.select("id", h.cast("int").alias("h"), s.alias("s"), v.alias("v"))
+    return c.select("*", *[e.alias(n) for n, e in G.hsv_kinds(F.col("h"), F.col("s"), F.col("v")).items()])

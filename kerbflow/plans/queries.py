@@ -336,6 +336,12 @@ def row_exclusion(spark, sf):
     return curves.without_end_rows(pt(spark, sf)).select("path_id", F.col("i").cast("long").alias("i"))
 
 
+@query(f"""WITH {PT}, e AS (SELECT path_id, round_even(arg_min(y * 0.5::DOUBLE, i), 0) AS a, round_even(arg_max(y * 0.5::DOUBLE, i), 0) AS b FROM pt GROUP BY path_id) SELECT path_id, i FROM pt JOIN e USING (path_id) WHERE round_even(y, 0) <> a AND round_even(y, 0) <> b""")
+def centre_row_exclusion(spark, sf):
+    p = pt(spark, sf)
+    return curves.without_end_rows(p, of=p.withColumn("y", F.col("y") * 0.5)).select("path_id", F.col("i").cast("long").alias("i"))
+
+
 @query(f"""WITH {PT}, d AS (SELECT path_id, i, last(x) OVER w - first(x) OVER w AS dx, last(y) OVER w - first(y) OVER w AS dy FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 u AS (SELECT path_id, i, CASE WHEN sqrt(dx*dx+dy*dy) < 1e-9 THEN 0 ELSE dx / sqrt(dx*dx+dy*dy) END AS tx, CASE WHEN sqrt(dx*dx+dy*dy) < 1e-9 THEN 0 ELSE dy / sqrt(dx*dx+dy*dy) END AS ty FROM d)
 SELECT path_id, i, round(tx, 4) + 0.0 AS tx, round(ty, 4) + 0.0 AS ty, round(-ty, 4) + 0.0 AS nx, round(tx, 4) + 0.0 AS ny FROM u""")
@@ -694,11 +700,23 @@ def refine_centerline(spark, sf):
     return rounded(graph.refined_centres(f.where("x = y").select("page", F.col("x").alias("i"), "x", "y"), f.where("v > 0"), 2, 1, 10.0, 0.03, 0.02, 0.015, 3))
 
 
+@query(f"""WITH RECURSIVE {PT}, ln AS (SELECT path_id, i, x * 0.7::DOUBLE AS x, y + i % 5 AS y, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM pt WINDOW w AS (PARTITION BY path_id ORDER BY i)),
+tu AS (SELECT *, CASE WHEN sqrt(dx*dx+dy*dy) >= 1e-9 THEN dx / sqrt(dx*dx+dy*dy) ELSE 0 END AS tx, CASE WHEN sqrt(dx*dx+dy*dy) >= 1e-9 THEN dy / sqrt(dx*dx+dy*dy) ELSE 0 END AS ty FROM ln),
+r(path_id, i, x, y) AS (SELECT path_id, i, x, y FROM tu WHERE i = 0 UNION ALL
+  SELECT path_id, i, CASE WHEN a < 0 THEN x + (1e-6 - a) * tx ELSE x END, CASE WHEN a < 0 THEN y + (1e-6 - a) * ty ELSE y END FROM (SELECT tu.*, (tu.x - r.x) * tu.tx + (tu.y - r.y) * tu.ty AS a FROM r JOIN tu ON tu.path_id = r.path_id AND tu.i = r.i + 1))
+SELECT path_id, i, round(x, 4) AS x, round(y, 4) AS y FROM r""")
+def progress_along(spark, sf):
+    p = pt(spark, sf).withColumn("i", F.col("i").cast("long"))
+    return rounded(graph.progress_along(p.select("path_id", "i", (F.col("x") * 0.7).alias("x"), (F.col("y") + F.col("i") % 5).alias("y")), p))
+
+
 @query(None)
 def scale_search(spark, sf):
-    p = pt(spark, sf)
-    scale, error = graph.scale_search(p, p.select((F.col("x") * 1.3).alias("x"), (F.col("y") * 1.3).alias("y")), [0.5 + 0.1 * k for k in range(16)])
-    return spark.createDataFrame([(round(scale, 4), round(error, 4))], "scale double, error double")
+    """Held against a plain version in the tests."""
+    f = px(spark, sf).select("page", "y", "x", F.abs("v").alias("v"), (F.col("v") > -0.1).alias("inside"))
+    path = px(spark, sf).where("x = 3").select("page", F.col("y").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    origins = path.groupBy("page").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return rounded(graph.scale_search(path, f, origins, (0.5, 1.0), (-2.0, 2.0), (-2.0, 2.0), (5, 5), 5, 1, nth=2))
 
 
 # -- quantities and audit ---------------------------------------------------------------

@@ -223,3 +223,72 @@ def test_small_helpers(spark):
     assert (out[0].x, out[0].y) == (1, 2) and out[-1].x == 21  # from there 63 degrees, from the next point 45
     far = curves.origins(spark.createDataFrame([(1, k, 5 * math.cos(k / 9), 5 * math.sin(k / 9)) for k in range(60)], df.schema)).first()
     assert (far.cx, far.cy) == pytest.approx((0, 0), abs=1e-9)
+
+
+def test_scale_search(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    h, w = 16, 18
+    edge, held = r.uniform(0, 5, (h, w)), r.random((h, w)) < 0.7
+    path = np.array([(2 + 0.8 * k, 5 + 3 * math.sin(k / 4)) for k in range(15)])  # y, x
+    origin = path.mean(axis=0)
+    field = spark.createDataFrame([(1, y, x, float(edge[y, x]), bool(held[y, x])) for y in range(h) for x in range(w)], "page int, y int, x int, v double, inside boolean")
+    df = spark.createDataFrame([(1, k, float(x), float(y)) for k, (y, x) in enumerate(path)], "page int, i int, x double, y double")
+
+    def sample(y, x):
+        if y < 0 or x < 0 or y > h - 1 or x > w - 1:
+            return 1e6
+        a, b = int(y), int(x)
+        c, d = min(a + 1, h - 1), min(b + 1, w - 1)
+        u, v = y - a, x - b
+        return (edge[a, b] * (1 - v) + edge[a, d] * v) * (1 - u) + (edge[c, b] * (1 - v) + edge[c, d] * v) * u
+
+    def total(scale, dy, dx):
+        few = [path[k] for k in range(0, 15, 4)] + [path[14]]
+        q = [origin + scale * (p - origin) + np.array([dy, dx]) for p in few]
+        on = [0 <= round(y) < h and 0 <= round(x) < w and held[round(y), round(x)] for y, x in q]
+        gaps = [sample(y, x) for (y, x), k in zip(q, on) if k]
+        ends = max(abs(origin[0] + scale * (path[k][0] - origin[0]) + dy - path[k][0]) for k in (0, 14))
+        return (float(np.median(gaps)) + 0.25 * float(np.mean(gaps)) if gaps else 1.25e6) + 1000 * sum(not k for k in on) / 15 + 500 * ends
+
+    for lock in (True, False):
+        got = graph.scale_search(df, field, spark.createDataFrame([(1, float(origin[1]), float(origin[0]))], "page int, cx double, cy double"), (0.8, 1.0), (-3.0, 3.0), (-3.0, 3.0), (5, 5), 5, 0, nth=4, lock_ends=lock).first()
+        best = min((total(s, dy, dx), i) for i, (s, dy, dx) in enumerate((s, dy, dx) for s in np.linspace(0.8, 1, 5) for dy in ([path[[0, 14], 0].mean() - (origin[0] + s * (path[[0, 14], 0] - origin[0])).mean()] if lock else np.linspace(-3, 3, 5)) for dx in np.linspace(-3, 3, 5)))
+        assert got.objective == pytest.approx(best[0])
+        assert total(got.scale, got.dy, got.dx) == pytest.approx(best[0])
+
+
+def test_rectangles_and_fills(spark):
+    turn = math.radians(30)
+    shape = [(1, int(round(40 + a * math.cos(turn) - b * math.sin(turn))), int(round(40 + a * math.sin(turn) + b * math.cos(turn)))) for a in range(-20, 21) for b in range(-8, 9)]
+    df = spark.createDataFrame([*shape, (2, 5, 5), (3, 0, 0), (3, 0, 4)], "component int, y int, x int").distinct()
+    got = {}
+    for c in shapes.smallest_rectangles(df, "component").collect():
+        got.setdefault(c.component, []).append(c)
+    assert 40 * 16 <= got[1][0].area < 43 * 19 and got[2][0].area == 0 and len(got[3]) == 4
+    x0, x1 = min(c.x for c in got[1]), max(c.x for c in got[1])
+    assert x0 <= min(x for _, _, x in shape) + 1 and x1 >= max(x for _, _, x in shape) - 1
+    ring = [(1, y, x) for y in range(1, 8) for x in range(1, 8) if y in (1, 7) or x in (1, 7)]
+    block = [(1, y, x) for y in range(10, 14) for x in range(10, 14)]
+    open_ring = [(2, y, x) for y in range(5) for x in range(5) if (y in (0, 4) or x in (0, 4)) and (y, x) != (2, 4)]
+    out = raster.largest_filled(spark.createDataFrame([*ring, *block, *open_ring], "page int, y int, x int"), 1, (20, 20)).collect()
+    assert {(p.y, p.x) for p in out if p.page == 1} == {(y, x) for y in range(1, 8) for x in range(1, 8)}
+    assert {(p.y, p.x) for p in out if p.page == 2} == {(y, x) for _, y, x in open_ring}
+
+
+def test_collinear_groups(spark):
+    rows = [(1, 1, 0.0, 0.0, 0.0), (1, 2, 10.0, 1.0, 2.0), (1, 3, 20.0, 0.0, 178.0), (1, 4, 90.0, 0.0, 0.0), (1, 5, 30.0, 40.0, 0.0), (1, 6, 30.0, 0.0, 90.0)]
+    df = spark.createDataFrame(rows, "page int, dash_id long, cx double, cy double, angle double")
+    assert [g.group for g in shapes.collinear_groups(df).orderBy("dash_id").collect()] == [0, 0, 0, 1, 2, 3]
+
+
+def test_manifests(spark):
+    from kerbflow.operators import quantities
+
+    m = quantities.run_manifest(spark, {"pdf": "a.pdf"}, {"metrics": "m.json"}).first()
+    assert m.inputs == {"pdf": "a.pdf"} and m.outputs["metrics"] == "m.json" and m.written_at is not None
+    assert quantities.visual_manifest(spark, "a", "b", "c").first().line_styles["center"].thickness == 1
+    df = spark.createDataFrame([("a\\b", [("c\\d", 1)], {"k": "e\\f"}), (None, None, None)], "a string, b array<struct<p: string, n: int>>, m map<string, string>")
+    out = quantities.forward_slashed(df).collect()
+    assert out[0].a == "a/b" and out[0].b[0].p == "c/d" and out[0].b[0].n == 1 and out[0].m == {"k": "e/f"} and out[1].b is None
