@@ -140,3 +140,47 @@ def test_pipeline(spark, duck):
         assert r.start == at
         at += r.n_tokens
     assert sorted(got, key=lambda r: r.start) == sorted(got, key=lambda r: (r.doc_id, r.start))
+
+
+def test_licence_recall(spark, duck):
+    """Retrieval by bands against exact containment at every place of every text."""
+    import pyarrow as pa
+    from kerbflow.llm import licences, queries
+
+    rows = duck.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+    index = licences.TemplateIndex(list(licences.NOTICES + licences.TEXTS))
+    words, off = licences._word_hashes(pa.array([t for _, t in rows], pa.string()))
+    want = set()
+    for (doc, _), a, b in zip(rows, off[:-1], off[1:]):
+        own, _ = licences._shingle_hashes(words[a:b], np.array([0, b - a]))
+        for name, mine, template in zip(index.names, index.shingles, index.words):
+            if len(template) < licences.WINDOW or b - a < licences.WINDOW:
+                continue
+            hit = np.isin(own, mine)
+            if hit.sum() < licences.CONTAINED * len(mine):
+                continue
+            wide = len(template) + 2 * int(np.ceil(licences.SLACK * len(template))) - licences.SHINGLE + 1
+            for p in np.flatnonzero(hit):
+                if np.isin(mine, own[p : p + wide]).mean() >= licences.CONTAINED:
+                    want.add((doc, name))
+                    break
+    long = {n for n, w in zip(index.names, index.words) if len(w) >= licences.WINDOW}
+    short = {n for n, w in zip(index.names, index.words) if len(w) < licences.WINDOW}
+    got = {(r.doc_id, r.license) for r in queries.op2_licence_scan(spark, SF).collect()}
+    assert want <= got and want
+    assert {g for g in got - want if g[1] not in short} == set() and long
+
+
+def test_whole_licence_texts(spark):
+    from kerbflow.llm import licences
+
+    fill = "some words of a document that has a license at its end " * 30
+    rows, names = [], []
+    for k, (name, text) in enumerate(licences.TEXTS):
+        names.append(name)
+        rows.append((k, fill + "\n\n" + text.replace("software", "program", 1) + "\n" + fill, name, 1.0))
+    rows.append((9, fill + licences.TEXTS[0][1][:300], "x", 0.0))
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, license string, containment double")
+    got = licences.scan_licences(df).collect()
+    assert {(r.doc_id, r.license) for r in got if r.license.endswith("-text")} == {(k, n) for k, n in enumerate(names)}
+    assert sum(r.doc_id == 0 and r.license == names[0] for r in got) == 2
