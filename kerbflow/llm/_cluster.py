@@ -52,6 +52,12 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def set_aside(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns of these names renamed, and how to name them back (``withColumnsRenamed``)."""
+    back = {f"__own_{c}": c for c in df.columns if c in names}
+    return df.withColumnsRenamed({c: own for own, c in back.items()}), back
+
+
 def give_back() -> None:
     """A Python worker that later stages reuse returns what it no longer needs to the system."""
     pa.default_memory_pool().release_unused()

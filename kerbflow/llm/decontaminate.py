@@ -146,7 +146,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs`` without those that contain a benchmark item; columns as they are."""
-    bad = written(leaks(docs, benchmark, share).select(F.col("doc_id").alias("leaked_id"), F.col("text_hash").alias("leaked_hash")).distinct(), "leaked")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("leaked_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("leaked_hash"))
+    """The rows of ``docs`` without those that contain a benchmark item; columns as they are.
+
+    Null and empty texts stay, and so do repeated rows of clean texts.
+    """
+    bad = written(leaks(docs, benchmark, share).select(F.col("doc_id").alias("__leaked_id"), F.col("text_hash").alias("__leaked_hash")).distinct(), "leaked")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__leaked_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__leaked_hash"))
     return docs.join(sized(bad), same, "left_anti")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbflow.llm._cluster import sized, written
+from kerbflow.llm._cluster import set_aside, sized, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source is cut inside one of so many ranges, whose rows one task sorts.
@@ -96,11 +96,13 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and the part of the one at
     a source's cut (its first words, joined by blanks).  Columns as in ``docs``; ``n_chars`` of a
-    part is counted anew.  Documents of which nothing is taken are not in the mix.
+    part is counted anew.  Documents of which nothing is taken are not in the mix, so neither are
+    null and empty texts; repeated rows are taken each.  All columns stay as they are.
     """
+    docs, back = set_aside(docs, ("size", "source_size", "target", "taken"))
     rows = mix(docs, **settings).where("taken > 0").withColumn("__rest", F.col("taken") % F.col("size"))
     whole = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int") + 1))).where("__copy <= taken div size")
     part = rows.where("__rest > 0").withColumn("text", F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("__rest").cast("int")), " "))
     if "n_chars" in docs.columns:
         part = part.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
+    return whole.select(*docs.columns).unionByName(part.select(*docs.columns)).withColumnsRenamed(back)

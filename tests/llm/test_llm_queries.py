@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
@@ -184,3 +185,35 @@ def test_whole_licence_texts(spark):
     got = licences.scan_licences(df).collect()
     assert {(r.doc_id, r.license) for r in got if r.license.endswith("-text")} == {(k, n) for k, n in enumerate(names)}
     assert sum(r.doc_id == 0 and r.license == names[0] for r in got) == 2
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Each stage on nulls, empty and repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+    from kerbflow.llm._cluster import written
+
+    texts = [f"A plain sentence number {k} with words that tell it from the other {k * 7 % 13} ones of this little set." for k in range(12)]
+    rows = [(k if k else None, t, None if k == 5 else "en", None if k % 4 == 1 else f"s{k % 3}", len(t)) for k, t in enumerate(texts)]
+    rows += [(20, None, None, None, None), (21, "", "en", "s1", 0), (22, " \n\t ", "en", "s1", 4), rows[3], rows[3], (3, "Another text under the same number, though, and a longer one.", "en", "s0", 60), (None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ["tail", "expected_grade", "kept_id", "__x", "leaked_id", "size", "target", "taken", "whole", "bucket", "hash", "n"]
+    sf = str(tmp_path)
+    spark.createDataFrame([(k, int(k % 2), 0) for k in range(1, 12)] + [(None, 1, 0), (20, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "no such question in any of these texts at all, not one"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    start = spark.createDataFrame(rows, kind)
+    for c in extra:
+        start = start.withColumn(c, F.lit(7))
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, start.limit(0), sf)
+        assert empty.count() == 0
+    docs = start
+    for name, stage in corpus_pipeline.STAGES[1:4]:  # the classifier of so few ratings says nothing about texts
+        docs = written(stage(spark, docs, sf), "edge")
+        assert docs.columns == start.columns
+        assert all(r[c] == 7 for r in docs.collect() for c in extra)
+        if name == "n-gram Jaccard join":
+            ids = [r.doc_id for r in docs.collect()]
+            assert ids.count(3) == 2 and {20, 21, 22} <= set(ids) and len(ids) == 17
+    assert corpus_pipeline.STAGES[0][1](spark, start, sf).columns == start.columns
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert out.count() == docs.count() and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
