@@ -23,6 +23,8 @@ from kerbflow.llm._cluster import set_aside, sized, written
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source is cut inside one of so many ranges, whose rows one task sorts.
 BIN_BITS = 16
+#: They are summed in wide ranges of so many of them (a power of 2) first, so that no task sees more than a few hundred sums a source.
+WIDE_BITS = 8
 HASH_BITS = 52
 #: Sources up to which their table is broadcast.
 SOURCES = 100_000
@@ -50,6 +52,15 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: int) -> DataFrame:
     return dealt.withColumn("target", F.coalesce(F.least(cap, F.col("level") * F.col("weight")), cap)).drop("ratio", "total", "spent", "level")
 
 
+def _cut(bins: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(__of, __cut_bin, __before): the first range of each source by which its sizes pass ``__extra``, and the sum ahead of it, from ``__base`` on."""
+    upto = Window.partitionBy("__of").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = bins.withColumn("__upto", F.sum("__bin_size").over(upto)).join(sized(wanted, SOURCES), F.col("__of").eqNullSafe(F.col("__name")))
+    sums = sums.withColumn("__upto", F.col("__base") + F.col("__upto")).where("__upto > __extra")
+    first = sums.groupBy("__of").agg(F.min(F.struct("__bin", (F.col("__upto") - F.col("__bin_size")).alias("before"))).alias("__cut"))
+    return written(first.select("__of", F.col("__cut.__bin").alias("__cut_bin"), F.col("__cut.before").alias("__before")), "cut")
+
+
 def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source, ...) with size, source_size, target and taken.
 
@@ -74,13 +85,14 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int
     extra = F.round(F.col("target")).cast("long") - epochs * F.col("source_size")
     plan = written(plan.select(F.col("source").alias("__name"), "source_size", "target", epochs.alias("__whole"), extra.alias("__extra")), "targets")
 
-    upto = Window.partitionBy("__of").orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the range of the cut: first among wide ranges, then among those inside the one found
+    wide = bins.groupBy("__of", F.shiftright("__bin", WIDE_BITS).alias("__bin")).agg(F.sum("__bin_size").alias("__bin_size"))
+    found = _cut(wide, plan.select("__name", "__extra", F.lit(0).cast("long").alias("__base")))
     same = F.col("__of").eqNullSafe(F.col("__name"))
-    sums = bins.withColumn("__upto", F.sum("__bin_size").over(upto)).join(sized(plan.select("__name", "__extra"), SOURCES), same)
-    cut = sums.where("__upto > __extra").groupBy("__of").agg(F.min(F.struct("__bin", (F.col("__upto") - F.col("__bin_size")).alias("before"))).alias("__cut"))
-    plan = plan.join(cut, same, "left").select(
-        "__name", "source_size", "target", "__whole", "__extra", F.coalesce("__cut.__bin", F.lit(1 << BIN_BITS)).alias("__cut_bin"), F.coalesce("__cut.before", F.lit(0)).alias("__before")
-    )
+    inner = plan.select("__name", "__extra").join(found, same).select("__name", "__extra", F.col("__cut_bin").alias("__wide"), F.col("__before").alias("__base"))
+    own = bins.join(sized(inner.select(F.col("__name").alias("__n"), "__wide"), SOURCES), F.col("__of").eqNullSafe(F.col("__n")) & (F.shiftright("__bin", WIDE_BITS) == F.col("__wide")))
+    cut = _cut(own.select("__of", "__bin", "__bin_size"), inner.select("__name", "__extra", "__base"))
+    plan = plan.join(cut, same, "left").select("__name", "source_size", "target", "__whole", "__extra", F.coalesce("__cut_bin", F.lit(1 << BIN_BITS)).alias("__cut_bin"), F.coalesce("__before", F.lit(0)).alias("__before"))
     known = rows.join(sized(written(plan, "plan"), SOURCES), rows["source"].eqNullSafe(F.col("__name")))
 
     base = F.col("__whole") * F.col("size")
