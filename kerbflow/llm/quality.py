@@ -168,12 +168,13 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Or
     """Fits on at most about ``sample`` rows of ``docs`` with a rating (doc_id, grade >= 0).
 
     The sample is chosen by hash of doc_id among all rated ids.  Null ids and grades take no
-    part; of several ratings of an id the lowest counts.
+    part; of several ratings of an id the lowest counts, of several rows the text with the least hash.
     """
     bounded_batches(docs.sparkSession)
     rated = ratings.where("doc_id is not null and grade is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("grade").cast("long").alias("grade"))
     picked = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # a bounded sample, small enough to broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))  # one row an id, whatever repeats
     rows = rows.select("grade", "text").mapInArrow(_sampled_features, "grade long, cols binary, vals binary").collect()
     rows.sort(key=lambda r: (r.grade, r.cols, r.vals))  # the fit does not depend on the order of arrival
     parts = [(np.frombuffer(r.cols, "<i4"), np.frombuffer(r.vals, "<f4")) for r in rows]

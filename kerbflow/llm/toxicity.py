@@ -204,7 +204,7 @@ def fit_toxicity(training: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Fits on ``training`` (doc_id, text, toxic 0/1): token counts on all rows, the two
     calibration curves on at most ``sample`` ids of each label, by hash of doc_id.
 
-    Rows without an id or a label take no part.  Of rows that share an id one calibrates.
+    Rows without an id or a label take no part.  Of rows that share an id the one with the least hash calibrates.
     """
     bounded_batches(training.sparkSession)
     training = training.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
@@ -215,7 +215,7 @@ def fit_toxicity(training: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     picked = [training.where(F.col("toxic") == k).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     # a bounded sample, small enough to broadcast
     rows = training.join(F.broadcast(picked[0].union(picked[1]).distinct()), "doc_id", "left_semi").select("doc_id", "text", "toxic")
-    rows = rows.dropDuplicates(["doc_id"]).select("text", "toxic")
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text", "toxic")).alias("r")).select("r.text", "r.toxic")
     best = rows.mapInArrow(_mapped(spark.sparkContext.broadcast(model), "best"), "toxic int, best double, words long").toPandas()
     clean = best[best.toxic == 0]
     excess = clean.best.to_numpy()

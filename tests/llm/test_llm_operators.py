@@ -562,3 +562,14 @@ def test_toxicity_of_repeats_and_long_texts(spark):
     assert len(got) == 3 and got[0] == got[1] and got[0].score >= 0.5
     far = next(g for g in got if g.doc_id == 2)
     assert any(30_000 <= p["start"] and p["end"] <= 30_005 for p in far.passages)
+
+
+def test_quality_of_repeats_and_long_texts(spark):
+    rows = [(k, ("GOOD plain words here " if k % 2 else "bad!!! $$$ 111 ") * 10 + f"n{k}", k % 2) for k in range(120)]
+    df = spark.createDataFrame([*rows, *rows, *[rows[1]] * 200, (None, "x", 1), (500, None, None)], "doc_id long, text string, grade int")
+    model = quality.fit_quality(df, df.select("doc_id", "grade"))
+    once = quality.fit_quality(spark.createDataFrame(rows, df.schema), df.select("doc_id", "grade"))
+    assert (model.weights == once.weights).all() and (model.thresholds == once.thresholds).all()
+    long = [(1, rows[1][1] * 3000, 5), (2, "bad!!! " + "q" * 200_000, 5), (3, rows[1][1], 5), (3, rows[1][1], 5)]
+    out = quality.score_quality(spark.createDataFrame(long, "doc_id long, text string, tail_of int"), model).collect()
+    assert len(out) == 4 and out[0].tail > 0.5 > out[1].tail and out[2] == out[3]
