@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -47,7 +48,8 @@ BATCH_BYTES = 16 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Keeps the Arrow batches of this session small: a batch of ten thousand long texts does not fit a small worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m")))
+    told = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(name, "64m").strip().lower())
+    now = int(told[1]) << 10 * " kmgt".index(told[2] or " ") if told else 0
     if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
@@ -66,12 +68,17 @@ def give_back() -> None:
         trim(0)
 
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast only if it is counted to hold few (narrow) rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """``df``, marked for broadcast only if it is counted to hold few rows, and few bytes of strings."""
+    size = F.lit(0)
+    for c, kind in df.dtypes:
+        if kind in ("string", "array<string>"):
+            size = size + F.coalesce(F.octet_length(F.col(c) if kind == "string" else F.array_join(c, "")), F.lit(0))
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 SLICES = 16

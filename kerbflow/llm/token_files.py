@@ -319,6 +319,7 @@ def _written_shards(folder: str, vocabulary):
     def run(batches):
         released()
         store, root = _store(folder)
+        store.create_dir(root, recursive=True)
         bucket, manifest = TaskContext.get().partitionId(), []
         docs, parts, size = [], [], 0
         rank_of = vocabulary.value[1]
@@ -371,7 +372,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, narrow)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=narrow)
     vocabulary = spark.sparkContext.broadcast((by_rank.astype(np.uint32), rank_of))
-    _make(spark, folder)
     again = ids.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     manifest = written(again.mapInArrow(_written_shards(folder, vocabulary), "bucket long, part long, docs long, tokens long"), "manifest")
     before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
@@ -387,11 +387,6 @@ def checked_kind(tokenizer: str) -> None:
         raise ValueError(f"{tokenizer}: only byte-level BPE tokenizers without a normalizer can be encoded by pieces")
 
 
-def _make(spark, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-
-
 def _files(manifest: DataFrame) -> DataFrame:
     return manifest.select("bucket", "part", "base").repartition(partitions(manifest.sparkSession), "bucket", "part")
 
