@@ -40,6 +40,18 @@ def long_column(batch: pa.RecordBatch, column: str) -> pa.Array:
     return batch.column(column).cast(pa.int64())
 
 
+def mapped_bytes(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    """The texts with each byte replaced by ``table``'s entry for it; null texts are empty.
+
+    Bytes from 128 on must stay themselves, or the texts are no UTF-8 any more.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    _, off, data = texts.buffers()
+    off = np.frombuffer(off, np.int32, len(texts) + 1, 4 * texts.offset) if off is not None else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(off - off[0]), pa.py_buffer(table[data]))
+
+
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Word codes of all texts in a row, the texts' offsets into them, the distinct words.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbflow.llm import decontaminate, html_text, licences, line_dedup, mixing, ngram_join, quality, token_files, topk, toxicity
+from kerbflow.llm import decontaminate, divergence, exact_dedup, html_text, lexical, licences, line_dedup, mixing, ngram_join, quality, token_files, topk, toxicity
 from kerbflow.llm._cluster import sized
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+_LETTERS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 
@@ -77,6 +79,23 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history is the half of the documents with the lower ids, so that its winners have the least id of all."""
+    docs = _table(spark, sf_dir, "documents")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    found = exact_dedup.exact_groups(docs, F.col("doc_id") <= F.lit(middle))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(_table(spark, sf_dir, "documents"))
+    return lexical.ranked_search(index, _table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS size,
     ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS place FROM documents),
@@ -117,8 +136,46 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, {_TERMS})) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY 1),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM l),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY 1), s),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_TERMS})) AS term FROM benchmark),
+p AS (SELECT q.item_id, f.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (100 - 90 + (90 * l.n * s.docs) // s.total))))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN f USING (term) JOIN l ON l.doc_id = f.doc_id, s GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, {_LETTERS})) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS all_n FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(all_n)::HUGEINT AS total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t GROUP BY 1, 2, 3),
+e AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.all_n, v.v, v.total FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (all_n + 5)) // (total + 5 * v) AS q FROM e),
+x AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(y.value, 0) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+    LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY 1, 2, 3) y
+    ON y.lang = g.lang AND y.source = g.source AND y.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_licence_scan, op3_exact_top_k, op4_token_files, op5_toxic_passages,
     op6_quality, op7_ngram_jaccard_join, op8_line_dedup, op9_decontamination, op10_main_text,
+    op11_exact_dedup, op12_lexical_search, op13_source_divergence,
 )}
-ORACLE = {"op1_source_mixing": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op7_ngram_jaccard_join": OP7_SQL}
+ORACLE = {"op1_source_mixing": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_source_divergence": OP13_SQL}
