@@ -79,11 +79,12 @@ def _relaxed(rounds: int) -> str:
 
 
 def _jumped(rounds: int) -> str:
-    """SQL that names the components of edges e (a, b) over nodes q: labels of neighbours, then the label's own label."""
+    """SQL that names the components of edges e (a, b) over nodes q: the least label next to any node of a label, then that label's own."""
     steps = ["j0 AS (SELECT node, node AS c FROM q)"]
     for k in range(rounds):
-        steps.append(f"h{k} AS MATERIALIZED (SELECT e.a AS node, min(j.c) AS c FROM e JOIN j{k} j ON j.node = e.b GROUP BY e.a)")
-        steps.append(f"j{k + 1} AS MATERIALIZED (SELECT h.node, least(h.c, i.c) AS c FROM h{k} h JOIN h{k} i ON i.node = h.c)")
+        steps.append(f"h{k} AS MATERIALIZED (SELECT i.node, any_value(i.c) AS was, min(j.c) AS c FROM e JOIN j{k} i ON i.node = e.a JOIN j{k} j ON j.node = e.b GROUP BY i.node)")
+        steps.append(f"g{k} AS MATERIALIZED (SELECT node, g.c FROM h{k} JOIN (SELECT was, min(c) AS c FROM h{k} GROUP BY was) g USING (was))")
+        steps.append(f"j{k + 1} AS MATERIALIZED (SELECT a.node, least(a.c, b.c) AS c FROM g{k} a JOIN g{k} b ON b.node = a.c)")
     return ", ".join(steps)
 
 
@@ -124,8 +125,8 @@ def endcaps_clipped(spark, sf):
 
 @query(f"""WITH RECURSIVE {PL}, {FRAME}, q AS (SELECT page, y, x, coalesce(v > 0.02, false) AS up, page * 1000000000000 + y * 1000000 + x AS node FROM frame LEFT JOIN pl USING (page, y, x) WHERE y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31),
 e AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM q a JOIN q b ON a.page = b.page AND a.up = b.up AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.up OR abs(a.y - b.y) + abs(a.x - b.x) <= 1)),
-{_jumped(40)},
-l AS (SELECT q.*, r.c FROM q JOIN j40 r USING (node)), out AS (SELECT DISTINCT c FROM l WHERE NOT up AND (y IN (0, 31) OR x IN (0, 31))),
+{_jumped(24)},
+l AS (SELECT q.*, r.c FROM q JOIN j24 r USING (node)), out AS (SELECT DISTINCT c FROM l WHERE NOT up AND (y IN (0, 31) OR x IN (0, 31))),
 f AS (SELECT page, c AS outline, NOT any_value(up) AS hole, min(y * 1000 + x) AS p, count(*) AS pixels FROM l WHERE c NOT IN (SELECT c FROM out) GROUP BY page, c),
 t AS (SELECT f.page, f.outline, f.hole, n.c AS parent, f.pixels FROM f LEFT JOIN (SELECT * FROM l WHERE c NOT IN (SELECT c FROM out)) n ON n.page = f.page AND n.y = f.p // 1000 - f.hole::INT AND n.x = f.p % 1000 - (NOT f.hole)::INT),
 d(outline, depth) AS (SELECT outline, 0 FROM t WHERE parent IS NULL UNION ALL SELECT t.outline, d.depth + 1 FROM d JOIN t ON t.parent = d.outline)
