@@ -43,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, the part of one at each source's cut.
+    """The documents, whole, as often as the mix takes them.
 
     Null and empty texts have no words to give and are not in the mix.
     """

@@ -33,7 +33,9 @@ DEEPEST = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; without an end tag it goes to the end of the page.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("nav footer aside form button dialog menu select template svg".split())
+DROPPED = frozenset("nav footer aside button dialog menu select template svg".split())
+#: Raw content that browsers show.
+SHOWN = frozenset("xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body blockquote html".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
@@ -59,10 +61,10 @@ def _describe(tag: str, rest: str) -> tuple[str, bool, bool]:
     """A step of the generalised path; whether the element is no part of an article, and whether its names only hint at that.
 
     A class or id all of whose words mean noise (``cookie-notice``) says so; one with some such
-    word (``share-enabled``) hints at it.
+    word (``share-enabled``) hints at it, and so does a form, which may stand around a whole page.
     """
     if not rest.strip():
-        return tag, tag in DROPPED, False
+        return tag, tag in DROPPED, tag == "form"
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
     names = found.get("class", "").lower().split()
     step = ".".join([tag, *sorted({re.sub(r"\d+", "0", c) for c in names})])
@@ -71,7 +73,7 @@ def _describe(tag: str, rest: str) -> tuple[str, bool, bool]:
     listed = [set(_WORDS.findall(n)) for n in [*names, *found.get("id", "").lower().split()]]
     sure = any(w and w <= NOISE_WORDS for w in listed) and tag not in ("article", "main")
     noise = tag in DROPPED or sure or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    return step, noise, not noise and any(w & NOISE_WORDS for w in listed)
+    return step, noise, not noise and (tag == "form" or any(w & NOISE_WORDS for w in listed))
 
 
 def parse(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
@@ -133,6 +135,10 @@ def parse(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
             continue
         if tag in RAW and not rest.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if tag in SHOWN:
+                flush()
+                text.append(page[at : end.start() if end else size])
+                flush()
             at = end.end() if end else size
             text.append(" ")
             continue

@@ -8,8 +8,8 @@ ends at its cap and the others at ``level * weight``.
 
 A source's epochs ``target / size`` are taken as whole repetitions of every document and,
 for the fraction that is left, one more repetition of the documents that come first in a
-seeded order.  The document at the cut gives only the words that are still missing, so a
-source's taken words meet its target to the word.  The cut is found from the sizes summed
+seeded order.  The document at the cut is taken whole or not at all, whichever is nearer, so a
+source's taken words miss its target by at most half of that document.  The cut is found from the sizes summed
 by ``2 ** BIN_BITS`` ranges of the order; only the documents of one range per source are sorted.
 """
 
@@ -100,21 +100,18 @@ def mix(docs: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_epochs: int
     # rows of one place, id and size are told apart by their texts
     inside = Window.partitionBy("__name").orderBy("__at", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, -1)
     edge = known.where("__bin = __cut_bin").withColumn("__text", F.xxhash64("text")).withColumn("__ahead", F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    edge = edge.withColumn("taken", base + F.greatest(F.lit(0), F.least(F.col("size"), F.col("__extra") - F.col("__ahead"))))
+    edge = edge.withColumn("taken", base + F.when(2 * (F.col("__extra") - F.col("__ahead")) >= F.col("size"), F.col("size")).otherwise(0))
     columns = [*docs.columns, "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
     return clear.select(*columns).unionByName(edge.select(*columns))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, and the part of the one at
-    a source's cut (its first words, joined by blanks).  Columns as in ``docs``; ``n_chars`` of a
-    part is counted anew.  Documents of which nothing is taken are not in the mix, so neither are
+    """The mix itself: each document as often as it is taken, whole each time.
+
+    Columns as in ``docs``.  Documents that are not taken are not in the mix, so neither are
     null and empty texts; repeated rows are taken each.  All columns stay as they are.
     """
     docs, back = set_aside(docs, ("size", "source_size", "target", "taken"))
-    rows = mix(docs, **settings).where("taken > 0").withColumn("__rest", F.col("taken") % F.col("size"))
-    whole = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int") + 1))).where("__copy <= taken div size")
-    part = rows.where("__rest > 0").withColumn("text", F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("__rest").cast("int")), " "))
-    if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns)).withColumnsRenamed(back)
+    rows = mix(docs, **settings).where("taken > 0")
+    whole = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.expr("cast(taken div size as int)"))))
+    return whole.select(*docs.columns).withColumnsRenamed(back)

@@ -111,7 +111,7 @@ e AS (SELECT *, round(target)::BIGINT - whole * source_size AS extra FROM p),
 o AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, e.extra,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
     FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, extra - ahead)))::BIGINT AS taken FROM o
+SELECT doc_id, size, source_size, target, (whole * size + CASE WHEN 2 * (extra - ahead) >= size THEN size ELSE 0 END)::BIGINT AS taken FROM o
 """
 
 OP3_SQL = """

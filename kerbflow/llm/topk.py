@@ -8,7 +8,10 @@ values at which the lists stand; the search of a block ends when the bound is be
 query's k-th best score (equal scores go on, because ties fall to the smaller id).
 
 The stated query set meets all rows in blocks: every block of queries is sent to every
-block of vectors, and only k rows of each pair of query and block go on to the merge.
+block of vectors, and only k rows of each pair of query and block go on to the merge, of which
+a task sends k of each query.
+
+Scores are exact: in 64 bits where they hold all sums, in whole numbers of any size elsewhere.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from kerbflow.llm._cluster import written
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
 STEP = 64
+LARGEST = 2**63 - 1
 
 
 class SortedLists:
@@ -31,6 +35,9 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.repeats = len(np.unique(ids)) < len(ids)
+        #: vectors that the last search scored
+        self.met = 0
         self.rank = np.argsort(self.vectors, axis=0, kind="stable")
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +58,14 @@ class SortedLists:
             rows = np.flatnonzero(fresh & ~met)
             met |= fresh
             rows = rows[self.ids[rows] != query_id]
-            ids, score = np.concatenate([best_id, self.ids[rows]]), np.concatenate([best, self.vectors[rows] @ query])
-            keep = np.lexsort((ids, -score))[:k]
-            best_id, best = ids[keep], score[keep]
+            fresh_score = self.vectors[rows] @ query
+            if fresh_score.dtype == object:
+                fresh_score = np.minimum(np.maximum(fresh_score, -LARGEST - 1), LARGEST)
+            ids, score = np.concatenate([best_id, self.ids[rows]]), np.concatenate([best, fresh_score.astype(np.int64)])
+            keep = np.lexsort((ids, ~score))  # the negative of the least long is no long
+            if self.repeats:  # of rows that share an id the best counts
+                keep = keep[np.sort(np.unique(ids[keep], return_index=True)[1])]
+            best_id, best = ids[keep[:k]], score[keep[:k]]
             if len(best) == k and stop < n:
                 last = np.where(down, n - stop, stop - 1)
                 if (self.vectors[self.rank[last, axes], axes] * query[axes]).sum() < best[-1]:
@@ -61,15 +73,25 @@ class SortedLists:
             depth, step = stop, 2 * step
             if met.all():
                 break
+        self.met = int(met.sum())
         return best_id, best
 
 
+def whole_numbers(parts: np.ndarray) -> np.ndarray:
+    """The floors of finite doubles: 64-bit where no inner product of these rows passes them, else Python's."""
+    floors = np.floor(parts)
+    if not floors.size or np.abs(floors).max() ** 2 * floors.shape[1] < 2.0**62:
+        return floors.astype(np.int64)
+    out = np.empty(floors.shape, object)
+    out[...] = [[int(x) for x in row] for row in floors]
+    return out
+
+
 def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("is_query").to_numpy()
         ids = table.column("vec_id").to_numpy()
-        flat = table.column("parts").combine_chunks().flatten().to_numpy().astype(np.int64)
-        vectors = flat.reshape(len(ids), -1)
+        vectors = whole_numbers(table.column("parts").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(ids), -1))
         lists = SortedLists(ids[~kind], vectors[~kind])
         out = [[], [], []]
         for q, v in zip(ids[kind], vectors[kind]):
@@ -84,8 +106,8 @@ def _search(k: int):
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``rows`` for each of ``queries``.
 
-    Both tables hold (vec_id long, parts array<int>); vectors of unlike length do not meet.  The score is the integer
-    inner product, ties fall to the smaller vec_id, a query's own id is no candidate.  Equal
+    Both tables hold (vec_id long, parts array of numbers, of which the floors count); vectors of unlike length do not meet.  The score is the integer
+    inner product (beyond 64 bits it counts as the largest or least long), ties fall to the smaller vec_id, a query's own id is no candidate.  Equal
     rows count once; of rows that share an id the better score counts.  A query with fewer
     candidates returns them all, one without any no row; empty tables give no rows.
     """
@@ -97,18 +119,17 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     left = rows.select(own(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"), F.lit(False).alias("is_query"), "vec_id", "parts")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), own(packs).alias("pack"), F.lit(True).alias("is_query"), "vec_id", "parts")
     found = left.unionByName(right).groupBy("block", "pack", F.size("parts")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def scaled(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, parts) with ``floor(scale * x)`` of each component.
+    """(vec_id, parts) with ``scale * x`` of each component, whose floors ``exact_top_k`` takes.
 
-    Rows with a null id, a null vector or a null or non-finite component are left out.
+    Rows with a null id, a null vector or a component that is null or whose multiple is not finite are left out.
     """
     x = F.col("embedding")
     # NaN compares as the largest double, so both bounds hold for finite components only
-    sound = F.forall(x, lambda v: v.isNotNull() & (v.cast("double") < float("inf")) & (v.cast("double") > float("-inf")))
-    parts = F.transform(x, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("int"))
+    sound = F.forall(x, lambda v: v.isNotNull() & (scale * v.cast("double") < float("inf")) & (scale * v.cast("double") > float("-inf")))
+    parts = F.transform(x, lambda v: F.lit(scale) * v.cast("double"))
     return embeddings.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & sound).select(F.col("vec_id").cast("long").alias("vec_id"), parts.alias("parts"))
