@@ -479,12 +479,12 @@ def area_model3(spark, sf):
 
 
 @query(f"""WITH {PT}, {WS}, m AS (SELECT path_id, quantile_cont(w, 0.5) AS med FROM ws GROUP BY path_id)
-SELECT path_id, i, round(med * 1.1::DOUBLE, 4) AS median_width, round(coalesce(w, med) * 1.1::DOUBLE, 4) AS local_width, round(avg(coalesce(w, med)) OVER (PARTITION BY path_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) * 1.1::DOUBLE, 4) AS smooth_width FROM ws JOIN m USING (path_id)""")
+SELECT path_id, i, round(med * 1.1::DOUBLE, 6) AS median_width, round(coalesce(w, med) * 1.1::DOUBLE, 6) AS local_width, round(avg(coalesce(w, med)) OVER (PARTITION BY path_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) * 1.1::DOUBLE, 6) AS smooth_width FROM ws JOIN m USING (path_id)""")
 def width_methods(spark, sf):
     out = ws(spark, sf)
     for method in ("median", "local", "smooth"):
         out = stats.chosen_widths(out, method, 5, 1.1).withColumnRenamed("width", f"{method}_width")
-    return rounded(out.select("path_id", F.col("i").cast("long").alias("i"), "median_width", "local_width", "smooth_width"))
+    return rounded(out.select("path_id", F.col("i").cast("long").alias("i"), "median_width", "local_width", "smooth_width"), 6)
 
 
 TRAP = "SELECT path_id, coalesce(sum(len * (v + pv) / 2) FILTER (WHERE i > 0), 0) AS area, coalesce(sum(len) FILTER (WHERE i > 0), 0) AS length FROM (SELECT path_id, i, len, {v} AS v, lag({v}) OVER (PARTITION BY path_id ORDER BY i) AS pv FROM {t}) GROUP BY path_id"
