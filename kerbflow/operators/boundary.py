@@ -125,6 +125,29 @@ def fitted_sides(
     return out.join(names, "line").select(key, "side", "i", "x", "y")
 
 
+def ends_extended(lines: DataFrame, mask: DataFrame, lookahead: int = 8, step: float = 0.5, most: float = 1000.0, key: str = "path_id") -> DataFrame:
+    """(key, i, x, y): lines (key, i, page, x, y) with both ends carried on to the edge of the mask, a point every pixel or so.
+
+    An end goes on in the direction from the point ``lookahead`` before it; lines of under three points stay.
+    """
+    w = Window.partitionBy(key).orderBy("i")
+    p = lines.select(key, "page", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    k = F.greatest(F.lit(1), F.least(F.lit(int(lookahead)), F.col("n") - 1))
+    at = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    p = checkpointed(p.withColumn("k", k))
+    ends = p.where("n >= 3").groupBy(key).agg(F.first("page").alias("page"), F.first("n").alias("n"), *[at(i, c).alias(f"{name}{c}") for name, i in (("s", F.lit(0)), ("sr", F.col("k")), ("e", F.col("n") - 1), ("er", F.col("n") - 1 - F.col("k"))) for c in "xy"])
+    tip = lambda name, sign: F.struct(F.lit(sign).alias("end"), *[F.col(f"{name}{c}").alias(c) for c in "xy"], *[(F.col(f"{name}{c}") - F.col(f"{name}r{c}")).alias(f"d{c}") for c in "xy"])
+    tips = ends.select(key, "page", "n", F.explode(F.array(tip("s", -1), tip("e", 1))).alias("t")).select(key, "page", "n", "t.*")
+    size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    rays = tips.where(size > 1e-9).select(key, "page", "n", "end", "x", "y", (F.col("dx") / size).alias("dx"), (F.col("dy") / size).alias("dy")).withColumn("ray_id", F.struct(key, "end"))
+    far = rays.join(cast(rays.select("ray_id", "page", "x", "y", "dx", "dy"), mask, step, most), "ray_id").where("distance > 1e-6")
+    far = far.withColumn("m", F.greatest(F.lit(2), F.bround("distance").cast("int"))).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    along = F.col("distance") * F.col("j") / F.col("m")
+    more = far.select(key, F.when(F.col("end") < 0, -F.col("j")).otherwise(F.col("n") - 1 + F.col("j")).cast("long").alias("i"), (F.col("x") + F.col("dx") * along).alias("x"), (F.col("y") + F.col("dy") * along).alias("y"))
+    out = p.select(key, "i", "x", "y").unionByName(more)
+    return out.select(key, (F.row_number().over(w) - 1).cast("long").alias("i"), "x", "y")
+
+
 # -- widths -------------------------------------------------------------------------------------
 
 

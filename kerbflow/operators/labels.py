@@ -124,6 +124,22 @@ def text_centre(words: DataFrame, term: str) -> DataFrame:
     return hit.groupBy("page").agg(F.max_by(F.struct(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), "word_no").alias("c")).select("page", "c.x", "c.y")
 
 
+def text_markers(words: DataFrame, pages: DataFrame, term: str) -> DataFrame:
+    """(page, word_no, ny, nx): the centres of all words that contain the term, on a grid of 1000 by 1000 of their page (page, width, height)."""
+    hit = words.where(F.lower("text").contains(term.lower())).join(pages.select("page", "width", "height"), "page")
+    put = lambda c, most: F.bround((F.col(f"{c}0") + F.col(f"{c}1")) / 2 / F.col(most) * 1000, 2).alias(f"n{c}")
+    return hit.select("page", "word_no", put("y", "height"), put("x", "width"))
+
+
+def legend_window(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, x0, y0, x1, y1): 20 above and left and 260 below and right of the first line that says legend, kept on the page; else the page's upper left part."""
+    first = lines.where(F.lower("text").rlike(r"\blegend\b")).groupBy("page").agg(F.min(F.struct("line_no", "x0", "y0", "x1", "y1")).alias("l"))
+    p = pages.join(first, "page", "left")
+    low = lambda c, share, most: F.when(F.col("l").isNotNull(), F.greatest(F.col(f"l.{c}") - 20.0, F.lit(0.0))).otherwise(share * F.col(most)).alias(c)
+    high = lambda c, share, most: F.when(F.col("l").isNotNull(), F.least(F.col(f"l.{c}") + 260.0, F.col(most))).otherwise(share * F.col(most)).alias(c)
+    return p.select("page", low("x0", 0.05, "width"), low("y0", 0.05, "height"), high("x1", 0.45, "width"), high("y1", 0.55, "height"))
+
+
 def media_type(name: Column) -> Column:
     low = F.lower(name)
     return F.when(low.endswith(".pdf"), "application/pdf").when(low.endswith(".png"), "image/png").when(low.endswith(".jpg") | low.endswith(".jpeg"), "image/jpeg").otherwise("application/octet-stream")

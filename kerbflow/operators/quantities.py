@@ -69,6 +69,20 @@ def polygon_verdict(points: DataFrame, key: str, least_spread: float = 10.0) ->
     return by.select(key, F.col("n").alias("points"), verdict.alias("verdict"))
 
 
+# The words in which a polygon is judged.
+FEW_POINTS = "Critique: FAILED. A valid polygon must have at least 3 [y, x] ordered points."
+TOO_SMALL = "Critique: FAILED. Area is far too small (Vert %.1f, Horiz %.1f). Found a speck instead of a stage."
+SOUND = "Critique: PASS. Geometric spread is validated (Vert %.1f, Horiz %.1f). Proceed to human confirmation!"
+
+
+def polygon_critique(points: DataFrame, key: str, least_spread: float = 10.0) -> DataFrame:
+    """(key, critique): ``polygon_verdict`` in the words that agents expect."""
+    by = points.groupBy(key).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).cast("double").alias("sx"), (F.max("y") - F.min("y")).cast("double").alias("sy"))
+    told = [F.bround(c, 1) for c in ("sy", "sx")]  # halves to even, which the format does not do
+    small = (F.col("sx") < least_spread) | (F.col("sy") < least_spread)
+    return by.select(key, F.when(F.col("n") < 3, FEW_POINTS).when(small, F.format_string(TOO_SMALL, *told)).otherwise(F.format_string(SOUND, *told)).alias("critique"))
+
+
 def normalised(points: DataFrame, width: float, height: float) -> DataFrame:
     """Coordinates on a grid of 1000 by 1000, two decimals, halves to even."""
     return points.withColumn("ny", F.bround(F.col("y") / height * 1000, 2)).withColumn("nx", F.bround(F.col("x") / width * 1000, 2))

@@ -300,6 +300,13 @@ def filled_polygons(corners: DataFrame) -> DataFrame:
     return out.select("page", F.col("row").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct()
 
 
+def drawn_pixels(polygons: DataFrame, boxes: DataFrame, strokes: DataFrame) -> DataFrame:
+    """The pixels of drawings: filled polygons (page, polygon_id, i, x, y), boxes (page, x0, y0, x1, y1) with their edges, and strokes (page, ax, ay, bx, by, width)."""
+    span = lambda c: F.explode(F.sequence(F.least(F.bround(f"{c}0"), F.bround(f"{c}1")).cast("int"), F.greatest(F.bround(f"{c}0"), F.bround(f"{c}1")).cast("int")))
+    filled = boxes.withColumn("y", span("y")).withColumn("x", span("x")).select(*PLACE)
+    return filled_polygons(polygons).unionByName(filled).unionByName(thick_path(strokes)).distinct()
+
+
 def small_removed(labelled: DataFrame, least: int) -> DataFrame:
     """Pixels of components with at least so many; of the set ones objects go, of the others holes."""
     keep = labelled.groupBy("page", "component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("page", "component")

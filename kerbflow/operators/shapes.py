@@ -147,10 +147,11 @@ def containing(polygons: DataFrame, x: float, y: float, key: str, least: float =
     return hits.where("hits % 2 = 1").join(area, key).where(F.col("area") > least).orderBy("area", key).limit(1).select(key, "area")
 
 
-def arc_sides(arcs: DataFrame, cx: float, cy: float) -> DataFrame:
-    """Of two arcs the one nearer to the bend's centre is inner."""
-    r = arcs.groupBy("arc").agg(F.avg(G.distance(F.col("x"), F.col("y"), F.lit(cx), F.lit(cy))).alias("radius"))
-    return r.withColumn("side", F.when(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("radius", "arc")) == 1, "inner").otherwise("outer"))
+def arc_sides(arcs: DataFrame, centres: DataFrame, key: str = "path_id") -> DataFrame:
+    """(key, arc, radius, side): of the two arcs (key, arc, x, y) of each path the one nearer to its bend's centre (key, cx, cy) on average is inner."""
+    at = arcs.join(centres.select(key, "cx", "cy"), key)
+    r = at.groupBy(key, "arc").agg(F.avg(G.distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).alias("radius"))
+    return r.withColumn("side", F.when(F.row_number().over(Window.partitionBy(key).orderBy("radius", "arc")) == 1, "inner").otherwise("outer"))
 
 
 def _start_trimmed(lines: DataFrame, angle: float, reach: float, span: int, key: str) -> DataFrame:
@@ -187,9 +188,10 @@ def hooks_trimmed(lines: DataFrame, angle: float, reach: float, span: int = 6, k
     return _reversed(_start_trimmed(_reversed(once, key), angle, reach, span, key), key)
 
 
-def measured_lengths(area_px: float, skeleton_px: float, width_px: float, m_per_px: float) -> dict[str, float]:
-    """Three lengths of a strip in metres: half its outline, and its area by the width."""
-    return {"outline_m": skeleton_px / 2 * m_per_px, "area_m2": area_px * m_per_px**2, "by_width_m": area_px / width_px * m_per_px if width_px else float("nan")}
+def measured_lengths(strips: DataFrame, m_per_px: float) -> DataFrame:
+    """Lengths of strips (area_px, skeleton_px, width_px, ...) in metres: along the skeleton, half the outline if ``skeleton_px`` is one, and the area by the mean width (null without)."""
+    by_width = F.col("area_px") / F.when(F.col("width_px") > 0, F.col("width_px")) * m_per_px
+    return strips.withColumn("skeleton_m", F.col("skeleton_px") * m_per_px).withColumn("outline_m", F.col("skeleton_px") / 2 * m_per_px).withColumn("area_m2", F.col("area_px") * m_per_px**2).withColumn("by_width_m", by_width)
 
 
 def transformed(points: DataFrame, scale: float, dx: float = 0.0, dy: float = 0.0, ox: float = 0.0, oy: float = 0.0, turn: float = 0.0) -> DataFrame:

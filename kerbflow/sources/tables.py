@@ -28,6 +28,40 @@ def pages(df: DataFrame, page: int = 0, most: int | None = None) -> DataFrame:
     return out if most is None else out.where(F.col("page") <= most)
 
 
+def vector_scan(spark: SparkSession, path: str, page: int = 0) -> DataFrame:
+    """The vectors of one page (0: all) of a table written by page.
+
+    A page is a folder, so Spark lists and reads that of the page alone; one that is not there is an error.
+    """
+    table = spark.read.schema(FIELDS["vectors"].replace("\n", " ")).parquet(path)
+    if page == 0:
+        return table
+    out = table.where(F.col("page") == page)
+    if page < 0 or out.limit(1).isEmpty():
+        raise ValueError(f"Page out of range: {page}")
+    return out
+
+
+def scan_summary(vectors: DataFrame) -> DataFrame:
+    """(page_count, vector_count, pages) of a scan."""
+    return vectors.agg(F.count_distinct("page").alias("page_count"), F.count("*").alias("vector_count"), F.sort_array(F.collect_set("page")).alias("pages"))
+
+
+def required(df: DataFrame, key: str, path: str = "") -> DataFrame:
+    """``df`` with an error for each row whose ``key`` is null or an empty list."""
+    kind = dict(df.dtypes).get(key)
+    if kind is None:
+        raise ValueError(f"Missing key {key} in {path}")
+    value = F.nullif(F.col(key), F.array().cast(kind)) if kind.startswith("array") else F.col(key)
+    return df.withColumn(key, F.coalesce(value, F.raise_error(F.lit(f"Missing key {key} in {path}")).cast(kind)))
+
+
+def curve(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(i, y, x): the points [y, x] below ``key`` of a JSON document; a missing or empty key is an error."""
+    rows = required(spark.read.schema(f"{key} array<array<double>>").option("multiLine", "true").json(path), key, path)
+    return rows.select(F.posexplode(key).alias("i", "p")).select("i", F.col("p")[0].alias("y"), F.col("p")[1].alias("x"))
+
+
 def text_lines(spans: DataFrame) -> DataFrame:
     """Spans joined by blanks to lines, without empty ones, with the box around all spans."""
     order = F.sort_array(F.collect_list(F.struct("span_no", "text")))
