@@ -6,7 +6,8 @@ one.  Every run that several documents share, whatever the length of its lines,
 one pair for each later document: that document and the first one with the run.  So a run
 costs as many pairs as it has copies, however frequent it is, and each line of a repeated
 block is in a run whose first holder is paired.  (Lines retrieved singly would pair a
-document with holders that have its lines apart.)
+document with holders that have its lines apart.)  Lines without a word take no part in runs and
+alignment; those between two deleted lines go with them.
 
 A pair is aligned by patience diff on line hashes: lines that occur once in either document
 are matched in the longest common order, matches grow over equal neighbours, and what lies
@@ -126,8 +127,11 @@ def repeated_lines(left, right, words, least: int = BLOCK_WORDS) -> list[int]:
 def _aligned(batches):
     for batch in batches:
         cut = []
-        for left, right, words in zip(*(batch.column(c) for c in ("first_lines", "lines", "words"))):
-            cut.append(repeated_lines(left.values.to_pylist(), right.values.to_pylist(), words.values.to_pylist()))
+        for left, right, words, at in zip(*(batch.column(c) for c in ("first_lines", "lines", "words", "at"))):
+            at = at.values.to_pylist()
+            found = repeated_lines(left.values.to_pylist(), right.values.to_pylist(), words.values.to_pylist())
+            # from the lines with words to all, with those without between two that go
+            cut.append([p for k, j in enumerate(found) for p in (range(at[j], at[j + 1]) if found[k + 1 : k + 2] == [j + 1] else [at[j]])])
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("hash"), pa.array(cut, pa.list_(pa.int32()))], ["doc", "hash", "cut"])
 
 
@@ -155,7 +159,8 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc", F.xxhash64("text").alias("hash"), _lines(F.col("text")).alias("line"))
     trimmed = F.transform("line", lambda x: F.trim(x))
-    rows = rows.select("doc", "hash", F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"), F.transform(trimmed, lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("words"))
+    told = F.transform(trimmed, lambda x, i: F.struct(F.xxhash64(x).alias("line"), F.regexp_count(x, F.lit(r"\S+")).alias("words"), i.alias("at")))
+    rows = rows.select("doc", "hash", F.filter(told, lambda t: t["words"] > 0).alias("told")).select("doc", "hash", F.col("told.line").alias("lines"), F.col("told.words").alias("words"), F.col("told.at").alias("at"))
     rows = written(rows.distinct(), "lines")
     bounded_batches(docs.sparkSession)
     uses = written(rows.mapInArrow(_run_uses, "doc long, hash long, run long"), "uses")
@@ -164,7 +169,7 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
     pairs = uses.join(written(first.select("run", "first"), "first").hint("merge"), "run").select("doc", "hash", F.col("first.doc").alias("first_doc"), F.col("first.hash").alias("first_hash"))
     pairs = pairs.where("doc <> first_doc or hash <> first_hash").distinct()
     pairs = pairs.join(rows.select(F.col("doc").alias("first_doc"), F.col("hash").alias("first_hash"), F.col("lines").alias("first_lines")), ["first_doc", "first_hash"])
-    pairs = pairs.join(rows, ["doc", "hash"]).select("doc", "hash", "first_lines", "lines", "words")
+    pairs = pairs.join(rows, ["doc", "hash"]).select("doc", "hash", "first_lines", "lines", "words", "at")
     cuts = pairs.mapInArrow(_aligned, "doc long, hash long, cut array<int>")
     cuts = cuts.select("doc", "hash", F.explode("cut").alias("at")).distinct()
     return cuts.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("at")).alias("cut"))

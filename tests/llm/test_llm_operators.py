@@ -621,3 +621,22 @@ def test_quality_of_repeats_and_long_texts(spark):
     long = [(1, rows[1][1] * 3000, 5), (2, "bad!!! " + "q" * 200_000, 5), (3, rows[1][1], 5), (3, rows[1][1], 5)]
     out = quality.score_quality(spark.createDataFrame(long, "doc_id long, text string, tail_of int"), model).collect()
     assert len(out) == 4 and out[0].tail > 0.5 > out[1].tail and out[2] == out[3]
+
+
+# -- line dedup: blank lines, repeats, long texts -----------------------------------------------
+
+
+def test_blocks_with_other_blank_lines(spark):
+    block = [f"line {k} of a shared block" for k in range(4)]
+    texts = ["\n".join(["head one", *block, "tail one"]), "head two\n" + "\n\n \t\n".join(block) + "\n\ntail two", "\n".join(["own text", "", "with blank lines", "", "and no copy"])]
+    long = "\n".join(f"unique line number {k} with many words in it" for k in range(30_000))
+    rows = list(enumerate(texts)) + [(7, long), (8, "extra\n" + long), (1, texts[1]), (9, ""), (10, None), (11, "\n\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("hash", "cut", "at", "words", "told")})
+    out = defaultdict(list)
+    for r in line_dedup.without_repeated_lines(df).collect():
+        out[r.doc_id].append((r.text, r.removed))
+        assert (r.hash, r.cut, r.at, r.words, r.told) == ("hash", "cut", "at", "words", "told")
+    assert out[0] == [(texts[0], [])] and out[2] == [(texts[2], [])] and out[7] == [(long, [])]
+    assert out[1] == [("head two\n\ntail two", list(range(1, 11)))] * 2
+    assert out[8] == [("extra", list(range(1, 30_001)))]
+    assert out[9] == [("", [])] and out[10] == [(None, [])] and out[11] == [("\n\n\n", [])]
