@@ -168,15 +168,15 @@ def shortest_distances(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def main_path(edges: DataFrame) -> DataFrame:
     """The path between far ends of each page's graph, by two sweeps from the least node.
 
-    Of nodes equally far the smaller one counts.
+    Of nodes equally far (to nine places) the smaller one counts.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         near = _neighbours(pdf["a"], pdf["b"], pdf["cost"])
         best, _ = _distances(min(near), near)
-        one = min(best, key=lambda v: (-best[v], v))
+        one = min(best, key=lambda v: (-round(best[v], 9), v))
         best, before = _distances(one, near)
-        end = min(best, key=lambda v: (-best[v], v))
+        end = min(best, key=lambda v: (-round(best[v], 9), v))
         walk = [end]
         while walk[-1] != one:
             walk.append(before[walk[-1]])
@@ -385,39 +385,49 @@ def start_and_end(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("n", n).withColumn("role", F.when(F.col("n") == 2, F.when(order == 1, "start").otherwise("end"))).drop("n")
 
 
-def grid_paths(costs: DataFrame, ends: DataFrame) -> DataFrame:
-    """Cheapest ways over pixels (page, y, x, cost) between ends (page, ay, ax, by, bx), in eight directions.
+#: The length of a diagonal step on a grid of costs; a fixed value.
+DIAGONAL = 1.4142
 
-    A step costs its length by the mean of the two pixels' costs.  (page, i, y, x, distance)
+
+def grid_paths(costs: DataFrame, ends: DataFrame, guided: bool = True) -> DataFrame:
+    """Ways over pixels (page, y, x, cost) between ends (page, ay, ax, by, bx), in eight directions.  (page, i, y, x, distance)
+
+    A step costs its length by the cost of the pixel it enters, in single precision.  ``guided`` searches by A*
+    with the straight distance to the goal, which finds the cheapest way only where no pixel costs less than 1, as
+    drawings are traced; without it the way is the cheapest.  Pixels that are not given cannot be entered.
     """
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cost = dict(zip(zip(left["y"], left["x"]), left["cost"]))
+        cost = dict(zip(zip(left["y"].tolist(), left["x"].tolist()), left["cost"].tolist()))
+        ring = [(-1, 0, 1.0), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0)] + [(a, b, DIAGONAL) for a in (-1, 1) for b in (-1, 1)]
         rows = []
         for e in right.itertuples(index=False):
-            start, goal = (e.ay, e.ax), (e.by, e.bx)
-            best, before, heap, done = {start: 0.0}, {}, [(0.0, start)], set()
+            start, goal = (int(e.ay), int(e.ax)), (int(e.by), int(e.bx))
+            if start not in cost or goal not in cost:
+                continue
+            ahead = (lambda p: ((p[0] - goal[0]) ** 2 + (p[1] - goal[1]) ** 2) ** 0.5) if guided else (lambda p: 0.0)  # noqa: B023
+            best, before, heap, done = {start: 0.0}, {}, [(ahead(start), start)], set()
             while heap:
-                d, v = heapq.heappop(heap)
+                _, v = heapq.heappop(heap)
                 if v in done:
                     continue
                 done.add(v)
                 if v == goal:
                     break
-                for dy in (-1, 0, 1):
-                    for dx in (-1, 0, 1):
-                        q = (v[0] + dy, v[1] + dx)
-                        if q in cost and q != v and d + (step := (dy * dy + dx * dx) ** 0.5 * (cost[v] + cost[q]) / 2) < best.get(q, np.inf):
-                            best[q], before[q] = d + step, v
-                            heapq.heappush(heap, (best[q], q))
-            if goal in best:
+                for dy, dx, length in ring:
+                    q = (v[0] + dy, v[1] + dx)
+                    if q in cost and q not in done and (d := best[v] + cost[q] * length) < best.get(q, np.inf):
+                        best[q], before[q] = float(np.float32(d)), v
+                        heapq.heappush(heap, (d + ahead(q), q))
+            if goal in done:
                 way = [goal]
                 while way[-1] != start:
                     way.append(before[way[-1]])
                 rows += [(key[0], i, y, x, best[y, x]) for i, (y, x) in enumerate(way[::-1])]
         return pd.DataFrame(rows, columns=["page", "i", "y", "x", "distance"])
 
-    return costs.groupBy("page").cogroup(ends.select(F.col("page").cast("int").alias("page"), "ay", "ax", "by", "bx").groupBy("page")).applyInPandas(run, "page int, i int, y int, x int, distance double")
+    slim = costs.select(F.col("page").cast("int").alias("page"), "y", "x", F.col("cost").cast("double").alias("cost"))
+    return slim.groupBy("page").cogroup(ends.select(F.col("page").cast("int").alias("page"), "ay", "ax", "by", "bx").groupBy("page")).applyInPandas(run, "page int, i int, y int, x int, distance double")
 
 
 def branches_pruned(edges: DataFrame, least: int) -> DataFrame:

@@ -375,3 +375,81 @@ def endcaps_clipped(skeleton: DataFrame, clip: float, tile: int = TILE) -> DataF
     top = size.groupBy("page").agg(F.min(F.struct(-F.col("n"), "component")).alias("t")).select("page", F.col("t.component").alias("component"))
     clipped = parts.join(top, ["page", "component"], "left_semi").select(*PLACE)
     return clipped.unionByName(p.join(enough, "page", "left_anti").select(*PLACE))
+
+
+def nearest_pixels(pixels: DataFrame, points: DataFrame) -> DataFrame:
+    """(page, y, x): the pixel of its page nearest to each page's point (page, py, px); of equals the first by (y, x)."""
+    d = (F.col("y") - F.col("py")) ** 2 + (F.col("x") - F.col("px")) ** 2
+    near = _slim(pixels).join(points.select("page", "py", "px"), "page")
+    return near.groupBy("page").agg(F.min(F.struct(d.alias("d"), "y", "x")).alias("p")).select("page", "p.y", "p.x")
+
+
+def ways(pixels: DataFrame, starts: DataFrame, goals: DataFrame, tile: int = TILE) -> DataFrame:
+    """(page, i, y, x, v): a shortest way over set pixels from each page's start to its goal, with the length so far.
+
+    Every pixel points to the neighbour it is reached from (the first by (y, x) of equal ones); the pixels that the
+    goal leads back to are gathered by doubling the pointers, so rounds follow the logarithm of the way.
+    Pages whose goal is out of reach have none.
+    """
+    field = checkpointed(geodesics(pixels, starts, tile).withColumn("v", F.round("v", 6)))
+    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(round((dy * dy + dx * dx) ** 0.5, 9)).alias("c")) for dy, dx in RING])
+    told = field.withColumn("o", F.explode(offsets)).select("page", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("y").alias("fy"), F.col("x").alias("fx"), (F.col("v") + F.col("o.c")).alias("w"))
+    from_ = told.join(field, PLACE).where(F.abs(F.col("w") - F.col("v")) < 1e-5).groupBy(*PLACE).agg(F.min(F.struct("fy", "fx")).alias("f"))
+    jump = checkpointed(from_.select(*PLACE, F.col("f.fy").alias("fy"), F.col("f.fx").alias("fx")))
+    found = checkpointed(_slim(goals).distinct().join(field, PLACE, "left_semi").select(*PLACE))
+    while True:
+        more = found.join(jump, PLACE).select("page", F.col("fy").alias("y"), F.col("fx").alias("x")).join(found, PLACE, "left_anti")
+        more = checkpointed(more.distinct())
+        if more.isEmpty():
+            break
+        found = checkpointed(found.unionByName(more))
+        twice = jump.select("page", F.col("y").alias("fy"), F.col("x").alias("fx"), F.col("fy").alias("gy"), F.col("fx").alias("gx"))
+        jump = checkpointed(jump.join(twice, ["page", "fy", "fx"]).select(*PLACE, F.col("gy").alias("fy"), F.col("gx").alias("fx")))
+    order = F.row_number().over(Window.partitionBy("page").orderBy("v", "y", "x")) - 1
+    return field.join(found, PLACE, "left_semi").select("page", order.cast("long").alias("i"), "y", "x", "v")
+
+
+#: How the ends of a centreline are chosen.
+FARTHEST, TOP_BOTTOM = "farthest-endpoints", "top-bottom"
+
+
+def centreline_ends(mask: DataFrame, skeleton: DataFrame, strategy: str = FARTHEST, tile: int = TILE) -> DataFrame:
+    """(page, role, y, x): the two ends, a and b, of a page's centreline on its skeleton.
+
+    Either the end pixels far apart, or the skeleton's pixels nearest to the middle of the mask's first and last row.
+    """
+    if strategy == FARTHEST:
+        return far_ends(skeleton, tile)
+    if strategy != TOP_BOTTOM:
+        raise ValueError(f"unknown strategy {strategy}")
+    m = _slim(mask).distinct()
+    rows = m.groupBy("page").agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
+    out = None
+    for role, row in (("a", "top"), ("b", "bottom")):
+        middle = m.join(rows, "page").where(F.col("y") == F.col(row)).groupBy("page").agg(F.first("y").cast("double").alias("py"), (0.5 * (F.min("x") + F.max("x"))).alias("px"))
+        found = nearest_pixels(skeleton, middle).withColumn("role", F.lit(role))
+        out = found if out is None else out.unionByName(found)
+    return out.select("page", "role", "y", "x")
+
+
+def centrelines(mask: DataFrame, clip: float = 0.0, strategy: str = FARTHEST, tile: int = TILE, size: tuple[int, int] | None = None) -> DataFrame:
+    """(page, i, y, x, v, distance): the centreline of each page's shape: the medial axis, its end caps clipped, and the shortest way between two ends.
+
+    ``v`` is the length so far, ``distance`` that to the shape's edge, by which ends can be trimmed.  Pages whose
+    ends cannot be chosen or do not hang together have none.
+    """
+    axis = checkpointed(medial_axis(mask, tile, size))
+    skeleton = checkpointed(endcaps_clipped(axis, clip, tile))
+    ends = checkpointed(centreline_ends(mask, skeleton, strategy, tile))
+    way = ways(skeleton, ends.where("role = 'a'"), ends.where("role = 'b'"), tile)
+    return way.join(axis.select(*PLACE, F.col("v").alias("distance")), PLACE, "left").select("page", "i", "y", "x", "v", "distance")
+
+
+def caps_trimmed(lines: DataFrame, factor: float, least: float = 0.0) -> DataFrame:
+    """Centrelines without the points closer along the way to either end than ``factor`` times the end's distance to the edge, at least ``least``."""
+    w = Window.partitionBy("page")
+    at = lambda c, f: F.max(F.when(F.col("i") == f, F.col(c))).over(w)
+    p = lines.withColumn("last", F.max("i").over(w)).withColumn("total", F.max("v").over(w))
+    head, tail = (F.greatest(F.lit(float(least)), factor * F.coalesce(at("distance", f), F.lit(0.0))) for f in (F.lit(0), F.col("last")))
+    p = p.withColumn("head", head).withColumn("tail", tail).where("v >= head and total - v >= tail")
+    return p.select("page", (F.row_number().over(w.orderBy("i")) - 1).cast("long").alias("i"), "y", "x", F.col("v") - F.min("v").over(w), "distance").toDF("page", "i", "y", "x", "v", "distance")

@@ -164,3 +164,16 @@ def snapped_centres(spark, sf) -> DataFrame:
     put = spatial.snapped(c.select(F.struct("path_id", "i").alias("point_id"), "page", "x", "y"), corridor(spark, sf), 3)
     near = put.select("point_id.path_id", "point_id.i", F.col("x").alias("sx"), F.col("y").alias("sy"))
     return c.join(near, ["path_id", "i"], "left").select("path_id", "i", "page", F.coalesce("sx", "x").alias("x"), F.coalesce("sy", "y").alias("y"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+
+
+@query(None)
+def centrelines(spark, sf):
+    """From the mask to its centreline in one call, ends far apart; held against a plain version in the tests."""
+    return rounded(tiles.centrelines(corridor(spark, sf), 3.0, tile=16))
+
+
+@query(None)
+def centrelines_top_bottom(spark, sf):
+    """The same between the middles of the first and the last row, with the end caps trimmed."""
+    lines = tiles.centrelines(corridor(spark, sf), 0.0, tiles.TOP_BOTTOM, 16)
+    return rounded(tiles.caps_trimmed(lines, 1.0))
