@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbflow.operators import boundary, isolines, raster, spatial, stats, tiles
+from kerbflow.operators import boundary, footpath, isolines, raster, spatial, stats, tiles
 from kerbflow.plans.queries import PX, px, query, rounded, table
 
 SIZE = (32, 32)
@@ -177,3 +177,21 @@ def centrelines_top_bottom(spark, sf):
     """The same between the middles of the first and the last row, with the end caps trimmed."""
     lines = tiles.centrelines(corridor(spark, sf), 0.0, tiles.TOP_BOTTOM, 16)
     return rounded(tiles.caps_trimmed(lines, 1.0))
+
+
+def pictures(spark, sf) -> DataFrame:
+    """Pages in grey, dark where the values are large, with some green and red."""
+    grey = (255 - F.floor(F.least(F.lit(255.0), F.abs("v") * 900))).cast("int")
+    tint = F.col("x") % 7
+    p = pl(spark, sf).withColumn("k", grey)
+    return p.select("page", "y", "x", F.when(tint == 3, 20).otherwise(F.col("k")).alias("r"), F.col("k").alias("g"), F.when(tint >= 5, 10).otherwise(F.col("k")).alias("b"))
+
+
+#: Settings for pages this small; the others are the defaults.
+SMALL = footpath.WidthSettings(max_probe=14.0, outside_grace=4.0, snap_radius=3)
+
+
+@query(None)
+def footpath_areas(spark, sf):
+    """From picture, mask and centreline to areas; held against a plain version in the tests."""
+    return rounded(footpath.path_areas(footpath.path_widths(centres(spark, sf), corridor(spark, sf), pictures(spark, sf), SIZE, SMALL), 0.05), 6)
