@@ -128,7 +128,13 @@ def test_pipeline(spark, duck):
         out[r.source] += n
         each[r.doc_id] += n
     assert all(each[i] <= 2 * n for i, n in size.items())
-    assert abs(sum(out.values()) - 1.5 * sum(by.values())) <= len(by)
+    # documents are mixed whole, so a source misses its target by half of the document at its cut at most
+    most = Counter()
+    for r in clean:
+        most[r.source] = max(most[r.source], size[r.doc_id])
+    assert abs(sum(out.values()) - 1.5 * sum(by.values())) <= sum(most.values()) / 2 + len(by)
+    texts = {r.doc_id: r.text for r in clean}
+    assert all(r.text == texts[r.doc_id] for r in mixed)
 
     got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     from kerbflow.llm.queries import tokenizer_path
