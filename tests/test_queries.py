@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from kerbflow.plans import drawings, more, pixels  # noqa: F401
+from kerbflow.plans import drawings, more, pixels, reached  # noqa: F401
 from kerbflow.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
