@@ -42,6 +42,11 @@ def sigma_classed(samples: DataFrame, key: str = KEY) -> DataFrame:
     return out.withColumn("class", G.sigma_class(F.coalesce("z", F.lit(1e9))))
 
 
+def measured(samples: DataFrame) -> DataFrame:
+    """Samples whose widths of 0 or less are none."""
+    return samples.withColumn("w", F.when(F.col("w") > 0, F.col("w")))
+
+
 def segments(samples: DataFrame, key: str = KEY) -> DataFrame:
     """(key, i, len, w): the segments between neighbours, with their mean width; null if either has none."""
     w = Window.partitionBy(key).orderBy("i")
@@ -50,7 +55,8 @@ def segments(samples: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def classed_segments(samples: DataFrame, key: str = KEY) -> DataFrame:
-    """Segments with the mean, sigma (at least 1e-6), least and most of all widths, and their class; without a width red."""
+    """Segments with the mean, sigma (at least 1e-6), least and most of all widths, and their class; without a width, or one of 0 or less, red."""
+    samples = measured(samples)
     by = samples.groupBy(key).agg(F.avg("w").alias("mu"), F.greatest(F.stddev_pop("w"), F.lit(1e-6)).alias("sigma"), F.min("w").alias("least"), F.max("w").alias("most"))
     out = segments(samples, key).join(by, key)
     return out.withColumn("class", G.sigma_class(F.coalesce(F.abs(F.col("w") - F.col("mu")) / F.col("sigma"), F.lit(1e9))))
@@ -106,7 +112,7 @@ def area_model_3(samples: DataFrame, span: int = 4, key: str = KEY) -> DataFrame
 
     Red segments take the 20th and 80th percentile of the ``span`` segments on either side.
     """
-    seg = segments(curves.interpolated(samples, "w", key).withColumn("w", F.col("w_filled")), key)
+    seg = segments(curves.interpolated(measured(samples), "w", key).withColumn("w", F.col("w_filled")), key)
     by = seg.groupBy(key).agg(F.avg("w").alias("mu"), F.greatest(F.stddev_pop("w"), F.lit(1e-6)).alias("sigma"), _percentile("w", 0.05).alias("least"), _percentile("w", 0.95).alias("most"))
     seg = seg.join(by, key).withColumn("class", G.sigma_class(F.abs(F.col("w") - F.col("mu")) / F.col("sigma")))
     frame = Window.partitionBy(key).orderBy("i").rowsBetween(-span, span)

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from kerbflow.operators import graph, tiles
+from kerbflow.operators import graph, stats, tiles
 from kerbflow.plans import more, pixels
 from kerbflow.plans import queries as plans
 from kerbflow.plans.queries import QUERIES
@@ -225,3 +225,11 @@ def test_centreline_queries(spark):
         assert [(y, x) for _, y, x, *_ in sorted(trimmed.get(page, []))] == want
     with pytest.raises(ValueError, match="unknown strategy"):
         tiles.centrelines(mask, 0.0, "other", 64)
+
+
+def test_area_models_drop_widths_of_nothing(spark):
+    rows = [(1, i, 2.0, w) for i, w in enumerate([4.0, 5.0, 0.0, 6.0, -3.0, 5.5, 4.5])]
+    none = [(1, i, n, w if w > 0 else None) for _, i, n, w in rows]
+    a, b = (spark.createDataFrame(r, "path_id int, i int, len double, w double") for r in (rows, none))
+    for model in (stats.area_model_1, stats.area_model_2, stats.area_model_3):
+        assert model(a).collect() == model(b).collect()
