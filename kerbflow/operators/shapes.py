@@ -26,6 +26,11 @@ def axis_ends(points: DataFrame, key: str) -> DataFrame:
     return ends.select(key, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("b_y"))
 
 
+def vertex_means(corners: DataFrame, key: str) -> DataFrame:
+    """(key, x0, y0, x1, y1, cx, cy): the box around each polygon's corners (key, x, y) and their mean."""
+    return corners.groupBy(key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+
+
 def dash_directions(corners: DataFrame, key: str) -> DataFrame:
     """The direction, 0 to 180 degrees, between the two points of each dash that are furthest apart."""
     a, b = corners.select(key, F.col("i").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay")), corners.select(key, F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("b_y"))

@@ -88,13 +88,13 @@ def exclusion_rects(spark, sf):
     return labels.exclusion_rects(d.where("x0 < 20"), regions, 2.0, 3, 90, 80)
 
 
-@query(f"WITH {DR} SELECT name AS label, fill AS color FROM dr WHERE drawing_id = (SELECT min(drawing_id) FROM dr WHERE upper(name) = (SELECT upper(name) FROM dr ORDER BY drawing_id LIMIT 1))")
+@query(f"WITH {DR} SELECT upper(name) AS label, fill AS color FROM dr WHERE drawing_id = (SELECT min(drawing_id) FROM dr WHERE upper(name) = (SELECT upper(name) FROM dr ORDER BY drawing_id LIMIT 1))")
 def target_color(spark, sf):
+    """Entries with blanks around their labels and in lower case; the label that is asked for is the first drawing's name."""
     d = dr(spark, sf)
-    entries = d.select(F.concat(F.lit("  "), F.lower("name")).alias("label"), F.lit("ok").alias("status"), F.col("fill").alias("color"), F.col("drawing_id").alias("entry_no"), "name")
-    wanted = d.orderBy("drawing_id").select("name").first()[0]
-    out = labels.target_color(entries.withColumn("label", F.col("name")), f" {wanted.lower()} ")
-    return out.select("label", "color")
+    entries = d.select(F.concat(F.lit("  "), F.lower("name"), F.lit(" ")).alias("label"), F.lit("ok").alias("status"), F.col("fill").alias("color"), F.col("drawing_id").alias("entry_no"))
+    wanted = d.agg(F.min_by("name", "drawing_id")).first()[0]
+    return labels.target_color(entries, f" {wanted.lower()} ").select(G.normal_label(F.col("label")).alias("label"), "color")
 
 
 PAIR = f"""{DR}, {WD}, pc AS (SELECT a.page, b.x0 - a.x0 AS gap, a.word_no AS left_no, b.word_no AS right_no, least(a.x0, b.x0) AS x0, least(a.y0, b.y0) AS y0, greatest(a.x1, b.x1) AS x1, greatest(a.y1, b.y1) AS y1, (a.y0 + b.y0) / 2 AS anchor_y, b.x1 AS ratio_x1

@@ -93,6 +93,11 @@ def arc_choice(spark, sf):
     return rounded(shapes.arc_sides(p.select("path_id", (F.col("i") % 2).cast("long").alias("arc"), "x", "y"), c), 6)
 
 
+@query(f"WITH {PT}, {FIVE} SELECT polygon_id, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x), 6) AS x1, round(max(y), 6) AS y1, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM five GROUP BY polygon_id")
+def vertex_means(spark, sf):
+    return rounded(shapes.vertex_means(five(spark, sf), "polygon_id"), 6)
+
+
 @query(f"""WITH {PT}, {WS}, m AS (SELECT path_id, quantile_cont(w, 0.5) AS med, stddev_pop(w) AS sd, count(w) AS n FROM ws GROUP BY path_id) SELECT path_id, i, round(CASE WHEN n < 4 OR w <= med + 2 * sd THEN w END, 6) AS w FROM ws JOIN m USING (path_id)""")
 def high_widths_rejected(spark, sf):
     return rounded(stats.without_high_widths(ws(spark, sf)).select("path_id", F.col("i").cast("long").alias("i"), "w"), 6)
