@@ -119,3 +119,26 @@ def path_areas(widths: DataFrame, m_per_px: float, key: str = "path_id") -> Data
     area: dict[str, Column] = {name: F.coalesce(F.sum(c), F.lit(0.0)) * m_per_px**2 for name, c in (("area_m2", "w"), ("area_min_m2", "lo"), ("area_max_m2", "hi"))}
     sums = p.groupBy(key).agg((F.coalesce(F.sum("len"), F.lit(0.0)) * m_per_px).alias("length_m"), *[c.alias(n) for n, c in area.items()], F.count("w").alias("pairs"))
     return sums.join(by, key).select(key, "length_m", *area, "w_median", "w_mean", "w_std", "pairs", "rescued", "rejected")
+
+
+def median_bars(widths: DataFrame, bars: int = 140, offsets: int = 10, key: str = "path_id") -> DataFrame:
+    """(key, i, med_pos, med_neg, width, class, n): bars for display, at most about ``bars`` a path.
+
+    At every ``n div bars``-th station the medians of either side over ``offsets`` stations spread evenly one stride to
+    both sides; those without a width do not count, bars without any are left out.  The class tells how
+    many deviations of the path's widths the bar is off their mean.
+    """
+    w = Window.partitionBy(key)
+    own = F.when(F.col("valid"), F.col("w"))
+    by = widths.groupBy(key).agg(F.count("*").alias("n"), F.avg(own).alias("mu"), F.stddev_pop(own).alias("sd"))
+    p = widths.select(key, "i", "d_pos", "d_neg", "valid", (F.row_number().over(w.orderBy("i")) - 1).alias("at"))
+    stride = F.greatest(F.lit(1), F.expr(f"cast(n div {bars} as int)"))
+    ticks = p.join(by.select(key, "n"), key).withColumn("stride", stride).where("at % stride = 0")
+    step = F.transform(F.sequence(F.lit(0), F.lit(offsets - 1)), lambda k: F.bround(-F.col("stride") + 2.0 * F.col("stride") * k / (offsets - 1)).cast("int"))
+    place = F.array_distinct(F.transform(step, lambda o: F.least(F.greatest(F.col("at") + o, F.lit(0)), F.col("n").cast("int") - 1)))
+    near = ticks.select(key, "i", F.explode(place).alias("at"))
+    told = near.join(p.where("valid and d_pos is not null and d_neg is not null").select(key, "at", "d_pos", "d_neg"), [key, "at"])
+    out = told.groupBy(key, "i").agg(F.expr("percentile(d_pos, 0.5)").alias("med_pos"), F.expr("percentile(d_neg, 0.5)").alias("med_neg"), F.count("*").alias("n"))
+    out = out.join(by.select(key, "mu", "sd"), key).withColumn("width", F.col("med_pos") + F.col("med_neg"))
+    z = F.when(F.col("sd") >= 1e-6, F.abs(F.col("width") - F.col("mu")) / F.col("sd")).otherwise(0.0)
+    return out.select(key, "i", "med_pos", "med_neg", "width", G.sigma_class(z).alias("class"), "n")

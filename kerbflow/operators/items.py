@@ -132,3 +132,10 @@ def closest_later(ends: DataFrame, top: int = LINKED) -> DataFrame:
     gap = F.least(*[G.distance(F.col(f"a_{p}x"), F.col(f"a_{p}y"), F.col(f"b_{q}x"), F.col(f"b_{q}y")) for p in "ab" for q in "ab"])
     best = pair.groupBy("page", "a_component").agg(F.min(F.struct(gap.alias("distance"), "b_rank", "b_component")).alias("best"))
     return best.select("page", F.col("a_component").alias("a"), F.col("best.b_component").alias("b"), F.col("best.distance").alias("distance"))
+
+
+def images_near(images: DataFrame, centres: DataFrame, reach: float = 50.0) -> DataFrame:
+    """(page, xref, x0, y0, x1, y1) of the embedded images (page, xref, rect) that meet the square around their page's centre (page, x, y)."""
+    boxes = images.select("page", "xref", *[F.col("rect")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
+    near = centres.select("page", (F.col("x") - reach).alias("x0"), (F.col("y") - reach).alias("y0"), (F.col("x") + reach).alias("x1"), (F.col("y") + reach).alias("y1"))
+    return spatial.within(boxes, near, 4 * reach)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
-from kerbflow.operators import boundary, entities, graph, items, labels, linking, quantities, raster, shapes, spatial, stats
+from kerbflow.operators import boundary, entities, footpath, graph, items, labels, linking, quantities, raster, shapes, spatial, stats
 from kerbflow.plans.more import WD, words
 from kerbflow.plans.pixels import ML, PL, SIZE, centres, corridor, ml, pl
 from kerbflow.plans.queries import DR, FIVE, HIT, MASK, PT, PX, RING, WS, dr, five, hit, pt, px, query, rounded, table, ws
@@ -277,3 +277,23 @@ def fragments(spark, sf):
 def ends_extended(spark, sf):
     """Held against a plain version in the tests."""
     return rounded(boundary.ends_extended(centres(spark, sf).where("i between 3 and 6"), corridor(spark, sf), 2), 6)
+
+
+# -- bars and images --------------------------------------------------------------------
+
+
+@query(f"""WITH {PT}, a AS (SELECT path_id, i, abs(x) / 2 AS d_pos, y / 3 AS d_neg, (i * 7 + path_id) % 6 > 0 AS valid FROM pt), n AS (SELECT path_id, count(*) AS n, greatest(1, count(*) // 20) AS stride, avg(d_pos + d_neg) FILTER (WHERE valid) AS mu, stddev_pop(d_pos + d_neg) FILTER (WHERE valid) AS sd FROM a GROUP BY path_id),
+t AS (SELECT DISTINCT path_id, i, least(greatest(i + round_even(-stride + 2.0::DOUBLE * stride * k / 9, 0)::INT, 0), n - 1) AS j FROM a JOIN n USING (path_id), range(0, 10) r(k) WHERE i % stride = 0),
+m AS (SELECT t.path_id, t.i, quantile_cont(a.d_pos, 0.5) AS p, quantile_cont(a.d_neg, 0.5) AS q, count(*) AS c FROM t JOIN a ON a.path_id = t.path_id AND a.i = t.j WHERE a.valid GROUP BY 1, 2)
+SELECT path_id, i, round(p, 6) AS med_pos, round(q, 6) AS med_neg, round(p + q, 6) AS width, CASE WHEN sd < 1e-6 OR abs(p + q - mu) / sd <= 1 THEN 'green' WHEN abs(p + q - mu) / sd <= 2 THEN 'yellow' ELSE 'red' END AS class, c AS n FROM m JOIN n USING (path_id)""")
+def width_bars(spark, sf):
+    p = pt(spark, sf).select("path_id", F.col("i").cast("long").alias("i"), (F.abs("x") / 2).alias("d_pos"), (F.col("y") / 3).alias("d_neg"), ((F.col("i") * 7 + F.col("path_id")) % 6 > 0).alias("valid"))
+    return rounded(footpath.median_bars(p.withColumn("w", F.col("d_pos") + F.col("d_neg")), 20), 6)
+
+
+@query(f"WITH {DR} SELECT page, drawing_id AS xref FROM dr WHERE x1 >= 24 - page % 7 AND x0 <= 36 - page % 7 AND y1 >= 16 AND y0 <= 28")
+def images_near(spark, sf):
+    """Boxes as embedded images, around a centre a page."""
+    d = dr(spark, sf)
+    centres = d.select("page").distinct().select("page", (30.0 - F.col("page") % 7).alias("x"), F.lit(22.0).alias("y"))
+    return items.images_near(d.select("page", F.col("drawing_id").alias("xref"), F.array("x0", "y0", "x1", "y1").alias("rect")), centres, 6.0).select("page", "xref")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ WORDS = "page int, word_no int, x0 double, y0 double, x1 double, y1 double, text
 SPANS = "page int, line_no int, span_no int, text string, bbox array<double>"
 CALIBRATION = "calibration struct<meters_per_point: double, meters_per_pixel: double, pixels_per_point: double, source_file: string, method: string>"
 GRAPH = "seeds array<struct<id: int, x: int, y: int, degree: int, active: boolean>>, edges array<struct<a: int, b: int, dist: double, outside_ratio: double>>, start_end array<int>, endpoint_ids array<int>"
-FIELDS = {"vectors": VECTORS, "drawings": DRAWINGS, "words": WORDS, "spans": SPANS, "calibration": CALIBRATION, "graph": GRAPH}
+IMAGES = "page int, xref int, rect array<double>"
+FIELDS = {"images": IMAGES, "vectors": VECTORS, "drawings": DRAWINGS, "words": WORDS, "spans": SPANS, "calibration": CALIBRATION, "graph": GRAPH}
 
 
 def read(spark: SparkSession, path: str, kind: str, form: str = "json") -> DataFrame:
@@ -99,3 +101,33 @@ def graph_ends(graph: DataFrame) -> DataFrame:
 def write(df: DataFrame, path: str, form: str = "parquet", by_page: bool = False) -> None:
     writer = df.write.mode("overwrite").format(form)
     (writer.partitionBy("page") if by_page else writer).save(path)
+
+
+def write_run(folder: str, form: str = "parquet", **tables: DataFrame) -> None:
+    """The tables of a run, each below the folder under its name."""
+    for name, df in tables.items():
+        write(df, f"{folder.rstrip('/')}/{name}", form)
+
+
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    """(summary, metrics, error): the JSON texts of a run's ``run_summary.json`` and ``metrics.json``, with forward slashes.
+
+    Without a summary the error is ``none`` and nothing else is given; without metrics they are null.
+    """
+    found = []
+    for name in ("run_summary.json", "metrics.json"):
+        try:
+            found.append(spark.read.text(f"{folder.rstrip('/')}/{name}", wholetext=True))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found.append(None)
+    summary, metrics = found
+    if summary is None:
+        return spark.range(1).select(F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("metrics"), F.lit("none").alias("error"))
+    # a backslash is written twice in JSON
+    text = F.replace("value", F.lit("\\\\"), F.lit("/"))
+    rows = summary.select(F.lit("summary").alias("name"), text.alias("text"))
+    if metrics is not None:
+        rows = rows.unionByName(metrics.select(F.lit("metrics").alias("name"), text.alias("text")))
+    return rows.agg(*[F.max(F.when(F.col("name") == n, F.col("text"))).alias(n) for n in ("summary", "metrics")], F.lit(None).cast("string").alias("error"))

@@ -210,3 +210,17 @@ def test_drawn_pixels(spark):
     inside = {(y, x) for y in range(1, 4) for x in range(1, 6)}
     stroke = {(y, x) for y in range(18, 23) for x in range(-2, 9) if math.hypot(y - 20, max(0, -x, x - 6)) <= 2}
     assert got == inside | {(8, x) for x in (8, 9, 10)} | stroke
+
+
+def test_results(spark, tmp_path):
+    assert tuple(tables.results(spark, str(tmp_path)).first()) == (None, None, "none")
+    (tmp_path / "run_summary.json").write_text(json.dumps({"mask": "out\\masks\\a.png", "n": 2}, indent=1))
+    first = tables.results(spark, str(tmp_path)).first()
+    assert json.loads(first.summary) == {"mask": "out/masks/a.png", "n": 2} and first.metrics is None and first.error is None
+    (tmp_path / "metrics.json").write_text(json.dumps({"area": 1.5}))
+    assert json.loads(tables.results(spark, str(tmp_path)).first().metrics) == {"area": 1.5}
+
+
+def test_write_run(spark, tmp_path):
+    tables.write_run(str(tmp_path), links=spark.range(3), summary=spark.range(1))
+    assert spark.read.parquet(str(tmp_path / "links")).count() == 3 and spark.read.parquet(str(tmp_path / "summary")).count() == 1
