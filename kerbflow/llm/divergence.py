@@ -26,7 +26,7 @@ MIN_DOCS = 30
 PRIOR, SCALE = 5, 1_000_000_000
 #: Terms reported for a source.
 TOP_TERMS = 50
-SLICE = 16 << 20
+SLICE = 8 << 20
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 #: Letters (A-Z as a-z) and all bytes of other characters stay, the rest parts terms.
