@@ -62,6 +62,9 @@ class SortedLists:
             if fresh_score.dtype == object:
                 fresh_score = np.minimum(np.maximum(fresh_score, -LARGEST - 1), LARGEST)
             ids, score = np.concatenate([best_id, self.ids[rows]]), np.concatenate([best, fresh_score.astype(np.int64)])
+            if len(score) > k and not self.repeats:
+                able = score >= np.partition(score, len(score) - k)[len(score) - k]
+                ids, score = ids[able], score[able]
             keep = np.lexsort((ids, ~score))  # the negative of the least long is no long
             if self.repeats:  # of rows that share an id the best counts
                 keep = keep[np.sort(np.unique(ids[keep], return_index=True)[1])]
