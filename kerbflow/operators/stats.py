@@ -54,16 +54,19 @@ def segments(samples: DataFrame, key: str = KEY) -> DataFrame:
     return out.where("next is not null").drop("next")
 
 
-def classed_segments(samples: DataFrame, key: str = KEY) -> DataFrame:
-    """Segments with the mean, sigma (at least 1e-6), least and most of all widths, and their class; without a width, or one of 0 or less, red."""
-    samples = measured(samples)
+def classed_segments(samples: DataFrame, key: str = KEY, positive: bool = True) -> DataFrame:
+    """Segments with the mean, sigma (at least 1e-6), least and most of all widths, and their class; without a width red.
+
+    A width of 0 or less is none, unless ``positive`` is off.
+    """
+    samples = measured(samples) if positive else samples
     by = samples.groupBy(key).agg(F.avg("w").alias("mu"), F.greatest(F.stddev_pop("w"), F.lit(1e-6)).alias("sigma"), F.min("w").alias("least"), F.max("w").alias("most"))
     out = segments(samples, key).join(by, key)
     return out.withColumn("class", G.sigma_class(F.coalesce(F.abs(F.col("w") - F.col("mu")) / F.col("sigma"), F.lit(1e9))))
 
 
-def class_counts(samples: DataFrame, key: str = KEY) -> DataFrame:
-    return classed_segments(samples, key).groupBy("class").agg(F.count("*").alias("n"))
+def class_counts(samples: DataFrame, key: str = KEY, positive: bool = True) -> DataFrame:
+    return classed_segments(samples, key, positive).groupBy("class").agg(F.count("*").alias("n"))
 
 
 def _band(class_from: dict, side: Column) -> tuple[Column, Column]:
@@ -78,14 +81,14 @@ def _band(class_from: dict, side: Column) -> tuple[Column, Column]:
     return low, high
 
 
-def area_model_1(samples: DataFrame, key: str = KEY) -> DataFrame:
+def area_model_1(samples: DataFrame, key: str = KEY, positive: bool = True) -> DataFrame:
     """Nominal, low and high area by the band of each segment's class, on the side of the mean where its width lies.
 
     Green reaches one sigma either way, yellow from one to two, red from two to the least or most
     width; the nominal width is kept in its band.  A segment without a width counts the mean,
     and anything from the least to the most.
     """
-    seg = classed_segments(samples, key)
+    seg = classed_segments(samples, key, positive)
     side = F.col("w") >= F.col("mu")
     low, high = _band({"green": (-1, 1), "yellow": (1, 2)}, side)
     red, known = F.col("class") == "red", F.col("w").isNotNull()
@@ -96,9 +99,9 @@ def area_model_1(samples: DataFrame, key: str = KEY) -> DataFrame:
     return seg.groupBy(key).agg(area("nom").alias("nominal"), area("lo").alias("low"), area("hi").alias("high"))
 
 
-def area_model_2(samples: DataFrame, key: str = KEY) -> DataFrame:
+def area_model_2(samples: DataFrame, key: str = KEY, positive: bool = True) -> DataFrame:
     """The mean width along the whole length, its low and high by class (one sigma, two, all), and what each class takes off or adds."""
-    seg = classed_segments(samples, key)
+    seg = classed_segments(samples, key, positive)
     low, high = _band({"green": (-1, 1), "yellow": (-2, 2)}, F.lit(True))
     seg = seg.withColumn("lo", low).withColumn("hi", high)
     area = lambda v: F.coalesce(F.sum(F.col("len") * v), F.lit(0.0))
@@ -107,12 +110,13 @@ def area_model_2(samples: DataFrame, key: str = KEY) -> DataFrame:
     return seg.groupBy(key).agg(area(F.col("mu")).alias("baseline"), area(F.col("lo")).alias("low"), area(F.col("hi")).alias("high"), *by_class)
 
 
-def area_model_3(samples: DataFrame, span: int = 4, key: str = KEY) -> DataFrame:
+def area_model_3(samples: DataFrame, span: int = 4, key: str = KEY, positive: bool = True) -> DataFrame:
     """The mean of the interpolated widths, with bands drawn in to the 5th and 95th percentile.
 
     Red segments take the 20th and 80th percentile of the ``span`` segments on either side.
     """
-    seg = segments(curves.interpolated(measured(samples), "w", key).withColumn("w", F.col("w_filled")), key)
+    samples = measured(samples) if positive else samples
+    seg = segments(curves.interpolated(samples, "w", key).withColumn("w", F.col("w_filled")), key)
     by = seg.groupBy(key).agg(F.avg("w").alias("mu"), F.greatest(F.stddev_pop("w"), F.lit(1e-6)).alias("sigma"), _percentile("w", 0.05).alias("least"), _percentile("w", 0.95).alias("most"))
     seg = seg.join(by, key).withColumn("class", G.sigma_class(F.abs(F.col("w") - F.col("mu")) / F.col("sigma")))
     frame = Window.partitionBy(key).orderBy("i").rowsBetween(-span, span)
