@@ -7,8 +7,12 @@ Percentiles are exact and linear between neighbours.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from kerbflow.functions import geometry as G
 from kerbflow.operators import curves
@@ -161,7 +165,20 @@ def sigma_envelope(classed: DataFrame, key: str = KEY) -> DataFrame:
 def half_width(samples: DataFrame, percent: float, most: int, key: str = KEY) -> DataFrame:
     """A percentile (5 to 95) of the widths, rounded, from 2 to ``most``."""
     p = min(max(percent, 5.0), 95.0) / 100
-    return samples.groupBy(key).agg(F.greatest(F.lit(2), F.least(F.lit(most), F.bround(_percentile("w", p)).cast("int"))).alias("half_width"))
+    w = Window.partitionBy(key)
+    at = F.lit(p) * (F.count("w").over(w) - 1)
+    ranked = samples.select(key, "w", at.alias("at"), (F.row_number().over(w.orderBy(F.col("w").asc_nulls_last())) - 1).alias("rank"))
+    value = lambda place: F.max(F.when(F.col("rank") == place(F.col("at")), F.col("w")))
+    ends = ranked.groupBy(key).agg(value(F.floor).alias("low"), value(F.ceil).alias("high"), F.max(F.col("at") - F.floor("at")).alias("share"))
+    middle = _weighed(F.col("low"), F.col("high"), F.col("share"))
+    return ends.select(key, F.greatest(F.lit(2), F.least(F.lit(most), F.bround(middle).cast("int"))).alias("half_width"))
+
+
+@F.pandas_udf(DoubleType())
+def _weighed(low: pd.Series, high: pd.Series, share: pd.Series) -> pd.Series:
+    """The share's place between two values, the lower one's part added before it is rounded: halves are then told as the SQL tells them."""
+    put = lambda a, b, s: None if a is None or a != a else float(Fraction(1 - s) * Fraction(a) + Fraction(s * b))
+    return pd.Series([put(*row) for row in zip(low, high, share)], dtype="float64")
 
 
 def without_high_widths(samples: DataFrame, key: str = KEY) -> DataFrame:
