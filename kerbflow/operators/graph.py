@@ -28,6 +28,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a task where each becomes many, and where they are only joined or summed.
+FEW, MANY = 20_000, 400_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = FEW, n: int | None = None) -> DataFrame:
+    """``df``, of ``n`` rows (else counted), dealt out by ``keys`` so that a task's share stays the same however large it is."""
+    n = df.count() if n is None else n
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-n // rows)), *keys)
+
+
 def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
     """(node, component) of the nodes of ``links`` (a, b): the least node that they reach.
 
@@ -37,11 +48,12 @@ def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
     nodes do not occur in ``links`` and so not in the result; self links and repeats are harmless.
     """
     edge = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    state, rows = None, edge.count()
     while True:
-        both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = spread(edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v"))), "u", rows=MANY, n=2 * rows)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = spread(star, "u", rows=MANY, n=rows).distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         hop = star.join(low, "u")
         edge = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hop.select("u", F.col("m").alias("v"))).distinct()
@@ -49,7 +61,7 @@ def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
         now = tuple(edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        state, rows = now, now[0]
     tops = edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 
@@ -61,9 +73,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, degree), 0 for isolated nodes."""
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    return nodes.select("node").distinct().join(ends, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+    """(node, degree), 0 for isolated nodes, by one sum instead of a join."""
+    row = lambda n, own: [F.lit(n).cast("long").alias("n"), F.lit(own).alias("own")]
+    ends = edges.select(F.col("a").alias("node"), *row(1, False)).union(edges.select("b", *row(1, False)))
+    every = spread(nodes.select("node", *row(0, True)).union(ends), "node", rows=MANY, n=4 * edges.count())
+    return every.groupBy("node").agg(F.sum("n").alias("degree"), F.max("own").alias("own")).where("own").drop("own")
 
 
 def largest_component(labels: DataFrame) -> DataFrame:
