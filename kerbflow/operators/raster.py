@@ -112,7 +112,8 @@ def clear_rects(mask: DataFrame, rects: DataFrame) -> DataFrame:
 
 def first_drawn(drawings: DataFrame) -> DataFrame:
     """The least drawing_id over each pixel of the drawings' boxes (page, x0..y1 in pixels)."""
-    rows = drawings.withColumn("y", F.explode(F.sequence(F.col("y0").cast("int"), F.col("y1").cast("int"))))
+    slim = graph.spread(drawings.select("page", "drawing_id", "x0", "y0", "x1", "y1"))
+    rows = slim.withColumn("y", F.explode(F.sequence(F.col("y0").cast("int"), F.col("y1").cast("int"))))
     rows = rows.withColumn("x", F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))))
     return rows.groupBy(*PLACE).agg(F.min("drawing_id").alias("first_id"))
 
