@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
-from kerbflow.operators.graph import checkpointed
+from kerbflow.operators.graph import MANY, checkpointed, spread
 
 #: Places that a smallest cell of the search may hold, and the levels of cells at most.
 LEAF, DEEPEST = 64, 16
@@ -30,8 +30,8 @@ def _boxes(df: DataFrame, p: str) -> DataFrame:
 
 def overlap_pairs(left: DataFrame, right: DataFrame, cell: float, gap: float = 0.0, on: str = "page") -> DataFrame:
     """Pairs of boxes of one page that meet once widened by ``gap``; columns prefixed a_ and b_."""
-    a = _cells(_boxes(left, "a_"), "a_", cell, gap / 2)
-    b = _cells(_boxes(right, "b_"), "b_", cell, gap / 2)
+    a = _cells(spread(_boxes(left, "a_")), "a_", cell, gap / 2)
+    b = _cells(spread(_boxes(right, "b_")), "b_", cell, gap / 2)
     b = b.withColumnRenamed("gx", "hx").withColumnRenamed("gy", "hy")
     same = (F.col(f"a_{on}") == F.col(f"b_{on}")) & (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy"))
     corner = lambda c: F.floor(F.greatest(F.col(f"a_{c}0") - gap / 2, F.col(f"b_{c}0") - gap / 2) / cell)
@@ -72,7 +72,7 @@ def nearest(places: DataFrame, targets: DataFrame, on: str = "page") -> DataFram
     """
     spots = targets.groupBy(on, F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("id").alias("id"))
     frame = spots.groupBy(on).agg(F.min("tx").alias("left"), F.min("ty").alias("top"), F.greatest(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty"), F.lit(1e-9)).alias("side"))
-    spots = spots.join(frame, on)
+    spots = spread(spots.join(frame, on), on, "tx", "ty")
     at = lambda c, low, parts: F.least(F.floor((F.col(c) - F.col(low)) / F.col("side") * parts), F.lit(parts) - 1).cast("long")
     parts = F.pow(F.lit(2.0), F.col("level"))
     cells = spots.select("*", F.explode(F.sequence(F.lit(1), F.lit(DEEPEST))).alias("level")).groupBy(on, "level", at("tx", "left", parts).alias("ix"), at("ty", "top", parts).alias("iy")).agg(F.count("*").alias("n"))
@@ -82,7 +82,8 @@ def nearest(places: DataFrame, targets: DataFrame, on: str = "page") -> DataFram
 
     halves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
     put = lambda df, ix, iy: df.withColumn("h", F.explode(halves)).withColumn("ix", ix).withColumn("iy", iy).drop("h")
-    tried = put(places.select(on, "x", "y").distinct().join(frame, on), F.col("h.a").cast("long"), F.col("h.b").cast("long"))
+    asked = checkpointed(places.select(on, "x", "y").distinct().join(frame, on))
+    tried = put(spread(asked, on, "x", "y", rows=MANY), F.col("h.a").cast("long"), F.col("h.b").cast("long"))
     mine = Window.partitionBy(on, "x", "y")
     for level in range(1, depth + 1):
         if level > 1:
@@ -95,9 +96,11 @@ def nearest(places: DataFrame, targets: DataFrame, on: str = "page") -> DataFram
         tried = tried.join(held, [on, "ix", "iy"]).withColumn("near", near).withColumn("bound", F.min(far).over(mine))
         # the slack covers rounded cell edges
         tried = tried.where(F.col("near") <= F.col("bound") + 1e-6 * F.col("side")).drop("near", "bound")
-    leaf = spots.select(on, at("tx", "left", float(1 << depth)).alias("ix"), at("ty", "top", float(1 << depth)).alias("iy"), "tx", "ty", "id")
-    gap = G.distance(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"))
-    best = tried.select(on, "x", "y", "ix", "iy").join(leaf, [on, "ix", "iy"]).groupBy(on, "x", "y").agg(F.min(F.struct(gap.alias("distance"), "id")).alias("best"))
+    # a smallest cell's places in one row, so that no row is made for each pair
+    leaf = spots.groupBy(on, at("tx", "left", float(1 << depth)).alias("ix"), at("ty", "top", float(1 << depth)).alias("iy")).agg(F.collect_list(F.struct("tx", "ty", "id")).alias("held"))
+    gap = lambda s: F.struct(G.distance(F.col("x"), F.col("y"), s["tx"], s["ty"]).alias("distance"), s["id"].alias("id"))
+    best = tried.select(on, "x", "y", "ix", "iy").join(leaf, [on, "ix", "iy"]).select(on, "x", "y", F.array_min(F.transform("held", gap)).alias("best"))
+    best = best.groupBy(on, "x", "y").agg(F.min("best").alias("best"))
     return best.select(on, "x", "y", "best.id", "best.distance")
 
 
