@@ -48,12 +48,11 @@ def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
     nodes do not occur in ``links`` and so not in the result; self links and repeats are harmless.
     """
     edge = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state, rows = None, edge.count()
+    state = None
     while True:
-        both = spread(edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v"))), "u", rows=MANY, n=2 * rows)
+        both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = spread(star, "u", rows=MANY, n=rows).distinct()
+        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         hop = star.join(low, "u")
         edge = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hop.select("u", F.col("m").alias("v"))).distinct()
@@ -61,7 +60,7 @@ def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
         now = tuple(edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state, rows = now, now[0]
+        state = now
     tops = edge.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
 
