@@ -28,8 +28,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of a task where each becomes many, and where they are only joined or summed.
-FEW, MANY = 20_000, 400_000
+#: Rows of a task where each becomes many, and where they are only joined or summed; pixels of a task.
+FEW, MANY, PIXELS = 20_000, 400_000, 1 << 19
 
 
 def spread(df: DataFrame, *keys: str, rows: int = FEW, n: int | None = None) -> DataFrame:
@@ -39,6 +39,16 @@ def spread(df: DataFrame, *keys: str, rows: int = FEW, n: int | None = None) ->
     return df.repartition(max(least, -(-n // rows)), *keys)
 
 
+def dealt(df: DataFrame, *keys: str, rows: int, n: int | None = None):
+    """``df`` grouped into shares of about ``rows`` rows, of ``n`` in all (else counted): rows of one key stay together, many keys make up a share.
+
+    For functions that work on many small groups at once; ``share`` is a further column, and each share a partition.
+    """
+    n = df.count() if n is None else n
+    shares = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows))
+    return df.withColumn("share", F.pmod(F.xxhash64(*keys), F.lit(shares)).cast("int")).repartitionById(shares, F.col("share")).groupBy("share")
+
+
 def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
     """(node, component) of the nodes of ``links`` (a, b): the least node that they reach.
 

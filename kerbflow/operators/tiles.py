@@ -3,6 +3,7 @@
 A tile's task holds its own pixels and those of a halo around it, so its memory follows the
 tile's size and not the page's.  ``until_stable`` runs the tiles round by round: a round reads what
 the rounds before left in the halo, and only tiles whose halo changed take part in the next.
+Pages whose box holds at most ``WHOLE`` pixels are not cut: many of them make up a task, which needs no rounds.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbflow.operators.graph import checkpointed, labelled, pixel_graph
+from kerbflow.operators.graph import PIXELS, checkpointed, dealt, labelled, pixel_graph
 
 PLACE = ["page", "y", "x"]
 #: Side of a tile, and rows of a band, in pixels.
 TILE = 256
 BAND = 64
+#: Pixels in the box of a page that is not cut into tiles, and of the pages that are worked on at once.
+WHOLE, CANVAS = 1 << 20, 1 << 20
 #: A distance where nothing limits it.
 FAR = 1 << 30
 RING = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
@@ -119,13 +122,51 @@ def _tiles(tile: int, halo: int):
     return F.explode(F.flatten(F.transform(span("y"), lambda a: F.transform(span("x"), lambda b: F.struct(a.alias("ty"), b.alias("tx"))))))
 
 
+def _stacked(run: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], gap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``run`` for a share of whole pages: they are put one below the other, ``gap`` apart, and all pixels are own ones."""
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, pages = pd.factorize(pdf["page"])
+        low, high = (getattr(pdf.groupby(code)[["y", "x"]], f)().to_numpy() for f in ("min", "max"))
+        tall, wide = (high - low).T + 1 + gap
+        part, top, at, used = np.zeros(len(pages), int), np.zeros(len(pages), int), 0, 0
+        for k in np.argsort(wide, kind="stable").tolist():
+            if used and (used + tall[k]) * wide[k] > CANVAS:
+                at, used = at + 1, 0
+            part[k], top[k] = at, used
+            used += int(tall[k])
+        placed = pdf.assign(y=pdf["y"] - low[code, 0] + top[code], x=pdf["x"] - low[code, 1], own=True)
+        out = pd.concat([run(p) for _, p in placed.groupby(part[code])])
+        return out.assign(y=pdf["y"].loc[out.index], x=pdf["x"].loc[out.index])[columns]
+
+    return step
+
+
 def until_stable(pixels: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], tile: int, halo: int, settles: bool, most: int = 100_000) -> tuple[DataFrame, int]:
     """``pixels`` (page, y, x, ...) after rounds of ``run`` that change nothing any more, and how many rounds it took.
 
     ``run`` gets the pixels of a tile and its halo, with ``own`` marking the tile's, and returns the
     own ones that stay, with ``changed``.  ``settles``: a tile that sees no news in its halo
     has nothing more to do.  At most ``halo`` <= ``tile``.  Each round is a shuffle of the tiles at work and a checkpoint.
+
+    Pages of at most ``WHOLE`` pixels are done in one round: ``run`` gets several of them in one frame, moved
+    apart and all own, whatever their ``page``, and must keep the index and finish what needs no halo.
     """
+    pixels = checkpointed(pixels)
+    box = (F.max("y") - F.min("y") + 1).cast("long") * (F.max("x") - F.min("x") + 1)
+    boxes = pixels.groupBy("page").agg(box.alias("box"))
+    area, large = boxes.agg(F.sum(F.when(F.col("box") <= WHOLE, F.col("box"))), F.count(F.when(F.col("box") > WHOLE, 1))).first()
+    kind = ", ".join(f"{c} {t}" for c, t in pixels.dtypes)
+    whole = lambda df: dealt(df, "page", n=area or 0, rows=PIXELS).applyInPandas(_stacked(run, pixels.columns, halo + 1), kind)
+    if not large:
+        return whole(pixels), 1
+    pages = checkpointed(boxes.where(F.col("box") > WHOLE).select("page"))
+    cut, rounds = _by_tiles(pixels.join(pages, "page", "left_semi").select(*pixels.columns), run, tile, halo, settles, most)
+    return cut.unionByName(whole(pixels.join(pages, "page", "left_anti").select(*pixels.columns))), rounds
+
+
+def _by_tiles(pixels: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], tile: int, halo: int, settles: bool, most: int) -> tuple[DataFrame, int]:
+    """``until_stable`` for pages that are cut."""
     columns = pixels.columns
     kind = ", ".join(f"{c} {t}" for c, t in pixels.dtypes) + ", changed boolean, ty long, tx long"
     at = lambda df: df.withColumn("ty", F.floor(F.col("y") / tile)).withColumn("tx", F.floor(F.col("x") / tile))
@@ -190,12 +231,13 @@ def thinned(mask: DataFrame, tile: int = TILE, passes: int = 8) -> DataFrame:
         y, x, shape = _grid(pdf)
         g = np.zeros(shape, bool)
         g[y, x] = True
-        for _ in range(passes):
-            new = _thinned_once(g)
+        own = pdf["own"].to_numpy()
+        done = 0
+        while done < passes or own.all():  # without a halo nothing is unknown
+            new, done = _thinned_once(g), done + 1
             if (new == g).all():
                 break
             g = new
-        own = pdf["own"].to_numpy()
         left, gone = own & g[y, x], own & ~g[y, x]
         # a pixel that goes tells the tiles around it by its last row
         return pdf[own].assign(alive=g[y, x][own], changed=gone[own]) if gone.any() else pdf[left].assign(changed=False)
@@ -240,20 +282,29 @@ def medial_axis(mask: DataFrame, tile: int = TILE, size: tuple[int, int] | None
         rank, state, own = np.zeros(shape, np.int64), np.full(shape, 2, np.int8), np.zeros(shape, bool)
         rank[y[order], x[order]] = np.arange(len(order))
         state[y, x], own[y, x] = pdf["state"], pdf["own"]
-        open_ = own & (state == 0)
-        changed = np.zeros(shape, bool)
-        while open_.any():
-            wait, pattern = np.zeros(shape, bool), np.zeros(shape, np.int64)
-            for k, (dy, dx) in enumerate(RING):
-                s, r = _shifted(state, dy, dx), _shifted(rank, dy, dx)
-                wait |= (s == 0) & (r < rank)
-                pattern |= (((s == 1) | (s == 0)).astype(np.int64)) << k  # neighbours that come later are still there
-            ready = open_ & ~wait
-            if not ready.any():
-                break
-            state[ready] = np.where(able[pattern[ready]], 2, 1)
-            changed |= ready
-            open_ &= ~ready
+        # pixels are decided wave by wave; each knows how many undecided neighbours come before it
+        state, rank, own = state.ravel(), rank.ravel(), own.ravel()
+        steps = [dy * shape[1] + dx for dy, dx in RING]
+        waiting = np.flatnonzero(own & (state == 0))
+        wait, changed = np.zeros(len(state), np.int8), np.zeros(len(state), bool)
+        for step in steps:
+            near = waiting + step
+            wait[waiting] += (state[near] == 0) & (rank[near] < rank[waiting])
+        ready = waiting[wait[waiting] == 0]
+        while len(ready):
+            pattern = np.zeros(len(ready), np.int64)
+            for k, step in enumerate(steps):
+                pattern |= (state[ready + step] != 2).astype(np.int64) << k  # neighbours that come later are still there
+            state[ready] = np.where(able[pattern], 2, 1)
+            changed[ready] = True
+            freed = []
+            for step in steps:
+                near = ready + step
+                near = near[own[near] & (state[near] == 0)]
+                wait[near] -= 1
+                freed.append(near[wait[near] == 0])
+            ready = np.concatenate(freed)
+        state, changed = state.reshape(shape), changed.reshape(shape)
         mine = pdf["own"].to_numpy()
         return pdf[mine].assign(state=state[y, x][mine], changed=changed[y, x][mine])
 
