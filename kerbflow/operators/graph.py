@@ -497,19 +497,58 @@ def upright_pair(distances: DataFrame, share: float = 0.65) -> DataFrame:
     return fit.groupBy("page").agg(F.max(F.struct(score.alias("score"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")).select("page", (-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b"), F.col("m.score").alias("score"))
 
 
+#: Side of the squares in which components are found at once.
+SQUARE = 512
+
+
+def _least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of ``n`` numbers that each reaches by the links a, b: higher tops hang below lower ones until no link has two."""
+    top = np.arange(n)
+    while len(a):
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        on = low < high
+        a, b = a[on], b[on]
+        np.minimum.at(top, high[on], low[on])
+        while (top[top] != top).any():
+            top = top[top]
+    return top
+
+
 def labelled(pixels: DataFrame, neighbours: int = 8) -> DataFrame:
     """Pixels (page, y, x) with their ``component`` by four or eight neighbours: a number that orders a page's pixels by (y, x).
 
-    Pages are below nine million, columns below a million.
+    Pages are below nine million, columns below a million.  Components are found within squares first, many
+    squares a task; only the links between the parts at the squares' edges are left to the rounds of joins.
     """
     node = lambda y, x: F.col(y).cast("long") * 1_000_000 + F.col(x) + F.col("page").cast("long") * 1_000_000_000_000
-    p = pixels.select("page", "y", "x").distinct()
+    square = lambda c: F.floor(F.col(c) / SQUARE)
+    p = checkpointed(pixels.select("page", "y", "x").distinct())
     ahead = [(0, 1), (1, 0)] if neighbours == 4 else [(0, 1), (1, -1), (1, 0), (1, 1)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = 2 * SQUARE
+        at = pdf.groupby(["page", "sy", "sx"]).ngroup().to_numpy() * wide * wide + (pdf["y"].to_numpy(np.int64) % SQUARE + 1) * wide + pdf["x"].to_numpy(np.int64) % SQUARE + 1
+        order = np.argsort(at)
+        at, name, links = at[order], pdf["node"].to_numpy()[order], []
+        for dy, dx in ahead:
+            near = np.searchsorted(at, at + dy * wide + dx).clip(max=len(at) - 1)
+            here = np.flatnonzero(at[near] == at + dy * wide + dx)
+            links.append((here, near[here]))
+        top = _least_reached(len(at), *map(np.concatenate, zip(*links)))
+        return pdf.iloc[order].assign(component=name[top])[["page", "y", "x", "component"]]
+
+    named = p.select("page", "y", "x", node("y", "x").alias("node"), square("y").alias("sy"), square("x").alias("sx"))
+    kind = ", ".join(f"{c} {t}" for c, t in p.dtypes) + ", component long"
+    parts = checkpointed(dealt(named, "page", "sy", "sx", rows=PIXELS, n=p.count()).applyInPandas(run, kind))
+    rim = parts.where(" or ".join(f"pmod({c}, {SQUARE}) in (0, {SQUARE - 1})" for c in "yx"))
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ahead])
-    e = p.withColumn("o", F.explode(steps)).select("page", F.col("y").alias("ay"), F.col("x").alias("ax"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    e = e.join(p, ["page", "y", "x"]).select(node("ay", "ax").alias("a"), node("y", "x").alias("b"))
-    named = p.withColumn("node", node("y", "x"))
-    return named.join(connected_components(named.select("node"), e), "node").select("page", "y", "x", "component")
+    over = rim.withColumn("o", F.explode(steps)).select("page", F.col("y").alias("ay"), F.col("x").alias("ax"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("component").alias("a"))
+    over = over.where((square("ay") != square("y")) | (square("ax") != square("x")))
+    links = checkpointed(over.join(rim, ["page", "y", "x"]).select("a", F.col("component").alias("b")).distinct())
+    if links.isEmpty():
+        return parts
+    tops = star_components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return parts.join(tops, "component", "left").select("page", "y", "x", F.coalesce("top", "component").alias("component"))
 
 
 def flooded(background: DataFrame, seeds: DataFrame) -> DataFrame:

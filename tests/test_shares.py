@@ -43,3 +43,38 @@ def test_small_pages_need_no_rounds(spark, monkeypatch):
     m = blobs(spark, 2, share=0.95)
     tiles.medial_axis(m, 7), tiles.thinned(m, 8, 1), tiles.geodesics(m, m.limit(1), 6)
     assert rounds == [1, 1, 1]
+
+
+def plain_parts(own, near):
+    left, out = set(own), {}
+    while left:
+        reach = [min(left)]
+        left.discard(reach[0])
+        part = set(reach)
+        while reach:
+            y, x = reach.pop()
+            for q in {(y + a, x + b) for a, b in near} & left:
+                left.discard(q)
+                part.add(q)
+                reach.append(q)
+        out |= dict.fromkeys(part, min(part))
+    return out
+
+
+@pytest.mark.parametrize("square", [8, 512])
+@pytest.mark.parametrize("neighbours", [4, 8])
+def test_components_over_squares(spark, monkeypatch, square, neighbours):
+    monkeypatch.setattr(graph, "SQUARE", square)
+    m = blobs(spark, 4, share=0.6)
+    near = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if neighbours == 8 else [])
+    got = by_page(graph.labelled(m, neighbours), "component")
+    for page, own in by_page(m).items():
+        assert got[page] == {p: q[0] * 1_000_000 + q[1] + page * 1_000_000_000_000 for p, q in plain_parts(own, near).items()}
+
+
+def test_components_within_a_square_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "star_components", None)
+    m = spark.createDataFrame([(page, y, x) for page in range(5) for y in range(20) for x in range(20) if (x + y * page) % 3], "page int, y int, x int")
+    assert graph.labelled(m).count() == m.count()
+    assert isolines.outline_tree(m, (20, 20)).count() > 5
+    assert raster.largest_filled(m, 1, (20, 20)).count() >= m.count() / 2
