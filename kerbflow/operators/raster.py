@@ -379,11 +379,14 @@ def touching_absorbed(fragments: DataFrame, start: int = 0) -> DataFrame:
 
 
 def contours(labelled: DataFrame) -> DataFrame:
-    """The outer outline of each component (page, component, y, x), in order, clockwise from its topmost leftmost pixel."""
+    """The outer outline of each component (page, component, y, x), in order, clockwise from its topmost leftmost pixel.
+
+    A component is within one task, which walks around many of them.
+    """
     ring = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        here = set(zip(pdf["y"].tolist(), pdf["x"].tolist()))
+    def outline(y, x):
+        here = set(zip(y.tolist(), x.tolist()))
         start = min(here)
         walk, at, came, first = [start], start, 4, None
         while True:
@@ -401,7 +404,18 @@ def contours(labelled: DataFrame) -> DataFrame:
                 break
             walk.append(step)
             at, came = step, (side + 4) % 8
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "component": pdf["component"].iloc[0], "i": range(len(walk)), "y": [p[0] for p in walk], "x": [p[1] for p in walk]})
+        return walk
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["page", "component"])
+        page, component, y, x = (pdf[c].to_numpy() for c in ("page", "component", "y", "x"))
+        cuts = np.flatnonzero((page[1:] != page[:-1]) | (component[1:] != component[:-1])) + 1
+        walks = [outline(*part) for part in zip(np.split(y, cuts), np.split(x, cuts))]
+        n = np.array([len(w) for w in walks])
+        first = np.repeat(np.r_[0, cuts], n)
+        at = np.concatenate([np.array(w) for w in walks])
+        i = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        return pd.DataFrame({"page": page[first], "component": component[first], "i": i, "y": at[:, 0], "x": at[:, 1]})
 
     slim = labelled.select(F.col("page").cast("long").alias("page"), F.col("component").cast("long").alias("component"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
-    return slim.groupBy("page", "component").applyInPandas(run, "page long, component long, i int, y int, x int")
+    return graph.dealt(slim, "page", "component", rows=graph.PIXELS).applyInPandas(run, "page long, component long, i int, y int, x int")
