@@ -272,6 +272,10 @@ def progress_along(lines: DataFrame, centre: DataFrame, key: str = "path_id") ->
     return forward_progress(along, key, 1e-6).select(key, "i", "x", "y")
 
 
+#: Candidates of a task.
+CANDIDATES = 1 << 20
+
+
 def offset_fit(candidates: DataFrame, smooth: float = 0.6, bias: float = 0.01, key: str = "path_id") -> DataFrame:
     """One offset a station from candidates (key, i, cap, offset, cost), each weighed against the one chosen before.
 
@@ -279,27 +283,42 @@ def offset_fit(candidates: DataFrame, smooth: float = 0.6, bias: float = 0.01, k
     the offset; candidates beyond ``cap``, the way to the first boundary, do not count.  The
     first offset starts from 0, of equal totals the smaller counts.  A station without a cap
     (null) has no offset and leaves the one before as it is; one with a cap of 0 resets it.
+    A path is within one task, which does many paths side by side.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, before = [], 0.0
-        for i, g in pdf.sort_values(["i", "offset"]).groupby("i"):
-            cap = g["cap"].iloc[0]
-            if pd.isna(cap):
-                rows.append((pdf[key].iloc[0], i, None))
-                continue
-            d = g["offset"].to_numpy()
-            fit = d <= cap
-            if cap <= 1e-9 or not fit.any():
-                before = 0.0
-            else:
-                total = g["cost"].to_numpy()[fit] + smooth * np.abs(d[fit] - before) + bias * d[fit]
-                before = float(d[fit][int(np.argmin(total))])
-            rows.append((pdf[key].iloc[0], i, before))
-        return pd.DataFrame(rows, columns=[key, "i", "offset"])
+        line, _ = pd.factorize(pdf[key], use_na_sentinel=False)
+        order = np.lexsort((pdf["offset"], pdf["i"], line))
+        line, pdf = line[order], pdf.iloc[order]
+        i, caps, offsets, costs = (pdf[c].to_numpy() for c in ("i", "cap", "offset", "cost"))
+        new = np.r_[True, (line[1:] != line[:-1]) | (i[1:] != i[:-1])]
+        start = np.flatnonzero(new)
+        count, cap, line = np.diff(np.r_[start, len(i)]), caps[start], line[start]
+        first = np.r_[True, line[1:] != line[:-1]]
+        turn = np.arange(len(start)) - np.maximum.accumulate(np.where(first, np.arange(len(start)), 0))
+        before, chosen = np.zeros(line.max() + 1), np.zeros(len(start))
+        by_turn = np.argsort(turn, kind="stable")
+        # all paths of the share take their next station at once
+        for at in np.split(by_turn, np.flatnonzero(np.diff(turn[by_turn])) + 1):
+            k = np.arange(count[at].max())
+            row = np.minimum(start[at][:, None] + k, len(i) - 1)
+            d, b = offsets[row], before[line[at]]
+            fit = (k < count[at][:, None]) & (d <= cap[at][:, None])
+            total = np.where(fit, costs[row] + smooth * np.abs(d - b[:, None]) + bias * d, np.inf)
+            best = total.argmin(1)
+            best = np.where(np.isinf(total[np.arange(len(at)), best]), fit.argmax(1), best)
+            kept = np.where((cap[at] > 1e-9) & fit.any(1), d[np.arange(len(at)), best], 0.0)
+            none = np.isnan(cap[at])
+            before[line[at]] = np.where(none, b, kept)
+            chosen[at] = np.where(none, np.nan, kept)
+        return pdf[[key, "i"]].iloc[start].assign(offset=pd.Series(chosen).astype("Float64").mask(np.isnan(cap)).to_numpy(object, na_value=None))
 
     slim = candidates.select(key, "i", *[F.col(c).cast("double").alias(c) for c in ("cap", "offset", "cost")])
-    return slim.groupBy(key).applyInPandas(run, f"{key} {dict(slim.dtypes)[key]}, i {dict(slim.dtypes)['i']}, offset double")
+    return dealt(slim, key, rows=CANDIDATES).applyInPandas(run, f"{key} {dict(slim.dtypes)[key]}, i {dict(slim.dtypes)['i']}, offset double")
+
+
+#: Points that are weighed at once.
+TRIED = 200_000
 
 
 def scale_search(

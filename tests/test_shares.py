@@ -78,3 +78,35 @@ def test_components_within_a_square_need_no_rounds(spark, monkeypatch):
     assert graph.labelled(m).count() == m.count()
     assert isolines.outline_tree(m, (20, 20)).count() > 5
     assert raster.largest_filled(m, 1, (20, 20)).count() >= m.count() / 2
+
+
+def plain_offsets(rows, smooth=0.6, bias=0.01):
+    before, out = 0.0, {}
+    by = defaultdict(list)
+    for i, cap, d, cost in rows:
+        by[i].append((d, cap, cost))
+    for i in sorted(by):
+        cap = by[i][0][1]
+        if cap is None:
+            out[i] = None
+            continue
+        fit = [(cost + smooth * abs(d - before) + bias * d, d) for d, _, cost in by[i] if d <= cap]
+        before = min(fit)[1] if cap > 1e-9 and fit else 0.0
+        out[i] = before
+    return out
+
+
+def test_offsets_of_paths_of_all_lengths(spark):
+    r = random.Random(3)
+    paths = {}
+    for path in range(40):
+        rows = paths[path] = []
+        for i in range(r.randrange(1, 12)):
+            cap = r.choice([None, 0.0, 1.2, 5.0])
+            rows += [(i * 3, cap, 0.5 * k, r.random()) for k in range(r.randrange(1, 7))]
+    every = [(f"p{k}", *row) for k, rows in paths.items() for row in rows]
+    r.shuffle(every)
+    got = defaultdict(dict)
+    for row in graph.offset_fit(spark.createDataFrame(every, "path_id string, i long, cap double, offset double, cost double")).collect():
+        got[row.path_id][row.i] = row.offset
+    assert got == {f"p{k}": plain_offsets(rows) for k, rows in paths.items()}
