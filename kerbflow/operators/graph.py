@@ -331,19 +331,15 @@ def scale_search(
     distance to the edge and whether a pixel is in the mask.  The objective is the median edge distance
     of every ``nth`` point inside, some of its mean, and what points outside and ends that leave
     their height cost.  With ``lock_ends`` the move keeps the mean height of the ends.  A grid of scales and
-    moves is narrowed round by round to two steps either side of the best; the first of equals counts.  A page is one task.
+    moves is narrowed round by round to two steps either side of the best; the first of equals counts.  A page is
+    within one task, which does many small ones.
     """
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        p = left.sort_values("i")
-        if not len(p) or not len(right):
-            return pd.DataFrame(columns=["page", "scale", "dy", "dx", "objective"])
-        path, origin = p[["y", "x"]].to_numpy(float), p[["cy", "cx"]].to_numpy(float)[0]
+    def one(path, origin, ys, xs, values, inside):
         few = path[::nth] if np.allclose(path[::nth][-1], path[-1]) else np.vstack([path[::nth], path[-1]])
-        h, w = int(right["y"].max()) + 1, int(right["x"].max()) + 1
+        h, w = int(ys.max()) + 1, int(xs.max()) + 1
         edge, held = np.full((h, w), 1e6), np.zeros((h, w), bool)
-        at = right["y"].to_numpy(int), right["x"].to_numpy(int)
-        edge[at], held[at] = right["v"].to_numpy(float), right["inside"].to_numpy(bool)
+        edge[ys, xs], held[ys, xs] = values, inside
 
         def weigh(scale, dy, dx):
             q = origin + scale * (few - origin) + (dy, dx)
@@ -362,27 +358,61 @@ def scale_search(
             near = (np.median(gap[inner]), gap[inner].mean()) if inner.any() else (1e6, 1e6)
             return near[0] + mean_weight * near[1] + outside * (~inner).sum() / max(1, len(path)) + end_weight * ends
 
+        def screened(tried):
+            """``weigh`` for many at once, but for the last bits."""
+            scale, move = tried[:, 0, None, None], tried[:, None, 1:]
+            y, x = np.moveaxis(origin + scale * (few - origin) + move, 2, 0)
+            r, s = np.round(y).astype(int), np.round(x).astype(int)
+            on, sound = (y >= 0) & (x >= 0) & (y <= h - 1) & (x <= w - 1), (r >= 0) & (s >= 0) & (r < h) & (s < w)
+            y, x = y.clip(0, h - 1), x.clip(0, w - 1)
+            a, b = np.floor(y).astype(int), np.floor(x).astype(int)
+            c, d = np.minimum(a + 1, h - 1), np.minimum(b + 1, w - 1)
+            u, v = y - a, x - b
+            gap = np.where(on, (edge[a, b] * (1 - v) + edge[a, d] * v) * (1 - u) + (edge[c, b] * (1 - v) + edge[c, d] * v) * u, 1e6)
+            inner = sound & held[r.clip(0, h - 1), s.clip(0, w - 1)]
+            n, row = inner.sum(1), np.arange(len(tried))
+            low = np.sort(np.where(inner, gap, np.inf), 1)
+            middle = (low[row, np.maximum(n - 1, 0) // 2] + low[row, np.minimum(n // 2, len(few) - 1)]) / 2
+            near = np.where(n > 0, middle, 1e6) + mean_weight * np.where(n > 0, np.where(inner, gap, 0.0).sum(1) / np.maximum(n, 1), 1e6)
+            tips = path[[0, -1], 0]
+            ends = np.abs(origin[0] + tried[:, :1] * (tips - origin[0]) + tried[:, 1:2] - tips).max(1)
+            return near + outside * (len(few) - n) / max(1, len(path)) + end_weight * ends
+
         limits = [scales, moves_y, moves_x]
         spans = [tuple(map(float, z)) for z in limits]
+        tips = path[[0, -1], 0]
         for k in range(rounds + 1):
             counts = [max(3, first[0] if k == 0 else then), *[max(3, first[1] if k == 0 else then)] * 2]
             grids = [np.linspace(*z, n) for z, n in zip(spans, counts)]
+            ys = [[tips.mean() - (origin[0] + z * (tips - origin[0])).mean()] if lock_ends else grids[1] for z in grids[0]]
+            tried = np.array([(z, dy, dx) for z, own in zip(grids[0], ys) for dy in own for dx in grids[2]])
+            if np.isfinite(edge).all():
+                size = max(1, TRIED // len(few))
+                total = np.concatenate([screened(tried[j : j + size]) for j in range(0, len(tried), size)])
+                tried = tried[total <= total.min() + 1e-9 * max(1.0, abs(total.min()))]
             best = None
-            for scale in grids[0]:
-                ends = path[[0, -1], 0]
-                ys = [ends.mean() - (origin[0] + scale * (ends - origin[0])).mean()] if lock_ends else grids[1]
-                for dy in ys:
-                    for dx in grids[2]:
-                        total = weigh(scale, dy, dx)
-                        if best is None or total < best[0]:
-                            best = (total, scale, dy, dx)
+            for scale, dy, dx in tried:
+                total = weigh(scale, dy, dx)
+                if best is None or total < best[0]:
+                    best = (total, scale, dy, dx)
             steps = [(z[1] - z[0]) / (n - 1) for z, n in zip(spans, counts)]
             spans = [(max(lim[0], m - 2 * s), min(lim[1], m + 2 * s)) if not (lock_ends and j == 1) else z for j, (z, lim, m, s) in enumerate(zip(spans, limits, best[1:], steps))]
-        return pd.DataFrame([(key[0], best[1], best[2], best[3], best[0])], columns=["page", "scale", "dy", "dx", "objective"])
+        return best[1], best[2], best[3], best[0]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values(["page", "i"]), right.sort_values("page", kind="stable")
+        pages, begin = np.unique(left["page"].to_numpy(), return_index=True)
+        end = np.r_[begin[1:], len(left)].astype(int)
+        points = left[["y", "x", "cy", "cx"]].to_numpy(float)
+        low, high = (np.searchsorted(right["page"].to_numpy(), pages, side=z) for z in ("left", "right"))
+        pixel = [right[c].to_numpy(t) for c, t in (("y", int), ("x", int), ("v", float), ("inside", bool))]
+        rows = [(page, *one(points[a:b, :2], points[a, 2:], *(c[p:q] for c in pixel))) for page, a, b, p, q in zip(pages, begin, end, low, high) if p < q]
+        return pd.DataFrame(rows, columns=["page", "scale", "dy", "dx", "objective"])
 
     own = paths.select(F.col("page").cast("long").alias("page"), "i", "x", "y").join(origins.select(F.col("page").cast("long").alias("page"), "cx", "cy"), "page")
     pixels = field.select(F.col("page").cast("long").alias("page"), "y", "x", "v", "inside")
-    return own.groupBy("page").cogroup(pixels.groupBy("page")).applyInPandas(run, "page long, scale double, dy double, dx double, objective double")
+    n = pixels.count()
+    return dealt(own, "page", rows=PIXELS, n=n).cogroup(dealt(pixels, "page", rows=PIXELS, n=n)).applyInPandas(run, "page long, scale double, dy double, dx double, objective double")
 
 
 def refined_centres(path: DataFrame, field: DataFrame, radius: int = 12, end_radius: int = 4, value: float = 1.0, middle: float = 0.03, move: float = 0.02, bend: float = 0.015, rounds: int = 8, least_move: float = 0.15) -> DataFrame:

@@ -80,6 +80,22 @@ def test_components_within_a_square_need_no_rounds(spark, monkeypatch):
     assert raster.largest_filled(m, 1, (20, 20)).count() >= m.count() / 2
 
 
+def grouped_calls(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_groups_share_a_call(spark):
+    """One call a group cost a millisecond or more; outlines, offsets and scales do many groups a call."""
+    p = spark.createDataFrame([(k, 0, x, 0.5, k % 2 == 0) for k in range(4) for x in range(3)], "page long, y int, x int, v double, inside boolean")
+    outlines = raster.contours(p.select("page", "page", "y", "x").toDF("page", "component", "y", "x"))
+    offsets = graph.offset_fit(p.selectExpr("page as path_id", "x as i", "1.0 as cap", "0.5 as offset", "v as cost"))
+    scales = graph.scale_search(p.selectExpr("page", "x as i", "double(x) x", "double(y) y"), p, p.selectExpr("page", "1.0 as cx", "0.0 as cy").distinct(), rounds=0)
+    for df, call in ((outlines, "FlatMapGroupsInPandas"), (offsets, "FlatMapGroupsInPandas"), (scales, "FlatMapCoGroupsInPandas")):
+        line = next(r for r in grouped_calls(df).splitlines() if call in r)
+        assert "share#" in line.split("], run(")[0]
+    assert outlines.count() == 16 and offsets.count() == 12 and scales.count() == 4
+
+
 def plain_offsets(rows, smooth=0.6, bias=0.01):
     before, out = 0.0, {}
     by = defaultdict(list)
