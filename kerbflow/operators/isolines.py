@@ -102,7 +102,7 @@ def isolines(field: DataFrame, level: float) -> DataFrame:
     links, points = crossings(field, level)
     links, points = checkpointed(links), checkpointed(points)
     order = ranked_chains(links).withColumnRenamed("chain", "line")
-    rows = points.join(order, "node").select("page", "line", "i", "y", "x", "closed")
+    rows = checkpointed(points.join(order, "node").select("page", "line", "i", "y", "x", "closed"))
     n = rows.where("closed").groupBy("line").agg(F.count("*").alias("n"))
     again = rows.where("closed and i = 0").join(n, "line").select("page", "line", F.col("n").alias("i"), "y", "x", "closed")
     return rows.unionByName(again)
@@ -110,6 +110,7 @@ def isolines(field: DataFrame, level: float) -> DataFrame:
 
 def longest_lines(lines: DataFrame) -> DataFrame:
     """Of each page the line of most points; of equals the first."""
+    lines = checkpointed(lines)
     n = lines.groupBy("page", "line").agg(F.count("*").alias("n"))
     top = n.groupBy("page").agg(F.min(F.struct(-F.col("n"), "line")).alias("t")).select("page", F.col("t.line").alias("line"))
     return lines.join(top, ["page", "line"], "left_semi")
@@ -146,10 +147,12 @@ def side_arcs(loops: DataFrame, centre: DataFrame, side: str = "inner", lookahea
     sx, sy = target("s", F.col("ax") - F.col("sx"), F.col("ay") - F.col("sy"))
     ex, ey = target("e", F.col("ex") - F.col("bx"), F.col("ey") - F.col("by"))
     ends = ends.select("*", sx.alias("gx"), sy.alias("gy"), ex.alias("hx"), ey.alias("hy"))
-    p = loops.select(key, F.col("i").cast("long").alias("i"), "y", "x").join(ends, key)
+    # every table that is read more than once is computed once: copies of its plan would double with each step
+    loops, ends = checkpointed(loops.select(key, F.col("i").cast("long").alias("i"), "y", "x")), checkpointed(ends)
+    p = loops.join(ends, key)
     gap = lambda a, b: (F.col("x") - F.col(a)) ** 2 + (F.col("y") - F.col(b)) ** 2
     marks = p.groupBy(key).agg(F.min(F.struct(gap("gx", "gy").alias("d"), "i"))["i"].alias("i0"), F.min(F.struct(gap("hx", "hy").alias("d"), "i"))["i"].alias("i1"), F.count("*").alias("size"))
-    p = p.join(marks, key)
+    p = p.join(checkpointed(marks), key)
     low, high = F.least("i0", "i1"), F.greatest("i0", "i1")
     # the arc between the marks, and the one over the loop's ends; the marks belong to both
     first_arc = F.col("i0") <= F.col("i1")  # else the arc over the ends is the first of the two
@@ -157,10 +160,10 @@ def side_arcs(loops: DataFrame, centre: DataFrame, side: str = "inner", lookahea
     i = F.col("i")
     parts = F.array(part((i >= low) & (i <= high), True, i - low), part(i >= high, False, i - high), part(i <= low, False, i + F.col("size") - high))
     arcs = p.select("*", F.explode(F.filter(parts, lambda s: s.isNotNull())).alias("o"))
-    arcs = arcs.select(key, "o.arc", "o.at", "x", "y", "mx", "my", "sx", "sy", "ex", "ey")
+    arcs = checkpointed(arcs.select(key, "o.arc", "o.at", "x", "y", "mx", "my", "sx", "sy", "ex", "ey"))
     mean = arcs.groupBy(key, "arc").agg(F.avg(F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2)).alias("r"), F.max("at").alias("last"))
     best = mean.groupBy(key).agg(F.min(F.struct((F.col("r") if side == "inner" else -F.col("r")).alias("r"), "arc", "last")).alias("b")).select(key, F.col("b.arc").alias("arc"), F.col("b.last").alias("last"))
-    line = arcs.join(best, [key, "arc"])
+    line = checkpointed(arcs.join(best, [key, "arc"]))
     first = lambda v: F.max(F.when(F.col("at") == 0, F.col(v)))
     end = lambda v: F.max(F.when(F.col("at") == F.col("last"), F.col(v)))
     turn = line.groupBy(key).agg(*[f(v).alias(f"{n}{v}") for n, f in (("p", first), ("q", end)) for v in "xy"])

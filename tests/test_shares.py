@@ -126,3 +126,13 @@ def test_offsets_of_paths_of_all_lengths(spark):
     for row in graph.offset_fit(spark.createDataFrame(every, "path_id string, i long, cap double, offset double, cost double")).collect():
         got[row.path_id][row.i] = row.offset
     assert got == {f"p{k}": plain_offsets(rows) for k, rows in paths.items()}
+
+
+def test_side_arcs_read_each_table_once(spark):
+    """Copies of the loops' plan had doubled with each step, and with them the joins of one plan."""
+    loops = [(page, i, float(i % 7), float(i)) for page in range(3) for i in range(20)]
+    centre = [(page, i, float(i), 2.0) for page in range(3) for i in range(12)]
+    loops, centre = spark.createDataFrame(loops, "page long, i long, y double, x double"), spark.createDataFrame(centre, "page long, i long, x double, y double")
+    out = isolines.side_arcs(loops, centre, "outer", 3, 20.0, bend=2, span=4)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    assert out.count() > 0
