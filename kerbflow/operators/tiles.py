@@ -8,7 +8,6 @@ Pages whose box holds at most ``WHOLE`` pixels are not cut: many of them make up
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbflow.operators.graph import PIXELS, checkpointed, dealt, labelled, pixel_graph
+from kerbflow.operators.graph import PIXELS, _least_reached, checkpointed, dealt, labelled, pixel_graph
 
 PLACE = ["page", "y", "x"]
 #: Side of a tile, and rows of a band, in pixels.
@@ -27,6 +26,8 @@ WHOLE, CANVAS = 1 << 20, 1 << 20
 #: A distance where nothing limits it.
 FAR = 1 << 30
 RING = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+#: Lengths of steps to the neighbours by (y, x), and the order of these in ``RING``.
+STEPS, BY_PLACE = np.array([(dy * dy + dx * dx) ** 0.5 for dy, dx in RING]), [RING.index(q) for q in sorted(RING)]
 
 
 def _slim(pixels: DataFrame, *more: str) -> DataFrame:
@@ -123,7 +124,10 @@ def _tiles(tile: int, halo: int):
 
 
 def _stacked(run: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], gap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """``run`` for a share of whole pages: they are put one below the other, ``gap`` apart, and all pixels are own ones."""
+    """``run`` for a share of whole pages: they are put one below the other, ``gap`` apart, and all pixels are own ones.
+
+    Rows that ``run`` returns are known by their index; they get their places back.
+    """
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         code, pages = pd.factorize(pdf["page"])
@@ -137,12 +141,33 @@ def _stacked(run: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], ga
             used += int(tall[k])
         placed = pdf.assign(y=pdf["y"] - low[code, 0] + top[code], x=pdf["x"] - low[code, 1], own=True)
         out = pd.concat([run(p) for _, p in placed.groupby(part[code])])
-        return out.assign(y=pdf["y"].loc[out.index], x=pdf["x"].loc[out.index])[columns]
+        return out.assign(y=pdf["y"].loc[out.index].to_numpy(), x=pdf["x"].loc[out.index].to_numpy())[columns]
 
     return step
 
 
-def until_stable(pixels: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], tile: int, halo: int, settles: bool, most: int = 100_000) -> tuple[DataFrame, int]:
+def _whole_and_cut(pixels: DataFrame) -> tuple[Callable[..., DataFrame], DataFrame | None]:
+    """``pixels``, computed once: what runs a function on their whole pages, and the pixels of the pages that are cut, if any.
+
+    The first takes the function for ``_stacked``, its result's type and the gap between pages.
+    """
+    pixels = checkpointed(pixels)
+    box = (F.max("y") - F.min("y") + 1).cast("long") * (F.max("x") - F.min("x") + 1)
+    boxes = pixels.groupBy("page").agg(box.alias("box"))
+    area, large = boxes.agg(F.sum(F.when(F.col("box") <= WHOLE, F.col("box"))), F.count(F.when(F.col("box") > WHOLE, 1))).first()
+    rest, cut = pixels, None
+    if large:
+        pages = checkpointed(boxes.where(F.col("box") > WHOLE).select("page"))
+        rest, cut = (pixels.join(pages, "page", how).select(*pixels.columns) for how in ("left_anti", "left_semi"))
+
+    def whole(run: Callable[[pd.DataFrame], pd.DataFrame], kind: str, gap: int) -> DataFrame:
+        columns = [c.split()[0] for c in kind.split(", ")]
+        return dealt(rest, "page", n=area or 0, rows=PIXELS).applyInPandas(_stacked(run, columns, gap), kind)
+
+    return whole, cut
+
+
+def until_stable(pixels: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], tile: int, halo: int, settles: bool, most: int = 100_000, ready: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int]:
     """``pixels`` (page, y, x, ...) after rounds of ``run`` that change nothing any more, and how many rounds it took.
 
     ``run`` gets the pixels of a tile and its halo, with ``own`` marking the tile's, and returns the
@@ -150,19 +175,15 @@ def until_stable(pixels: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame],
     has nothing more to do.  At most ``halo`` <= ``tile``.  Each round is a shuffle of the tiles at work and a checkpoint.
 
     Pages of at most ``WHOLE`` pixels are done in one round: ``run`` gets several of them in one frame, moved
-    apart and all own, whatever their ``page``, and must keep the index and finish what needs no halo.
+    apart and all own, whatever their ``page``, and must keep the index and finish what needs no halo.  ``ready`` is
+    applied to the pixels of the others first.
     """
-    pixels = checkpointed(pixels)
-    box = (F.max("y") - F.min("y") + 1).cast("long") * (F.max("x") - F.min("x") + 1)
-    boxes = pixels.groupBy("page").agg(box.alias("box"))
-    area, large = boxes.agg(F.sum(F.when(F.col("box") <= WHOLE, F.col("box"))), F.count(F.when(F.col("box") > WHOLE, 1))).first()
-    kind = ", ".join(f"{c} {t}" for c, t in pixels.dtypes)
-    whole = lambda df: dealt(df, "page", n=area or 0, rows=PIXELS).applyInPandas(_stacked(run, pixels.columns, halo + 1), kind)
-    if not large:
-        return whole(pixels), 1
-    pages = checkpointed(boxes.where(F.col("box") > WHOLE).select("page"))
-    cut, rounds = _by_tiles(pixels.join(pages, "page", "left_semi").select(*pixels.columns), run, tile, halo, settles, most)
-    return cut.unionByName(whole(pixels.join(pages, "page", "left_anti").select(*pixels.columns))), rounds
+    whole, cut = _whole_and_cut(pixels)
+    out, rounds = whole(run, ", ".join(f"{c} {t}" for c, t in pixels.dtypes), halo + 1), 1
+    if cut is None:
+        return out, rounds
+    cut, rounds = _by_tiles(cut if ready is None else ready(cut), run, tile, halo, settles, most)
+    return cut.unionByName(out), rounds
 
 
 def _by_tiles(pixels: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], tile: int, halo: int, settles: bool, most: int) -> tuple[DataFrame, int]:
@@ -207,6 +228,53 @@ def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
     return np.roll(a, (-dy, -dx), (0, 1))
 
 
+def _near(pdf: pd.DataFrame) -> np.ndarray:
+    """The row of each pixel's neighbours in the order of ``RING``, the number of rows where there is none."""
+    y, x, shape = _grid(pdf)
+    row = np.full(shape, len(pdf), np.int32)
+    row[y, x] = np.arange(len(pdf), dtype=np.int32)
+    return np.stack([row[y + dy, x + dx] for dy, dx in RING], 1)
+
+
+def _reached(near: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``v``, the length of the way to each pixel, once no step to a neighbour shortens any; infinite where there is none."""
+    v, front = np.append(v, -np.inf), np.flatnonzero(v < np.inf)
+    while len(front):
+        to, way = near[front], v[front, None] + STEPS
+        less = way < v[to]
+        to = to[less]
+        np.minimum.at(v, to, way[less])
+        front = np.unique(to)
+    return v[:-1]
+
+
+def _firsts(page: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """The first row of each page by ``order``."""
+    at = np.lexsort((*order[::-1], page))
+    return at[np.append(True, page[at][1:] != page[at][:-1])] if len(at) else at
+
+
+def _far_rows(pdf: pd.DataFrame, near: np.ndarray) -> list[np.ndarray]:
+    """Of pages in one frame, the rows of the first and the second far end, as ``far_ends`` has them."""
+    page, y, x = (pdf[c].to_numpy() for c in PLACE)
+    ends = np.flatnonzero((near < len(pdf)).sum(1) == 1)
+    ends = ends[pd.Series(page[ends]).duplicated(keep=False).to_numpy()]
+    at, out = ends[_firsts(page[ends], y[ends], x[ends])], []
+    for _ in range(2):
+        v = _from_rows(near, at)[ends]
+        met = ends[v < np.inf]
+        # ways of one length are summed in different orders
+        at = met[_firsts(page[met], -v[v < np.inf].round(6), y[met], x[met])]
+        out.append(at)
+    return out
+
+
+def _from_rows(near: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    v = np.full(len(near), np.inf)
+    v[starts] = 0.0
+    return _reached(near, v)
+
+
 def _thinned_once(g: np.ndarray) -> np.ndarray:
     for side in (0, 1):
         p = [_shifted(g, dy, dx) for dy, dx in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
@@ -278,7 +346,9 @@ def medial_axis(mask: DataFrame, tile: int = TILE, size: tuple[int, int] | None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x, shape = _grid(pdf)
-        order = np.lexsort((pdf["x"], pdf["y"], pdf["corner"], pdf["v"]))
+        # without a halo all neighbours are here
+        corner = 8 - (_near(pdf) < len(pdf)).sum(1) if pdf["own"].all() else pdf["corner"]
+        order = np.lexsort((pdf["x"], pdf["y"], corner, pdf["v"]))
         rank, state, own = np.zeros(shape, np.int64), np.full(shape, 2, np.int8), np.zeros(shape, bool)
         rank[y[order], x[order]] = np.arange(len(order))
         state[y, x], own[y, x] = pdf["state"], pdf["own"]
@@ -308,12 +378,15 @@ def medial_axis(mask: DataFrame, tile: int = TILE, size: tuple[int, int] | None
         mine = pdf["own"].to_numpy()
         return pdf[mine].assign(state=state[y, x][mine], changed=changed[y, x][mine])
 
-    field = checkpointed(distances(mask, size))
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in RING])
-    near = field.withColumn("o", F.explode(offsets)).select("page", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    near = near.groupBy(*PLACE).agg(F.count("*").cast("int").alias("n"))
-    rows = field.join(near, PLACE, "left").select(*PLACE, "v", (8 - F.coalesce("n", F.lit(0))).alias("corner"), F.lit(0).cast("tinyint").alias("state"))
-    found, _ = until_stable(rows, run, tile, 1, True)
+    def cornered(field: DataFrame) -> DataFrame:
+        field = checkpointed(field)
+        offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in RING])
+        near = field.withColumn("o", F.explode(offsets)).select("page", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+        near = near.groupBy(*PLACE).agg(F.count("*").cast("int").alias("n"))
+        return field.join(near, PLACE, "left").select(*PLACE, "v", (8 - F.coalesce("n", F.lit(0))).alias("corner"), "state")
+
+    rows = distances(mask, size).select(*PLACE, "v", F.lit(0).alias("corner"), F.lit(0).cast("tinyint").alias("state"))
+    found, _ = until_stable(rows, run, tile, 1, True, ready=cornered)
     return found.where("state = 1").select(*PLACE, "v")
 
 
@@ -359,28 +432,15 @@ def disc_seeds(pixels: DataFrame, least: int, tile: int = TILE) -> DataFrame:
 def geodesics(pixels: DataFrame, starts: DataFrame, tile: int = TILE) -> DataFrame:
     """(page, y, x, v): the length of the shortest way over set pixels (eight neighbours) to a page's nearest start; pixels out of reach have none.
 
-    A tile runs a heap over its own pixels from what its halo knows; rounds follow the tiles
+    A tile lengthens the ways over its own pixels from what its halo knows; rounds follow the tiles
     that a shortest way crosses, not its pixels.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = list(zip(pdf["y"].tolist(), pdf["x"].tolist()))
-        best = dict(zip(place, pdf["v"].fillna(np.inf).tolist()))
-        own = set(p for p, o in zip(place, pdf["own"]) if o)
-        heap = [(d, p) for p, d in best.items() if d < np.inf]
-        heapq.heapify(heap)
-        while heap:
-            d, p = heapq.heappop(heap)
-            if d > best[p]:
-                continue
-            for dy, dx in RING:
-                q = (p[0] + dy, p[1] + dx)
-                if q in own and d + (cost := (dy * dy + dx * dx) ** 0.5) < best[q]:
-                    best[q] = d + cost
-                    heapq.heappush(heap, (best[q], q))
-        mine = pdf[pdf["own"]]
-        v = pd.Series([best[p] for p in zip(mine["y"].tolist(), mine["x"].tolist())], index=mine.index, dtype=float)
-        return mine.assign(v=v.where(v < np.inf), changed=v < mine["v"].fillna(np.inf))
+        near, own, known = _near(pdf), pdf["own"].to_numpy(), pdf["v"].fillna(np.inf).to_numpy()
+        near[~np.append(own, False)[near]] = len(pdf)  # a tile changes its own pixels
+        v = _reached(near, known)
+        return pdf.assign(v=np.where(v < np.inf, v, np.nan), changed=v < known)[own]
 
     first = _slim(starts).distinct().withColumn("v", F.lit(0.0))
     found, _ = until_stable(_slim(pixels).distinct().join(first, PLACE, "left").select(*PLACE, "v"), run, tile, 1, True)
@@ -392,7 +452,19 @@ def far_ends(skeleton: DataFrame, tile: int = TILE) -> DataFrame:
 
     Of ends equally far the first counts; ends out of reach and pages with fewer than two ends give none.
     """
-    p = checkpointed(_slim(skeleton).distinct())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _far_rows(pdf, _near(pdf))
+        return pd.concat([pdf.iloc[r].assign(role=role) for r, role in zip(rows, "ab")])
+
+    whole, cut = _whole_and_cut(_slim(skeleton).distinct())
+    found = whole(run, "page long, role string, y int, x int", 2)
+    return found if cut is None else found.unionByName(_far_ends_cut(cut, tile))
+
+
+def _far_ends_cut(pixels: DataFrame, tile: int) -> DataFrame:
+    """``far_ends`` by tiles."""
+    p = checkpointed(pixels)
     e = pixel_graph(p)
     ends = e.select("page", F.col("ay").alias("y"), F.col("ax").alias("x")).union(e.select("page", F.col("by"), F.col("bx"))).groupBy(*PLACE).agg(F.count("*").alias("n")).where("n = 1").select(*PLACE)
     ends = ends.withColumn("n", F.count("*").over(Window.partitionBy("page"))).where("n > 1").select(*PLACE)
@@ -413,10 +485,36 @@ def endcaps_clipped(skeleton: DataFrame, clip: float, tile: int = TILE) -> DataF
 
     Pages with fewer than three pixels or two ends, and those of which nothing would be left, stay.
     """
-    p = checkpointed(_slim(skeleton).distinct())
+    p = _slim(skeleton).distinct()
     if clip <= 0:
         return p
-    ends = checkpointed(far_ends(p, tile))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near, page = _near(pdf), pdf["page"].to_numpy()
+        kept = np.ones(len(pdf), bool)
+        for r in _far_rows(pdf, near):
+            v = _from_rows(near, r)
+            kept &= (v < np.inf) & (v.round(6) >= clip)
+        few = ~np.isin(page, page[kept]) | (pdf.groupby("page")["y"].transform("size").to_numpy() < 3)
+        left = np.flatnonzero(kept & ~few)
+        row = np.full(len(pdf) + 1, -1)
+        order = left[np.lexsort((pdf["x"].to_numpy()[left], pdf["y"].to_numpy()[left]))]
+        row[order] = np.arange(len(order))
+        to = row[near[order]]
+        part = _least_reached(len(order), np.nonzero(to >= 0)[0], to[to >= 0])
+        size = np.bincount(part, minlength=len(order))[part]
+        top = part[_firsts(page[order], -size, part)]
+        return pdf.iloc[np.append(order[np.isin(part, top)], np.flatnonzero(few))]
+
+    whole, cut = _whole_and_cut(p)
+    found = whole(run, "page long, y int, x int", 2)
+    return found if cut is None else found.unionByName(_endcaps_clipped_cut(cut, clip, tile))
+
+
+def _endcaps_clipped_cut(pixels: DataFrame, clip: float, tile: int) -> DataFrame:
+    """``endcaps_clipped`` by tiles."""
+    p = checkpointed(pixels)
+    ends = checkpointed(_far_ends_cut(p, tile))
     way = {role: geodesics(p, ends.where(F.col("role") == role), tile) for role in ("a", "b")}
     near = way["a"].join(way["b"].withColumnRenamed("v", "w"), PLACE)
     kept = checkpointed(near.where((F.round("v", 6) >= clip) & (F.round("w", 6) >= clip)).select(*PLACE))
@@ -438,10 +536,41 @@ def nearest_pixels(pixels: DataFrame, points: DataFrame) -> DataFrame:
 def ways(pixels: DataFrame, starts: DataFrame, goals: DataFrame, tile: int = TILE) -> DataFrame:
     """(page, i, y, x, v): a shortest way over set pixels from each page's start to its goal, with the length so far.
 
-    Every pixel points to the neighbour it is reached from (the first by (y, x) of equal ones); the pixels that the
-    goal leads back to are gathered by doubling the pointers, so rounds follow the logarithm of the way.
+    Every pixel points to the neighbour it is reached from (the first by (y, x) of equal ones), and the goal leads back. In
+    pages that are cut the pixels on the way are gathered by doubling the pointers, so rounds follow the logarithm of the way.
     Pages whose goal is out of reach have none.
     """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near, start, goal = _near(pdf), pdf["start"].to_numpy(), pdf["goal"].to_numpy()
+        v = np.append(_from_rows(near, np.flatnonzero(start)).round(6), np.inf)
+        back, found = np.full(len(pdf), -1), np.zeros(len(pdf), bool)
+        for k in reversed(BY_PLACE):
+            leads = np.flatnonzero((v[:-1] < np.inf) & (np.abs(np.where(v < np.inf, v, -9.0)[near[:, k]] + STEPS[k] - v[:-1]) < 1e-5))
+            back[leads] = near[leads, k]
+        at = np.flatnonzero(goal & (v[:-1] < np.inf))
+        while len(at):
+            found[at] = True
+            at = np.unique(back[at])
+            at = at[(at >= 0) & ~found[at]]
+        at = np.flatnonzero(found)
+        return pdf.iloc[at].assign(v=v[at])
+
+    mark = lambda df, a, b: _slim(df).select(*PLACE, F.lit(a).alias("s"), F.lit(b).alias("g"))
+    marks = mark(starts, True, False).union(mark(goals, False, True)).groupBy(*PLACE).agg(F.max("s").alias("start"), F.max("g").alias("goal"))
+    no = F.lit(False)
+    marked = _slim(pixels).distinct().join(marks, PLACE, "left").select(*PLACE, F.coalesce("start", no).alias("start"), F.coalesce("goal", no).alias("goal"))
+    whole, cut = _whole_and_cut(marked)
+    found = whole(run, "page long, y int, x int, v double", 2)
+    if cut is not None:
+        cut = checkpointed(cut)
+        found = found.unionByName(_ways_cut(cut, cut.where("start"), cut.where("goal"), tile))
+    order = F.row_number().over(Window.partitionBy("page").orderBy("v", "y", "x")) - 1
+    return found.select("page", order.cast("long").alias("i"), "y", "x", "v")
+
+
+def _ways_cut(pixels: DataFrame, starts: DataFrame, goals: DataFrame, tile: int) -> DataFrame:
+    """The pixels of ``ways``, by tiles."""
     field = checkpointed(geodesics(pixels, starts, tile).withColumn("v", F.round("v", 6)))
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(round((dy * dy + dx * dx) ** 0.5, 9)).alias("c")) for dy, dx in RING])
     told = field.withColumn("o", F.explode(offsets)).select("page", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("y").alias("fy"), F.col("x").alias("fx"), (F.col("v") + F.col("o.c")).alias("w"))
@@ -456,8 +585,7 @@ def ways(pixels: DataFrame, starts: DataFrame, goals: DataFrame, tile: int = TIL
         found = checkpointed(found.unionByName(more))
         twice = jump.select("page", F.col("y").alias("fy"), F.col("x").alias("fx"), F.col("fy").alias("gy"), F.col("fx").alias("gx"))
         jump = checkpointed(jump.join(twice, ["page", "fy", "fx"]).select(*PLACE, F.col("gy").alias("fy"), F.col("gx").alias("fx")))
-    order = F.row_number().over(Window.partitionBy("page").orderBy("v", "y", "x")) - 1
-    return field.join(found, PLACE, "left_semi").select("page", order.cast("long").alias("i"), "y", "x", "v")
+    return field.join(found, PLACE, "left_semi").select(*PLACE, "v")
 
 
 #: How the ends of a centreline are chosen.
@@ -473,13 +601,10 @@ def centreline_ends(mask: DataFrame, skeleton: DataFrame, strategy: str = FARTHE
         return far_ends(skeleton, tile)
     if strategy != TOP_BOTTOM:
         raise ValueError(f"unknown strategy {strategy}")
-    m = _slim(mask).distinct()
-    rows = m.groupBy("page").agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
-    out = None
-    for role, row in (("a", "top"), ("b", "bottom")):
-        middle = m.join(rows, "page").where(F.col("y") == F.col(row)).groupBy("page").agg(F.first("y").cast("double").alias("py"), (0.5 * (F.min("x") + F.max("x"))).alias("px"))
-        found = nearest_pixels(skeleton, middle).withColumn("role", F.lit(role))
-        out = found if out is None else out.unionByName(found)
+    spans = _slim(mask).groupBy("page", F.col("y").cast("double").alias("py")).agg((0.5 * (F.min("x") + F.max("x"))).alias("px"))
+    middles = checkpointed(spans.groupBy("page").agg(F.min(F.struct("py", "px")).alias("a"), F.max(F.struct("py", "px")).alias("b")))
+    found = [nearest_pixels(skeleton, middles.select("page", f"{role}.*")).withColumn("role", F.lit(role)) for role in "ab"]
+    out = found[0].unionByName(found[1])
     return out.select("page", "role", "y", "x")
 
 

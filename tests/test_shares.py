@@ -45,6 +45,24 @@ def test_small_pages_need_no_rounds(spark, monkeypatch):
     assert rounds == [1, 1, 1]
 
 
+def test_cut_and_whole_pages_have_the_same_centrelines(spark, monkeypatch):
+    """Pages that fit a task go through it whole, the others by tiles; both choose the same pixels."""
+    m = blobs(spark, 3, share=0.97)
+    kinds = [lambda: tiles.centrelines(m, 2.0, tile=32)]
+    rows = lambda df: sorted(tuple(round(c, 4) if isinstance(c, float) else c for c in r) for r in df.collect())
+    whole = [rows(k()) for k in kinds]
+    monkeypatch.setattr(tiles, "WHOLE", 300)
+    assert all(whole) and [rows(k()) for k in kinds] == whole
+
+
+def test_centrelines_of_small_pages_take_few_tables(spark, monkeypatch):
+    """Each sweep over a page had been a table of its own, and each doubling of the way's pointers three more."""
+    made = []
+    monkeypatch.setattr(tiles, "checkpointed", lambda df: made.append(df) or graph.checkpointed(df))
+    m = spark.createDataFrame([(page, y, x) for page in range(3) for y in range(20) for x in range(6 + page)], "page int, y int, x int")
+    assert tiles.centrelines(m, 2.0, tile=8).count() > 0 and len(made) <= 8
+
+
 def plain_parts(own, near):
     left, out = set(own), {}
     while left:
