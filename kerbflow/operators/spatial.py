@@ -65,24 +65,51 @@ def nearest_neighbours(points: DataFrame, k: int, radius: float, id_column: str,
 def nearest(places: DataFrame, targets: DataFrame, on: str = "page") -> DataFrame:
     """(page, x, y, id, distance): of ``targets`` (page, id, x, y) the nearest to each of ``places`` (page, x, y), at any distance.
 
-    A page's square is halved level by level.  A cell that holds targets stays for a place if its
-    near side is no further than the far side of every other cell; each level is one equi-join,
-    and a place keeps a few cells, wherever targets crowd.  Ties fall to the smaller id; places
-    on a page without targets have no row.
+    On a page with at most ``LEAF`` places of targets each place is held against all of them.  Else the page's square is
+    halved level by level: a cell that holds targets stays for a place if its near side is no further than the far side
+    of every other cell; each level is one equi-join, and a place keeps a few cells, wherever targets
+    crowd.  Ties fall to the smaller id; places on a page without targets have no row.
     """
     spots = targets.groupBy(on, F.col("x").alias("tx"), F.col("y").alias("ty")).agg(F.min("id").alias("id"))
-    frame = spots.groupBy(on).agg(F.min("tx").alias("left"), F.min("ty").alias("top"), F.greatest(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty"), F.lit(1e-9)).alias("side"))
-    spots = spread(spots.join(frame, on), on, "tx", "ty")
+    side = F.greatest(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty"), F.lit(1e-9))
+    frame = spots.groupBy(on).agg(F.count("*").alias("spots"), F.min("tx").alias("left"), F.min("ty").alias("top"), side.alias("side"))
+    spots = checkpointed(spots.join(frame, on))
+    asked = places.select(on, "x", "y").distinct()
+    leaf = spots.where(F.col("spots") <= LEAF).groupBy(on).agg(_held())
+    best = _nearest_held(asked.join(leaf, on), on).select(on, "x", "y", "best.id", "best.distance")
+    crowded = spots.where(F.col("spots") > LEAF)
+    if crowded.isEmpty():
+        return best
+    return best.unionByName(_nearest_by_cells(crowded, checkpointed(asked.join(frame.where(F.col("spots") > LEAF), on)), on))
+
+
+def _held() -> Column:
+    """An aggregate: a group's targets in one row, by id, so that no row is made for each pair."""
+    return F.array_sort(F.collect_list(F.struct("id", "tx", "ty"))).alias("held")
+
+
+def _nearest_held(asked: DataFrame, on: str) -> DataFrame:
+    """(page, x, y, best): of the targets held in its row the one nearest to each place."""
+    gaps = F.transform("held", lambda s: G.distance(F.col("x"), F.col("y"), s["tx"], s["ty"]))
+    out = asked.select(on, "x", "y", "held", gaps.alias("gaps")).withColumn("distance", F.array_min("gaps"))
+    first = F.get("held", F.array_position("gaps", F.col("distance")).cast("int") - 1)  # the least id of equals
+    return out.select(on, "x", "y", F.struct("distance", first["id"].alias("id")).alias("best"))
+
+
+def _nearest_by_cells(spots: DataFrame, asked: DataFrame, on: str) -> DataFrame:
+    """``nearest`` for pages with many targets; both tables are computed once before, and have the page's frame."""
     at = lambda c, low, parts: F.least(F.floor((F.col(c) - F.col(low)) / F.col("side") * parts), F.lit(parts) - 1).cast("long")
-    parts = F.pow(F.lit(2.0), F.col("level"))
-    cells = spots.select("*", F.explode(F.sequence(F.lit(1), F.lit(DEEPEST))).alias("level")).groupBy(on, "level", at("tx", "left", parts).alias("ix"), at("ty", "top", parts).alias("iy")).agg(F.count("*").alias("n"))
-    cells = checkpointed(cells)
-    fullest = {r.level: r.n for r in cells.groupBy("level").agg(F.max("n").alias("n")).collect()}
-    depth = next((k for k in range(1, DEEPEST + 1) if fullest.get(k, 0) <= LEAF), DEEPEST)
+    levels: list[DataFrame] = []
+    while len(levels) < DEEPEST:  # levels are counted only as deep as the fullest cell asks for
+        parts = float(2 << len(levels))
+        cells = spread(spots, on, "tx", "ty", rows=MANY).groupBy(on, at("tx", "left", parts).alias("ix"), at("ty", "top", parts).alias("iy")).agg(F.count("*").alias("n"))
+        levels.append(checkpointed(cells))
+        if levels[-1].agg(F.max("n")).first()[0] <= LEAF:
+            break
+    depth = len(levels)
 
     halves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
     put = lambda df, ix, iy: df.withColumn("h", F.explode(halves)).withColumn("ix", ix).withColumn("iy", iy).drop("h")
-    asked = checkpointed(places.select(on, "x", "y").distinct().join(frame, on))
     tried = put(spread(asked, on, "x", "y", rows=MANY), F.col("h.a").cast("long"), F.col("h.b").cast("long"))
     mine = Window.partitionBy(on, "x", "y")
     for level in range(1, depth + 1):
@@ -92,14 +119,12 @@ def nearest(places: DataFrame, targets: DataFrame, on: str = "page") -> DataFram
         a, b = F.col("left") + F.col("ix") * size, F.col("top") + F.col("iy") * size
         near = G.rect_distance(F.col("x"), F.col("y"), a, b, a + size, b + size)
         far = G.distance(F.lit(0.0), F.lit(0.0), F.greatest(F.col("x") - a, a + size - F.col("x")), F.greatest(F.col("y") - b, b + size - F.col("y")))
-        held = cells.where(F.col("level") == level).select(on, "ix", "iy")
+        held = levels[level - 1].select(on, "ix", "iy")
         tried = tried.join(held, [on, "ix", "iy"]).withColumn("near", near).withColumn("bound", F.min(far).over(mine))
         # the slack covers rounded cell edges
         tried = tried.where(F.col("near") <= F.col("bound") + 1e-6 * F.col("side")).drop("near", "bound")
-    # a smallest cell's places in one row, so that no row is made for each pair
-    leaf = spots.groupBy(on, at("tx", "left", float(1 << depth)).alias("ix"), at("ty", "top", float(1 << depth)).alias("iy")).agg(F.collect_list(F.struct("tx", "ty", "id")).alias("held"))
-    gap = lambda s: F.struct(G.distance(F.col("x"), F.col("y"), s["tx"], s["ty"]).alias("distance"), s["id"].alias("id"))
-    best = tried.select(on, "x", "y", "ix", "iy").join(leaf, [on, "ix", "iy"]).select(on, "x", "y", F.array_min(F.transform("held", gap)).alias("best"))
+    leaf = spots.groupBy(on, at("tx", "left", float(1 << depth)).alias("ix"), at("ty", "top", float(1 << depth)).alias("iy")).agg(_held())
+    best = _nearest_held(tried.select(on, "x", "y", "ix", "iy").join(leaf, [on, "ix", "iy"]), on)
     best = best.groupBy(on, "x", "y").agg(F.min("best").alias("best"))
     return best.select(on, "x", "y", "best.id", "best.distance")
 

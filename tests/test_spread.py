@@ -1,6 +1,7 @@
 """Steps whose share of a task must not grow with the table."""
 
 from kerbflow.operators import graph, raster, spatial
+from kerbflow.plans import queries
 
 
 def test_spread_by_counted_rows(spark):
@@ -29,3 +30,42 @@ def test_nearest_makes_no_row_for_each_pair(spark):
     out = spatial.nearest(places, targets)
     assert [tuple(r)[:4] for r in out.collect()] == [(1, 0.5, 0.5, 0)]
     assert "array_min" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_makes_no_levels_for_pages_of_few_targets(spark, monkeypatch):
+    """Sixteen levels of cells had been made and counted, however few targets a page had."""
+    made = []
+    monkeypatch.setattr(spatial, "checkpointed", lambda df: made.append(df.columns) or graph.checkpointed(df))
+    places = spark.createDataFrame([(1, 0.5, 0.5), (3, 1.0, 1.0)], "page int, x double, y double")
+    targets = spark.createDataFrame([(k, 1 + k % 2, float(k % 7), float(k % 5)) for k in range(35)], "id long, page int, x double, y double")
+    assert spatial.nearest(places, targets).count() == 1
+    assert len(made) == 1 and "level" not in made[0]
+
+
+def test_nearest_on_crowded_and_other_pages(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "LEAF", 4)
+    targets = [(100 - k, 1 + k % 3, float(k * 7 % 11), float(k * k % 5)) for k in range(60)] + [(k, 9, float(k), 0.0) for k in range(4)]
+    places = [(page, x / 2, y / 2) for page in (1, 2, 3, 9, 10) for x in range(0, 20, 3) for y in range(0, 9, 3)]
+    want = {}
+    for page, x, y in places:
+        near = [(((tx - x) ** 2 + (ty - y) ** 2) ** 0.5, k) for k, p, tx, ty in targets if p == page]
+        if near:
+            want[page, x, y] = min(near)
+    got = spatial.nearest(spark.createDataFrame(places, "page int, x double, y double"), spark.createDataFrame(targets, "id long, page int, x double, y double"))
+    assert {(r.page, r.x, r.y): (r.distance, r.id) for r in got.collect()} == want
+
+
+def test_hits_without_a_drawing_do_not_meet_in_one_task(spark, tmp_path):
+    orders = spark.range(200).selectExpr("id * 10 as o_orderkey", "id as o_custkey", "'a' as o_orderpriority")  # none has a place
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    part = spark.range(50).selectExpr("id as p_partkey", "1 as p_size", "double(id) as p_retailprice", "'n' as p_name", "'t' as p_type")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows = queries.links(spark, str(tmp_path)).select("length").rdd.glom().map(len).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert sum(rows) == 200 and max(rows) < 100
