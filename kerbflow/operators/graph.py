@@ -49,6 +49,18 @@ def dealt(df: DataFrame, *keys: str, rows: int, n: int | None = None):
     return df.withColumn("share", F.pmod(F.xxhash64(*keys), F.lit(shares)).cast("int")).repartitionById(shares, F.col("share")).groupBy("share")
 
 
+def every_place(pixels: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """(page, y, x): all places of an image of a size, for each page of ``pixels``, dealt out before rows become places and after.
+
+    ``pixels`` are read twice.
+    """
+    pages = pixels.select("page").distinct()
+    n = pages.count() * size[0]
+    rows = pages.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1))))
+    places = spread(rows, "page", "y", rows=max(1, PIXELS // size[1]), n=n).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1))))
+    return spread(places, "page", "y", "x", rows=PIXELS, n=n * size[1])
+
+
 def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
     """(node, component) of the nodes of ``links`` (a, b): the least node that they reach.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.operators import curves
-from kerbflow.operators.graph import checkpointed, labelled
+from kerbflow.operators.graph import checkpointed, every_place, labelled
 
 PLACE = ["page", "y", "x"]
 
@@ -182,11 +182,9 @@ def outline_tree(mask: DataFrame, size: tuple[int, int]) -> DataFrame:
     outline lies in the hole whose background is left of its first pixel, a hole in the component above its first
     pixel; what lies in no hole has no parent and depth 0.  ``pixels`` counts the component's or the hole's.
     """
-    m = mask.select(F.col("page").cast("long").alias("page"), "y", "x").distinct()
-    rows = F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1)))
-    every = m.select("page").distinct().withColumn("y", rows).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1))))
+    m = checkpointed(mask.select(F.col("page").cast("long").alias("page"), "y", "x").distinct())
     front = checkpointed(labelled(m, 8))
-    back = checkpointed(labelled(every.join(m, PLACE, "left_anti"), 4))
+    back = checkpointed(labelled(every_place(m, size).join(m, PLACE, "left_anti"), 4))
     edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == size[0] - 1) | (F.col("x") == size[1] - 1)
     outside = back.where(edge).select("page", "component").distinct()
     holes = back.join(outside, ["page", "component"], "left_anti")

@@ -327,10 +327,8 @@ def largest_filled(mask: DataFrame, kernel: int, size: tuple[int, int]) -> DataF
     background components (four neighbours) that do not reach the image's edge.
     """
     k = max(1, kernel) | 1
-    whole = closed(mask, ellipse_kernel(k), size) if k > 1 else mask.select(*PLACE).distinct()
-    rows = F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1)))
-    every = whole.select("page").distinct().withColumn("y", rows).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1))))
-    holes = enclosed(graph.labelled(difference(every, whole), 4), size)
+    whole = graph.checkpointed(closed(mask, ellipse_kernel(k), size) if k > 1 else mask.select(*PLACE).distinct())
+    holes = enclosed(graph.labelled(difference(graph.every_place(whole, size), whole), 4), size)
     full = graph.labelled(union(whole, holes), 8)
     top = full.groupBy("page", "component").agg(F.count("*").alias("n")).groupBy("page").agg(F.min(F.struct(-F.col("n"), "component")).alias("t")).select("page", F.col("t.component").alias("component"))
     return full.join(top, ["page", "component"], "left_semi").select(*PLACE)

@@ -69,3 +69,15 @@ def test_hits_without_a_drawing_do_not_meet_in_one_task(spark, tmp_path):
         for c, v in old.items():
             spark.conf.set(c, v)
     assert sum(rows) == 200 and max(rows) < 100
+
+
+def test_places_of_pages_are_made_in_many_tasks(spark, monkeypatch):
+    """Pages are few rows, which Spark puts into one task; each becomes all places of an image there."""
+    monkeypatch.setattr(graph, "PIXELS", 400)
+    m = spark.createDataFrame([(k, 1, 1) for k in range(20)], "page long, y int, x int")
+    out = graph.every_place(m, (10, 8))
+    shares = out.rdd.glom().map(len).collect()
+    assert len(shares) == 4 and sum(shares) == 1600 and max(shares) < 600
+    assert sorted(map(tuple, out.collect())) == [(k, y, x) for k in range(20) for y in range(10) for x in range(8)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
