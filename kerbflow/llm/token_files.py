@@ -19,15 +19,17 @@ Documents are dealt by ranges of (doc_id, hash of the text), so that a doc_id th
 share is split; a range is written as a row of files of about ``SHARD_TOKENS`` tokens.
 
 Encoding keeps texts in Arrow buffers and hands every distinct piece to the tokenizer once a
-slice.  Pieces are cut where a byte-level BPE cuts anyway: before white space that follows
-anything else, and before ``.`` or ``,`` after an ASCII letter or digit.  Texts with white
-space beyond ASCII or with a special token's string are encoded whole.
+slice.  Pieces are cut where the usual pattern of a byte-level BPE cuts anyway: before white space
+that follows anything else, after a single line end or tab, and between letters, digits and
+punctuation, as far as they are ASCII or Latin letters (an apostrophe stays with the letter after
+it).  A piece of one kind, with or without a blank ahead, is one pre-token and goes to the
+tokenizer's model at once; others take the way of a text.  Texts with white space beyond ASCII or
+with a special token's string, and all texts if the tokenizer has another pattern, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -53,16 +55,31 @@ SHARD_TOKENS = 1 << 22
 #: Documents of a range, one task each.
 RANGE_ROWS = 200_000
 NULL_ID = np.iinfo(np.int64).min
-#: Pieces that a worker remembers between slices, about 40 MB.
-REMEMBERED = 800_000
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ALNUM = np.zeros(256, bool)
-_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
-_STOP = np.zeros(256, bool)
-_STOP[[44, 46]] = True
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Pieces that a worker remembers between slices, about 45 MB.
+REMEMBERED = 1_200_000
+
+#: Kinds of bytes; of those beyond ASCII only Latin letters of two bytes have one.
+OTHER, LETTER, DIGIT, MARK, APOSTROPHE, SPACE = range(6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = MARK
+_KIND[48:58] = DIGIT
+_KIND[65:91] = _KIND[97:123] = LETTER
+_KIND[39] = APOSTROPHE
+_KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+#: Whether a piece ends between two kinds.
+_CUT = np.zeros((6, 6), bool)
+_CUT[LETTER : APOSTROPHE + 1, LETTER : APOSTROPHE + 1] = ~np.eye(4, dtype=bool)
+_CUT[MARK, APOSTROPHE] = _CUT[APOSTROPHE, MARK] = _CUT[APOSTROPHE, LETTER] = False
+_CUT[:SPACE, SPACE] = True
+#: Line ends and tabs, which are pieces of their own where they stand alone.
+_LINE = np.zeros(256, bool)
+_LINE[[9, 10, 13]] = True
+#: The code point that stands for each byte in a byte-level vocabulary.
+_SHOWN = np.arange(256, dtype="<u4")
+_SHOWN[[*range(33), *range(127, 161), 173]] = 256 + np.arange(68)
+#: Masks of the first bytes of a word of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -145,48 +162,89 @@ def by_document(lengths: np.ndarray, pieces: Iterator[np.ndarray]) -> Iterator[l
         yield parts
 
 
+def _buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large binary array, and its offsets into them."""
+    off = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    return data, off - off[0]
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of UTF-8 texts."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))  # U+00C0 to U+027F, letters but for two signs
+    lead = lead[(data[lead] > 0xC3) | ((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7))]
+    kind[lead] = kind[lead + 1] = LETTER
+    return kind
+
+
 def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The pieces of all texts in a row, and the texts' offsets into them."""
-    texts = texts.cast(pa.large_binary())
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
-    off = off - off[0]
+    data, off = _buffers(texts.cast(pa.large_binary()))
     if not len(data):
         return pa.array([], pa.large_binary()), off
-    space = _SPACE[data]
+    kind = _kinds(data)
     cut = np.empty(len(data), bool)
-    cut[1:] = (space[1:] & ~space[:-1]) | (_STOP[data[1:]] & _ALNUM[data[:-1]])
+    cut[1:] = _CUT.reshape(-1)[kind[:-1] * np.uint8(6) + kind[1:]]
     cut[off[:-1][off[:-1] < len(data)]] = True
+    line = np.flatnonzero(cut[:-1] & _LINE[data[:-1]])
+    cut[line[kind[line + 1] != SPACE] + 1] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts, len(data)).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]), np.searchsorted(starts, off)
 
 
+def _keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each piece: a bijection of its bytes up to 16 of them, a hash beyond."""
+    size = np.diff(off)
+    words = np.ndarray(len(data) + 9, "<u8", np.append(data, np.zeros(16, np.uint8)), strides=(1,))
+    low = words[np.minimum(off[:-1] + 8, len(data))] & _FIRST[np.clip(size - 8, 0, 8)]
+    high = _text.mix((words[off[:-1]] & _FIRST[np.minimum(size, 8)]) ^ _text.mix(low))
+    odd = np.flatnonzero((size > 16) | (data[off[1:] - 1] == 0))  # padding would hide a last zero
+    if len(odd):
+        hashes = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(off[odd].tolist(), off[odd + 1].tolist())]
+        high[odd], low[odd] = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2).T
+    return high, low
+
+
 class Remembered:
-    """Ids of pieces by a 128-bit hash, in sorted arrays: some 30 bytes a piece."""
+    """Ids of pieces by a key of 128 bits, in sorted arrays: some 40 bytes a piece."""
 
     def __init__(self):
-        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.high, self.low, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def find(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entry of each hash, and whether there is one."""
+        """The place of each key's ids in ``start`` and ``count``, and whether there is one."""
+        if not len(self.high):
+            return np.zeros(len(high), np.int32), np.zeros(len(high), bool)
         at = np.searchsorted(self.high, high)
-        near = np.minimum(at, max(len(self.high) - 1, 0))
-        known = (self.high[near] == high) & (self.low[near] == low) if len(self.high) else np.zeros(len(high), bool)
-        return near, known
-
-    def add(self, high: np.ndarray, low: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        while True:  # keys that share the high half follow one another
+            near = np.minimum(at, len(self.high) - 1)
+            same = self.high[near] == high
+            known = same & (self.low[near] == low)
+            further = same & ~known & (at < len(self.high))
+            if not further.any():
+                return self.slot[near], known
+            at = at + further
+
+    def add(self, high: np.ndarray, low: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Adds distinct unknown keys, their ids all in a row; returns their places."""
+        if ids.dtype != self.ids.dtype and len(ids) and ids.max() >= 1 << 16:
+            self.ids = self.ids.astype(np.uint32)
         if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + 2 * len(ids), self.ids.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
-        start = self.used + np.cumsum(count) - count
+        slots = np.arange(len(self.start), len(self.start) + len(high), dtype=np.int32)
+        self.start = np.append(self.start, (self.used + np.cumsum(count) - count).astype(np.int32))
+        self.count = np.append(self.count, count.astype(np.int32))
         self.used += len(ids)
         order = np.argsort(high)
         at = np.searchsorted(self.high, high[order])
-        for name, new in (("low", low), ("start", start), ("count", count), ("high", high)):
+        for name, new in (("low", low), ("slot", slots), ("high", high)):
             setattr(self, name, np.insert(getattr(self, name), at, new[order]))
+        return slots
 
 
 class Encoder:
@@ -198,6 +256,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            cutter = json.load(f).get("pre_tokenizer") or {}
+        self.usual = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Remembered()
 
@@ -216,27 +277,47 @@ class Encoder:
             flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
         return np.concatenate(flat), np.array(count, np.int64)
 
-    def whole(self, text: str) -> bool:
-        return any(t in text for t in self.special) or _ODD_SPACE.search(text) is not None
-
-    def _entries(self, pieces: pa.Array) -> np.ndarray:
-        """The entries of distinct pieces; new ones are encoded."""
-        listed = pieces.to_pylist()
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, listed)), ">u8").astype(np.uint64).reshape(-1, 2)
-        high, low = hashes[:, 0], hashes[:, 1]
-        if len(self.known.high) + len(listed) > REMEMBERED:
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """The numbers of the texts that must not be cut."""
+        if not self.usual:
+            return np.arange(len(texts))
+        whole = pa.compute.match_substring_regex(texts, _ODD_SPACE)
+        for t in self.special:
+            whole = pa.compute.or_(whole, pa.compute.match_substring(texts, t))
+        return np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+
+    def _piece_ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some pieces in a row and each piece's count."""
+        kind = _kinds(data)
+        kind[kind == APOSTROPHE] = MARK
+        first = off[:-1] + ((data[off[:-1]] == 32) & (np.diff(off) > 1))
+        change = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])
+        one = np.isin(kind[first], (LETTER, DIGIT, MARK)) & (change[first] == change[off[1:] - 1])
+        shown, cuts, model = _SHOWN[data].tobytes().decode("utf-32-le"), off.tolist(), self.tokenizer.model
+        found = [[t.id for t in model.tokenize(shown[a:b])] if plain else None for a, b, plain in zip(cuts, cuts[1:], one.tolist())]
+        rest, raw = np.flatnonzero(~one).tolist(), data.tobytes()
+        for a in range(0, len(rest), 10_000):
+            part = rest[a : a + 10_000]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([raw[cuts[k] : cuts[k + 1]].decode() for k in part], add_special_tokens=False)):
+                found[k] = e.ids
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the ids of distinct pieces are remembered; new pieces are encoded."""
+        data, off = _buffers(pieces)
+        high, low = _keys(data, off)
+        if len(self.known.high) + len(pieces) > REMEMBERED:
             self.known = Remembered()
-        entry, known = self.known.find(high, low)
+        place, known = self.known.find(high, low)
         new = np.flatnonzero(~known)
         if len(new):
-            self.known.add(high[new], low[new], *self._ids([listed[k].decode() for k in new]))
-            entry, _ = self.known.find(high, low)
-        return entry
+            place[new] = self.known.add(high[new], low[new], *self._piece_ids(*_buffers(pieces.take(pa.array(new)))))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and each text's count; a null text is empty."""
         texts = texts.fill_null("")
-        apart = [k for k, t in enumerate(texts.to_pylist()) if self.whole(t)]
+        apart = self._whole(texts).tolist()
         spared = {k: self._ids([texts[k].as_py()])[0] for k in apart}
         if apart:
             empty = np.zeros(len(texts), bool)
@@ -244,10 +325,13 @@ class Encoder:
             texts = pa.compute.if_else(pa.array(empty), "", texts)
         pieces, off = _pieces(texts)
         coded = pieces.dictionary_encode()
-        entry = self._entries(coded.dictionary)[coded.indices.to_numpy()] if len(pieces) else np.zeros(0, np.int64)
-        each = self.known.count[entry].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(each)])
-        out = self.known.ids[np.repeat(self.known.start[entry] - total[:-1], each) + np.arange(total[-1])]
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()] if len(pieces) else np.zeros(0, np.int32)
+        each = self.known.count[place]
+        total = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        kind = np.int32 if total[-1] < 1 << 31 else np.int64
+        at = np.repeat(self.known.start[place].astype(kind) - total[:-1].astype(kind), each)
+        at += np.arange(total[-1], dtype=kind)
+        out = self.known.ids[at]
         total = total[off]
         if spared:
             rows = [out[a:b] for a, b in zip(total[:-1], total[1:])]
@@ -265,11 +349,16 @@ def _encoded(tokenizer: str, end_id: int):
                 ids, count = encoder.encode(part.column("text"))
                 off = np.concatenate([[0], np.cumsum(count)])
                 packed, same = [], []
-                for a, b in zip(off[:-1], off[1:]):
-                    full = np.append(ids[a:b], np.uint32(end_id))
-                    narrow = full.astype("<u2") if full.max() < 1 << 16 else full.astype("<u4")
-                    same.append(xxhash.xxh3_64_intdigest(narrow.tobytes()) - (1 << 63))
-                    packed.append(bytes([narrow.itemsize]) + pa.compress(narrow.tobytes(), "zstd", asbytes=True))
+                ends = off[1:] + np.arange(len(count))
+                full = np.empty(len(ids) + len(count), np.promote_types(ids.dtype, np.min_scalar_type(end_id)))
+                inner = np.ones(len(full), bool)
+                inner[ends] = False
+                full[ends], full[inner] = end_id, ids
+                for a, b in zip(off[:-1] + np.arange(len(count)), ends + 1):
+                    narrow = full[a:b]
+                    narrow = narrow.astype("<u2" if narrow.itemsize <= 2 or narrow.max() < 1 << 16 else "<u4", copy=False).tobytes()
+                    same.append(xxhash.xxh3_64_intdigest(narrow) - (1 << 63))
+                    packed.append(bytes([len(narrow) // int(b - a)]) + pa.compress(narrow, "zstd", asbytes=True))
                 yield pa.RecordBatch.from_arrays([_text.long_column(part, "doc_id"), pa.array(same, pa.int64()), pa.array(count + 1), pa.array(packed, pa.binary())], ["doc_id", "hash", "n", "packed"])
 
     return run

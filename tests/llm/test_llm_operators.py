@@ -286,6 +286,56 @@ def test_rank_coding():
     assert ids.tolist() == [3, 9] and lengths.tolist() == [2, 1] and tokens.tolist() == [500, 70000, 500]
 
 
+def test_token_pieces(tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    parts = ["'", "'s", "re", "Z", "é", "ß", "×", "÷", "ɏ", "\u0301", "1", "²", "٣", ".", ",", "-", "_", "\x00", "\x7f", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\xa0", "日", "—", "’", "😀"]
+    draw = random.Random(4)
+    texts = ["".join(draw.choices(parts, k=draw.randrange(30))) for _ in range(4000)] + ["", "\x00", "a\x00", "a", *("x" * n for n in (15, 16, 17)), "x" * 15 + "\x00", "<|endoftext|> a"]
+
+    def same(path):
+        plain, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+        for part in (texts[:2000], texts[2000:]):  # the second finds pieces of the first
+            ids, n = encoder.encode(pa.array(part))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(x, add_special_tokens=False).ids for x in part]
+
+    same(path)
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    told["pre_tokenizer"]["add_prefix_space"] = True  # pieces would each get a blank
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    same(str(tmp_path / "t.json"))
+
+    # a word is one piece, whatever mark follows it, and goes to the model without the way of a text
+    encoder, asked = token_files.Encoder(path), []
+    rest = encoder.tokenizer
+
+    class Asked:
+        model = rest.model
+
+        def encode_batch_fast(self, found, **settings):
+            asked.extend(found)
+            return rest.encode_batch_fast(found, **settings)
+
+    encoder.tokenizer = Asked()
+    encoder.encode(pa.array(["".join(f" éwort{m} Word{m}" for m in (".", "$$$", ";", ":", "!", ")", "--"))]))
+    assert not asked and len(encoder.known.high) == 2 + 7
+
+
+def test_keys_that_share_their_high_half():
+    known = token_files.Remembered()
+    low = np.array([5, 9, 2], np.uint64)
+    place = known.add(np.array([7, 7, 8], np.uint64), low, np.array([1, 70_000, 3, 4], np.uint32), np.array([1, 1, 2]))
+    found, had = known.find(np.array([8, 7, 7, 7, 9], np.uint64), np.array([2, 9, 5, 6, 0], np.uint64))
+    assert had.tolist() == [True, True, True, False, False] and found[:3].tolist() == place[[2, 1, 0]].tolist()
+    assert [known.ids[known.start[p] :][: known.count[p]].tolist() for p in place] == [[1], [70_000], [3, 4]]
+
+
 def test_token_digest(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
