@@ -139,7 +139,10 @@ def _order_levels(sketch: np.ndarray) -> np.ndarray:
     """For each sketch cell 0 if its count is ordinary, else the count's bit length."""
     mean = sketch.mean()
     usual = mean + 8 * np.sqrt(mean) + 16  # beyond what chance puts in one cell
-    return np.where(sketch > usual, np.ceil(np.log2(sketch.astype(float) + 2)), 0).astype(np.uint8)
+    often = np.flatnonzero(sketch > usual)
+    level = np.zeros(len(sketch), np.uint8)
+    level[often] = np.ceil(np.log2(sketch[often].astype(float) + 2))
+    return level
 
 
 def _prefixes(width: int, percent: int, levels):
@@ -209,7 +212,7 @@ def _marks(batches):
 
 
 def _membership(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size for the ids of a column; false positives only cost work."""
+    """A filter of fixed size for the ids of a column, a bit a cell; false positives only cost work."""
     width = (1 << FILTER_BITS) // 8 // SLICES
 
     def either(batches):
@@ -225,7 +228,13 @@ def _membership(ids: DataFrame) -> np.ndarray:
     out = np.zeros((SLICES, width), np.uint8)
     for row in ids.mapInArrow(_marks, kind).repartition(SLICES, "slice").mapInArrow(either, kind).collect():
         out[row.slice] = np.frombuffer(row.part, np.uint8)
-    return np.unpackbits(out.reshape(-1)).astype(bool)
+    return out.reshape(-1)
+
+
+def _marked(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the filter has the cells of ``ids``."""
+    cell = _filter_cell(ids)
+    return (marks[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _sets_of(width: int, wanted):
@@ -235,7 +244,7 @@ def _sets_of(width: int, wanted):
         for batch in batches:
             ids = _text.long_column(batch, "doc_id")
             null = ids.is_null().to_numpy(zero_copy_only=False)
-            keep = null | marks[_filter_cell(ids.fill_null(0).to_numpy())]
+            keep = null | _marked(marks, ids.fill_null(0).to_numpy())
             for part in _text.slices(batch.filter(pa.array(keep))):
                 sids, sets = [], []
                 for s in _text.shingle_sets(part.column("text"), width):
@@ -397,6 +406,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     base = written(docs.mapInArrow(_first_pass(width), kind), "sets")
     members = base.where("slice is null").select("doc_id", "sid", "n", "vector")
     levels = spark.sparkContext.broadcast(_order_levels(merged_sketch(base.where("slice is not null"), CELLS)))
+    give_back()
     classes = written(members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id")), "classes")
 
     cells = docs.mapInArrow(_prefixes(width, percent, levels), "cell long, sid long, n int")
@@ -410,11 +420,15 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     centred = written(both.mapInArrow(_bounded(percent), "a long, b long"), "centred")
     links = _verified(docs, classes, centred, width, percent)
     # the likeliest links first, so that a large group is one component before the full search
+    found = written(components(links), "components")
     for best in (BEST, None):
-        near = _near(cells, vectors, written(components(links), "components"), percent, best)
-        near = written(near.join(centred, ["a", "b"], "left_anti"), "near")
-        links = links.union(_verified(docs, classes, near, width, percent))
-    both = written(components(links), "components").withColumnRenamed("node", "sid")
+        near = written(_near(cells, vectors, found, percent, best).join(centred, ["a", "b"], "left_anti"), "near")
+        if near.isEmpty():
+            continue
+        links = _verified(docs, classes, near, width, percent)
+        if not links.isEmpty():  # the components so far stand for the links so far
+            found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
+    both = found.withColumnRenamed("node", "sid")
 
     # tables of their own, so that no join shares an aggregate's shuffle and the rows of a large group can be split
     least = written(classes.join(both, "sid").groupBy("component").agg(F.min("first_id").alias("component_id")), "least")

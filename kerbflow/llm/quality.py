@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kerbflow.llm import _text
-from kerbflow.llm._cluster import bounded_batches
+from kerbflow.llm._cluster import bounded_batches, give_back
 
 BUCKETS = 1 << 15
 #: Features of a word, and the words back in which it is looked for.
@@ -178,7 +178,10 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Or
     rows = rows.select("grade", "text").mapInArrow(_sampled_features, "grade long, cols binary, vals binary").collect()
     rows.sort(key=lambda r: (r.grade, r.cols, r.vals))  # the fit does not depend on the order of arrival
     parts = [(np.frombuffer(r.cols, "<i4"), np.frombuffer(r.vals, "<f4")) for r in rows]
-    return fit_ordinal(parts, np.array([r.grade for r in rows], np.int64))
+    model = fit_ordinal(parts, np.array([r.grade for r in rows], np.int64))
+    del rows, parts
+    give_back()  # the driver, too, keeps no more than the model
+    return model
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, grade: int = 1) -> DataFrame:

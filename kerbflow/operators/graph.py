@@ -69,9 +69,13 @@ def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
     only, never pairs of them.  ``keep`` computes a table once and cuts its lineage.  Isolated
     nodes do not occur in ``links`` and so not in the result; self links and repeats are harmless.
     """
+
+    def told(edge: DataFrame) -> tuple:
+        return tuple(edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edge = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
+    state = told(edge)  # links that are stars already take one round, none at all no round
+    while state[0]:
         both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -79,7 +83,7 @@ def star_components(links: DataFrame, keep=checkpointed) -> DataFrame:
         hop = star.join(low, "u")
         edge = hop.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hop.select("u", F.col("m").alias("v"))).distinct()
         edge = keep(edge.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = tuple(edge.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = told(edge)
         if now == state:
             break
         state = now

@@ -271,6 +271,23 @@ def test_top_k_empty(spark):
     assert topk.exact_top_k(df, df).count() == 0
 
 
+def test_driver_holds_little(spark):
+    """Stars take one round, no links none; the filter is a bit a cell and the levels need no doubles."""
+    from kerbflow.operators.graph import star_components
+
+    kept = []
+    keep = lambda df: kept.append(df.localCheckpoint()) or kept[-1]
+    stars = spark.createDataFrame([(1, 2), (1, 3), (7, 9)], "a long, b long")
+    assert sorted(map(tuple, star_components(stars, keep).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)] and len(kept) == 2
+    assert not star_components(stars.where("a > 9"), keep).collect() and len(kept) == 3
+    ids = np.arange(0, 3000, 7)
+    marks = ngram_join._membership(spark.createDataFrame([(int(k),) for k in ids], "id long"))
+    assert marks.nbytes == 1 << ngram_join.FILTER_BITS >> 3 and ngram_join._marked(marks, ids).all()
+    assert ngram_join._marked(marks, np.arange(10**6, 10**6 + 1000)).sum() < 5
+    sketch = np.array([1] * 1000 + [5000], np.uint32)
+    assert ngram_join._order_levels(sketch).tolist() == [0] * 1000 + [13]
+
+
 # -- token files ------------------------------------------------------------------------
 
 
