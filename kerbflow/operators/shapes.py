@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbflow.functions import geometry as G
-from kerbflow.operators import curves
+from kerbflow.operators import curves, graph
 
 
 def axis_ends(points: DataFrame, key: str) -> DataFrame:
@@ -72,46 +73,76 @@ def collinear_groups(dashes: DataFrame, angle: float = 5.0, offset: float = 15.0
     return dashes.groupBy("page").applyInPandas(run, "page int, dash_id long, group int")
 
 
-def _hull(p: np.ndarray) -> np.ndarray:
-    """The convex hull of distinct points, in order."""
-    p = np.unique(p, axis=0)
+def _hull(p: list) -> list:
+    """The convex hull of distinct points in the order of (x, y), in order."""
     if len(p) < 3:
         return p
-    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
     half = []
     for seq in (p, p[::-1]):
         line: list = []
         for q in seq:
-            while len(line) > 1 and cross(line[-2], line[-1], q) <= 0:
+            x, y = q
+            while len(line) > 1:
+                (ox, oy), (ax, ay) = line[-2], line[-1]
+                if not (ax - ox) * (y - oy) - (ay - oy) * (x - ox) <= 0:
+                    break
                 line.pop()
             line.append(q)
         half += line[:-1]
-    return np.array(half)
+    return half
+
+
+def _least_frames(p: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The areas and the corners of the smallest rectangles around hulls that follow each other in ``p``, those of most points first."""
+    first = np.cumsum(size) - size
+    best, corners = np.zeros(len(size)), np.zeros((len(size), 4, 2))
+    # all hulls that have a k-th side try it at once; they are the first m
+    for k in range(size[0]):
+        m = np.searchsorted(-size, -k)
+        own, at = size[:m], first[:m]
+        side = p[at + (k + 1) % own] - p[at + k]
+        norm = np.hypot(*side.T)
+        flat = ~(norm > 0)
+        ux, uy = np.where(flat, 1.0, side[:, 0] / np.where(flat, 1.0, norm)), np.where(flat, 0.0, side[:, 1] / np.where(flat, 1.0, norm))
+        (x, y), wx, wy = p[: own.sum()].T, np.repeat(ux, own), np.repeat(uy, own)
+        s, t = x * wx + y * wy, y * wx - x * wy
+        (s0, s1), (t0, t1) = ((np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)) for c in (s, t))
+        area = (s1 - s0) * (t1 - t0)
+        on = np.flatnonzero((area < best[:m] - 1e-9) | (k == 0))
+        best[on] = area[on]
+        for j, (a, b) in enumerate(((s0, t0), (s1, t0), (s1, t1), (s0, t1))):
+            corners[on, j, 0], corners[on, j, 1] = (a * ux - b * uy)[on], (a * uy + b * ux)[on]
+    return best, corners
 
 
 def smallest_rectangles(points: DataFrame, key: str) -> DataFrame:
     """(key, i, x, y, area): the four corners of the rotated rectangle of least area around each group of points.
 
-    One of its sides lies on a side of the convex hull; each row of points is first cut to its two ends.
+    One of its sides lies on a side of the convex hull; each row of points is first cut to its two ends.  A group is
+    within one task, which does many small ones side by side.  ``points`` are read twice.
     """
-    ends = points.groupBy(key, "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    slim = ends.select(key, F.col("y").cast("double").alias("y"), F.explode(F.array("a", "b")).alias("x")).select(key, F.col("x").cast("double").alias("x"), "y")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull(pdf[["x", "y"]].to_numpy())
-        best = None
-        for k in range(len(hull)):
-            side = hull[(k + 1) % len(hull)] - hull[k]
-            u = side / np.hypot(*side) if np.hypot(*side) > 0 else np.array([1.0, 0.0])
-            v = np.array([-u[1], u[0]])
-            s, t = hull @ u, hull @ v
-            area = (s.max() - s.min()) * (t.max() - t.min())
-            if best is None or area < best[0] - 1e-9:
-                best = (area, [a * u + b * v for a, b in ((s.min(), t.min()), (s.max(), t.min()), (s.max(), t.max()), (s.min(), t.max()))])
-        corners = np.array(best[1])
-        return pd.DataFrame({key: pdf[key].iloc[0], "i": range(4), "x": corners[:, 0], "y": corners[:, 1], "area": best[0]})
-
-    return slim.groupBy(key).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, i int, x double, y double, area double")
+    ends = points.groupBy(key, "y").agg(*[f("x").cast("double").alias(c) for c, f in (("a", F.min), ("b", F.max))]).withColumn("y", F.col("y").cast("double"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        names = rows.column(key).combine_chunks().dictionary_encode("encode")
+        y, a, b = (rows.column(c).to_numpy() for c in ("y", "a", "b"))
+        group, p = np.tile(names.indices.to_numpy(), 2), np.column_stack([np.r_[a, b], np.tile(y, 2)])
+        order = np.lexsort((p[:, 1], p[:, 0], group))
+        group, p = group[order], p[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (p[1:] != p[:-1]).any(1)]
+        group, p = group[new], p[new]
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        every = p.tolist()
+        hulls = [_hull(every[j:k]) for j, k in zip(start.tolist(), [*start[1:].tolist(), len(every)])]
+        size = np.array([len(h) for h in hulls])
+        order = np.argsort(-size, kind="stable")
+        area, corners = _least_frames(np.array([q for k in order for q in hulls[k]]), size[order])
+        x, y = corners.reshape(-1, 2).T
+        i = np.tile(np.arange(4, dtype=np.int32), len(order))
+        return pa.table({key: names.dictionary.take(pa.array(np.repeat(group[start][order], 4))), "i": i, **{c: pa.array(v, from_pandas=True) for c, v in (("x", x), ("y", y), ("area", np.repeat(area, 4)))}})
+
+    shares = graph.dealt(ends, key, rows=graph.PIXELS, n=points.count())
+    return shares.applyInArrow(run, f"{key} {dict(points.dtypes)[key]}, i int, x double, y double, area double")
 
 
 def simplified(polygons: DataFrame, key: str, share: float = 0.005) -> DataFrame:

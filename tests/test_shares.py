@@ -1,11 +1,12 @@
 """Whole pages, squares and paths that share a task, against the cut forms and plain versions."""
 
+import math
 import random
 from collections import defaultdict
 
 import pytest
 
-from kerbflow.operators import graph, isolines, raster, tiles
+from kerbflow.operators import graph, isolines, raster, shapes, tiles
 from tests.test_pixels import blobs, by_page, heap_ways, plain_axis
 
 
@@ -154,3 +155,39 @@ def test_side_arcs_read_each_table_once(spark):
     out = isolines.side_arcs(loops, centre, "outer", 3, 20.0, bend=2, span=4)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
     assert out.count() > 0
+
+
+def plain_rectangle(points):
+    """The least area of a rectangle along two of the points that holds all of them; the rectangle lies on a side of the hull, which is among these."""
+    best = 0.0 if len(points) == 1 else None
+    for (ay, ax), (by, bx) in ((p, q) for p in points for q in points if p < q):
+        size = math.hypot(bx - ax, by - ay)
+        u, v = (bx - ax) / size, (by - ay) / size
+        s, t = ([x * u + y * v for y, x in points], [y * u - x * v for y, x in points])
+        area = (max(s) - min(s)) * (max(t) - min(t))
+        best = area if best is None else min(best, area)
+    return best
+
+
+def test_rectangles_of_many_groups_share_a_call(spark):
+    """One call a group cost three milliseconds, which at 6 GB is hours of a core."""
+    r = random.Random(8)
+    groups = {k * 10**15 + 7: {(r.randrange(-w, w), r.randrange(-w, w)) for _ in range(r.randrange(1, 25))} for k in range(80) for w in [r.choice([1, 2, 4, 12])]}
+    groups |= {None: {(0, 0), (3, 1), (1, 5)}, 2**62 + 1: {(2, 2)}, -5: {(4, x) for x in range(6)}}
+    rows = [(k, *p) for k, own in groups.items() for p in own]
+    out = shapes.smallest_rectangles(spark.createDataFrame([*rows, *rows[:50]], "component long, y int, x int"), "component")
+    line = next(z for z in grouped_calls(out).splitlines() if "FlatMapGroupsIn" in z)
+    assert "share#" in line.split("], run(")[0]
+    got = defaultdict(list)
+    for row in out.collect():
+        got[row.component].append(row)
+    assert set(got) == set(groups)
+    for k, own in groups.items():
+        corners = [(c.x, c.y) for c in sorted(got[k], key=lambda c: c.i)]
+        (ax, ay), (bx, by), (cx, cy), (dx, dy) = corners
+        assert len(corners) == 4 and got[k][0].area == pytest.approx(plain_rectangle(own), abs=1e-9)
+        # a rectangle of that area, whose sides hold all points
+        assert (ax + cx, ay + cy) == pytest.approx((bx + dx, by + dy), abs=1e-9) and (bx - ax) * (cx - bx) + (by - ay) * (cy - by) == pytest.approx(0, abs=1e-9)
+        assert math.hypot(bx - ax, by - ay) * math.hypot(cx - bx, cy - by) == pytest.approx(got[k][0].area, abs=1e-6)
+        for (px, py), (qx, qy) in zip(corners, [*corners[1:], corners[0]]):
+            assert all((qx - px) * (y - py) - (qy - py) * (x - px) >= -1e-9 for y, x in own)
